@@ -5,8 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, toxicity
-from .common import fold, read
+from . import language, mixing, packing, simhash, toxicity
+from .common import fold, read, written
+
+
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = written(spark, simhash.with_fingerprint(read(spark, sf_dir, "documents"), keep=["doc_id"]), "fingerprints")
+    least = written(spark, simhash.near_duplicates(spark, rows, of="doc_id"), "components")
+    return rows.join(least, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("least").alias("component_id"))
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.mixed(spark, read(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return out.select("doc_id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), (F.col("__size") * F.col("__copies")).alias("taken"))
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +27,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (fold("doc_id", toxicity.FOLDS) == toxicity.HELD).alias("held_out"), "score", "predicted")
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(spark, read(spark, sf_dir, "documents"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     model = language.fit(spark, docs)
@@ -23,5 +38,5 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (fold("doc_id", language.FOLDS) == language.HELD).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op6_toxicity, op9_language_id)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op2_simhash, op5_mixing, op6_toxicity, op8_packing, op9_language_id)}
+ORACLE_SQL: dict[str, str] = {"op8_packing": packing.ORACLE_SQL}
