@@ -1,14 +1,50 @@
-"""The corpus pipeline: language ID, toxicity, near-duplicates, mixing to target weights, packing."""
+"""The corpus pipeline: language ID, toxicity, near-duplicates, mixing to target weights, packing.
+
+Each stage takes all that the stage before it kept, as a table, and returns the columns of
+``documents``; the last returns the packing of each row. A stage's result is written as Parquet in
+the shared folder and read again, so a lost executor repeats one stage at most.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from docloom.llm import language, toxicity
+from docloom.llm import language, mixing, packing, simhash, toxicity
 from docloom.llm.common import written
 
-STAGES: list = []
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that the model knows; it learns from all folds of the stage's input."""
+    cols = docs.columns
+    model = language.fit(spark, docs, held=-1)
+    told = language.label(spark, docs, model, keep=[*cols])
+    return told.where(~language.rejects()).select(*cols)
+
+
+def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the model does not call toxic; it learns from all labelled rows of the input."""
+    cols = docs.columns
+    model = toxicity.fit(spark, docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), held=-1)
+    return toxicity.scored(spark, docs, model, keep=[*cols]).where("predicted = 0").select(*cols)
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
+    return simhash.deduplicated(spark, docs)
+
+
+def to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources mixed to their target weights; a document taken more than once is repeated."""
+    return mixing.repeated(mixing.mixed(spark, docs), docs.columns)
+
+
+def in_buckets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The bucket, batch and place of every row."""
+    return packing.packed(spark, docs)
+
+
+STAGES = [("language", known_language), ("toxicity", not_toxic), ("near-duplicates", one_of_each), ("mixing", to_weights), ("packing", in_buckets)]
+#: Models, fingerprint tries and knapsack choices have no SQL; tests/llm/test_pipeline.py has a brute-force version.
 ORACLE_SQL = None
 
 
