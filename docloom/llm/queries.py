@@ -5,8 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, mixing, packing, simhash, toxicity
-from .common import fold, read, written
+from . import language, mixing, packing, simhash, token_corpus, toxicity
+from .common import fold, read, table_path, written
+
+
+def op1_range_ans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = table_path(spark, "corpus")
+    token_corpus.write_corpus(spark, read(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
+    return token_corpus.read_corpus(spark, path)
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,5 +46,5 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (fold("doc_id", language.FOLDS) == language.HELD).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash, op5_mixing, op6_toxicity, op8_packing, op9_language_id)}
+QUERIES = {f.__name__: f for f in (op1_range_ans, op2_simhash, op5_mixing, op6_toxicity, op8_packing, op9_language_id)}
 ORACLE_SQL: dict[str, str] = {"op8_packing": packing.ORACLE_SQL}
