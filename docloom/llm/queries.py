@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, mixing, packing, simhash, token_corpus, toxicity
+from . import language, mixing, order_minhash, packing, simhash, token_corpus, toxicity
 from .common import fold, read, table_path, written
 
 
@@ -35,6 +35,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (fold("doc_id", toxicity.FOLDS) == toxicity.HELD).alias("held_out"), "score", "predicted")
 
 
+def op7_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.edited_pairs(spark, read(spark, sf_dir, "documents"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(spark, read(spark, sf_dir, "documents"))
 
@@ -46,5 +50,5 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (fold("doc_id", language.FOLDS) == language.HELD).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_range_ans, op2_simhash, op5_mixing, op6_toxicity, op8_packing, op9_language_id)}
+QUERIES = {f.__name__: f for f in (op1_range_ans, op2_simhash, op5_mixing, op6_toxicity, op7_order_minhash, op8_packing, op9_language_id)}
 ORACLE_SQL: dict[str, str] = {"op8_packing": packing.ORACLE_SQL}
