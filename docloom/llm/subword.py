@@ -88,7 +88,7 @@ def bags(texts: list[str], buckets: int, grams: tuple[int, ...]) -> list[tuple[n
     for text in texts:
         words = find_words(lower(text or ""))
         if not words:
-            out.append((np.zeros(0, np.int64), np.zeros(0, np.float32)))
+            out.append((np.zeros(0, np.int32), np.zeros(0, np.float32)))
             continue
         seen: dict[str, int] = {}
         for w in words:
@@ -96,7 +96,7 @@ def bags(texts: list[str], buckets: int, grams: tuple[int, ...]) -> list[tuple[n
         owner, ids = features(list(seen), buckets, grams)
         weight = (np.fromiter(seen.values(), np.float64) / np.bincount(owner, minlength=len(seen)))[owner] / len(words)
         ids, at = np.unique(ids, return_inverse=True)
-        out.append((ids, np.bincount(at, weight, len(ids)).astype(np.float32)))
+        out.append((ids.astype(np.int32), np.bincount(at, weight, len(ids)).astype(np.float32)))
     return out
 
 

@@ -15,7 +15,7 @@ from .common import fold, sampled, slices
 FOLDS, HELD = 5, 0
 
 
-def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, *, max_docs: int = 10_000, buckets: int = 2**18, held: int = HELD) -> subword.Model:
+def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, *, max_docs: int = 8_000, buckets: int = 2**18, held: int = HELD) -> subword.Model:
     """Learn ``labels.toxic`` from the texts of labelled rows outside the held-out fold.
 
     ``max_docs`` bounds the training rows (a hash sample of whole texts, the same in each run). A
