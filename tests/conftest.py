@@ -1,8 +1,11 @@
+import os
 import sys
 from pathlib import Path
 
 import pytest
 
+os.environ.setdefault("OMP_NUM_THREADS", "1")
+
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 
