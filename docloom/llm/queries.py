@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, lbl, mixing, order_minhash, packing, simhash, token_corpus, toxicity
+from . import html_template, language, lbl, mixing, order_minhash, packing, simhash, token_corpus, toxicity
 from .common import fold, read, table_path, written
 
 
@@ -23,6 +23,10 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(least, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("least").alias("component_id"))
 
 
+def op3_html_template(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_template.extracted(spark, read(spark, sf_dir, "pages"))
+
+
 def op4_log_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     model, counts = lbl.fit(spark, docs)
@@ -56,5 +60,5 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (fold("doc_id", language.FOLDS) == language.HELD).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_range_ans, op2_simhash, op4_log_bilinear, op5_mixing, op6_toxicity, op7_order_minhash, op8_packing, op9_language_id)}
+QUERIES = {f.__name__: f for f in (op1_range_ans, op2_simhash, op3_html_template, op4_log_bilinear, op5_mixing, op6_toxicity, op7_order_minhash, op8_packing, op9_language_id)}
 ORACLE_SQL: dict[str, str] = {"op8_packing": packing.ORACLE_SQL}
