@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_template, language, lbl, mixing, order_minhash, packing, simhash, token_corpus, toxicity
+from . import html_template, language, lbl, learned_ann, mixing, order_minhash, packing, simhash, token_corpus, toxicity
 from .common import fold, read, table_path, written
 
 
@@ -60,5 +60,10 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (fold("doc_id", language.FOLDS) == language.HELD).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_range_ans, op2_simhash, op3_html_template, op4_log_bilinear, op5_mixing, op6_toxicity, op7_order_minhash, op8_packing, op9_language_id)}
+def op10_learned_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "embeddings")
+    return learned_ann.nearest(spark, rows, rows.where("vec_id % 100 = 0"))
+
+
+QUERIES = {f.__name__: f for f in (op1_range_ans, op2_simhash, op3_html_template, op4_log_bilinear, op5_mixing, op6_toxicity, op7_order_minhash, op8_packing, op9_language_id, op10_learned_ann)}
 ORACLE_SQL: dict[str, str] = {"op8_packing": packing.ORACLE_SQL}
