@@ -2,8 +2,10 @@
 
 On a bounded sample: the exact neighbour graph, a balanced partition of that graph, and a small network
 that learns which parts a vector's neighbours lie in. Every row is then indexed under its most probable
-part; a query goes to its ``probes`` most probable parts and is ranked there exactly. A part is held in
-blocks of bounded size, so a part with a third of all rows is many tasks.
+part; a query goes to its several most probable parts and is ranked there exactly. How many is measured:
+the fewest that find ``RECALL`` of the neighbours of a tenth of the sample that is kept from training.
+(The whole table's neighbours are closer than the sample's, so it finds more there.) A part is held
+in blocks of bounded size, so a part with a third of all rows is many tasks.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from pyspark.sql import Window as W
 
 from .common import sampled, written
 
-SAMPLE, PROBES, NEIGHBOURS = 6_000, 6, 10
+SAMPLE, RECALL, NEIGHBOURS = 6_000, 0.93, 10
 
 
 def squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -81,7 +83,7 @@ def balanced_parts(x: np.ndarray, graph: np.ndarray, parts: int, *, slack: float
 
 @dataclass
 class Router:
-    """One hidden layer over standardised vectors."""
+    """One hidden layer over standardised vectors; ``probes``: parts that a query goes to."""
 
     mean: np.ndarray
     scale: np.ndarray
@@ -89,6 +91,7 @@ class Router:
     b1: np.ndarray
     w2: np.ndarray
     b2: np.ndarray
+    probes: int = 1
 
     def scores(self, x: np.ndarray) -> np.ndarray:
         h = np.maximum((x - self.mean) / self.scale @ self.w1 + self.b1, 0)
@@ -129,15 +132,16 @@ def usable(rows: DataFrame) -> DataFrame:
     return rows.where(F.size("v") == (sizes.d if sizes else 0))
 
 
-def fit(spark: SparkSession, rows: DataFrame, n: int, *, sample: int = SAMPLE, parts: int | None = None) -> Router | None:
+def fit(spark: SparkSession, rows: DataFrame, n: int, *, sample: int = SAMPLE, parts: int | None = None, recall: float = RECALL) -> Router | None:
     """Learn parts from at most about ``sample`` vectors (a hash sample); too few rows need none."""
     parts = parts or int(np.clip(round(np.sqrt(n / 200)), 1, 256))
     if parts < 2 or n < 1000:
         return None
     x = np.stack([r.v for r in sampled(rows, "vec_id", n, sample).orderBy("vec_id").collect()])
     # equal vectors would be each other's only neighbours: one of each
-    x = np.unique(x, axis=0)
+    x = np.random.default_rng(2).permutation(np.unique(x, axis=0))
     k = NEIGHBOURS
+    kept, x = x[: len(x) // 10], x[len(x) // 10 :]
     if len(x) < 20 * parts or len(x) <= k + 1:
         return None
     graph = neighbour_graph(x, k)
@@ -145,18 +149,23 @@ def fit(spark: SparkSession, rows: DataFrame, n: int, *, sample: int = SAMPLE, p
     share = np.zeros((len(x), parts))
     np.add.at(share, (np.repeat(np.arange(len(x)), k), label[graph].ravel()), 1)
     share[np.arange(len(x)), label] += 2
-    return train_router(x, share / share.sum(1, keepdims=True))
+    router = train_router(x, share / share.sum(1, keepdims=True))
+    near = np.argpartition(squared(kept, x), k - 1, axis=1)[:, :k]
+    place = np.argsort(np.argsort(-router.scores(kept), axis=1), axis=1)
+    place = np.take_along_axis(place, router.scores(x).argmax(1)[near], 1)
+    router.probes = next(m for m in range(1, parts + 1) if (place < m).mean() >= recall)
+    return router
 
 
 def _matrix(column: pa.Array, n: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1)
 
 
-def nearest(spark: SparkSession, rows: DataFrame, queries: DataFrame, *, top: int = 10, probes: int = PROBES, router: Router | None | str = "fit", block_rows: int | None = None) -> DataFrame:
+def nearest(spark: SparkSession, rows: DataFrame, queries: DataFrame, *, top: int = 10, probes: int | None = None, router: Router | None | str = "fit", block_rows: int | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``top`` nearest found of each query, its own id left out.
 
     Ties go to the smaller vec_id; ``score`` is the Euclidean distance in double precision. A query
-    goes to more parts than ``probes`` if those hold too few rows, so each gets ``top`` where there
+    goes to more parts than ``probes`` (by default the router's) if those hold too few rows, so each gets ``top`` where there
     are as many. Repeated ids are separate candidates.
     """
     clean = written(spark, usable(rows), "vectors")
@@ -164,6 +173,7 @@ def nearest(spark: SparkSession, rows: DataFrame, queries: DataFrame, *, top: in
     router = fit(spark, clean, n) if router == "fit" else router
     shared = spark.sparkContext.broadcast(router)
     parts = len(router.b2) if router else 1
+    probes = probes or (router.probes if router else 1)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         r = shared.value
