@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,29 +32,57 @@ _MARK = r"!-&(-/:-@\[-`{-~"  # ASCII punctuation but the apostrophe
 pieces = re.compile(f"[{_WS}]*[{_LETTER}]+(?=[{_WS}{_MARK}]|\\Z)|[{_MARK}]+(?=[{_WS}]|\\Z)|[{_WS}]*[^{_WS}]+|[{_WS}]+").findall
 
 
-class Encoder:
-    """Ids of whole texts by the tokenizers library, each distinct piece encoded once a worker.
+_word = re.compile(f" ?[{_LETTER}]+").fullmatch
 
-    ``limit`` bounds the pieces kept; beyond it the memory starts anew and results do not change.
+
+def _byte_letters() -> dict[int, int]:
+    """The byte-level alphabet: a printable byte stands for itself, the others for 256 and up in turn."""
+    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: b for b in plain} | {b: 256 + i for i, b in enumerate(rest)}
+
+
+class Encoder(dict):
+    """Ids of whole texts by the tokenizers library; a piece is encoded when it is first met.
+
+    Two generations of pieces are kept, ``limit`` each: when the new one is full it becomes the old
+    one, and pieces met again move to the new. So memory is bounded, and what is frequent stays.
+    A word alone is one pre-token of a byte-level tokenizer, so the library's model takes it directly
+    (if the tokenizer answers the same for some words, which is tried first).
     """
 
-    def __init__(self, path: str, limit: int = 400_000) -> None:
+    def __init__(self, path: str, limit: int = 300_000) -> None:
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.limit = Tokenizer.from_file(path), limit
+        super().__init__()
+        self.tokenizer, self.limit, self.old = Tokenizer.from_file(path), limit, {}
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.known: dict[str, bytes] = {}
+        self.code, self.letters = "H" if self.dtype.itemsize == 2 else "I", _byte_letters()
+        tried = [" the", "The", " éçü", "x", " Aßy", "internationalisation"]
+        self.direct = all(self._direct(w) == self._whole(w) for w in tried)
+
+    def _direct(self, word: str) -> list[int]:
+        return [t.id for t in self.tokenizer.model.tokenize(word.encode().decode("latin-1").translate(self.letters))]
+
+    def _whole(self, text: str) -> list[int]:
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.old.get(piece)
+        if ids is None:
+            ids = array(self.code, self._direct(piece) if self.direct and _word(piece) else self._whole(piece)).tobytes()
+        self[piece] = ids
+        return ids
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian ids of each text, in ``dtype``."""
-        if len(self.known) > self.limit:
-            self.known = {}
-        cut = [pieces(t) if t else [] for t in texts]
-        fresh = list({p for c in cut for p in c if p not in self.known})
-        for p, e in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
-            self.known[p] = np.array(e.ids, self.dtype).tobytes()
-        get = self.known.__getitem__
-        return [b"".join(map(get, c)) for c in cut]
+        get, out = self.__getitem__, []
+        for text in texts:
+            out.append(b"".join(map(get, pieces(text))) if text else b"")
+            if len(self) > self.limit:
+                self.old = dict(self)
+                self.clear()
+        return out
 
 
 def tokenized(docs: DataFrame, vocabulary: str, *, end: int = END) -> DataFrame:
