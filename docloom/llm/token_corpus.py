@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,7 +24,7 @@ from . import rans
 from .common import drop_table, slices, table_path
 
 END = 2
-BLOCK_IDS = 1 << 17
+BLOCK_IDS = 1 << 18
 _WS = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
 _MARK = r"!-&(-/:-@\[-`{-~"  # ASCII punctuation but the apostrophe
@@ -107,8 +108,9 @@ def _ids(cell: bytes, width: int) -> np.ndarray:
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(0, np.int64)
     for b in batches:
-        for cell, width in zip(b.column(0), b.column(1).to_pylist(), strict=True):
-            c = np.bincount(_ids(cell.as_buffer(), width))
+        for width in set(b.column(1).to_pylist()):  # one width but for mixed tables
+            own = b.filter(pc.equal(b.column(1), width)).column(0)
+            c = np.bincount(_ids(b"".join(x.as_buffer() for x in own), width))
             if len(c) > len(total):
                 total = np.concatenate([total, np.zeros(len(c) - len(total), np.int64)])
             total[: len(c)] += c
