@@ -135,6 +135,8 @@ class Block:
             offset += len(short)
             x[: len(y)] = y
             out.append(s)
+        if last == self.rows and ((x != _LOW).any() or offset != len(self.words)):
+            raise ValueError("the block's states do not come back to where coding began")
         return np.concatenate(out) if out else np.zeros(0, np.uint32)
 
     def decode(self, table: Table) -> np.ndarray:
