@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .outline import DOC
+from .outline import doc
 
 
 def with_chrome_key(lines: DataFrame) -> DataFrame:
@@ -40,7 +40,7 @@ def without_repeated(lines: DataFrame, least: int = 10) -> DataFrame:
 
 def page_chrome(lines: DataFrame) -> DataFrame:
     """(doc_id, key, pages): keys of 4 to 60 characters on a third of a document's pages, three at least."""
-    paged = lines.select("doc_id", "line_no", F.last(T.page_comment(F.col("text")), ignorenulls=True).over(DOC.rowsBetween(W.unboundedPreceding, 0)).alias("page"), T.trim(F.col("text")).alias("t")).where("page is not null")
+    paged = lines.select("doc_id", "line_no", F.last(T.page_comment(F.col("text")), ignorenulls=True).over(doc().rowsBetween(W.unboundedPreceding, 0)).alias("page"), T.trim(F.col("text")).alias("t")).where("page is not null")
     n = paged.groupBy("doc_id").agg(F.count_distinct("page").alias("n"))
     body = paged.where(F.col("t") != "").where(T.page_comment(F.col("t")).isNull() & (T.numbered_heading(F.col("t")) == F.col("t")) & T.numbered_callout(F.col("t")).isNull())
     keyed = body.select("doc_id", "page", T.fold_line(F.col("t")).alias("key")).where(F.length("key").between(4, 60))
@@ -57,10 +57,10 @@ def hidden_page_numbers(lines: DataFrame) -> DataFrame:
 
 def line_map(lines: DataFrame, kept: DataFrame) -> DataFrame:
     """(doc_id, old_line, new_line): a dropped line goes forward to the next kept, those at the end to the last."""
-    new = F.row_number().over(DOC) - 1
+    new = F.row_number().over(doc()) - 1
     kept = kept.select("doc_id", "line_no", new.alias("at"))
     both = lines.select("doc_id", "line_no").join(kept, ["doc_id", "line_no"], "left")
-    ahead = F.first("at", ignorenulls=True).over(DOC.rowsBetween(0, W.unboundedFollowing))
+    ahead = F.first("at", ignorenulls=True).over(doc().rowsBetween(0, W.unboundedFollowing))
     last = F.max("at").over(W.partitionBy("doc_id"))
     return both.select("doc_id", F.col("line_no").alias("old_line"), F.coalesce(ahead, last, F.lit(0)).cast("int").alias("new_line"))
 
@@ -74,10 +74,10 @@ def composed(first: DataFrame, second: DataFrame) -> DataFrame:
 def drop_caps(lines: DataFrame) -> DataFrame:
     """A lone capital joined with the next line, if that begins in lower case."""
     cap = T.trim(F.col("text")).rlike(r"^[“\"‘'(]?\p{Lu}$")
-    nxt = F.lead("text").over(DOC)
+    nxt = F.lead("text").over(doc())
     joins = F.coalesce(cap & nxt.rlike(r"^\p{Ll}"), F.lit(False))
     told = lines.withColumns({"joins": joins, "nxt": nxt})
-    told = told.withColumn("eaten", F.coalesce(F.lag("joins").over(DOC), F.lit(False)))
+    told = told.withColumn("eaten", F.coalesce(F.lag("joins").over(doc()), F.lit(False)))
     return told.where("not eaten").select("doc_id", "line_no", F.when(F.col("joins"), F.concat(T.trim(F.col("text")), F.col("nxt"))).otherwise(F.col("text")).alias("text"))
 
 
@@ -98,5 +98,5 @@ def mashed(lines: DataFrame) -> DataFrame:
 def blank_runs(lines: DataFrame) -> DataFrame:
     """Lines with one blank line for each run of them."""
     blank = T.trim(F.col("text")) == ""
-    before = F.lag(blank, 1, False).over(DOC)
+    before = F.lag(blank, 1, False).over(doc())
     return lines.withColumn("gone", blank & before).where("not gone").select("doc_id", "line_no", "text")

@@ -4,19 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
+from pyspark.sql import WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 
-DOC = W.partitionBy("doc_id").orderBy("line_no")
-UPTO = DOC.rowsBetween(W.unboundedPreceding, 0)
+
+def doc() -> WindowSpec:
+    """The lines of a document in order."""
+    return W.partitionBy("doc_id").orderBy("line_no")
 
 
 def headings(lines: DataFrame, cap: int = 180) -> DataFrame:
     """(doc_id, ord, line_no, level, title): levels 1 to 3, page-like titles left out."""
     h = lines.select("doc_id", "line_no", T.heading_text(F.col("text")).alias("title"), F.least(T.heading_marks(F.col("text")), F.lit(3)).alias("level"))
     h = h.where(F.col("title").isNotNull() & ~T.page_like(F.col("title")) & (F.col("title") != "Outline"))
-    return h.withColumn("ord", F.row_number().over(DOC)).where(F.col("ord") <= cap).select("doc_id", "ord", "line_no", "level", "title")
+    return h.withColumn("ord", F.row_number().over(doc())).where(F.col("ord") <= cap).select("doc_id", "ord", "line_no", "level", "title")
 
 
 def sections(lines: DataFrame, *, any_level: bool = False) -> DataFrame:
@@ -27,10 +30,10 @@ def sections(lines: DataFrame, *, any_level: bool = False) -> DataFrame:
     h = headings(lines)
     n = lines.groupBy("doc_id").agg(F.max("line_no").alias("end"))
     if any_level:
-        nxt = F.lead("line_no").over(DOC)
+        nxt = F.lead("line_no").over(doc())
         cut = h.withColumn("nxt", nxt)
     else:  # the headings of a document are few: those after it, in order, until one that is no deeper
-        later = F.collect_list(F.struct("line_no", "level")).over(DOC.rowsBetween(1, W.unboundedFollowing))
+        later = F.collect_list(F.struct("line_no", "level")).over(doc().rowsBetween(1, W.unboundedFollowing))
         cut = h.withColumn("later", later).withColumn("nxt", F.get(F.filter("later", lambda x: x.level <= F.col("level")), F.lit(0))["line_no"])
     return cut.join(n, "doc_id").select("doc_id", "ord", "title", "level", F.col("line_no").alias("first"), F.coalesce(F.col("nxt") - 1, "end").cast("int").alias("last"))
 
@@ -38,8 +41,8 @@ def sections(lines: DataFrame, *, any_level: bool = False) -> DataFrame:
 def section_at(lines: DataFrame) -> DataFrame:
     """As-of: the title that each line stands under, and that of the page at or above it."""
     h = T.heading_text(F.col("text"))
-    title = F.last(F.when(h.isNotNull() & ~T.page_like(h), h), ignorenulls=True).over(UPTO)
-    page = F.last(T.page_comment(F.col("text")), ignorenulls=True).over(UPTO)
+    title = F.last(F.when(h.isNotNull() & ~T.page_like(h), h), ignorenulls=True).over(doc().rowsBetween(W.unboundedPreceding, 0))
+    page = F.last(T.page_comment(F.col("text")), ignorenulls=True).over(doc().rowsBetween(W.unboundedPreceding, 0))
     return lines.select("doc_id", "line_no", title.alias("section"), page.alias("page"))
 
 
@@ -55,7 +58,7 @@ def page_starts(lines: DataFrame) -> DataFrame:
 def tree(lines: DataFrame) -> DataFrame:
     """(doc_id, ord, title, parent): the parent is the nearest earlier heading of a lower level."""
     h = headings(lines)
-    earlier = F.collect_list(F.struct("ord", "level")).over(DOC.rowsBetween(W.unboundedPreceding, -1))
+    earlier = F.collect_list(F.struct("ord", "level")).over(doc().rowsBetween(W.unboundedPreceding, -1))
     up = F.filter(earlier, lambda x: x.level < F.col("level"))
     return h.withColumn("up", up).select("doc_id", "ord", "title", F.when(F.size("up") > 0, F.element_at("up", -1)["ord"]).alias("parent"))
 

@@ -78,10 +78,13 @@ for _name, _rule_of, _sql_of in (
     _rule(_name, _rule_of, _sql_of)
 
 # Sources.
-_kind = F.element_at(F.array(*map(F.lit, [*R.EXTENSIONS, "exe", "PDF"])), (F.col("doc_id") % 26 + 1).cast("int"))
+def _kind() -> Column:
+    return F.element_at(F.array(*map(F.lit, [*R.EXTENSIONS, "exe", "PDF"])), (F.col("doc_id") % 26 + 1).cast("int")).alias("kind")
+
+
 _kinds = "[" + ", ".join(O.q(x) for x in [*R.EXTENSIONS, "exe", "PDF"]) + "]"
-_add("a01_accepted_files", lambda s, d: _docs(s, d).select("doc_id", _kind.alias("kind")).where(F.lower("kind").isin(R.EXTENSIONS)), f"SELECT * FROM (SELECT doc_id, {_kinds}[doc_id % 26 + 1] AS kind FROM documents) WHERE lower(kind) IN ({', '.join(map(O.q, R.EXTENSIONS))})")
-_add("a02_ready_markdown", lambda s, d: _docs(s, d).select("doc_id", _kind.alias("kind")).where(F.lower("kind").isin(R.READY)), f"SELECT * FROM (SELECT doc_id, {_kinds}[doc_id % 26 + 1] AS kind FROM documents) WHERE lower(kind) IN ('md', 'markdown')")
+_add("a01_accepted_files", lambda s, d: _docs(s, d).select("doc_id", _kind()).where(F.lower("kind").isin(R.EXTENSIONS)), f"SELECT * FROM (SELECT doc_id, {_kinds}[doc_id % 26 + 1] AS kind FROM documents) WHERE lower(kind) IN ({', '.join(map(O.q, R.EXTENSIONS))})")
+_add("a02_ready_markdown", lambda s, d: _docs(s, d).select("doc_id", _kind()).where(F.lower("kind").isin(R.READY)), f"SELECT * FROM (SELECT doc_id, {_kinds}[doc_id % 26 + 1] AS kind FROM documents) WHERE lower(kind) IN ('md', 'markdown')")
 _add("a03_url_source", lambda s, d: _docs(s, d).select("doc_id", F.concat(F.lit("app://open?file=/in/"), "source", F.lit(".md&n="), F.col("doc_id").cast("string")).alias("u")).select("doc_id", F.parse_url("u", F.lit("QUERY"), F.lit("file")).alias("path")), "SELECT doc_id, '/in/' || source || '.md' AS path FROM documents")
 _add(
     "a04_bounded_read",
@@ -109,10 +112,13 @@ _add(
 _add("a25_empty_output", lambda s, d: _docs(s, d).select("doc_id", (F.length(F.regexp_replace("text", r"[#>*_|\s-]", "")) < 80).alias("blank")), r"SELECT doc_id, length(regexp_replace(text, '[#>*_|\s-]', '', 'g')) < 80 AS blank FROM documents")
 
 # Sinks.
-_base = library.pairing_stem(F.col("markdown_path"))
+def _base() -> Column:
+    return library.pairing_stem(F.col("markdown_path"))
+
+
 _base_sql = r"regexp_replace(regexp_replace(regexp_extract(markdown_path, '([^/]*)$', 1), '\.[^.]*$', ''), '(?i)\.(" + "|".join(library.CODES) + r")(-[0-9]+)?$', '')"
-_add("b01_output_path", lambda s, d: _cards(s, d).select("id", F.concat_ws("/", library.folder(F.col("markdown_path")), _base, F.concat(_base, F.lit(".md"))).alias("path")), f"WITH {O.CARDS} SELECT id, regexp_replace(markdown_path, '/[^/]*$', '') || '/' || {_base_sql} || '/' || {_base_sql} || '.md' AS path FROM cards")
-_add("b02_unique_names", lambda s, d: library.unique_names(_cards(s, d), _base), f"WITH {O.CARDS}, k AS (SELECT id, {_base_sql} AS stem FROM cards), n AS (SELECT id, stem, row_number() OVER (PARTITION BY stem ORDER BY id) AS r FROM k) SELECT id, CASE WHEN r = 1 THEN stem ELSE stem || '-' || r END AS name FROM n")
+_add("b01_output_path", lambda s, d: _cards(s, d).select("id", F.concat_ws("/", library.folder(F.col("markdown_path")), _base(), F.concat(_base(), F.lit(".md"))).alias("path")), f"WITH {O.CARDS} SELECT id, regexp_replace(markdown_path, '/[^/]*$', '') || '/' || {_base_sql} || '/' || {_base_sql} || '.md' AS path FROM cards")
+_add("b02_unique_names", lambda s, d: library.unique_names(_cards(s, d), _base()), f"WITH {O.CARDS}, k AS (SELECT id, {_base_sql} AS stem FROM cards), n AS (SELECT id, stem, row_number() OVER (PARTITION BY stem ORDER BY id) AS r FROM k) SELECT id, CASE WHEN r = 1 THEN stem ELSE stem || '-' || r END AS name FROM n")
 
 # Lines, pages, paragraphs.
 _add("c01_reader_lines", lambda s, d: _lines(s, d).where("line_no < 40000").select("doc_id", "line_no", F.when(F.length("text") > 180, F.concat(F.substring("text", 1, 180), F.lit("…"))).otherwise(F.col("text")).alias("text")), f"WITH {O.LINES} SELECT doc_id, line_no, CASE WHEN length(text) > 180 THEN substr(text, 1, 180) || '…' ELSE text END AS text FROM lines WHERE line_no < 40000")
@@ -206,7 +212,7 @@ _add("l03_difference", lambda s, d: _docs(s, d).select("doc_id").subtract(R.tabl
 _add("l05_renamed_tag", lambda s, d: library.renamed_tag(_cards(s, d), "src1", "fr").select("id", F.array_join("tags", ",").alias("tags")), "SELECT doc_id AS id, CASE WHEN source = 'src1' AND lang = 'fr' THEN 'fr' WHEN source = 'src1' THEN lang || ',fr' ELSE lang || ',' || source END AS tags FROM documents")
 _add("l06_toggled_tag", lambda s, d: library.toggled_tag(_cards(s, d), "src2").select("id", F.array_join("tags", ",").alias("tags")), "SELECT doc_id AS id, CASE WHEN source = 'src2' THEN lang ELSE lang || ',' || source || ',src2' END AS tags FROM documents")
 _add("l07_without_tag", lambda s, d: library.without_tag(_cards(s, d), "en").select("id", F.array_join("tags", ",").alias("tags")), "SELECT doc_id AS id, CASE WHEN lang = 'en' THEN source ELSE lang || ',' || source END AS tags FROM documents")
-_add("m14_pairing_stem", lambda s, d: _cards(s, d).select("id", _base.alias("stem")), f"WITH {O.CARDS} SELECT id, {_base_sql} AS stem FROM cards")
+_add("m14_pairing_stem", lambda s, d: _cards(s, d).select("id", _base().alias("stem")), f"WITH {O.CARDS} SELECT id, {_base_sql} AS stem FROM cards")
 _add("m15_origin_key", lambda s, d: _cards(s, d).select("id", library.origin_key().alias("origin")), f"WITH {O.CARDS} SELECT id, {_origin} AS origin FROM cards")
 
 # Streams, in their batch form.
