@@ -27,7 +27,7 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, *, max_docs: in
     # at most about max_docs rows of two numbers, by the sampling above
     got = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(some), "doc_id").collect()
     got.sort(key=lambda r: (r.doc_id, r.text))
-    return subword.train([r.text for r in got], [r["__toxic"] for r in got], buckets=buckets, grams=(4, 5, 6), dim=4, epochs=10, rate=3.0)
+    return subword.train([r.text for r in got], [r["__toxic"] for r in got], buckets=buckets, grams=(3, 4, 5, 6), dim=4, epochs=6, rate=10.0)
 
 
 def scored(spark: SparkSession, docs: DataFrame, model: subword.Model, *, keep: list[str]) -> DataFrame:
