@@ -6,8 +6,9 @@ import os
 import duckdb
 import pytest
 
-from docloom.queries import ORACLE_SQL, QUERIES
+from docloom import queries, queries_records
 
+QUERIES, ORACLE_SQL = queries.QUERIES | queries_records.QUERIES, queries.ORACLE_SQL | queries_records.ORACLE_SQL
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
