@@ -6,9 +6,9 @@ import os
 import duckdb
 import pytest
 
-from docloom import queries, queries_records
+from docloom import queries, queries_reading, queries_records
 
-QUERIES, ORACLE_SQL = queries.QUERIES | queries_records.QUERIES, queries.ORACLE_SQL | queries_records.ORACLE_SQL
+QUERIES, ORACLE_SQL = queries.QUERIES | queries_records.QUERIES | queries_reading.QUERIES, queries.ORACLE_SQL | queries_records.ORACLE_SQL | queries_reading.ORACLE_SQL
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
