@@ -117,9 +117,8 @@ def mixed(spark: SparkSession, docs: DataFrame, *, weight: Callable[[int], float
     cols = docs.columns
     sk = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))
     h = F.xxhash64(F.lit(seed), *cols).bitwiseAND(F.lit((1 << 63) - 1))
-    keyed = docs.withColumns({"sk": sk, "size": n_words(), "h": h}) if not {"sk", "size", "h"} & set(cols) else None
-    if keyed is None:
-        raise ValueError("columns sk, size and h are used here; rename those of the input")
+    # the row as one value, so that no column of the input can clash with those used here
+    keyed = docs.select(F.struct(*cols).alias("doc"), sk.alias("sk"), n_words().alias("size"), h.alias("h"))
     rows = written(spark, keyed.select("sk", "size", "h"), "sizes")
     hist = written(spark, rows.groupBy("sk", "size").agg(F.count("*").alias("c")), "lengths")
     found = hist.groupBy("sk").agg(F.sum(F.col("c") * F.col("size")).alias("s")).limit(max_sources + 1).collect()
@@ -151,12 +150,12 @@ def mixed(spark: SparkSession, docs: DataFrame, *, weight: Callable[[int], float
     extra = [F.col("size").alias("__size"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target")]
     split = "ifnull(h = cut and tie_take < ties, false)"
     chosen = F.coalesce(F.col("h") <= F.col("cut"), F.lit(False)).cast("int")
-    out = told.where(f"not {split}").select(*cols, *extra, (F.col("whole") + chosen).alias("__copies"))
+    out = told.where(f"not {split}").select("doc.*", *extra, (F.col("whole") + chosen).alias("__copies"))
     if not cut.where("tie_take < ties").isEmpty():  # of equal rows some are taken once more, some not
-        first = [F.first(c).alias(c) for c in cols] + [F.first(c).alias(c) for c in ("source_size", "target", "whole", "tie_take", "ties")]
+        first = [F.first(c).alias(c) for c in ("doc", "source_size", "target", "whole", "tie_take", "ties")]
         equal = told.where(split).groupBy("sk", "size", "h").agg(*first)
         equal = equal.withColumn("__i", F.explode(F.sequence(F.lit(1).cast("long"), "ties")))
-        out = out.unionByName(equal.select(*cols, *extra, (F.col("whole") + (F.col("__i") <= F.col("tie_take")).cast("int")).alias("__copies")))
+        out = out.unionByName(equal.select("doc.*", *extra, (F.col("whole") + (F.col("__i") <= F.col("tie_take")).cast("int")).alias("__copies")))
     return out
 
 

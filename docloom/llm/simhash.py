@@ -318,8 +318,8 @@ def deduplicated(spark: SparkSession, docs: DataFrame, *, differ: float = DIFFER
     told = told.groupBy("h1", "h2").agg(F.max("best").alias("best"), F.count("*").alias("n"))
     told = written(spark, told.where("not best or n > 1"), "dropped")
     few = (lambda df: F.broadcast(df)) if told.count() <= 500_000 else (lambda df: df)
-    keyed = docs.withColumns({"__h1": one, "__h2": two})
-    on = (F.col("__h1") == F.col("h1")) & (F.col("__h2") == F.col("h2"))
-    lone = keyed.join(few(told), on, "left_anti").select(*cols)
-    repeated = keyed.join(few(told.where("best")), on, "left_semi").dropDuplicates(["__h1", "__h2"]).select(*cols)
+    # the row as one value, so that no column of the input can clash with those used here
+    keyed = docs.select(F.struct(*cols).alias("doc"), one.alias("h1"), two.alias("h2"))
+    lone = keyed.join(few(told), ["h1", "h2"], "left_anti").select("doc.*")
+    repeated = keyed.join(few(told.where("best")), ["h1", "h2"], "left_semi").dropDuplicates(["h1", "h2"]).select("doc.*")
     return lone.unionByName(repeated)
