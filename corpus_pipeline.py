@@ -8,24 +8,27 @@ the shared folder and read again, so a lost executor repeats one stage at most.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from docloom.llm import language, mixing, packing, simhash, toxicity
 from docloom.llm.common import written
 
 
+def _whole(docs: DataFrame) -> DataFrame:
+    """The row as one value beside its text, so that no column can clash with an operator's own."""
+    return docs.select(F.struct(*docs.columns).alias("doc"), "text")
+
+
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the model knows; it learns from all folds of the stage's input."""
-    cols = docs.columns
     model = language.fit(spark, docs, held=-1)
-    told = language.label(spark, docs, model, keep=[*cols])
-    return told.where(~language.rejects()).select(*cols)
+    return language.label(spark, _whole(docs), model, keep=["doc"]).where(~language.rejects()).select("doc.*")
 
 
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the model does not call toxic; it learns from all labelled rows of the input."""
-    cols = docs.columns
     model = toxicity.fit(spark, docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), held=-1)
-    return toxicity.scored(spark, docs, model, keep=[*cols]).where("predicted = 0").select(*cols)
+    return toxicity.scored(spark, _whole(docs), model, keep=["doc"]).where("predicted = 0").select("doc.*")
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
