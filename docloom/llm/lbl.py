@@ -174,7 +174,16 @@ def fit(spark: SparkSession, docs: DataFrame, *, shortlist: int = SHORTLIST, hea
     train = docs.where(fold("doc_id", FOLDS) != HELD).select("text")
     counts = word_counts(spark, train)
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    top = counts.orderBy(F.desc("n"), "key").limit(head).select("key", "tail", "n").collect()
+    # the most frequent words by a histogram of their counts, 64 bins to a doubling, so that no task
+    # sends more than it has of them and their number is known before they are fetched
+    binned = counts.withColumn("bin", F.floor(F.log2(F.col("n").cast("double")) * 64).cast("int"))
+    left, least = head, None
+    for r in sorted(binned.groupBy("bin").agg(F.count("*").alias("v")).collect(), reverse=True):
+        left -= r.v
+        if left < 0:
+            break
+        least = r.bin
+    top = binned.where((F.col("key") == END_KEY) | (F.col("bin") >= (2**31 - 1 if least is None else least))).select("key", "tail", "n").collect()
     top.sort(key=lambda r: (-r.n, r.key))
     chosen = [r for r in top if r.key != END_KEY][:shortlist]
     short = {r.key: i for i, r in enumerate(chosen)}
@@ -267,7 +276,7 @@ def scored(spark: SparkSession, docs: DataFrame, model: Model, counts: DataFrame
     first = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").mapInArrow(run, schema)
     first = written(spark, first, "scores")
     far = first.where(F.size("keys") > 0).select("row", F.explode(F.arrays_zip("keys", "times")).alias("x")).select("row", F.col("x.keys").alias("key"), F.col("x.times").alias("times"))
-    least = min(model.head.values(), default=0)
+    least = min((n for k, n in model.head.items() if k != END_KEY), default=2**62)
     rare = counts.where(F.col("n") <= least).select("key", "n")  # a word beyond the head is no more frequent
     gained = far.join(rare, "key").groupBy("row").agg(F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("more"), F.sum("times").alias("known"))
     out = first.drop("keys", "times").join(gained, "row", "left")
