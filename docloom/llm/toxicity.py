@@ -15,7 +15,7 @@ from .common import fold, sampled, slices
 FOLDS, HELD = 5, 0
 
 
-def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, *, max_docs: int = 8_000, buckets: int = 2**18, held: int = HELD) -> subword.Model:
+def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, *, max_docs: int = 5_000, buckets: int = 2**18, held: int = HELD) -> subword.Model:
     """Learn ``labels.toxic`` from the texts of labelled rows outside the held-out fold.
 
     ``max_docs`` bounds the training rows (a hash sample of whole texts, the same in each run). A
@@ -27,7 +27,9 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, *, max_docs: in
     # at most about max_docs rows of two numbers, by the sampling above
     got = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(some), "doc_id").collect()
     got.sort(key=lambda r: (r.doc_id, r.text))
-    return subword.train([r.text for r in got], [r["__toxic"] for r in got], buckets=buckets, grams=(3, 4, 5, 6), dim=4, epochs=6, rate=10.0)
+    texts, marks = [r.text for r in got], [r["__toxic"] for r in got]
+    del got  # the driver need not hold the texts twice
+    return subword.train(texts, marks, buckets=buckets, grams=(3, 4, 5, 6), dim=4, epochs=6, rate=10.0)
 
 
 def scored(spark: SparkSession, docs: DataFrame, model: subword.Model, *, keep: list[str]) -> DataFrame:
