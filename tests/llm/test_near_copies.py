@@ -50,3 +50,27 @@ def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.deduplicated(spark, docs).count() == 0
     assert simhash.deduplicated(spark, spark.createDataFrame([(1, "a"), (1, "a")], "doc_id long, text string").where(F.lit(True))).count() == 1
+
+
+def _edits(rng, word):
+    """Texts and copies with one run replaced, appended or cut, on both sides of 0.8."""
+    pairs = []
+    for n in (200, 500):
+        for share in (0.02, 0.06, 0.09, 0.1, 0.105, 0.15, 0.19, 0.24, 0.3):
+            k = int(share * n)
+            for edit in (lambda w, run: w[:50] + run + w[50 + len(run) :], lambda w, run: w + run, lambda w, run: w[: -len(run)], lambda w, run: w[:30] + w[30 + len(run) :]):
+                w = [word() for _ in range(n)]
+                pairs.append((w, edit(w, [word() for _ in range(k)])))
+    return [(" ".join(a), " ".join(b)) for a, b in pairs]
+
+
+def test_runs_replaced_appended_or_cut(spark):
+    rng = np.random.default_rng(7)
+    word = lambda: "".join(chr(97 + x) for x in rng.integers(0, 26, 6))
+    pairs = _edits(rng, word)
+    docs = spark.createDataFrame([(2 * i + j, t) for i, p in enumerate(pairs) for j, t in enumerate(p)], "doc_id long, text string")
+    left = {r.doc_id for r in simhash.deduplicated(spark, docs).collect()}
+    like = [jaccard(*p) >= 0.8 for p in pairs]
+    assert 20 < sum(like) < len(like) - 10 and sum(0.8 <= jaccard(*p) < 0.83 for p in pairs) > 5
+    assert [2 * i + 1 in left for i in range(len(pairs))] == [not x for x in like]
+    assert left >= {2 * i for i in range(len(pairs))}
