@@ -74,3 +74,37 @@ def test_runs_replaced_appended_or_cut(spark):
     assert 20 < sum(like) < len(like) - 10 and sum(0.8 <= jaccard(*p) < 0.83 for p in pairs) > 5
     assert [2 * i + 1 in left for i in range(len(pairs))] == [not x for x in like]
     assert left >= {2 * i for i in range(len(pairs))}
+
+
+def test_a_repeated_line_does_not_make_copies(spark):
+    rng = np.random.default_rng(9)
+    word = lambda: "".join(chr(97 + x) for x in rng.integers(0, 26, 6))
+    line = " ".join(word() for _ in range(10))
+    texts = [" ".join([*(word() for _ in range(400)), *[line] * 40]) for _ in range(30)]
+    assert max(jaccard(texts[0], t) for t in texts[1:]) < 0.1
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert simhash.deduplicated(spark, docs).count() == 30
+
+
+@pytest.mark.parametrize("limit", [512, 20])
+def test_groups_are_those_of_all_true_pairs(spark, limit):
+    """A crowd around 0.8, where candidates fail and links are to be found past them."""
+    rng = np.random.default_rng(10)
+    word = lambda: "".join(chr(97 + x) for x in rng.integers(0, 26, 6))
+    base, texts = [[word() for _ in range(150)] for _ in range(3)], []
+    for k in range(150):
+        w = list(base[k % 3])
+        for at in rng.choice(150, int(rng.integers(0, 6)), replace=False):
+            w[at] = word()
+        texts.append(" ".join(w))
+    node, keys, sig = simhash.signatures_of(texts)
+    rows = {int(n): (int(n), k.tolist(), bytes(s), t) for n, k, s, t in zip(node, keys, sig, texts, strict=True)}
+    df = spark.createDataFrame(list(rows.values()), "node long, keys array<long>, signature binary, text string")
+    texts_of = lambda nodes: df.join(nodes, "node").select("node", "text")
+    got = dict(simhash.near_copies(spark, df.drop("text"), texts_of, limit=limit).collect())
+    ids = sorted(rows)
+    like = {i: [j for j in ids if jaccard(rows[i][3], rows[j][3]) >= 0.8] for i in ids}
+    label = {i: i for i in ids}
+    for _ in ids:
+        label = {i: min(label[j] for j in like[i]) for i in ids}
+    assert {i: got.get(i, i) for i in ids} == label and len(set(label.values())) > 3
