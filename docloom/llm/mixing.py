@@ -87,8 +87,8 @@ def _cuts(spark: SparkSession, rows: DataFrame, wanted: DataFrame, *, small: int
     """
     live, out, shift = wanted.withColumn("prefix", F.lit(0).cast("long")), None, 63
     while True:
-        shift -= 8 if shift > 7 else shift
-        inside = rows.join(live, ["sk", "size"]) if shift == 55 else rows.join(live, ["sk", "size"]).where(F.shiftright("h", shift + 8) == F.col("prefix"))
+        before, shift = shift, max(0, shift - 8)  # the last step has 7 bits
+        inside = rows.join(live, ["sk", "size"]).where(F.shiftright("h", before) == F.col("prefix"))
         hist = inside.groupBy("sk", "size", "n", F.shiftright("h", shift).alias("bucket")).agg(F.count("*").alias("c"))
         upto = F.sum("c").over(W.partitionBy("sk", "size").orderBy("bucket"))
         cut = hist.withColumn("upto", upto).where("upto >= n and upto - c < n")

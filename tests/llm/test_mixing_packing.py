@@ -52,6 +52,15 @@ def test_radix_selection_in_a_crowded_length(spark):
     assert all(0 <= r.g - r.t < 3 for r in got)
 
 
+def test_selection_among_equal_rows(spark):
+    docs = spark.range(5000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("three words here").alias("text"), F.lit("a").alias("source"))
+    docs = docs.unionByName(spark.range(2500).select(F.col("id").alias("doc_id"), F.lit("two words").alias("text"), F.lit("b").alias("source")))
+    got = mixing.mixed(spark, docs).groupBy("source").agg(F.count("*").alias("n"), F.sum(F.col("__size") * F.col("__copies")).alias("t"), F.first("__target").alias("g")).collect()
+    assert {r.source: r.n for r in got} == {"a": 5000, "b": 2500}
+    assert all(0 <= r.g - r.t < 3 and r.t for r in got)
+    assert any(r.source == "a" and r.g % 15000 for r in got)  # a part is taken
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_boundaries_have_the_least_padding(seed):
     rng = np.random.default_rng(seed)
