@@ -3,8 +3,9 @@
 A token is an element's path, told apart by its class and id words (digits count as one). Tokens with
 equal occurrence vectors over the pages of a host form an equivalence class; a vector is held as a
 count and an exclusive-or of page hashes, so vectors of any number of pages aggregate in one pass and
-no host meets in one task. The class of the tokens that stand exactly once on each page is the
-template's skeleton; other valid classes nest in its slots. The main slot is the skeleton element that
+no host meets in one task. Classes of tokens that stand exactly once on each of their pages, and are
+on half of the host's pages or more, make the template's skeleton; each nests in slots of the others.
+Pages without elements are in no vector. The main slot is the skeleton element that
 holds the varying text; from it each page gives its blocks, without the parts that the template or
 their own markup tell to be something else.
 """
@@ -223,7 +224,7 @@ def _observe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for host, page_id, source in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 page = parse(source)
                 sizes = np.concatenate([[0], np.cumsum([0 if h else len(t) - n for t, n, h in zip(page.blocks, page.linked, page.hidden, strict=True)])]).astype(int)
-                found: dict[str, list[Element]] = {"": []}
+                found: dict[str, list[Element]] = {"": []} if page.elements else {}
                 for e in page.elements:
                     found.setdefault(e.path, []).append(e)
                 for token, own in found.items():
@@ -246,20 +247,18 @@ def _observe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield close()
 
 
-def deduce(group: pd.DataFrame, pages: int) -> tuple[str, list[str]]:
+def deduce(group: pd.DataFrame, pages: int, support: float = 0.5) -> tuple[str, list[str]]:
     """(path of the main slot, paths of constant parts) from the tokens of one host.
 
-    The skeleton is the class whose vector is that of the pages themselves. Nothing in it with text:
-    no main slot, and pages are told by their own markup.
+    Slots are the tokens that stand exactly once on each of their pages, and whose ancestors do; a
+    class of equal vectors needs no more than ``support`` of the host's pages, so odd pages without
+    the article take nothing from the skeleton. No slot with text: pages are told by their own markup.
     """
-    classes = {key: part for key, part in group.groupby(["pages", "times", "vector"])}
-    root = group[group.token == ""]
-    if not len(root):
-        return "", []
-    skeleton = classes[tuple(root[["pages", "times", "vector"]].iloc[0])]
-    slots = skeleton[(skeleton.token != "") & (skeleton.chars > 0)]
-    constant = [] if pages < 3 else group[(group.token != "") & (group.low == group.high) & (group.pages == pages) & (group.chars > 0)].token.tolist()
-    slots = slots[~slots.token.isin(constant)]
+    group = group[(group.token != "") & (group.pages >= support * pages)]
+    once = set(group[group.times == group.pages].token)
+    nested = [t in once and (t[0] == "#" or all(t[:k] in once for k, c in enumerate(t) if c == "/")) for t in group.token]
+    constant = [] if pages < 3 else group[(group.low == group.high) & (group.pages >= 3) & (group.chars > 0)].token.tolist()
+    slots = group[np.array(nested, bool) & (group.chars > 0) & ~group.token.isin(constant)]
     if not len(slots):
         return "", constant
     named = slots[[t.rsplit("/", 1)[-1].split(".")[0] in MAIN for t in slots.token]]
@@ -287,7 +286,7 @@ def templates(spark: SparkSession, pages: DataFrame, *, support: float = 0.5) ->
     kept = tokens.join(sizes, "host").where(F.col("pages") >= support * F.col("n"))
 
     def of_host(group: pd.DataFrame) -> pd.DataFrame:
-        main, constant = deduce(group, int(group["n"].iloc[0]))
+        main, constant = deduce(group, int(group["n"].iloc[0]), support)
         return pd.DataFrame({"host": [group["host"].iloc[0]], "main": [main], "constant": [constant]})
 
     return written(spark, kept.groupBy("host").applyInPandas(of_host, "host string, main string, constant array<string>"), "templates")

@@ -33,6 +33,16 @@ def test_pages_of_a_host(spark, kind):
         assert r.text == expected and r.n_chars == len(expected)
 
 
+def test_odd_pages_do_not_switch_a_large_host_off(spark):
+    body = lambda i: f"<div class='zq'><p>Chrome of the site.</p></div><div class='story'><h1>Head {i}</h1><p>{f'Varying words {i}. ' * 9}</p></div>"
+    rows = [(i, f"https://big.example.org/{i}", f"<html><body>{body(i)}<div class='zx'>Made by us.</div></body></html>") for i in range(60)]
+    rows += [(100, "https://big.example.org/null", None), (101, "https://big.example.org/empty", ""), (102, "https://big.example.org/plain", "gone"), (103, "https://big.example.org/404", "<html><body><p>Not found</p></body></html>")]
+    got = {r.page_id: r.text for r in ht.extracted(spark, spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(60):
+        assert got[i].endswith((f"Varying words {i}. " * 9).strip()) and "Chrome" not in got[i] and "Made" not in got[i]
+    assert [got[i] for i in range(100, 104)] == ["", "", "gone", "Not found"]
+
+
 def test_single_pages_and_broken_markup():
     text = lambda s: ht.main_text(ht.parse(s), "", [])
     assert text(None) == text("") == text("<p></p>") == ""
