@@ -5,8 +5,8 @@ equal occurrence vectors over the pages of a host form an equivalence class; a v
 count and an exclusive-or of page hashes, so vectors of any number of pages aggregate in one pass and
 no host meets in one task. Classes of tokens that stand exactly once on each of their pages, and are
 on half of the host's pages or more, make the template's skeleton; each nests in slots of the others.
-Pages without elements are in no vector. The main slot is the skeleton element that
-holds the varying text; from it each page gives its blocks, without the parts that the template or
+Pages without elements are in no vector. The main slot is the article or main element,
+or else the least skeleton element that holds all of the varying text; from it each page gives its blocks, without the parts that the template or
 their own markup tell to be something else.
 """
 
@@ -46,6 +46,11 @@ OTHER = {
     "newsletter", "subscribe", "subscription", "signup", "login", "share", "sharing", "social", "related", "recommended", "trending", "comment", "comments", "disqus",
     "reply", "replies", "respond", "widget", "pagination", "pager", "search", "toolbar", "hidden", "complementary", "contentinfo", "alert", "disclaimer", "copyright",
 }
+#: Words that stand beside one of those in the name of such a part.
+PART = {
+    "box", "bar", "block", "section", "container", "wrapper", "wrap", "list", "links", "buttons", "button", "area", "panel", "inner", "form", "icons", "top", "bottom",
+    "left", "right", "primary", "secondary", "site", "page", "header", "slot", "unit", "item", "items", "posts", "text", "message", "main", "global", "row",
+}
 PAGE_HEADER = {"header", "site-header", "page-header"}
 MAIN = {"article", "main"}
 
@@ -57,13 +62,16 @@ _DIGITS = re.compile(r"\d+")
 
 @dataclass
 class Element:
-    """``first`` and ``last`` bound its blocks; ``other``: its own markup says it is not the article."""
+    """``first`` and ``last`` bound its blocks; ``other``: its own markup says it is not the article;
+    ``soft``: only a class or id word, or that it is a form, says so."""
 
     path: str
     tag: str
     other: bool
     first: int
     last: int = -1
+    soft: bool = False
+    above: int = -1
 
 
 @dataclass
@@ -74,22 +82,70 @@ class Page:
     elements: list[Element] = field(default_factory=list)
 
 
-def _marks(attrs: str) -> tuple[str, bool]:
-    """(class and id words for the path, whether they name something else)."""
+def _is_other(name: str) -> bool:
+    """Whether a class or id word is a marker as a whole: ``share-box``, but not ``has-sidebar``."""
+    for words in ({x for x in _SPLIT.split(name) if x}, set(_SPLIT.split(name.lower())) - {""}):
+        words = {w.lower() for w in words if not w.isdigit()}
+        if not OTHER.isdisjoint(words) and words <= OTHER | PART:
+            return True
+    return False
+
+
+def _marks(attrs: str) -> tuple[str, bool, bool]:
+    """(class and id words for the path, whether they name something else, whether it is hidden)."""
     if "=" not in attrs and "hidden" not in attrs.lower():
-        return "", False
-    words, other = [], False
+        return "", False, False
+    words, other, hidden = [], False, False
     for name, a, b, c in _ATTR.findall(attrs):
         name, value = name.lower(), a or b or c
         if name in ("class", "id", "role"):
             own = value.split()
             words += own
-            other |= any(not OTHER.isdisjoint(x for x in _SPLIT.split(w) if x) or not OTHER.isdisjoint(_SPLIT.split(w.lower())) for w in own)
+            other |= any(_is_other(w) for w in own)
         elif name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            other = True
+            hidden = True
         elif name == "style" and "display:none" in value.replace(" ", "").lower():
-            other = True
-    return _DIGITS.sub("0", ".".join(sorted(set(words)))), other
+            hidden = True
+    return _DIGITS.sub("0", ".".join(sorted(set(words)))), other, hidden
+
+
+def _lift(page: Page) -> None:
+    """Show what only a word or a form hides, where it holds the article.
+
+    A form with a heading of the page or an article is the whole page's form. If words or forms hide
+    every article and main element of a page, or all of its text, those do not count.
+    """
+
+    def up(k: int) -> Iterator[Element]:
+        while k >= 0:
+            yield page.elements[k]
+            k = page.elements[k].above
+
+    for k, e in enumerate(page.elements):
+        if e.tag == "h1" or e.tag in MAIN:
+            for over in up(e.above):
+                if over.tag == "form" and over.soft:
+                    over.other = over.soft = False
+    mains = [k for k, e in enumerate(page.elements) if e.tag in MAIN and e.last > e.first]
+    if mains and all(any(e.other for e in up(k)) for k in mains):
+        for k in mains:
+            if all(e.soft for e in up(k) if e.other):
+                for e in up(k):
+                    e.other = e.soft = False
+    dark = np.zeros(len(page.blocks) + 1, np.int64)
+    for hard in (False, True):
+        dark[:] = 0
+        for e in page.elements:
+            if e.other and not (hard and e.soft):
+                dark[e.first] += 1
+                dark[e.last] -= 1
+        page.hidden = (np.cumsum(dark)[:-1] > 0).tolist()
+        if not all(page.hidden):
+            break
+    if hard and any(e.soft for e in page.elements) and not all(page.hidden):
+        for e in page.elements:
+            if e.soft:
+                e.other = e.soft = False
 
 
 def parse(source: str | None) -> Page:
@@ -99,7 +155,8 @@ def parse(source: str | None) -> Page:
     stack: list[tuple[str, Element | None]] = []
     path: list[str] = []
     text: list[str] = []
-    links, in_link, dark = 0, 0, 0
+    open_: list[int] = []
+    links, in_link = 0, 0
 
     def flush() -> None:
         nonlocal links
@@ -108,20 +165,19 @@ def parse(source: str | None) -> Page:
             if words:
                 page.blocks.append(words)
                 page.linked.append(min(links, len(words)))
-                page.hidden.append(dark > 0)
             text.clear()
         links = 0
 
     def close(k: int) -> None:
-        nonlocal in_link, dark
+        nonlocal in_link
         while len(stack) > k:
             tag, element = stack.pop()
             in_link -= tag == "a"
             if element is not None:
                 flush()
                 element.last = len(page.blocks)
-                dark -= element.other
                 path.pop()
+                open_.pop()
 
     at, source = 0, source or ""
     for m in _TOKEN.finditer(source):
@@ -183,17 +239,20 @@ def parse(source: str | None) -> Page:
             stack.append((tag, None))
             continue
         flush()
-        words, other = _marks(m[3])
+        words, other, hidden = _marks(m[3])
         outer = tag == "header" and not any(t in MAIN for t, _ in stack)
         path.append(f"{tag}.{words}" if words else tag)
-        element = Element("/".join(path) if len(path) <= 40 else f"#{len(path)}/" + "/".join(path[-8:]), tag, tag not in ("html", "body") and (other or tag in NEVER or outer), len(page.blocks))
-        dark += element.other
+        hard = hidden or tag in NEVER and tag != "form" or outer
+        element = Element("/".join(path) if len(path) <= 40 else f"#{len(path)}/" + "/".join(path[-8:]), tag, tag not in ("html", "body") and (hard or other or tag == "form"), len(page.blocks))
+        element.soft, element.above = element.other and not hard, open_[-1] if open_ else -1
+        open_.append(len(page.elements))
         page.elements.append(element)
         stack.append((tag, element))
     if at < len(source):
         text.append(source[at:])
     close(0)
     flush()
+    _lift(page)
     return page
 
 
@@ -264,11 +323,25 @@ def deduce(group: pd.DataFrame, pages: int, support: float = 0.5) -> tuple[str,
     named = slots[[t.rsplit("/", 1)[-1].split(".")[0] in MAIN for t in slots.token]]
     if len(named):
         best = named.sort_values(["chars", "token"], ascending=[False, True]).iloc[0].token
-    else:  # the deepest nested element that still holds most of the varying text
-        depth = slots.token.str.count("/")
-        most = slots.chars.max()
-        near = slots[slots.chars >= 0.75 * most]
-        best = near.loc[depth[near.index].sort_values(ascending=False, kind="stable").index[0]].token
+    else:  # from the outermost slot down, as long as one slot within has all of its varying text
+        by_token = slots.set_index("token")
+        varying = group[(group.chars > 0) & ~group.token.isin(constant)].token.tolist()
+        fixed = {t: c for t, c in zip(group.token, group.chars, strict=True) if t in set(constant)}
+        fixed = {t: c for t, c in fixed.items() if not any(t[:k] in fixed for k, x in enumerate(t) if x == "/")}
+        best = by_token.sort_values(["chars"], ascending=False, kind="stable").index[0]
+        best = min((t for t in by_token.index if by_token.chars[t] == by_token.chars[best]), key=lambda t: (t.count("/"), t))
+        while True:
+            own = by_token.loc[best]
+            inside = sorted((t for t in by_token.index if t.startswith(f"{best}/")), key=lambda t: (t.count("/"), -by_token.chars[t], t))
+            for t in inside:
+                chrome = sum(c for f, c in fixed.items() if f.startswith(f"{best}/") and not f.startswith(f"{t}/"))
+                left = own.chars - chrome - by_token.chars[t]
+                beside = any(v.startswith(f"{best}/") and v != t and not v.startswith(f"{t}/") and not t.startswith(f"{v}/") for v in varying)
+                if not beside and left <= (1 - by_token.pages[t] / own.pages) * own.chars:
+                    best = t
+                    break
+            else:
+                break
     return best, [c for c in constant if c.startswith(f"{best}/")]
 
 

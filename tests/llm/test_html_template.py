@@ -43,6 +43,26 @@ def test_odd_pages_do_not_switch_a_large_host_off(spark):
     assert [got[i] for i in range(100, 104)] == ["", "", "gone", "Not found"]
 
 
+def test_title_and_lead_stay_with_the_body(spark):
+    body = lambda i: f"<div class='zq'><p>Chrome of the site.</p></div><div class='story'><h1>Head {i}</h1><div class='lead'>Lead {i}.</div><div class='body'><p>{f'Varying words {i}. ' * 9}</p></div></div>"
+    rows = [(i, f"https://big.example.org/{i}", f"<html><body>{body(i)}<div class='zx'>Made by us.</div></body></html>") for i in range(20)]
+    rows += [(103, "https://big.example.org/404", "<html><body><p>Not found</p></body></html>")]
+    got = {r.page_id: r.text for r in ht.extracted(spark, spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(20):
+        assert got[i] == f"Head {i}\n\nLead {i}.\n\n" + (f"Varying words {i}. " * 9).strip()
+
+
+def test_words_and_forms_do_not_hide_the_article():
+    text = lambda s: ht.main_text(ht.parse(s), "", [])
+    assert text("<article class='post category-social'><p>a</p></article>") == "a"
+    assert text("<div class='content has-sidebar'><article>a</article></div><div class='sidebar'>no</div>") == "a"
+    assert text("<main class='layout no-sidebar comments-open'>a<div class='share-box'>no</div></main>") == "a"
+    assert text("<form><nav>no</nav><h1>t</h1><div>a</div></form><form>no</form>") == "t\n\na"
+    assert text("<form><article class='promo'>a</article></form>") == "a"
+    assert text("<article>a</article><div class='comments'><article>no</article></div>") == "a"
+    assert text("<article hidden>no</article><p>a</p>") == "a"
+
+
 def test_single_pages_and_broken_markup():
     text = lambda s: ht.main_text(ht.parse(s), "", [])
     assert text(None) == text("") == text("<p></p>") == ""
