@@ -71,3 +71,6 @@ _add("l04_catalog_keys", lambda s, d: _docs(s, d).select(F.col("lang").alias("k"
 _add("o08_vault", lambda s, d: R.cards(_docs(s, d)).where(F.contains("markdown_path", F.lit("src1"))).orderBy(F.desc("added"), "id").limit(30).select("id"), "SELECT doc_id AS id FROM documents WHERE contains(source, 'src1') ORDER BY doc_id DESC LIMIT 30")
 _add("m16_ordered_pair", lambda s, d: (lambda c: library.twins(c).join(c.select("id", "title"), "id").select("id", "master", F.when(F.length("title") % 2 == 0, F.col("id")).otherwise(F.col("master")).alias("left")))(R.cards(_docs(s, d))), f"WITH {O.CARDS}, k AS (SELECT *, CASE WHEN source_path <> '' THEN lower(source_path) ELSE lower(regexp_replace(markdown_path, '/[^/]*$', '')) || '|' || lower(regexp_replace(regexp_replace(regexp_extract(markdown_path, '([^/]*)$', 1), '\\.[^.]*$', ''), '(?i)\\.({'|'.join(library.CODES)})(-[0-9]+)?$', '')) END AS origin FROM cards), g AS (SELECT origin, arg_min(id, (length(title), id)) AS master FROM k GROUP BY 1) SELECT id, master, CASE WHEN length(title) % 2 = 0 THEN id ELSE master END AS left FROM k JOIN g USING (origin) WHERE id <> master".replace(" AS left", ' AS "left"'))
 _add("p10_debounced", lambda s, d: C.sessions(C.changes(R.table(s, d, "events")), "350 milliseconds"), "WITH e AS (SELECT '/in/' || user_id || '.md' AS path, ts, event_id FROM events), g AS (SELECT *, (lag(ts) OVER w IS NULL OR ts >= lag(ts) OVER w + INTERVAL 350 MILLISECONDS)::INT AS fresh FROM e WINDOW w AS (PARTITION BY path ORDER BY ts)), k AS (SELECT *, sum(fresh) OVER (PARTITION BY path ORDER BY ts, event_id) AS k FROM g) SELECT path, min(ts) AS start, count(*) AS n FROM k GROUP BY path, k.k")
+# the whole jobs of queries whose SQL takes prefixes or a limit
+_add("a19_whole_item_lines", lambda s, d: reading.item_lines(_docs(s, d).select("doc_id", F.posexplode(F.split("text", " ")).alias("k", "s")).select("doc_id", (F.col("k") % 5 * 10 + F.col("k") / 1000).alias("x"), (500 - F.floor(F.col("k") / 5) * 9 - F.col("k") % 2).cast("double").alias("y"), "s")), ORACLE_SQL["a19_item_lines"].replace("substr(text, 1, 400)", "text"))
+_add("o08_whole_vault", lambda s, d: R.cards(_docs(s, d)).where(F.contains("markdown_path", F.lit("src1"))).orderBy(F.desc("added"), "id").select("id"), ORACLE_SQL["o08_vault"].removesuffix(" LIMIT 30"))

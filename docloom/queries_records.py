@@ -75,3 +75,21 @@ _add("o01_clips", lambda s, d: _docs(s, d).select("doc_id", records.clip(F.subst
 _add("o06_merged_spans", lambda s, d: (lambda e: e.union(e.where("start % 2 = 0")).distinct())(R.table(s, d, "events").select("user_id", (F.col("event_id") % 50).alias("start"), (F.col("event_id") % 7).alias("length"))), "SELECT DISTINCT user_id, event_id % 50 AS start, event_id % 7 AS length FROM events")
 _add("p05_inbox", lambda s, d: (lambda n: n.join(_cards(s, d).where("id % 2 = 0").select(F.lower("markdown_path").alias("path")).distinct(), "path", "left_anti"))(_cards(s, d).select(F.lower("markdown_path").alias("path")).distinct()), f"WITH {O.CARDS} SELECT DISTINCT lower(markdown_path) AS path FROM cards WHERE lower(markdown_path) NOT IN (SELECT lower(markdown_path) FROM cards WHERE id % 2 = 0)")
 _add("p03_quiet_period", lambda s, d: C.changes(R.table(s, d, "events")).withColumn("first", F.min("ts").over(W.partitionBy("path"))).where(F.col("ts") >= F.col("first") + F.expr("INTERVAL 1 HOUR")).select("path", "event_id"), "SELECT path, event_id FROM (SELECT '/in/' || user_id || '.md' AS path, event_id, ts, min(ts) OVER (PARTITION BY user_id) AS first FROM events) WHERE ts >= first + INTERVAL 1 HOUR")
+# the whole jobs of queries whose SQL takes prefixes or a limit
+_add("c21_whole_chunks", lambda s, d: _docs(s, d).select("doc_id", F.posexplode(records.chunks(F.regexp_replace("text", "\n", "\n\n"), 400)).alias("pos", "chunk")).select("doc_id", "pos", F.length("chunk").alias("n")), ORACLE_SQL["c21_chunks"].replace("substr(text, 1, 4000)", "text"))
+_picture = "_A picture is stored as a file in the figures folder (Finder)._"
+_add(
+    "c01_whole_reader_lines", lambda s, d: R.lines(_docs(s, d)).where("line_no < 40000").select("doc_id", "line_no", F.when(F.contains("text", F.lit("data:image")), F.lit(_picture)).when(F.length("text") > 1800, F.concat(F.substring("text", 1, 1800), F.lit("…"))).otherwise(F.col("text")).alias("text")),
+    f"WITH {O.LINES} SELECT doc_id, line_no, CASE WHEN contains(text, 'data:image') THEN '{_picture}' WHEN length(text) > 1800 THEN substr(text, 1, 1800) || '…' ELSE text END AS text FROM lines WHERE line_no < 40000",
+)
+_TAG = "coalesce(array_min(tags), '\uffff')"  # no tags: last
+#: The library's seven sorts: key, its SQL, whether it falls; ties by id.
+SORTS = {
+    "manual": ("id", "id", False), "name_asc": ("lower(title)", "lower(title)", False), "name_desc": ("lower(title)", "lower(title)", True), "date_new": ("added", "added", True),
+    "date_old": ("added", "added", False), "tag_asc": (_TAG, _TAG.replace("array", "list"), False), "tag_desc": (_TAG, _TAG.replace("array", "list"), True),
+}
+for _name, (_key, _sql, _falls) in SORTS.items():
+    _add(
+        f"k01_whole_{_name}", lambda s, d, key=_key, falls=_falls: _cards(s, d).orderBy(F.expr(key).desc() if falls else F.expr(key).asc(), "id").select("id", "title"),
+        f"WITH {O.CARDS} SELECT id, title FROM cards ORDER BY {_sql}{' DESC' if _falls else ''}, id",
+    )
