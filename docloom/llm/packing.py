@@ -19,7 +19,7 @@ from .mixing import n_words
 BUCKETS, BUDGET, SHARD_ROWS, SHARDS = 8, 32_768, 500, 4096
 
 
-def boundaries(lengths: list[int], counts: list[int], buckets: int) -> list[int]:
+def boundaries(lengths: list[int] | np.ndarray, counts: list[int] | np.ndarray, buckets: int) -> list[int]:
     """The upper lengths of at most ``buckets`` buckets with the least padding (ties: earlier cuts).
 
     The padding cost obeys the quadrangle inequality, so the best cut grows with the prefix, and
@@ -55,28 +55,20 @@ def boundaries(lengths: list[int], counts: list[int], buckets: int) -> list[int]
     return L[ends[::-1]].tolist()
 
 
-def _rounded(n: str) -> Column:
-    """Lengths rounded up to 12 significant bits, for histograms too wide to be held."""
-    step = F.pow(F.lit(2.0), F.greatest(F.lit(0.0), F.ceil(F.log2(F.col(n) + 1)) - 12)).cast("long")
-    return (F.ceil(F.col(n) / step) * step).cast("long")
-
-
-def packed(spark: SparkSession, docs: DataFrame, *, buckets: int = BUCKETS, budget: int = BUDGET, max_lengths: int = 200_000) -> DataFrame:
+def packed(spark: SparkSession, docs: DataFrame, *, buckets: int = BUCKETS, budget: int = BUDGET) -> DataFrame:
     """(doc_id, n_tokens, bucket, bucket_len, batch, place, padding) of every row.
 
     ``n_tokens`` counts words (null text: 0). ``batch`` numbers within the bucket and ``place``
     within the batch, both from 0. A bucket longer than the budget has batches of one document.
     Null ids come last in their shard; rows equal in id and length are interchangeable. The
-    histogram reaches the driver, ``max_lengths`` lengths at most; a wider one is rounded up.
+    histogram of lengths reaches the driver as two arrays and is never rounded.
     """
     rows = written(spark, docs.select("doc_id", n_words().alias("n_tokens")), "lengths")
     hist = rows.groupBy("n_tokens").agg(F.count("*").alias("c"))
-    got = hist.limit(max_lengths + 1).collect()
-    if len(got) > max_lengths:
-        got = rows.groupBy(_rounded("n_tokens").alias("n_tokens")).agg(F.count("*").alias("c")).collect()
-    got = sorted((r.n_tokens, r.c) for r in got)
-    bounds = boundaries([n for n, _ in got], [c for _, c in got], buckets)
-    total = sum(c for _, c in got)
+    got = hist.toArrow().sort_by("n_tokens")
+    lengths, counted = got.column("n_tokens").to_numpy(), got.column("c").to_numpy()
+    bounds = boundaries(lengths, counted, buckets)
+    total = int(counted.sum())
     shards = max(1, min(SHARDS, -(-total // SHARD_ROWS)))
     ends = F.array(*(F.lit(b).cast("long") for b in bounds)) if bounds else F.array().cast("array<long>")
     digest = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.col("n_tokens").cast("string")).cast("binary"))

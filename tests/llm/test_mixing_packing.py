@@ -82,3 +82,10 @@ def test_packed_rows(spark):
         assert len(part) * max(1, part.bucket_len.iloc[0]) <= max(packing.BUDGET, part.bucket_len.iloc[0])
         assert sorted(part.place) == list(range(len(part)))
     assert packing.packed(spark, docs.where(F.lit(False))).count() == 0
+
+
+def test_boundaries_stay_exact_with_very_many_lengths(spark, monkeypatch):
+    monkeypatch.setattr(packing, "n_words", lambda: F.col("text").cast("long"))
+    docs = spark.range(200_101).select(F.col("id").alias("doc_id"), (F.col("id") + 1).cast("string").alias("text"))
+    got = packing.packed(spark, docs, buckets=2)
+    assert [r.bucket_len for r in got.select("bucket_len").distinct().orderBy("bucket_len").collect()] == packing.boundaries(list(range(1, 200_102)), [1] * 200_101, 2)
