@@ -8,10 +8,12 @@ coded blocks of ``rans`` in ascending document order.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -47,20 +49,31 @@ class Encoder(dict):
     """Ids of whole texts by the tokenizers library; a piece is encoded when it is first met.
 
     Two generations of pieces are kept, ``limit`` each: when the new one is full it becomes the old
-    one, and pieces met again move to the new. So memory is bounded, and what is frequent stays.
-    A word alone is one pre-token of a byte-level tokenizer, so the library's model takes it directly
-    (if the tokenizer answers the same for some words, which is tried first).
+    one, and pieces met again move to the new. A piece of over ``longest`` characters is encoded each
+    time. So the bytes held are bounded, and what is frequent stays.
+    A word alone is one pre-token of a byte-level tokenizer, so the library's model takes it directly.
+    A tokenizer that is not plainly byte-level, or normalises, gets whole texts instead of pieces.
     """
 
-    def __init__(self, path: str, limit: int = 300_000) -> None:
+    def __init__(self, path: str, limit: int = 250_000, longest: int = 48) -> None:
         from tokenizers import Tokenizer
 
         super().__init__()
-        self.tokenizer, self.limit, self.old = Tokenizer.from_file(path), limit, {}
+        self.tokenizer, self.limit, self.longest, self.old = Tokenizer.from_file(path), limit, longest, {}
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.code, self.letters = "H" if self.dtype.itemsize == 2 else "I", _byte_letters()
+        self.by_piece = self._byte_level()
         tried = [" the", "The", " éçü", "x", " Aßy", "internationalisation"]
-        self.direct = all(self._direct(w) == self._whole(w) for w in tried)
+        self.direct = self.by_piece and all(self._direct(w) == self._whole(w) for w in tried)
+
+    def _byte_level(self) -> bool:
+        """Whether pre-tokens are those of the byte-level expression alone, without a prefix or a normaliser,
+        and no added token could stand across pieces."""
+        told = json.loads(self.tokenizer.to_str())
+        before = told.get("pre_tokenizer") or {}
+        plain = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
+        inside = all(pieces(t["content"]) == [t["content"]] and not (t.get("lstrip") or t.get("rstrip")) for t in told.get("added_tokens", []))
+        return plain and inside and told.get("normalizer") is None and told["model"].get("type") == "BPE"
 
     def _direct(self, word: str) -> list[int]:
         return [t.id for t in self.tokenizer.model.tokenize(word.encode().decode("latin-1").translate(self.letters))]
@@ -72,11 +85,14 @@ class Encoder(dict):
         ids = self.old.get(piece)
         if ids is None:
             ids = array(self.code, self._direct(piece) if self.direct and _word(piece) else self._whole(piece)).tobytes()
-        self[piece] = ids
+        if len(piece) <= self.longest:
+            self[piece] = ids
         return ids
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian ids of each text, in ``dtype``."""
+        if not self.by_piece:
+            return [array(self.code, self._whole(text)).tobytes() if text else b"" for text in texts]
         get, out = self.__getitem__, []
         for text in texts:
             out.append(b"".join(map(get, pieces(text))) if text else b"")
@@ -86,12 +102,18 @@ class Encoder(dict):
         return out
 
 
+@lru_cache(maxsize=1)
+def _encoder(path: str) -> Encoder:
+    """One encoder a worker: pieces met in one task are known in the next."""
+    return Encoder(path)
+
+
 def tokenized(docs: DataFrame, vocabulary: str, *, end: int = END) -> DataFrame:
     """(doc_id, tie, ids) of every row; ids end with ``end``. Null and empty texts have ``end`` alone."""
     frame = docs.select("doc_id", F.xxhash64("text").alias("tie"), F.col("text").alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(vocabulary)
+        encoder = _encoder(vocabulary)
         last = np.array([end], encoder.dtype).tobytes()
         for whole in batches:
             for b in slices(whole, 2):
