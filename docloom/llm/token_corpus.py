@@ -17,7 +17,6 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,7 +54,7 @@ class Encoder(dict):
     A tokenizer that is not plainly byte-level, or normalises, gets whole texts instead of pieces.
     """
 
-    def __init__(self, path: str, limit: int = 250_000, longest: int = 48) -> None:
+    def __init__(self, path: str, limit: int = 400_000, longest: int = 48) -> None:
         from tokenizers import Tokenizer
 
         super().__init__()
@@ -109,18 +108,27 @@ def _encoder(path: str) -> Encoder:
 
 
 def tokenized(docs: DataFrame, vocabulary: str, *, end: int = END) -> DataFrame:
-    """(doc_id, tie, ids) of every row; ids end with ``end``. Null and empty texts have ``end`` alone."""
-    frame = docs.select("doc_id", F.xxhash64("text").alias("tie"), F.col("text").alias("__text"))
+    """(doc_id, tie, place, ids, width, counts) of every row; ids end with ``end``. Null and empty texts have ``end`` alone.
+
+    Each task adds a row without ids, whose ``counts`` are pairs of an id and its occurrences in the task.
+    """
+    frame = docs.select("doc_id", F.xxhash64("text").alias("tie"), F.monotonically_increasing_id().alias("place"), F.col("text").alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(vocabulary)
         last = np.array([end], encoder.dtype).tobytes()
+        names, total = ["doc_id", "tie", "place", "ids", "width", "counts"], np.zeros(0, np.int64)
         for whole in batches:
-            for b in slices(whole, 2):
-                ids = [x + last for x in encoder.encode(b.column(2).to_pylist())]
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids, pa.binary()), pa.array([encoder.dtype.itemsize] * b.num_rows, pa.int32())], names=["doc_id", "tie", "ids", "width"])
+            for b in slices(whole, 3):
+                ids = [x + last for x in encoder.encode(b.column(3).to_pylist())]
+                c = np.bincount(np.frombuffer(b"".join(ids), encoder.dtype), minlength=len(total))
+                c[: len(total)] += total
+                total = c
+                yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(ids, pa.binary()), pa.array([encoder.dtype.itemsize] * b.num_rows, pa.int32()), pa.nulls(b.num_rows, pa.binary())], names=names)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.int32()), pa.array([np.stack([at, total[at]]).tobytes()], pa.binary())], names=names)
 
-    return frame.mapInArrow(run, "doc_id long, tie long, ids binary, width int")
+    return frame.mapInArrow(run, "doc_id long, tie long, place long, ids binary, width int, counts binary")
 
 
 def _ids(cell: bytes, width: int) -> np.ndarray:
@@ -128,14 +136,14 @@ def _ids(cell: bytes, width: int) -> np.ndarray:
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    _encoder.cache_clear()  # the pieces are not needed from here on
     total = np.zeros(0, np.int64)
     for b in batches:
-        for width in set(b.column(1).to_pylist()):  # one width but for mixed tables
-            own = b.filter(pc.equal(b.column(1), width)).column(0)
-            c = np.bincount(_ids(b"".join(x.as_buffer() for x in own), width))
-            if len(c) > len(total):
-                total = np.concatenate([total, np.zeros(len(c) - len(total), np.int64)])
-            total[: len(c)] += c
+        for cell in b.column(0):
+            at, n = np.frombuffer(cell.as_buffer(), np.int64).reshape(2, -1)
+            if len(at) and at[-1] >= len(total):
+                total = np.concatenate([total, np.zeros(at[-1] + 1 - len(total), np.int64)])
+            total[at] += n
     at = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["id", "n"])
 
@@ -143,14 +151,16 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def write_corpus(spark: SparkSession, docs: DataFrame, path: str, vocabulary: str, *, end: int = END, block_ids: int = BLOCK_IDS) -> None:
     """Write ``docs`` (doc_id, text) to ``path`` in ascending doc_id order, null ids first.
 
-    Rows with one doc_id stand in the order of a hash of their texts. The ids of all rows are counted
+    Rows with one doc_id stand in the order of a hash of their texts; equal rows, however many, may be
+    dealt to several tasks. The ids of all rows are counted
     (a row for each id in use reaches the driver); texts are encoded once and only ids are shuffled.
     A block ends with the first document that fills it, so a very long one makes a longer block.
     """
     raw_path = table_path(spark, "ids")
-    tokenized(docs, vocabulary, end=end).write.option("compression", "zstd").parquet(raw_path)
-    raw = spark.read.parquet(raw_path)
-    found = raw.select("ids", "width").mapInArrow(_counts, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    made = tokenized(docs, vocabulary, end=end)
+    made.write.option("compression", "zstd").parquet(raw_path)
+    raw = spark.read.schema(made.schema).parquet(raw_path)
+    found = raw.select("counts").where("counts is not null").mapInArrow(_counts, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros(max((r.id for r in found), default=0) + 1, np.int64)
     for r in found:
         counts[r.id] = r.n
@@ -158,6 +168,7 @@ def write_corpus(spark: SparkSession, docs: DataFrame, path: str, vocabulary: st
     shared = spark.sparkContext.broadcast(table.freq)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _encoder.cache_clear()
         table = rans.Table(shared.value)
         shard, seq, first = TaskContext.get().partitionId(), 0, 0
         owners: list[int | None] = []
@@ -185,7 +196,7 @@ def write_corpus(spark: SparkSession, docs: DataFrame, path: str, vocabulary: st
         if held:
             yield close()
 
-    ordered = raw.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "ids", "width")
+    ordered = raw.where("ids is not null").repartitionByRange("doc_id", "tie", "place").sortWithinPartitions("doc_id", "tie", "place").select("doc_id", "ids", "width")
     blocks = ordered.mapInArrow(run, "shard int, seq int, n long, doc_ids array<long>, block binary")
     blocks.write.option("compression", "none").parquet(f"{path}/blocks")
     drop_table(spark, raw_path)
