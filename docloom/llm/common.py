@@ -67,6 +67,11 @@ def fold_of(value: int | None, modulus: int) -> int:
     return zlib.crc32(("" if value is None else str(value)).encode()) % modulus
 
 
+def least_ids(ids: DataFrame, bound: int, seed: int = 17) -> list:
+    """At most ``bound`` of the distinct rows ``ids`` (``doc_id`` first): those of the least hash of the id."""
+    return [r for r in ids.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(bound).collect()]
+
+
 def sampled(df: DataFrame, key: str, eligible: int, bound: int) -> DataFrame:
     """Rows whose hashed id falls under bound/eligible: about ``bound`` rows, the same in each run."""
     if eligible <= bound:
@@ -95,16 +100,30 @@ def slices(batch: pa.RecordBatch, text_at: int, max_bytes: int = 4_000_000) -> I
         start = stop
 
 
+def runs_of(words: list[str], chars: int = 200_000) -> Iterator[list[str]]:
+    """``words`` in runs of about ``chars`` characters, so that what is computed of a run stays small."""
+    start, held = 0, 0
+    for i, word in enumerate(words):
+        held += len(word)
+        if held >= chars:
+            yield words[start : i + 1]
+            start, held = i + 1, 0
+    if start < len(words):
+        yield words[start:]
+
+
 class WordCodes(dict):
     """Word -> small integer, first come first numbered; ``fresh`` lists words that have no attributes yet."""
 
     def __init__(self) -> None:
         super().__init__()
         self.fresh: list[str] = []
+        self.chars = 0
 
     def __missing__(self, word: str) -> int:
         self[word] = code = len(self)
         self.fresh.append(word)
+        self.chars += len(word)
         return code
 
 
@@ -112,19 +131,23 @@ class Coder:
     """Texts -> arrays of word codes, with per-word attributes computed once a worker for each word.
 
     ``attributes(words)`` returns a tuple of arrays, one row for each new word. Beyond ``limit``
-    distinct words the cache starts anew, so memory stays bounded and results do not change.
+    distinct words, or 20 characters to each of them, the cache starts anew, so memory stays bounded
+    and results do not change.
     """
 
-    def __init__(self, attributes: Callable[[list[str]], tuple[np.ndarray, ...]], lower=lower_ascii, limit: int = 600_000) -> None:
-        self.attributes, self.lower, self.limit = attributes, lower, limit
+    def __init__(self, attributes: Callable[[list[str]], tuple[np.ndarray, ...]], lower=lower_ascii, limit: int = 600_000, words=find_words) -> None:
+        self.attributes, self.lower, self.limit, self.words = attributes, lower, limit, words
         self.codes, self.parts = WordCodes(), []
         self.columns: tuple[np.ndarray, ...] = ()
 
+    def full(self) -> bool:
+        return len(self.codes) > self.limit or self.codes.chars > 20 * self.limit
+
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
         """(codes of all words, words of each text, attributes by code)."""
-        if len(self.codes) > self.limit:
+        if self.full():
             self.codes, self.columns = WordCodes(), ()
-        get, lower = self.codes.__getitem__, self.lower
+        get, lower, find_words = self.codes.__getitem__, self.lower, self.words
         found, counts = [], np.zeros(len(texts), np.int64)
         for i, text in enumerate(texts):
             if text:
@@ -132,9 +155,9 @@ class Coder:
                 counts[i] = len(words)
                 found.append(np.fromiter(map(get, words), np.int64, len(words)))
         if self.codes.fresh:
-            new = self.attributes(self.codes.fresh)
+            runs = [self.attributes(words) for words in runs_of(self.codes.fresh)]
             self.codes.fresh = []
-            self.columns = tuple(np.concatenate(x) for x in zip(self.columns, new, strict=True)) if self.columns else new
+            self.columns = tuple(map(np.concatenate, zip(*([self.columns] if self.columns else []), *runs, strict=True)))
         codes = np.concatenate(found) if found else np.zeros(0, np.int64)
         return codes, counts, list(self.columns)
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import subword
-from .common import fold, sampled, slices
+from .common import fold, least_ids, slices
 
 UNKNOWN = "und"
 FOLDS, HELD = 4, 2
@@ -23,13 +23,14 @@ def has_letter(text: str) -> bool:
 def fit(spark: SparkSession, docs: DataFrame, *, max_docs: int = 3000, buckets: int = 2**16, held: int = HELD) -> subword.Model:
     """Learn from ``text`` and non-null ``lang`` of the rows outside the held-out fold.
 
-    ``max_docs`` bounds the training rows (a hash sample of whole texts, the same in each run).
+    ``max_docs`` bounds the training documents, by the least hashes of their ids. An id on several
+    rows is learned from once, by the least of its languages and texts; null ids are left out.
     """
-    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold("doc_id", FOLDS) != held))
-    eligible = rows.select("doc_id").count()
-    got = sampled(rows.select("doc_id", "text", "lang"), "doc_id", eligible, max_docs).collect()
-    got.sort(key=lambda r: (str(r.doc_id), r.text, r.lang))
-    return subword.train([r.text for r in got], [r.lang for r in got], buckets=buckets, epochs=4)
+    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (fold("doc_id", FOLDS) != held))
+    some = spark.createDataFrame([(r.doc_id,) for r in least_ids(rows.select("doc_id").distinct(), max_docs)], "doc_id long")
+    texts = rows.select("doc_id", "text", "lang").join(F.broadcast(some), "doc_id").groupBy("doc_id").agg(F.min(F.struct("lang", "text")).alias("x")).select("doc_id", "x.text", F.col("x.lang").alias("label"))
+    data, langs = subword.bags_of(spark, texts, "language-bags", buckets, (3, 4, 5))
+    return subword.train(data, langs, buckets=buckets, epochs=4)
 
 
 def label(spark: SparkSession, docs: DataFrame, model: subword.Model, *, keep: list[str]) -> DataFrame:

@@ -62,7 +62,7 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for whole in batches:
         for b in slices(whole, 0):
-            if len(coder.codes) > coder.limit and columns is not None:
+            if coder.full() and columns is not None:
                 yield close()
                 total, columns = np.zeros(0, np.int64), None
             codes, _, found = coder.encode(b.column(0).to_pylist())

@@ -3,19 +3,25 @@
 The model of both the toxicity and the language operator. A word is its lower-cased text between
 ``<`` and ``>``; its features are its hashed character n-grams and the whole word. A
 text's vector is the mean over its words of the mean of their feature embeddings; class scores are
-a linear map of that vector. Embeddings and map are trained jointly by stochastic gradient descent
+a linear map of that vector. A run of over 65,536 characters counts as several words of that length. Embeddings and map are trained jointly by stochastic gradient descent
 (Adagrad steps). As scores are linear in the words, a trained model collapses to one row of class
 scores for each feature, so that scoring is a table look-up for each distinct word.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import Coder, find_words, sums_by_text
+from .common import Coder, runs_of, slices, sums_by_text, written
 
+find_words = re.compile("[^\x20\x09-\x0d]{1,65536}").findall
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -70,7 +76,7 @@ class Model:
             n = np.bincount(owner, minlength=len(words))
             return (np.stack([np.bincount(owner, self.table[ids, c], len(words)) / n for c in range(self.table.shape[1])], 1),)
 
-        return Coder(word_scores, lower)
+        return Coder(word_scores, lower, words=find_words)
 
     def probabilities(self, coder: Coder, texts: list[str | None]) -> np.ndarray:
         """A row of class probabilities for each text; a text without words has the bias alone."""
@@ -82,28 +88,50 @@ class Model:
         return e / e.sum(1, keepdims=True)
 
 
-def bags(texts: list[str], buckets: int, grams: tuple[int, ...]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(feature ids, weights) of each text; weights are those of the mean of means."""
-    out = []
-    for text in texts:
-        words = find_words(lower(text or ""))
-        if not words:
-            out.append((np.zeros(0, np.int32), np.zeros(0, np.float32)))
-            continue
-        seen: dict[str, int] = {}
-        for w in words:
-            seen[w] = seen.get(w, 0) + 1
-        owner, ids = features(list(seen), buckets, grams)
-        weight = (np.fromiter(seen.values(), np.float64) / np.bincount(owner, minlength=len(seen)))[owner] / len(words)
-        ids, at = np.unique(ids, return_inverse=True)
-        out.append((ids.astype(np.int32), np.bincount(at, weight, len(ids)).astype(np.float32)))
-    return out
-
-
-def train(texts: list[str], labels: list, *, buckets: int, grams: tuple[int, ...] = (3, 4, 5), dim: int = 8, epochs: int = 8, rate: float = 0.5, batch: int = 64, seed: int = 7, balance: bool = False) -> Model:
+#: (feature ids, their shares summed over the words, words) of a text; a feature's weight is its share by words.
+Bag = tuple[np.ndarray, np.ndarray, int]
+
+
+def bag(text: str | None, buckets: int, grams: tuple[int, ...]) -> Bag:
+    words = find_words(lower(text or ""))
+    seen: dict[str, int] = {}
+    for w in words:
+        seen[w] = seen.get(w, 0) + 1
+    ids, shares = [np.zeros(0, np.int64)], [np.zeros(0)]
+    for run in runs_of(list(seen)):
+        owner, own = features(run, buckets, grams)
+        times = np.array([seen[w] for w in run], np.float64)
+        ids.append(own)
+        shares.append((times / np.bincount(owner, minlength=len(run)))[owner])
+    found, at = np.unique(np.concatenate(ids), return_inverse=True)
+    return found.astype(np.int32), np.bincount(at, np.concatenate(shares), len(found)).astype(np.float16), max(1, len(words))
+
+
+def bags_of(spark: SparkSession, rows: DataFrame, name: str, buckets: int, grams: tuple[int, ...]) -> tuple[list[Bag], list]:
+    """Bags and labels of ``rows`` (doc_id, text, label), in the order of ids. ``rows`` are a bounded sample.
+
+    Bags are made where the texts are read; what reaches the driver is 6 bytes for each of a text's
+    features, ``buckets`` at most, a partition at a time.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in slices(whole, 1):
+                made = [bag(t, buckets, grams) for t in b.column(1).to_pylist()]
+                columns = [pa.array([x[0].tobytes() for x in made], pa.binary()), pa.array([x[1].tobytes() for x in made], pa.binary()), pa.array([x[2] for x in made], pa.int64())]
+                yield pa.RecordBatch.from_arrays([b.column(0), *columns, b.column(2)], names=["doc_id", "ids", "shares", "words", "label"])
+
+    schema = rows.select("doc_id", F.lit(b"").alias("ids"), F.lit(b"").alias("shares"), F.lit(0).cast("long").alias("words"), "label").schema
+    made = written(spark, rows.select("doc_id", "text", "label").mapInArrow(run, schema), name)
+    found = sorted((r.doc_id, (np.frombuffer(r.ids, np.int32), np.frombuffer(r.shares, np.float16), r.words), r.label) for r in made.toLocalIterator())
+    return [x[1] for x in found], [x[2] for x in found]
+
+
+def train(data: list[Bag], labels: list, *, buckets: int, grams: tuple[int, ...] = (3, 4, 5), dim: int = 8, epochs: int = 8, rate: float = 0.5, batch: int = 64, seed: int = 7, rare: float = 0.0) -> Model:
     """Fit embeddings and softmax jointly; a tenth of the rows sets the temperature.
 
-    No rows, or one class only: the model always answers the one class (or 0) with its share.
+    Features that stand in less than a share ``rare`` of the rows are not learned, but count in the
+    mean. No rows, or one class only: the model always answers the one class (or 0) with its share.
     """
     classes = sorted(set(labels))
     if len(classes) < 2:
@@ -111,15 +139,17 @@ def train(texts: list[str], labels: list, *, buckets: int, grams: tuple[int, ...
         return Model(classes, np.zeros((buckets, len(classes)), np.float32), np.zeros(len(classes)), grams)
     rng = np.random.default_rng(seed)
     y = np.array([classes.index(v) for v in labels])
-    data = bags(texts, buckets, grams)
+    common = np.zeros(buckets, np.int64)
+    for ids, *_ in data:
+        common[ids] += 1
+    common = common >= rare * len(data)
+    if rare:
+        data = [(ids[kept], shares[kept], words) for ids, shares, words in data for kept in [common[ids]]]
     order = rng.permutation(len(y))
     held = order[: max(1, len(y) // 10)] if len(y) >= 200 else order
     fit = order[len(held) :] if len(y) >= 200 else order
     C = len(classes)
-    share = np.bincount(y[fit], minlength=C) / len(fit)
-    cost = (1 / np.sqrt(np.maximum(share, 1e-9))) if balance else np.ones(C)
-    cost /= (cost * share).sum()
-    E = rng.normal(0, 0.1, (buckets, dim)).astype(np.float32)
+    E = (rng.normal(0, 0.1, (buckets, dim)) * common[:, None]).astype(np.float32)
     W = rng.normal(0, 0.3, (dim, C)).astype(np.float32)
     b = np.zeros(C, np.float32)
     ge, gw, gb = np.full(E.shape, 1e-6, np.float32), np.full(W.shape, 1e-6, np.float32), np.full(C, 1e-6, np.float32)
@@ -131,8 +161,8 @@ def train(texts: list[str], labels: list, *, buckets: int, grams: tuple[int, ...
             if not rows:
                 continue
             ids = np.concatenate([data[r][0] for r in rows])
-            weight = np.concatenate([data[r][1] for r in rows])[:, None]
             sizes = np.array([len(data[r][0]) for r in rows])
+            weight = np.concatenate([data[r][1] for r in rows]).astype(np.float32)[:, None] / np.repeat(np.array([data[r][2] for r in rows], np.float32), sizes)[:, None]
             starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
             vector = np.add.reduceat(E[ids] * weight, starts)
             z = vector @ W + b
@@ -140,7 +170,6 @@ def train(texts: list[str], labels: list, *, buckets: int, grams: tuple[int, ...
             p = np.exp(z)
             p /= p.sum(1, keepdims=True)
             p[np.arange(len(rows)), y[rows]] -= 1
-            p *= cost[y[rows]][:, None]
             p = p.astype(np.float32)
             dw, db = vector.T @ p, p.sum(0)
             each = np.repeat(p @ W.T, sizes, 0) * weight
@@ -153,7 +182,7 @@ def train(texts: list[str], labels: list, *, buckets: int, grams: tuple[int, ...
             W -= step * 0.3 * dw / np.sqrt(gw)
             b -= step * 0.3 * db / np.sqrt(gb)
     model = Model(classes, E @ W, b.astype(np.float64), grams)
-    logits = np.stack([(model.table[data[r][0]] * data[r][1][:, None]).sum(0) + b for r in held]).astype(np.float64)
+    logits = np.stack([data[r][1].astype(np.float64) @ model.table[data[r][0]] / data[r][2] + b for r in held])
     best = (np.inf, 1.0)
     for t in np.geomspace(0.05, 4, 40):
         z = logits * t

@@ -10,26 +10,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import subword
-from .common import fold, sampled, slices
+from .common import fold, least_ids, slices, written
 
 FOLDS, HELD = 5, 0
 
 
-def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, *, max_docs: int = 5_000, buckets: int = 2**18, held: int = HELD) -> subword.Model:
+def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, *, max_docs: int = 8_000, buckets: int = 2**19, held: int = HELD) -> subword.Model:
     """Learn ``labels.toxic`` from the texts of labelled rows outside the held-out fold.
 
-    ``max_docs`` bounds the training rows (a hash sample of whole texts, the same in each run). A
-    document with several labels counts as toxic if any says so; null labels and ids are left out.
+    ``max_docs`` bounds the training documents, by the least hashes of their ids: toxic ones for a
+    quarter of them at most, clean ones for the rest, so a rare class is learned from a fixed number.
+    A document counts as toxic if any of its labels says so, and an id on several rows is learned
+    from once, by the least of its texts. Null labels, ids and texts are left out.
     """
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (fold("doc_id", FOLDS) != held))
-    known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("__toxic"))
-    some = sampled(known, "doc_id", known.count(), max_docs)
-    # at most about max_docs rows of two numbers, by the sampling above
-    got = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(some), "doc_id").collect()
-    got.sort(key=lambda r: (r.doc_id, r.text))
-    texts, marks = [r.text for r in got], [r["__toxic"] for r in got]
-    del got  # the driver need not hold the texts twice
-    return subword.train(texts, marks, buckets=buckets, grams=(3, 4, 5, 6), dim=4, epochs=6, rate=10.0)
+    known = known.groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("label"))
+    known = written(spark, known.join(docs.select("doc_id"), "doc_id", "left_semi"), "labelled")
+    chosen = least_ids(known.where("label = 1"), max_docs // 4)
+    chosen += least_ids(known.where("label = 0"), max_docs - len(chosen))
+    some = spark.createDataFrame([(r.doc_id, r.label) for r in chosen], "doc_id long, label int")
+    texts = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(some), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("label").alias("label"))
+    grams = (2, 3, 4, 5, 6)
+    data, marks = subword.bags_of(spark, texts, "toxicity-bags", buckets, grams)
+    return subword.train(data, marks, buckets=buckets, grams=grams, dim=4, epochs=6, rate=4.0, rare=0.002)
 
 
 def scored(spark: SparkSession, docs: DataFrame, model: subword.Model, *, keep: list[str]) -> DataFrame:
