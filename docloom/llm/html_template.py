@@ -38,7 +38,7 @@ CLOSES_P = {
     "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "main", "menu", "nav", "ol", "p", "pre", "section", "summary", "table", "ul",
 }
 #: Elements that never hold article text.
-NEVER = {"head", "nav", "footer", "aside", "form", "button", "select", "dialog", "menu", "svg", "canvas", "object", "audio", "video", "input", "option", "datalist"} | RAW
+NEVER = {"head", "nav", "footer", "aside", "form", "button", "select", "dialog", "menu", "svg", "canvas", "audio", "video", "input", "option", "datalist"} | RAW
 #: Words of class, id and role that name something other than the article.
 OTHER = {
     "ad", "ads", "advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored", "promo", "promotion", "banner", "nav", "navbar", "navigation", "menu",
@@ -51,11 +51,20 @@ PART = {
     "box", "bar", "block", "section", "container", "wrapper", "wrap", "list", "links", "buttons", "button", "area", "panel", "inner", "form", "icons", "top", "bottom",
     "left", "right", "primary", "secondary", "site", "page", "header", "slot", "unit", "item", "items", "posts", "text", "message", "main", "global", "row",
 }
-PAGE_HEADER = {"header", "site-header", "page-header"}
 MAIN = {"article", "main"}
+#: Elements whose end tag may be left out: what they stand in, and which of those open before end with them.
+ALIKE = {
+    "li": (("ul", "ol", "menu"), ("li",)), "dt": (("dl",), ("dt", "dd")), "dd": (("dl",), ("dt", "dd")), "option": (("select", "datalist"), ("option",)),
+    "tr": (("table",), ("tr", "td", "th")), "td": (("table",), ("td", "th")), "th": (("table",), ("td", "th")),
+}
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>", re.S)
-_ATTR = re.compile(r"(class|id|role|hidden|aria-hidden|style|itemprop)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+#: A tag; its parts never give characters back, so one try is linear in what it reads.
+_TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.S)
+_PLAIN_TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*+)([^>]*+)>", re.S)
+#: Tags whose quotes do not close, before a page's quotes are taken for plain characters.
+TRIES = 40
+_ATTR = re.compile(r"([^\s\"'>/=]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++)))?")
+_TELLING = re.compile("class|id|role|hidden|style", re.I).search
 _SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
 _DIGITS = re.compile(r"\d+")
 
@@ -93,7 +102,7 @@ def _is_other(name: str) -> bool:
 
 def _marks(attrs: str) -> tuple[str, bool, bool]:
     """(class and id words for the path, whether they name something else, whether it is hidden)."""
-    if "=" not in attrs and "hidden" not in attrs.lower():
+    if not _TELLING(attrs):
         return "", False, False
     words, other, hidden = [], False, False
     for name, a, b, c in _ATTR.findall(attrs):
@@ -113,46 +122,61 @@ def _lift(page: Page) -> None:
     """Show what only a word or a form hides, where it holds the article.
 
     A form with a heading of the page or an article is the whole page's form. If words or forms hide
-    every article and main element of a page, or all of its text, those do not count.
+    every article and main element of a page, or all of its text, those do not count. Elements stand
+    in page order, so one way down and one way up tell of all that is above or below.
     """
+    every = page.elements
+
+    def holding(own: list[bool]) -> list[bool]:
+        """Which elements have one of ``own`` below them."""
+        out = [False] * len(every)
+        for k in range(len(every) - 1, -1, -1):
+            if (up := every[k].above) >= 0 and (own[k] or out[k]):
+                out[up] = True
+        return out
 
-    def up(k: int) -> Iterator[Element]:
-        while k >= 0:
-            yield page.elements[k]
-            k = page.elements[k].above
-
-    for k, e in enumerate(page.elements):
-        if e.tag == "h1" or e.tag in MAIN:
-            for over in up(e.above):
-                if over.tag == "form" and over.soft:
-                    over.other = over.soft = False
-    mains = [k for k, e in enumerate(page.elements) if e.tag in MAIN and e.last > e.first]
-    if mains and all(any(e.other for e in up(k)) for k in mains):
-        for k in mains:
-            if all(e.soft for e in up(k) if e.other):
-                for e in up(k):
+    def under(told: list[bool]) -> list[bool]:
+        """Which elements are one of ``told`` or below one."""
+        for k, e in enumerate(every):
+            told[k] = told[k] or e.above >= 0 and told[e.above]
+        return told
+
+    for e, holds in zip(every, holding([e.tag == "h1" or e.tag in MAIN for e in every]), strict=True):
+        if holds and e.tag == "form" and e.soft:
+            e.other = e.soft = False
+    mains = [e.tag in MAIN and e.last > e.first for e in every]
+    if any(mains):
+        dark = under([e.other for e in every])
+        if all(d for d, m in zip(dark, mains, strict=True) if m):
+            hard = under([e.other and not e.soft for e in every])
+            lit = [m and not h for m, h in zip(mains, hard, strict=True)]
+            for e, own, holds in zip(every, lit, holding(lit), strict=True):
+                if own or holds:
                     e.other = e.soft = False
-    dark = np.zeros(len(page.blocks) + 1, np.int64)
     for hard in (False, True):
-        dark[:] = 0
-        for e in page.elements:
+        depth = np.zeros(len(page.blocks) + 1, np.int64)
+        for e in every:
             if e.other and not (hard and e.soft):
-                dark[e.first] += 1
-                dark[e.last] -= 1
-        page.hidden = (np.cumsum(dark)[:-1] > 0).tolist()
+                depth[e.first] += 1
+                depth[e.last] -= 1
+        page.hidden = (np.cumsum(depth)[:-1] > 0).tolist()
         if not all(page.hidden):
             break
-    if hard and any(e.soft for e in page.elements) and not all(page.hidden):
-        for e in page.elements:
+    if hard and not all(page.hidden):
+        for e in every:
             if e.soft:
                 e.other = e.soft = False
 
 
 def parse(source: str | None) -> Page:
     """Blocks and elements of a page, mended the way browsers mend: text is decoded, white space in
-    a block is one space, and whatever the end of the page leaves open is closed there."""
+    a block is one space, and whatever the end of the page leaves open is closed there. Time is
+    linear in the page, whatever is broken in it: open tags are found by name, not by search, and
+    after ``TRIES`` tags with open quotes a page's quotes count as plain characters."""
     page = Page()
     stack: list[tuple[str, Element | None]] = []
+    at_of: dict[str, list[int]] = {}  # places in the stack by tag
+    blocks_at: list[int] = []  # places of block elements
     path: list[str] = []
     text: list[str] = []
     open_: list[int] = []
@@ -168,88 +192,116 @@ def parse(source: str | None) -> Page:
             text.clear()
         links = 0
 
+    def push(tag: str, element: Element | None) -> None:
+        at_of.setdefault(tag, []).append(len(stack))
+        if element is not None:
+            blocks_at.append(len(stack))
+        stack.append((tag, element))
+
+    def place(*tags: str) -> int:
+        return max((at_of[t][-1] for t in tags if at_of.get(t)), default=-1)
+
     def close(k: int) -> None:
         nonlocal in_link
         while len(stack) > k:
             tag, element = stack.pop()
+            if tag:
+                at_of[tag].pop()
             in_link -= tag == "a"
             if element is not None:
                 flush()
+                blocks_at.pop()
                 element.last = len(page.blocks)
                 path.pop()
                 open_.pop()
 
-    at, source = 0, source or ""
-    for m in _TOKEN.finditer(source):
-        if m.start() < at:  # inside raw text
-            continue
-        piece = source[at : m.start()]
+    def say(piece: str) -> None:
+        nonlocal links
         if piece:
             text.append(piece)
             links += len(piece) * (in_link > 0)
-        at = m.end()
-        tag = m[2]
-        if tag is None:
-            if m[0].startswith("<![CDATA["):
-                text.append(html_lib.escape(m[0][9:-3], quote=False))
+
+    at, source = 0, source or ""
+    upto, tag_at, left, cdata = source.rfind(">"), _TAG.match, TRIES, True
+    start = source.find("<")
+    while 0 <= start <= upto:
+        mark = source[start + 1 : start + 2]
+        if mark in ("!", "?"):
+            stop = -1
+            if source.startswith("<!--", start):
+                stop = source.find("-->", start + 4)
+                stop = len(source) if stop < 0 else stop + 3
+            elif cdata and source.startswith("<![CDATA[", start):
+                stop = source.find("]]>", start + 9) + 3
+                cdata = stop > 2
+            if stop > 2:
+                say(source[at:start])
+                if source.startswith("<![", start):
+                    text.append(html_lib.escape(source[start + 9 : stop - 3], quote=False))
+            else:
+                say(source[at:start])
+                stop = source.find(">", start) + 1
+            at = stop
+            start = source.find("<", at)
             continue
-        tag = tag.lower()
+        m = tag_at(source, start)
+        if m is None and (mark == "/" or mark.isalpha()) and mark.isascii() and tag_at is not _PLAIN_TAG.match:
+            left -= 1
+            m = _PLAIN_TAG.match(source, start)
+            if not left:
+                tag_at = _PLAIN_TAG.match
+        if m is None:
+            start = source.find("<", start + 1)
+            continue
+        say(source[at:start])
+        at = m.end()
+        tag = m[2].lower()
         if m[1]:
-            if tag == "p" and not any(t == "p" for t, _ in stack):
-                flush()
-                continue
-            k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-            if k is None:
-                flush() if tag not in INLINE else None
-                continue
-            if tag in INLINE and any(e is not None for _, e in stack[k + 1 :]):
+            k = place(tag)
+            if k < 0:
+                if tag not in INLINE:
+                    flush()
+            elif tag in INLINE and blocks_at and blocks_at[-1] > k:
                 stack[k] = ("", None)  # a formatting end across blocks closes itself alone
+                at_of[tag].pop()
                 in_link -= tag == "a"
-                continue
-            close(k)
-            continue
-        if tag in RAW:
-            end = re.compile(f"</{tag}[\\s/>]", re.I).search(source, at)
-            flush() if tag not in INLINE else None
+            else:
+                close(k)
+        elif tag in RAW:
+            end = re.compile(f"</{re.escape(tag)}[\\s/>]", re.I).search(source, at)
+            if tag not in INLINE:
+                flush()
             stop = end.start() if end else len(source)
             at = source.find(">", stop) + 1 if end else stop
             at = at or len(source)
-            continue
-        if tag in VOID:
+        elif tag in VOID:
             if tag == "br":
                 text.append(" ")
             elif tag not in INLINE:
                 flush()
-            continue
-        if tag in CLOSES_P:
-            k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][1] is not None), None)
-            if k is not None and stack[k][0] == "p":
-                close(k)
-        elif tag in ("li", "dt", "dd", "tr", "td", "th", "option"):
-            stop = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",)}.get(tag, ("table",))
-            alike = {"dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th"), "tr": ("tr", "td", "th")}.get(tag, (tag,))
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in stop:
-                    break
-                if stack[i][0] in alike:
-                    close(i)
-                    break
-        if tag in INLINE:
+        elif tag in INLINE:
             in_link += tag == "a"
-            stack.append((tag, None))
-            continue
-        flush()
-        words, other, hidden = _marks(m[3])
-        outer = tag == "header" and not any(t in MAIN for t, _ in stack)
-        path.append(f"{tag}.{words}" if words else tag)
-        hard = hidden or tag in NEVER and tag != "form" or outer
-        element = Element("/".join(path) if len(path) <= 40 else f"#{len(path)}/" + "/".join(path[-8:]), tag, tag not in ("html", "body") and (hard or other or tag == "form"), len(page.blocks))
-        element.soft, element.above = element.other and not hard, open_[-1] if open_ else -1
-        open_.append(len(page.elements))
-        page.elements.append(element)
-        stack.append((tag, element))
-    if at < len(source):
-        text.append(source[at:])
+            push(tag, None)
+        else:
+            if tag in CLOSES_P:
+                if blocks_at and stack[blocks_at[-1]][0] == "p":
+                    close(blocks_at[-1])
+            elif tag in ALIKE:
+                within, alike = ALIKE[tag]
+                if (k := place(*alike)) > place(*within):
+                    close(min(at_of[t][-1] for t in alike if at_of.get(t) and at_of[t][-1] > place(*within)))
+            flush()
+            words, other, hidden = _marks(m[3])
+            outer = tag == "header" and place(*MAIN) < 0
+            path.append(f"{tag}.{words}" if words else tag)
+            hard = hidden or tag in NEVER and tag != "form" or outer
+            element = Element("/".join(path) if len(path) <= 40 else f"#{len(path)}/" + "/".join(path[-8:]), tag, tag not in ("html", "body") and (hard or other or tag == "form"), len(page.blocks))
+            element.soft, element.above = element.other and not hard, open_[-1] if open_ else -1
+            open_.append(len(page.elements))
+            page.elements.append(element)
+            push(tag, element)
+        start = source.find("<", at)
+    say(source[at:])
     close(0)
     flush()
     _lift(page)
@@ -306,18 +358,33 @@ def _observe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield close()
 
 
+def classes(group: pd.DataFrame) -> pd.DataFrame:
+    """``group`` with ``cls``, the equivalence class of each token, and ``valid``.
+
+    A class is the tokens of one occurrence vector (its pages, its occurrences and the exclusive-or of
+    both by page). It is valid if its tokens stand exactly once on each of their pages, so that they
+    have one order there. It nests in a slot of the class round it; a token in a place that repeats,
+    or that is not of a valid class, has another role there and leaves its class.
+    """
+    out = group.assign(cls=group.groupby(["vector", "pages", "times"], sort=False).ngroup())
+    once = dict(zip(out.token, out.times == out.pages, strict=True))
+    valid: dict[str, bool] = {}
+    for t in sorted(once, key=len):  # what stands round a token has a shorter path
+        ups = [] if t[:1] == "#" else [t[:k] for k, c in enumerate(t) if c == "/"][-1:]
+        valid[t] = once[t] and all(valid.get(up, False) for up in ups)
+    return out.assign(valid=out.token.map(valid).astype(bool))
+
+
 def deduce(group: pd.DataFrame, pages: int, support: float = 0.5) -> tuple[str, list[str]]:
     """(path of the main slot, paths of constant parts) from the tokens of one host.
 
-    Slots are the tokens that stand exactly once on each of their pages, and whose ancestors do; a
-    class of equal vectors needs no more than ``support`` of the host's pages, so odd pages without
-    the article take nothing from the skeleton. No slot with text: pages are told by their own markup.
+    The template is the valid classes on ``support`` of the host's pages or more, so odd pages without
+    the article take nothing from it. No slot with text: pages are told by their own markup.
     """
     group = group[(group.token != "") & (group.pages >= support * pages)]
-    once = set(group[group.times == group.pages].token)
-    nested = [t in once and (t[0] == "#" or all(t[:k] in once for k, c in enumerate(t) if c == "/")) for t in group.token]
+    told = classes(group)
     constant = [] if pages < 3 else group[(group.low == group.high) & (group.pages >= 3) & (group.chars > 0)].token.tolist()
-    slots = group[np.array(nested, bool) & (group.chars > 0) & ~group.token.isin(constant)]
+    slots = told[told.valid & (told.chars > 0) & ~told.token.isin(constant)]
     if not len(slots):
         return "", constant
     named = slots[[t.rsplit("/", 1)[-1].split(".")[0] in MAIN for t in slots.token]]
@@ -370,20 +437,25 @@ def main_text(page: Page, main: str, constant: list[str]) -> str:
 
     A page without the slot gives its ``article`` or ``main`` elements, or else its body.
     """
-    n = len(page.blocks)
-    keep = np.zeros(n, bool)
-    slots = [e for e in page.elements if main and e.path == main and not e.other]
-    if not any(e.last > e.first for e in slots):
-        slots = [e for e in page.elements if e.tag in MAIN and not e.other]
-    if not any(e.last > e.first for e in slots):
-        keep[:] = True
-    for e in slots:
-        keep[e.first : e.last] = True
-    keep &= ~np.array(page.hidden, bool)
-    fixed = set(constant)
+    shown, fixed = ~np.array(page.hidden, bool), np.zeros(len(page.blocks), bool)
+    told = set(constant)
     for e in page.elements:
-        if fixed and e.path in fixed:
-            keep[e.first : e.last] = False
+        if told and e.path in told:
+            fixed[e.first : e.last] = True
+
+    def within(slots: list[Element]) -> np.ndarray:
+        out = np.zeros(len(page.blocks), bool)
+        for e in slots:
+            out[e.first : e.last] = True
+        return out & shown
+
+    keep = within([e for e in page.elements if main and e.path == main and not e.other])
+    if not keep.any():
+        keep = within([e for e in page.elements if e.tag in MAIN and not e.other])
+    if not keep.any():
+        keep = shown
+    if (keep & ~fixed).any():  # a page that is nothing but the template's own words keeps them
+        keep = keep & ~fixed
     return "\n\n".join(page.blocks[i] for i in np.flatnonzero(keep))
 
 

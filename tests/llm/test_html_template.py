@@ -1,5 +1,9 @@
 """Main text of template pages, of pages without a template, and of broken ones."""
 
+import time
+from collections import Counter
+
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -75,5 +79,40 @@ def test_single_pages_and_broken_markup():
     assert text("<article><header><h1>Kept</h1></header><p>z</p></article>") == "Kept\n\nz"
 
 
+@pytest.mark.parametrize("source", [
+    "<div class='content no-sidebar'><p>a</p></div>", "<div class='md:overflow-hidden'><p>a</p></div>", "<main class='has-comments'><article><p>a</p></article></main>",
+    "<div id='share-price-report'><p>a</p></div>", "<div data-id='ad'><p>a</p></div>", "<section data-src='/x?id=search'><p>a</p></section>",
+    "<form id=aspnetForm><div><p>a</p></div></form>", "<object><p>a</p></object>", "<div paid='promo' href=\"/x?class=menu\"><p>a</p></div>",
+])
+def test_articles_that_look_like_something_else(source):
+    assert ht.main_text(ht.parse(f"<html><body>{source}</body></html>"), "", []) == "a"
+
+
+@pytest.mark.parametrize("piece", ["<div x='", "<a \"'", "<![CDATA[", "<!-", "</b>", "<div><b>", "<h1><div>", "<form><div><article>", "<li>", "<td><p>", "<script>", "<b></div>", "< ", "<?", "<p></i>"])
+def test_broken_pages_take_linear_time(piece):
+    for source in (piece * (1_000_000 // len(piece)), "<b>" * 100_000 + "<div>" * 100_000 + "</b>" * 100_000 + ">", piece * 50_000 + ">"):
+        began = time.process_time()
+        ht.parse(source)
+        assert time.process_time() - began < 8
+
+
+def test_classes_against_occurrence_vectors_written_out():
+    pages = [page(i, "div") + "<i>x</i>" * (i % 3) for i in range(12)] + ["<html><body><div class='ad'>a</div><div class='ad'>b</div></body></html>"]
+    vectors: dict[str, Counter] = {}
+    for n, source in enumerate(pages):
+        for token, times in Counter(e.path for e in ht.parse(source).elements).items():
+            vectors.setdefault(token, Counter())[n] = times
+    batch = ht.pa.RecordBatch.from_arrays([ht.pa.array(["h"] * len(pages)), ht.pa.array(range(len(pages))), ht.pa.array(pages)], names=["host", "page_id", "html"])
+    seen = pd.concat([b.to_pandas() for b in ht._observe(iter([batch]))])
+    told = ht.classes(seen[seen.token != ""])
+    assert set(told.token) == set(vectors)
+    for _, one in told.groupby("cls"):
+        assert len({tuple(sorted(vectors[t].items())) for t in one.token}) == 1
+    assert told.cls.nunique() == len({tuple(sorted(v.items())) for v in vectors.values()})
+    for r in told.itertuples():
+        ups = [r.token[:k] for k, c in enumerate(r.token) if c == "/"] + [r.token]
+        assert r.valid == all(set(vectors[u].values()) == {1} for u in ups)
+
+
 def test_empty_table(spark):
     assert ht.extracted(spark, spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
