@@ -24,7 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 
-MAGIC, LANES, CHECKPOINT, BITS = b"RNS1", 1024, 128, 18
+MAGIC, LANES, CHECKPOINT, BITS = b"RNS1", 4096, 64, 18
 _LOW = np.uint64(1 << 31)
 _32, _M32 = np.uint64(32), np.uint64(0xFFFFFFFF)
 

@@ -8,12 +8,14 @@ coded blocks of ``rans`` in ascending document order.
 
 from __future__ import annotations
 
+import gc
 import json
 import re
 import zlib
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +27,7 @@ from . import rans
 from .common import drop_table, slices, table_path
 
 END = 2
-BLOCK_IDS = 1 << 18
+BLOCK_IDS = 1 << 20
 _WS = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
 _MARK = r"!-&(-/:-@\[-`{-~"  # ASCII punctuation but the apostrophe
@@ -35,6 +37,7 @@ pieces = re.compile(f"[{_WS}]*[{_LETTER}]+(?=[{_WS}{_MARK}]|\\Z)|[{_MARK}]+(?=[{
 
 
 _word = re.compile(f" ?[{_LETTER}]+").fullmatch
+_id = attrgetter("id")
 
 
 def _byte_letters() -> dict[int, int]:
@@ -61,6 +64,7 @@ class Encoder(dict):
         self.tokenizer, self.limit, self.longest, self.old = Tokenizer.from_file(path), limit, longest, {}
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.code, self.letters = "H" if self.dtype.itemsize == 2 else "I", _byte_letters()
+        self.tokenize, self.blank = self.tokenizer.model.tokenize, chr(self.letters[32])
         self.by_piece = self._byte_level()
         tried = [" the", "The", " éçü", "x", " Aßy", "internationalisation"]
         self.direct = self.by_piece and all(self._direct(w) == self._whole(w) for w in tried)
@@ -75,7 +79,8 @@ class Encoder(dict):
         return plain and inside and told.get("normalizer") is None and told["model"].get("type") == "BPE"
 
     def _direct(self, word: str) -> list[int]:
-        return [t.id for t in self.tokenizer.model.tokenize(word.encode().decode("latin-1").translate(self.letters))]
+        plain = word.replace(" ", self.blank) if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+        return list(map(_id, self.tokenize(plain)))
 
     def _whole(self, text: str) -> list[int]:
         return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
@@ -93,11 +98,15 @@ class Encoder(dict):
         if not self.by_piece:
             return [array(self.code, self._whole(text)).tobytes() if text else b"" for text in texts]
         get, out = self.__getitem__, []
-        for text in texts:
-            out.append(b"".join(map(get, pieces(text))) if text else b"")
-            if len(self) > self.limit:
-                self.old = dict(self)
-                self.clear()
+        gc.disable()  # tokens are many and in no cycles
+        try:
+            for text in texts:
+                out.append(b"".join(map(get, pieces(text))) if text else b"")
+                if len(self) > self.limit:
+                    self.old = dict(self)
+                    self.clear()
+        finally:
+            gc.enable()
         return out
 
 
