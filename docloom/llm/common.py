@@ -24,11 +24,14 @@ def lower_ascii(text: str) -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; set here only where the session names none."""
+    """The folder that all executors share. A session in one process may go without one: a folder of
+    its machine serves then. On a cluster ``spark.checkpoint.dir`` has to name it."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         sc = spark.sparkContext
         if sc._jsc.sc().getCheckpointDir().isEmpty():
+            if not (sc.master == "local" or sc.master.startswith("local[")):
+                raise ValueError("spark.checkpoint.dir names no folder that all executors share")
             import tempfile
 
             sc.setCheckpointDir(tempfile.mkdtemp(prefix="docloom-"))
@@ -36,8 +39,24 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_folders: set[str] = set()
+
+
+def _folder(spark: SparkSession) -> str:
+    """The application's own folder in the shared one; its store deletes it when the driver ends."""
+    path = f"{shared_dir(spark)}/docloom/{spark.sparkContext.applicationId}"
+    if path not in _folders:
+        jvm = spark.sparkContext._jvm
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        fs.mkdirs(p)
+        fs.deleteOnExit(p)
+        _folders.add(path)
+    return path
+
+
 def table_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/docloom/{name}-{uuid.uuid4().hex}"
+    return f"{_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def written(spark: SparkSession, df: DataFrame, name: str, path: str | None = None) -> DataFrame:

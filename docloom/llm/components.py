@@ -16,7 +16,7 @@ def _with_least(spark: SparkSession, links: DataFrame) -> tuple[DataFrame, str]:
     return links.join(least, "u"), path
 
 
-def components(spark: SparkSession, links: DataFrame, *, rounds: int = 60) -> DataFrame:
+def components(spark: SparkSession, links: DataFrame) -> DataFrame:
     """(node, root) of every node of ``links`` (a, b); the root is the smallest node that it reaches.
 
     Links may repeat and run either way; self links are ignored, no links give an empty table. The
@@ -26,12 +26,8 @@ def components(spark: SparkSession, links: DataFrame, *, rounds: int = 60) -> Da
     path = table_path(spark, "links")
     links = written(spark, links, "links", path)
     mark = F.struct(F.count("*"), F.sum(F.xxhash64("u", "v") % F.lit(1 << 40)))
-    before = None
-    for _ in range(rounds):
-        now = links.agg(mark.alias("m")).first().m
-        if now == before:
-            break
-        before = now
+    before, now = None, links.agg(mark.alias("m")).first().m
+    while now != before:  # each step brings links nearer to stars, which stay as they are
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         joined, p1 = _with_least(spark, both)
         step = joined.where("v > u").select(F.col("v").alias("u"), F.least("u", "least").alias("v")).where("u <> v").distinct()
@@ -44,7 +40,6 @@ def components(spark: SparkSession, links: DataFrame, *, rounds: int = 60) -> Da
         for old in (path, p1, p2, large):
             drop_table(spark, old)
         path = small
-    else:
-        raise RuntimeError("components did not settle")
+        before, now = now, links.agg(mark.alias("m")).first().m
     roots = links.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("root"))
     return links.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)

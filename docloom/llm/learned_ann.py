@@ -133,11 +133,16 @@ def usable(rows: DataFrame) -> DataFrame:
 
 
 def fit(spark: SparkSession, rows: DataFrame, n: int, *, sample: int = SAMPLE, parts: int | None = None, recall: float = RECALL) -> Router | None:
-    """Learn parts from at most about ``sample`` vectors (a hash sample); too few rows need none."""
-    parts = parts or int(np.clip(round(np.sqrt(n / 200)), 1, 256))
-    if parts < 2 or n < 1000:
+    """Learn parts from at most about ``sample`` vectors (a hash sample).
+
+    Their number grows with the root of the rows, as far as the sample has 20 vectors for each. Fewer
+    than 40 distinct vectors are one part.
+    """
+    parts = parts or int(np.clip(round(np.sqrt(n / 200)), 2, sample // 25))
+    found = sampled(rows, "vec_id", n, sample).orderBy("vec_id").collect()
+    if not found:
         return None
-    x = np.stack([r.v for r in sampled(rows, "vec_id", n, sample).orderBy("vec_id").collect()])
+    x = np.stack([r.v for r in found])
     # equal vectors would be each other's only neighbours: one of each
     x = np.random.default_rng(2).permutation(np.unique(x, axis=0))
     k = NEIGHBOURS

@@ -46,6 +46,34 @@ def targets(sizes: dict[str | None, int], weight: Callable[[int], float], cap: f
     return out
 
 
+def targets_of(spark: SparkSession, sizes: DataFrame, weight: Callable, cap: int = CAP) -> DataFrame:
+    """(sk, source_size, target) of each row (sk, s) of ``sizes``, as ``targets`` has them, for any number of sources.
+
+    ``weight`` is applied to the place, a Column. Sources over their cap at one level are so at every
+    higher one, so a round needs no more than the level: one number goes to the driver each time.
+    """
+    by = [F.col("sk") == "n", F.col("sk")]
+    dealt = written(spark, sizes.repartitionByRange(*by).select("sk", "s", F.spark_partition_id().alias("pid")), "sources")
+    first, starts = 0, []
+    for r in sorted(dealt.groupBy("pid").count().collect()):  # a row a partition
+        starts.append((r.pid, first))
+        first += r["count"]
+    starts = spark.createDataFrame(starts, "pid int, first long")
+    place = F.row_number().over(W.partitionBy("pid").orderBy(*by)) - 1 + F.col("first")
+    rows = written(spark, dealt.join(F.broadcast(starts), "pid").select("sk", "s", weight(place).cast("double").alias("w")), "source-weights")
+    total = rows.agg(F.coalesce(F.sum("s"), F.lit(0)).alias("s"), F.coalesce(F.sum("w"), F.lit(0.0)).alias("w")).first()
+    left, open_, closed = float(total.s), total.w, 0
+    while open_:
+        over = F.lit(left) * F.col("w") / F.lit(open_) > cap * F.col("s")
+        r = rows.agg(F.count(F.when(over, 1)).alias("n"), F.sum(F.when(over, cap * F.col("s")).otherwise(0)).alias("s"), F.sum(F.when(over, 0.0).otherwise(F.col("w"))).alias("w")).first()
+        if not r.n or r.n == closed:
+            break
+        left, open_, closed = float(total.s - r.s), r.w, r.n
+    most = F.col("s").cast("double") * cap
+    goal = F.lit(left) * F.col("w") / F.lit(open_ or 1.0) if open_ else most
+    return rows.select("sk", F.col("s").alias("source_size"), F.least(goal, most).alias("target"))
+
+
 def fill(lengths: list[int], counts: list[int], budget: int, *, reserve: int = 20_000) -> list[int]:
     """How many documents of each length to take so that their words come to ``budget`` or just under."""
     total = sum(n * c for n, c in zip(lengths, counts, strict=True))
@@ -107,12 +135,11 @@ def _cuts(spark: SparkSession, rows: DataFrame, wanted: DataFrame, *, small: int
             return written(spark, out, "selected")
 
 
-def mixed(spark: SparkSession, docs: DataFrame, *, weight: Callable[[int], float] = lambda i: 1 + i % 3, cap: int = CAP, seed: int = 42, max_sources: int = 1_000_000) -> DataFrame:
+def mixed(spark: SparkSession, docs: DataFrame, *, weight: Callable = lambda i: 1 + i % 3, cap: int = CAP, seed: int = 42) -> DataFrame:
     """Every row of ``docs`` with __size, __source_size, __target and __copies, the times it is taken.
 
     Sizes are words; a null text has none. A null ``source`` is a source of its own, last in order.
     The hash covers all columns, so reruns agree; rows equal in all columns are interchangeable.
-    Source names with their sizes go to the driver, ``max_sources`` at most.
     """
     cols = docs.columns
     sk = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))
@@ -121,17 +148,11 @@ def mixed(spark: SparkSession, docs: DataFrame, *, weight: Callable[[int], float
     keyed = docs.select(F.struct(*cols).alias("doc"), sk.alias("sk"), n_words().alias("size"), h.alias("h"))
     rows = written(spark, keyed.select("sk", "size", "h"), "sizes")
     hist = written(spark, rows.groupBy("sk", "size").agg(F.count("*").alias("c")), "lengths")
-    found = hist.groupBy("sk").agg(F.sum(F.col("c") * F.col("size")).alias("s")).limit(max_sources + 1).collect()
-    if len(found) > max_sources:
-        raise ValueError(f"over {max_sources} sources")
-    sizes = {r.sk[1:] if r.sk[0] == "s" else None: r.s for r in found}
-    goal = targets(sizes, weight, cap)
-    plan = []
-    for s, n in sizes.items():
-        whole = min(cap, int(goal[s] // n)) if n else 0
-        plan.append(("n" if s is None else "s" + s, n, goal[s], whole, int(goal[s] - whole * n)))
-    per_source = spark.createDataFrame(plan, "sk string, source_size long, target double, whole int, rest long")
-    few = (lambda df: F.broadcast(df)) if len(plan) <= 100_000 else (lambda df: df)
+    goal = targets_of(spark, hist.groupBy("sk").agg(F.sum(F.col("c") * F.col("size")).alias("s")), weight, cap)
+    whole = F.when(F.col("source_size") > 0, F.least(F.lit(cap), F.floor(F.col("target") / F.greatest("source_size", F.lit(1))))).otherwise(0).cast("int")
+    per_source = written(spark, goal.withColumn("whole", whole).withColumn("rest", F.floor(F.col("target") - F.col("whole") * F.col("source_size")).cast("long")), "source-plan")
+    n_sources = per_source.count()
+    few = (lambda df: F.broadcast(df)) if n_sources <= 100_000 else (lambda df: df)
 
     def choose(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("size")
