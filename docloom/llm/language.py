@@ -29,7 +29,7 @@ def fit(spark: SparkSession, docs: DataFrame, *, max_docs: int = 3000, buckets:
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (fold("doc_id", FOLDS) != held))
     some = spark.createDataFrame([(r.doc_id,) for r in least_ids(rows.select("doc_id").distinct(), max_docs)], "doc_id long")
     texts = rows.select("doc_id", "text", "lang").join(F.broadcast(some), "doc_id").groupBy("doc_id").agg(F.min(F.struct("lang", "text")).alias("x")).select("doc_id", "x.text", F.col("x.lang").alias("label"))
-    data, langs = subword.bags_of(spark, texts, "language-bags", buckets, (3, 4, 5))
+    data, langs = subword.bags_of(texts, max_docs, buckets, (3, 4, 5))
     return subword.train(data, langs, buckets=buckets, epochs=4)
 
 

@@ -16,10 +16,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Coder, runs_of, slices, sums_by_text, written
+from .common import Coder, runs_of, slices, sums_by_text
 
 find_words = re.compile("[^\x20\x09-\x0d]{1,65536}").findall
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -88,11 +88,45 @@ class Model:
         return e / e.sum(1, keepdims=True)
 
 
-#: (feature ids, their shares summed over the words, words) of a text; a feature's weight is its share by words.
-Bag = tuple[np.ndarray, np.ndarray, int]
+class Bags:
+    """Feature ids and their shares summed over the words of many texts; a feature's weight is its share
+    by the text's ``words``.
 
+    Texts are held in blocks of some hundred, one after another, so that memory goes back to the
+    system when training is done. ``at`` has a row for each text: its block, start and end.
+    """
 
-def bag(text: str | None, buckets: int, grams: tuple[int, ...]) -> Bag:
+    def __init__(self) -> None:
+        self.blocks: list[tuple[np.ndarray, np.ndarray]] = []
+        self.at, self.words = np.zeros((0, 3), np.int64), np.zeros(0, np.float32)
+
+    def add(self, texts: list[tuple[np.ndarray, np.ndarray, int]]) -> None:
+        ends = np.cumsum([len(x[0]) for x in texts])
+        at = np.stack([np.full(len(ends), len(self.blocks)), np.append(0, ends[:-1]), ends], 1)
+        self.blocks.append((np.concatenate([x[0] for x in texts]), np.concatenate([x[1] for x in texts])))
+        self.at, self.words = np.concatenate([self.at, at]), np.append(self.words, np.array([x[2] for x in texts], np.float32))
+
+    def ordered(self, order: np.ndarray) -> None:
+        self.at, self.words = self.at[order], self.words[order]
+
+    def common(self, buckets: int, least: float) -> np.ndarray:
+        """Which features stand in ``least`` texts or more; the weights of the others become zero."""
+        n = np.zeros(buckets, np.int64)
+        for ids, _ in self.blocks:
+            n += np.bincount(ids, minlength=buckets)
+        for ids, shares in self.blocks:
+            shares[n[ids] < least] = 0
+        return n >= least
+
+    def weighted(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, weights, number of features) of some texts, one after another."""
+        spans = [(self.blocks[k], slice(s, e)) for k, s, e in self.at[rows].tolist()]
+        sizes = self.at[rows, 2] - self.at[rows, 1]
+        weights = np.concatenate([x[1][y] for x, y in spans]).astype(np.float32) / np.repeat(self.words[rows], sizes)
+        return np.concatenate([x[0][y] for x, y in spans]), weights, sizes
+
+
+def bag(text: str | None, buckets: int, grams: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray, int]:
     words = find_words(lower(text or ""))
     seen: dict[str, int] = {}
     for w in words:
@@ -107,27 +141,37 @@ def bag(text: str | None, buckets: int, grams: tuple[int, ...]) -> Bag:
     return found.astype(np.int32), np.bincount(at, np.concatenate(shares), len(found)).astype(np.float16), max(1, len(words))
 
 
-def bags_of(spark: SparkSession, rows: DataFrame, name: str, buckets: int, grams: tuple[int, ...]) -> tuple[list[Bag], list]:
-    """Bags and labels of ``rows`` (doc_id, text, label), in the order of ids. ``rows`` are a bounded sample.
+def bags_of(rows: DataFrame, most: int, buckets: int, grams: tuple[int, ...]) -> tuple[Bags, list]:
+    """Bags and labels of ``rows`` (doc_id, text, label), in the order of ids: at most ``most`` rows.
 
-    Bags are made where the texts are read; what reaches the driver is 6 bytes for each of a text's
-    features, ``buckets`` at most, a partition at a time.
+    Bags are made where the texts are; what reaches the driver is 6 bytes for each of a text's
+    features, ``buckets`` at most, a partition of 250 texts at a time.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in slices(whole, 1):
                 made = [bag(t, buckets, grams) for t in b.column(1).to_pylist()]
-                columns = [pa.array([x[0].tobytes() for x in made], pa.binary()), pa.array([x[1].tobytes() for x in made], pa.binary()), pa.array([x[2] for x in made], pa.int64())]
-                yield pa.RecordBatch.from_arrays([b.column(0), *columns, b.column(2)], names=["doc_id", "ids", "shares", "words", "label"])
+                columns = [pa.array([x[k].tobytes() for x in made], pa.binary()) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([b.column(0), *columns, pa.array([x[2] for x in made], pa.int64()), b.column(2)], names=["doc_id", "ids", "shares", "words", "label"])
 
     schema = rows.select("doc_id", F.lit(b"").alias("ids"), F.lit(b"").alias("shares"), F.lit(0).cast("long").alias("words"), "label").schema
-    made = written(spark, rows.select("doc_id", "text", "label").mapInArrow(run, schema), name)
-    found = sorted((r.doc_id, (np.frombuffer(r.ids, np.int32), np.frombuffer(r.shares, np.float16), r.words), r.label) for r in made.toLocalIterator())
-    return [x[1] for x in found], [x[2] for x in found]
-
-
-def train(data: list[Bag], labels: list, *, buckets: int, grams: tuple[int, ...] = (3, 4, 5), dim: int = 8, epochs: int = 8, rate: float = 0.5, batch: int = 64, seed: int = 7, rare: float = 0.0) -> Model:
+    made = rows.select("doc_id", "text", "label").repartition(max(1, most // 250)).mapInArrow(run, schema)
+    out, held, keys = Bags(), [], []
+    for r in made.toLocalIterator():
+        held.append((np.frombuffer(r.ids, np.int32), np.frombuffer(r.shares, np.float16), r.words))
+        keys.append((r.doc_id, r.label))
+        if len(held) == 250:
+            out.add(held)
+            held = []
+    if held:
+        out.add(held)
+    order = sorted(range(len(keys)), key=keys.__getitem__)
+    out.ordered(np.array(order, np.int64))
+    return out, [keys[i][1] for i in order]
+
+
+def train(data: Bags, labels: list, *, buckets: int, grams: tuple[int, ...] = (3, 4, 5), dim: int = 8, epochs: int = 8, rate: float = 0.5, batch: int = 64, seed: int = 7, rare: float = 0.0) -> Model:
     """Fit embeddings and softmax jointly; a tenth of the rows sets the temperature.
 
     Features that stand in less than a share ``rare`` of the rows are not learned, but count in the
@@ -139,12 +183,7 @@ def train(data: list[Bag], labels: list, *, buckets: int, grams: tuple[int, ...]
         return Model(classes, np.zeros((buckets, len(classes)), np.float32), np.zeros(len(classes)), grams)
     rng = np.random.default_rng(seed)
     y = np.array([classes.index(v) for v in labels])
-    common = np.zeros(buckets, np.int64)
-    for ids, *_ in data:
-        common[ids] += 1
-    common = common >= rare * len(data)
-    if rare:
-        data = [(ids[kept], shares[kept], words) for ids, shares, words in data for kept in [common[ids]]]
+    common = data.common(buckets, rare * len(y))
     order = rng.permutation(len(y))
     held = order[: max(1, len(y) // 10)] if len(y) >= 200 else order
     fit = order[len(held) :] if len(y) >= 200 else order
@@ -157,12 +196,12 @@ def train(data: list[Bag], labels: list, *, buckets: int, grams: tuple[int, ...]
         step = rate / (1 + 0.3 * epoch)
         rng.shuffle(fit)
         for at in range(0, len(fit), batch):
-            rows = [r for r in fit[at : at + batch] if len(data[r][0])]
-            if not rows:
+            rows = fit[at : at + batch]
+            rows = rows[data.at[rows, 2] > data.at[rows, 1]]
+            if not len(rows):
                 continue
-            ids = np.concatenate([data[r][0] for r in rows])
-            sizes = np.array([len(data[r][0]) for r in rows])
-            weight = np.concatenate([data[r][1] for r in rows]).astype(np.float32)[:, None] / np.repeat(np.array([data[r][2] for r in rows], np.float32), sizes)[:, None]
+            ids, weight, sizes = data.weighted(rows)
+            weight = weight[:, None]
             starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
             vector = np.add.reduceat(E[ids] * weight, starts)
             z = vector @ W + b
@@ -182,7 +221,7 @@ def train(data: list[Bag], labels: list, *, buckets: int, grams: tuple[int, ...]
             W -= step * 0.3 * dw / np.sqrt(gw)
             b -= step * 0.3 * db / np.sqrt(gb)
     model = Model(classes, E @ W, b.astype(np.float64), grams)
-    logits = np.stack([data[r][1].astype(np.float64) @ model.table[data[r][0]] / data[r][2] + b for r in held])
+    logits = np.stack([(lambda ids, w, _: w @ model.table[ids] + b)(*data.weighted(held[k : k + 1])) for k in range(len(held))]).astype(np.float64)
     best = (np.inf, 1.0)
     for t in np.geomspace(0.05, 4, 40):
         z = logits * t

@@ -31,7 +31,7 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, *, max_docs: in
     some = spark.createDataFrame([(r.doc_id, r.label) for r in chosen], "doc_id long, label int")
     texts = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(some), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("label").alias("label"))
     grams = (2, 3, 4, 5, 6)
-    data, marks = subword.bags_of(spark, texts, "toxicity-bags", buckets, grams)
+    data, marks = subword.bags_of(texts, max_docs, buckets, grams)
     return subword.train(data, marks, buckets=buckets, grams=grams, dim=4, epochs=6, rate=4.0, rare=0.002)
 
 
