@@ -10,6 +10,7 @@ BLANK = r"[ \t\x{a0}\x{1680}\x{2000}-\x{200a}\x{202f}\x{205f}\x{3000}]"
 TRIM = rf"^{BLANK}+|{BLANK}+$"
 #: Control characters, replacement characters and noncharacters that conversion leaves behind.
 UNREADABLE = r"[\x{00}-\x{08}\x{0b}\x{0c}\x{0e}-\x{1f}\x{7f}-\x{9f}\x{fffc}\x{fffd}\x{fdd0}-\x{fdef}\x{fffe}\x{ffff}]"
+# Roman numerals, and the spellings of a page title.
 ROMAN = r"^(M{0,3})(CM|CD|D?C{0,3})(XC|XL|L?X{0,3})(IX|IV|V?I{0,3})$"
 PAGE_LIKE = r"(?i)^((page|página|pagina|seite|pág\.?|стр\.?|страница)\s*[0-9]+|第\s*[0-9]+\s*页|[0-9]+\s*(ページ|페이지))$"
 CITATION = r"^[0-9]? ?\p{L}[\p{L} ]* [0-9]{1,3}:[0-9]{1,3}([–,;: 0-9-]|\p{L}[\p{L} ]* [0-9]{1,3}:)*$"
@@ -35,16 +36,25 @@ def heading_marks(line: Column) -> Column:
 
 def atx_heading(line: Column) -> Column:
     """Title after one to six marks and white space; null for other lines."""
+    return _or_null(trim(F.regexp_extract(trim(line), r"(?s)^#{1,6}([\s\p{Z}].*)$", 1)))
+
+
+def page_heading(line: Column) -> Column:
+    """The title as the web page reads it: marks at the start of the line, white space as one space."""
     return F.when(line.rlike(r"^#{1,6}\s+"), F.trim(F.regexp_replace(F.regexp_extract(line, r"^#{1,6}\s+(.*)", 1), r"\s+", " ")))
 
 
 def bold_line(line: Column) -> Column:
+    """What stands between two pairs of stars that hold the whole line; null where a pair stands inside."""
     t = trim(line)
-    return F.when(t.rlike(r"^\*\*[^*]+\*\*$"), _or_null(trim(F.regexp_extract(t, r"^\*\*([^*]+)\*\*$", 1))))
+    inner = F.substring(t, F.lit(3), F.length(t) - 4)
+    return F.when(F.startswith(t, F.lit("**")) & F.endswith(t, F.lit("**")) & (F.length(t) > 4) & ~F.contains(inner, F.lit("**")), inner)
 
 
 def page_comment(line: Column) -> Column:
-    return F.when(trim(line).rlike(r"^<!-- page [0-9]{1,9} *-->$"), F.regexp_extract(line, r"<!-- page ([0-9]+)", 1).cast("int"))
+    """Number, from 1, of a page mark; null for other lines."""
+    n = F.regexp_extract(trim(line), rf"^<!-- page {BLANK}*([0-9]{{1,9}}){BLANK}*-->$", 1).try_cast("int")
+    return F.when(n > 0, n)
 
 
 def contents_line(line: Column) -> Column:
@@ -52,9 +62,10 @@ def contents_line(line: Column) -> Column:
 
 
 def contents_entry(line: Column) -> Column:
-    """(title, page) of ``Title .... 13``; null for other lines."""
-    r = r"^(.*?\S)\s*(?:\.\s?){3,}\s*([0-9]{1,4})\s*$"
-    return F.when(line.rlike(r), F.concat_ws("|", F.regexp_extract(line, r, 1), F.regexp_extract(line, r, 2)))
+    """title|page of ``Title .... 13``, with two dots or more and a title of two characters; null for other lines."""
+    t, r = trim(line), r"^(.*?)\.{2,}\s*([0-9]{1,4})\s*$"
+    title = trim(F.regexp_extract(t, r, 1))
+    return F.when(t.rlike(r) & (F.length(title) > 1), F.concat_ws("|", title, F.regexp_extract(t, r, 2).cast("int").cast("string")))
 
 
 def folded(c: Column) -> Column:
@@ -130,15 +141,19 @@ def readable(c: Column) -> Column:
 
 
 def close_gap(c: Column) -> Column:
-    """Single spaces, but two before a number of up to four digits that ends the line."""
-    t = F.regexp_replace(c, r" {2,}", " ")
-    return F.regexp_replace(t, r" ([0-9]{1,4})$", "  $1")
+    """Single spaces, but two before a number of up to four digits that ends a line of something else."""
+    t = F.regexp_replace(c, " {2,}", " ")
+    r = r"(?s)^(.*?)[\t\n\f\r\p{Z}]([0-9]{1,4})[\t\n\f\r\p{Z}]*$"
+    head = trim(F.regexp_extract(t, r, 1))
+    return F.when(t.rlike(r) & (head != ""), F.concat(head, F.lit("  "), F.regexp_extract(t, r, 2))).otherwise(t)
 
 
 def list_item(line: Column) -> Column:
-    """indent|ordered|text of a list line; null for other lines."""
-    r = r"^( *)([-*+]|[0-9]{1,3}[.)])\s+(\S.*)$"
-    return F.when(line.rlike(r), F.concat_ws("|", F.length(F.regexp_extract(line, r, 1)).cast("string"), F.when(F.regexp_extract(line, r, 2).rlike("^[0-9]"), "1").otherwise("0"), F.regexp_extract(line, r, 3)))
+    """indent|ordered|text of a list line, tabs as four spaces; null for other lines."""
+    t = F.replace(line, F.lit("\t"), F.lit("    "))
+    plain, counted = r"(?s)^ *[-*+] (.*)$", r"(?s)^ *\p{N}{1,7}\. (.*)$"
+    indent = F.length(F.regexp_extract(t, "^( *)", 1)).cast("string")
+    return F.when(t.rlike(plain), F.concat_ws("|", indent, F.lit("0"), F.regexp_extract(t, plain, 1))).when(t.rlike(counted), F.concat_ws("|", indent, F.lit("1"), F.regexp_extract(t, counted, 1)))
 
 
 def sentences(c: Column) -> Column:
@@ -187,4 +202,24 @@ def xml_escape(c: Column) -> Column:
 
 
 def home_scrubbed(c: Column) -> Column:
-    return F.regexp_replace(c, r"/(Users|home)/[^/\s]+", "~")
+    """Names of users' folders left out."""
+    return F.regexp_replace(c, "/Users/[^/]+", "/Users/<user>")
+
+
+def footer_address(c: Column) -> Column:
+    """A line that is a web address and nothing else."""
+    t = trim(c)
+    body = F.regexp_replace(F.regexp_replace(F.lower(t), "^https?://", ""), r"^www\.", "")
+    return F.length(t).between(8, 80) & F.contains(t, F.lit(".")) & body.rlike(r"^[a-z0-9-][a-z0-9.-]*[a-z0-9-]$") & F.contains(body, F.lit("."))
+
+
+def plain_line(c: Column) -> Column:
+    """A line without heading marks and the stars round all of it."""
+    t = trim(c)
+    t = F.when(t.rlike("^#{1,6} "), trim(F.regexp_replace(t, "^#{1,6} ", ""))).otherwise(t)
+    return F.when(F.startswith(t, F.lit("**")) & F.endswith(t, F.lit("**")) & (F.length(t) > 4), trim(F.substring(t, F.lit(3), F.length(t) - 4))).otherwise(t)
+
+
+def without_comments(c: Column) -> Column:
+    """Comments left out; one that is not closed goes to the end."""
+    return F.regexp_replace(c, r"(?s)<!--.*?(-->|\z)", "")

@@ -11,14 +11,15 @@ from .outline import doc
 
 
 def with_chrome_key(lines: DataFrame) -> DataFrame:
-    """``lines`` with ``key``, that of a line which may be a running header: 2 to 14 words with a letter,
-    80 characters at most. In steps, so that each rule is computed once a line."""
+    """``lines`` with ``key``, that of a line which may be a running header: 2 to 14 words with a letter or
+    a web address, 80 characters at most. In steps, so that each rule is computed once a line."""
     steps = lines.withColumn("t", T.trim(F.col("text")))
     steps = steps.withColumn("title", F.coalesce(T.heading_text(F.col("t")), F.col("t")))
     words = F.size(F.filter(F.split("title", r"\s+"), lambda w: w.rlike(r"\p{L}")))
     plain = (F.col("t") != "") & ~F.col("t").rlike(r"^(!\[|\|)") & T.page_comment(F.col("t")).isNull() & ~F.col("t").rlike(r"\.{3,}")
     contents = (F.col("title") == F.col("t")) & F.col("t").rlike(r"\s{2,}[0-9]{1,4}\s*$")
-    steps = steps.withColumn("ok", plain & ~contents & (F.length("title") <= 80) & words.between(2, 14))
+    fits = words.between(2, 14) & (F.length(T.folded(F.col("title"))) >= 2)
+    steps = steps.withColumn("ok", plain & ~contents & (F.length("title") <= 80) & (T.footer_address(F.col("title")) | fits))
     return steps.withColumn("key", F.when(F.col("ok"), T.folded(F.col("title")))).drop("t", "title", "ok")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -27,14 +29,66 @@ def origin_key() -> Column:
     return F.when(F.col("source_path") != "", F.lower("source_path")).otherwise(F.concat_ws("|", F.lower(folder(F.col("markdown_path"))), F.lower(pairing_stem(F.col("markdown_path")))))
 
 
+def output_path(path: Column) -> Column:
+    """``parent/stem/stem.md`` of an input file."""
+    return F.concat_ws("/", folder(path), stem(path), F.concat(stem(path), F.lit(".md")))
+
+
+def translation_copies(cards: DataFrame) -> DataFrame:
+    """(id, path): a copy of each card in its ``lang``, ``stem.lang.md`` or ``stem.lang-2.md`` and so on in order of ids."""
+    base = F.concat_ws("/", folder(F.col("markdown_path")), F.concat_ws(".", stem(F.col("markdown_path")), F.col("lang")))
+    return unique_names(cards, base).select("id", F.concat("name", F.lit(".md")).alias("path"))
+
+
+def is_original() -> Column:
+    """Whether a card's file name has no translation code."""
+    return F.lower(stem(F.col("markdown_path"))) == F.lower(pairing_stem(F.col("markdown_path")))
+
+
 def groups(cards: DataFrame) -> DataFrame:
-    """(origin, n, master, newest, first_tag): the master has the shortest title, then the least id.
+    """(origin, n, master, newest, first_tag, first): the master is the first card that is no translation,
+    else that of the shortest title, then the least id; ``first`` gives the groups' order.
 
     All are partial aggregates, so an origin with very many cards stays spread over tasks.
     """
-    k = cards.withColumn("origin", origin_key())
-    rank = F.struct(F.length("title"), "id")
-    return k.groupBy("origin").agg(F.count("*").alias("n"), F.min_by("id", rank).alias("master"), F.max_by("id", F.struct("added", "id")).alias("newest"), F.min(F.coalesce(F.array_min("tags"), F.lit("\uffff"))).alias("first_tag"))
+    k = cards.withColumns({"origin": origin_key(), "original": is_original()})
+    master = F.coalesce(F.min(F.when(F.col("original"), F.col("id"))), F.min_by("id", F.struct(F.length("title"), "id")))
+    tag = F.min(F.coalesce(F.array_min("tags"), F.lit("\uffff")))
+    return k.groupBy("origin").agg(F.count("*").alias("n"), master.alias("master"), F.max_by("id", F.struct("added", "id")).alias("newest"), tag.alias("first_tag"), F.min("id").alias("first"))
+
+
+def groups_with(cards: DataFrame, hits: DataFrame) -> DataFrame:
+    """(origin) of the groups that have a card among ``hits`` (id)."""
+    return cards.join(hits, "id", "left_semi").select(origin_key().alias("origin")).distinct()
+
+
+def normal_path(path: Column) -> Column:
+    """A path for comparison: lower case, no dot steps, single slashes."""
+    return F.regexp_replace(F.regexp_replace(F.lower(path), r"/(\./)+", "/"), "/{2,}", "/")
+
+
+def new_files(found: DataFrame, library: DataFrame) -> DataFrame:
+    """(path) of the files that the library does not have yet; both sides have ``path``."""
+    have = library.select(normal_path(F.col("path")).alias("path"))
+    return found.select(normal_path(F.col("path")).alias("path")).distinct().join(have, "path", "left_anti")
+
+
+def with_bookmarks(cards: DataFrame, headings: DataFrame) -> DataFrame:
+    """(id, bookmarks): headings of each card's document, none where it has no outline."""
+    n = headings.groupBy(F.col("doc_id").alias("id")).agg(F.count("*").alias("n"))
+    return cards.select("id").join(n, "id", "left").select("id", F.coalesce("n", F.lit(0)).alias("bookmarks"))
+
+
+def watch_changes(before: DataFrame, now: DataFrame) -> DataFrame:
+    """(path, do): watches to stop and to start when the watched paths change."""
+    old, new = before.select("path").distinct(), now.select("path").distinct()
+    return old.join(new, "path", "left_anti").withColumn("do", F.lit("stop")).unionByName(new.join(old, "path", "left_anti").withColumn("do", F.lit("start")))
+
+
+def job_counts(jobs: DataFrame, key: str) -> DataFrame:
+    """Queued and failed jobs of each ``key``, whether any is running and any has ended."""
+    is_ = lambda *names: F.col("status").isin(*names)
+    return jobs.groupBy(key).agg(F.count_if(is_("queued")).alias("queued"), F.count_if(is_("failed")).alias("failed"), F.bool_or(is_("running")).alias("running"), F.bool_or(is_("done", "failed")).alias("recent"))
 
 
 def twins(cards: DataFrame) -> DataFrame:
@@ -69,11 +123,13 @@ def toggled_tag(cards: DataFrame, tag: str, most: int = 8) -> DataFrame:
     return cards.withColumn("tags", F.when(has, F.array_remove("tags", tag)).otherwise(added))
 
 
-def victim(cards: DataFrame, cap: int) -> DataFrame:
-    """(origin): the group opened least recently, if there are more than ``cap`` groups."""
-    g = cards.groupBy(origin_key().alias("origin")).agg(F.max("opened").alias("opened"))
-    one = g.agg(F.count("*").alias("n"), F.min_by("origin", F.struct("opened", "origin")).alias("origin"))
-    return one.where(F.col("n") > cap).select("origin")
+def victim(cards: DataFrame, cap: int = 100, *, kept: list[int] | None = None) -> DataFrame:
+    """(origin): the group opened least recently, if there are more than ``cap``; groups that hold a card
+    of ``kept`` (the guide, the newest) are spared."""
+    spared = F.max(F.col("id").isin(kept or []).cast("int"))
+    g = cards.groupBy(origin_key().alias("origin")).agg(F.max("opened").alias("opened"), spared.alias("spared"))
+    one = g.agg(F.count("*").alias("n"), F.min_by(F.when(F.col("spared") == 0, F.col("origin")), F.when(F.col("spared") == 0, F.struct("opened", "origin"))).alias("origin"))
+    return one.where((F.col("n") > cap) & F.col("origin").isNotNull()).select("origin")
 
 
 def unique_titles(cards: DataFrame, wanted: DataFrame, title: Column) -> DataFrame:
@@ -97,15 +153,35 @@ def unique_names(cards: DataFrame, base: Column) -> DataFrame:
     return n.select("id", F.when(at == 1, F.col("stem")).otherwise(F.concat_ws("-", "stem", at.cast("string"))).alias("name"))
 
 
+# Words of a title search that say nothing.
+STOP = {"the", "and", "for", "that", "this", "with", "from", "a", "an", "of", "in", "to", "el", "la", "de", "los", "las", "un", "una", "het", "een", "van"}
+
+
 def title_hits(cards: DataFrame, query: str) -> DataFrame:
-    """Cards whose title or a tag holds the query, or whose title holds all its words or one of four letters."""
-    q = query.strip().lower()
-    words = q.split()
-    low = F.lower("title")
-    every = F.lit(bool(words))
-    some = F.lit(False)
-    for w in words:
-        every = every & F.contains(low, F.lit(w))
-        if len(w) >= 4:
-            some = some | F.contains(low, F.lit(w))
-    return cards.where(F.contains(low, F.lit(q)) | F.exists("tags", lambda t: F.contains(F.lower(t), F.lit(q))) | every | some)
+    """Cards whose title and source name hold the query or all its words, or one word of four letters, or
+    that have a tag with the query in it. A blank query has every card."""
+    q = query.strip()
+    if not q:
+        return cards
+    words = [w for w in re.split(r"[\W_]+", q.lower()) if len(w) > 2 and w not in STOP]
+    low = F.lower(F.concat_ws(" ", "title", "source_name"))
+    held = [F.contains(low, F.lit(w)) for w in words]
+    found = F.contains(low, F.lit(q.lower())) | F.exists("tags", lambda t: F.contains(F.lower(t), F.lit(q.removeprefix("#").lower())))
+    if held:
+        every = held[0]
+        for h in held[1:]:
+            every = every & h
+        found = found | every
+        for w, h in zip(words, held, strict=True):
+            found = found | h if len(w) >= 4 else found
+    return cards.where(found)
+
+
+def upserted(history: DataFrame, *, keep: int = 25) -> DataFrame:
+    """The newest of each (question, chapter, file), without regard to case, newest first, ``keep`` of them.
+
+    ``history`` is (at, question, chapter, file, id). Only the newest of each key goes on to the limit.
+    """
+    key = [F.lower(c).alias(c) for c in ("question", "chapter", "file")]
+    newest = history.groupBy(*key).agg(F.max(F.struct("at", "id", F.col("question").alias("q"))).alias("r"))
+    return newest.select("r.at", "r.id", F.col("r.q").alias("question")).orderBy(F.desc("at"), F.desc("id")).limit(keep)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import WindowSpec
 from pyspark.sql import functions as F
@@ -64,11 +64,18 @@ def tree(lines: DataFrame) -> DataFrame:
 
 
 def slugs(lines: DataFrame) -> DataFrame:
-    """(doc_id, ord, slug): lower case, dashes, and -2, -3 for those met before."""
-    base = F.regexp_replace(F.regexp_replace(F.lower("title"), r"[^\p{L}\p{N}]+", "-"), "^-+|-+$", "")
-    h = headings(lines).withColumn("base", F.when(base == "", "section").otherwise(base))
-    r = F.row_number().over(W.partitionBy("doc_id", "base").orderBy("ord"))
-    return h.withColumn("r", r).select("doc_id", "ord", F.when(F.col("r") == 1, F.col("base")).otherwise(F.concat_ws("-", "base", F.col("r").cast("string"))).alias("slug"))
+    """(doc_id, ord, slug): lower case and dashes; ``h-`` before what begins with a number or xml, and
+    -2, -3 and so on until no earlier slug of the document is equal."""
+    s = F.regexp_replace(F.regexp_replace(F.lower("title"), r"[^\p{L}\p{N}\p{M}]+", "-"), "^-+|-+$", "")
+    base = F.when(s == "", "h-section").when(s.rlike(r"^(xml|\p{N})"), F.concat(F.lit("h-"), s)).otherwise(s)
+    held = headings(lines).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ord", base.alias("base")))).alias("h"))
+
+    def step(used: Column, h: Column) -> Column:
+        free = F.get(F.filter(F.transform(F.sequence(F.lit(2), F.size(used) + 3), lambda n: F.concat_ws("-", h["base"], n.cast("string"))), lambda c: ~F.array_contains(used, c)), F.lit(0))
+        return F.array_append(used, F.when(F.array_contains(used, h["base"]), free).otherwise(h["base"]))
+
+    made = held.withColumn("s", F.aggregate("h", F.array().cast("array<string>"), step))
+    return made.select("doc_id", F.explode(F.arrays_zip("h", "s")).alias("x")).select("doc_id", F.col("x.h.ord").alias("ord"), F.col("x.s").alias("slug"))
 
 
 def chapters(lines: DataFrame) -> DataFrame:

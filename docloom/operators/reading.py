@@ -7,14 +7,29 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from . import library
 from .outline import doc
 
 
 def item_lines(items: DataFrame) -> DataFrame:
-    """(doc_id, line, text): placed words (doc_id, x, y, s) in rows three units high, from the top, left to right."""
+    """(doc_id, line, text): placed words (doc_id, x, y, s) in rows three units high, from the top, left to right.
+
+    White space within a row is one blank; rows without words are left out.
+    """
     held = items.withColumn("row", F.round(F.col("y") / 3) * 3).groupBy("doc_id", "row").agg(F.array_sort(F.collect_list(F.struct("x", "s"))).alias("r"))
+    text = F.trim(F.regexp_replace(F.array_join(F.transform("r", lambda x: x.s), " "), r"\s+", " "))
     line = F.row_number().over(W.partitionBy("doc_id").orderBy(F.desc("row"))) - 1
-    return held.select("doc_id", line.alias("line"), F.array_join(F.transform("r", lambda x: x.s), " ").alias("text"))
+    return held.select("doc_id", "row", text.alias("text")).where("text <> ''").select("doc_id", line.alias("line"), "text")
+
+
+#: What stands in the reader for a picture that is held in the text.
+PICTURE = "_A picture is stored as a file in the figures folder (Finder)._"
+
+
+def reader_lines(lines: DataFrame, most: int = 40_000, longest: int = 1_800) -> DataFrame:
+    """The first ``most`` lines, cut at ``longest`` characters; pictures held in the text as a remark."""
+    cut = F.when(F.length("text") > longest, F.concat(F.substring("text", 1, longest), F.lit("…"))).otherwise(F.col("text"))
+    return lines.where(F.col("line_no") < most).select("doc_id", "line_no", F.when(F.contains("text", F.lit("data:image")), PICTURE).otherwise(cut).alias("text"))
 
 
 def scanned(pages: DataFrame) -> DataFrame:
@@ -41,9 +56,15 @@ def body_starts(lines: DataFrame) -> DataFrame:
     return got.select("doc_id", F.when(F.col("open").isNotNull() & F.col("close").isNotNull(), F.col("close") + 1 + F.coalesce(F.col("blank"), F.lit(False)).cast("int")).otherwise(0).alias("start"))
 
 
-def opening_lines(lines: DataFrame, most: int = 80) -> DataFrame:
-    filled = lines.where(T.trim(F.col("text")) != "")
-    return filled.withColumn("n", F.row_number().over(doc())).where(F.col("n") <= most).select("doc_id", "line_no", "text")
+def opening_lines(lines: DataFrame) -> DataFrame:
+    """(doc_id, line_no, text): lines that are not blank of the first two marked pages, 160 at most, or
+    the first 80 where no page is marked before them."""
+    t = T.trim(F.col("text"))
+    mark = F.startswith(t, F.lit("<!-- page ")) & F.endswith(t, F.lit("-->"))
+    told = lines.withColumns({"mark": mark, "pages": F.sum(mark.cast("int")).over(doc())}).where((t != "") & (F.col("pages") <= 2))
+    told = told.withColumn("n", F.sum((~F.col("mark")).cast("int")).over(doc())).where("not mark and n <= 160")
+    at80 = F.max(F.when(F.col("n") == 80, F.col("pages"))).over(W.partitionBy("doc_id"))
+    return told.withColumn("at80", at80).where("n <= 80 or at80 > 0").select("doc_id", "line_no", "text")
 
 
 def place_key(c: Column) -> Column:
@@ -64,8 +85,10 @@ def edge_chrome(pages: DataFrame) -> DataFrame:
 
 
 def guarded(before: Column, after: Column) -> Column:
-    """The tidied text, or the original where too little is left."""
-    lost = (F.length(after) < 40) | ((F.length(before) > 200) & (F.length(after) * 5 < F.length(before)))
+    """The tidied text, or the original where too little is left, white space at the ends apart."""
+    size = lambda c: F.length(F.regexp_replace(c, r"^[\s\x{85}\p{Z}]+|[\s\x{85}\p{Z}]+$", ""))
+    a, b = size(before), size(after)
+    lost = (b < 40) | ((a > 200) & (b < F.floor(a / 5)))
     return F.when(lost, before).otherwise(after)
 
 
@@ -95,11 +118,24 @@ def natural_key(c: Column) -> Column:
 
 
 def zipped(text: Column, other: Column) -> Column:
-    """Each paragraph with its translation below."""
-    a, b = F.split(text, "\n\n"), F.split(other, "\n\n")
-    return F.array_join(F.transform(a, lambda p, i: F.concat_ws("\n\n", p, F.get(b, i))), "\n\n")
+    """Each paragraph with that of the other text below it as a quote, unless they are equal."""
+    a, b = F.split(text, "\n{2,}"), F.split(other, "\n{2,}")
+    pairs = F.transform(F.sequence(F.lit(0), F.greatest(F.size(a), F.size(b)) - 1), lambda i: F.struct(F.get(a, i).alias("a"), F.get(b, i).alias("b")))
+    quote = lambda p: F.when((p["b"] != "") & ~p["b"].eqNullSafe(p["a"]), F.concat(F.lit("> "), F.replace(p["b"], F.lit("\n"), F.lit("\n> "))))
+    parts = F.flatten(F.transform(pairs, lambda p: F.array(F.when(p["a"] != "", p["a"]), quote(p))))
+    return F.array_join(F.filter(parts, lambda x: x.isNotNull()), "\n\n")
 
 
 def figure_name(line: Column) -> Column:
-    r = r"!\[[^\]]*\]\(([^)\s]*/)?([^)/\s]+)\)"
-    return F.when(line.rlike(r), F.regexp_extract(line, r, 2))
+    """File name of the picture that a line begins with; null for other lines."""
+    t = T.trim(line)
+    path = F.regexp_extract(t, r"(?s)^!\[.*?\]\(([^)]*)\)", 1)
+    path = F.regexp_replace(F.regexp_replace(path, "(?s) .*$", ""), "^[\"' ]+|[\"' ]+$", "")
+    name = F.regexp_extract(path, "([^/]+)/*$", 1)
+    return F.when(name != "", name).when(path.rlike("^/+$"), F.lit("/"))
+
+
+def ordered_pair(path: Column, other: Column) -> Column:
+    """Whether ``path`` comes first of a pair: the original before its translation, else the shorter name."""
+    base, a, b = F.lower(library.pairing_stem(path)), library.stem(path), library.stem(other)
+    return F.when(F.lower(a) == base, True).when(F.lower(b) == base, False).otherwise(F.length(a) <= F.length(b))

@@ -10,20 +10,51 @@ from ..functions import text as T
 
 
 def yaml_quoted(c: Column) -> Column:
-    """Quoted where YAML would read something else."""
-    odd = c.rlike(r"[:#\[\]{}&*!|>'\"%@`,]|^[-?\s]|\s$|^$")
-    return F.when(odd, F.concat(F.lit('"'), F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))).otherwise(c)
-
-
-def yaml_block(fields: list[tuple[str, Column]]) -> Column:
-    """Front matter of the fields that are not empty, in their order."""
-    rows = [F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(f"{k}: "), yaml_quoted(c))) for k, c in fields]
-    return F.concat(F.lit("---\n"), F.concat_ws("\n", *rows), F.lit("\n---\n"))
-
-
-def titled(text: Column, title: Column) -> Column:
-    """A title block in front, unless the text begins with one."""
-    return F.when(F.startswith(text, F.lit("---\n")), text).otherwise(F.concat(F.lit("---\ntitle: "), yaml_quoted(title), F.lit("\n---\n\n"), text))
+    """A scalar on one line, quoted where YAML would read something else."""
+    t = F.regexp_replace(F.replace(c, F.lit("\n"), F.lit(" ")), r"^[\s\x{85}\p{Z}]+|[\s\x{85}\p{Z}]+$", "")
+    odd = t.rlike(r"[:#\[\]{}&*!|>'\"%@`]|^[-?]|^$")
+    return F.when(odd, F.concat(F.lit('"'), F.replace(F.replace(t, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))).otherwise(t)
+
+
+def yaml_escaped(c: Column) -> Column:
+    """A value in double quotes on one line."""
+    flat = F.regexp_replace(c, "\r\n|\n|\r", " ")
+    return F.concat(F.lit('"'), F.replace(F.replace(flat, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
+
+
+#: Keys of a record's block in their order, and the fields they come from; authors and subjects are lists.
+BLOCK = [
+    ("title", "title"), ("author", "authors"), ("publisher", "publisher"), ("date", "date"), ("rights", "rights"), ("description", "summary"), ("subject", "subjects"),
+    ("lang", "lang"), ("identifier", "isbn"), ("source", "source_name"), ("created", "created"), ("pdf-creator", "pdf_creator"), ("pdf-producer", "pdf_producer"),
+]
+
+
+def yaml_block(have: dict[str, Column]) -> Column:
+    """Front matter of a record's fields that are not empty, with an empty line below; null without any."""
+    rows = []
+    for key, field in BLOCK:
+        c = have.get(field)
+        if c is None:
+            continue
+        if key in ("author", "subject"):
+            items = F.filter(c, lambda x: F.coalesce(x, F.lit("")) != "")
+            listed = F.concat(F.lit(f"{key}:\n"), F.array_join(F.transform(items, lambda x: F.concat(F.lit("  - "), yaml_escaped(x))), "\n"))
+            rows.append(F.when(F.size(items) > 0, listed).when(F.size(c) > 0, F.lit(f"{key}:")))
+        elif key == "identifier":
+            n = T.valid_isbn(c)
+            rows.append(F.when(n.isNotNull(), F.concat(F.lit("identifier:\n  - scheme: ISBN-"), F.length(n).cast("string"), F.lit("\n    text: "), yaml_escaped(n))))
+        else:
+            t = F.regexp_replace(F.coalesce(c, F.lit("")), r"^[\s\x{85}\p{Z}]+|[\s\x{85}\p{Z}]+$", "")
+            rows.append(F.when(t != "", F.concat(F.lit(f"{key}: "), yaml_escaped(t))))
+    body = F.concat_ws("\n", *rows)
+    return F.when(body != "", F.concat(F.lit("---\n"), body, F.lit("\n---\n\n")))
+
+
+def titled(text: Column, title: Column, source: Column) -> Column:
+    """A block of title and source in front, unless the text begins with one or there is no title."""
+    named = F.coalesce(F.trim(title), F.lit(""))
+    block = F.concat(F.lit("---\ntitle: "), yaml_quoted(named), F.lit("\nsource: "), yaml_quoted(source), F.lit("\n---\n\n"), text)
+    return F.when(F.regexp_replace(text, r"^\s+", "").startswith("---") | (named == ""), text).otherwise(block)
 
 
 def opf(fields: list[tuple[str, Column]]) -> Column:
@@ -37,16 +68,35 @@ def filled(*sources: Column) -> Column:
 
 
 def newer(a: Column, b: Column) -> Column:
-    """Dotted versions as numbers, missing ones zero."""
-    parts = lambda c: F.transform(F.split(c, r"\."), lambda p: F.coalesce(p.try_cast("int"), F.lit(0)))
-    padded = lambda c: F.slice(F.concat(parts(c), F.array_repeat(F.lit(0), 6)), 1, 6)
-    return padded(a) > padded(b)
+    """Dotted versions as numbers: the digits of each part, parts without any left out, missing ones zero."""
+    parts = lambda c: F.filter(F.transform(F.split(c, r"\."), lambda p: F.regexp_replace(p, r"[^0-9]", "").try_cast("long")), lambda n: n.isNotNull())
+    x, y = parts(a), parts(b)
+    padded = lambda p, other: F.concat(p, F.array_repeat(F.lit(0).cast("long"), F.greatest(F.lit(0), F.size(other) - F.size(p))))
+    return padded(x, y) > padded(y, x)
+
+
+_DOT = r"^[ .]+|[ .]+$"
 
 
 def copyright_fields(line: Column) -> Column:
-    """year|holder of a copyright line; null for other lines."""
-    r = r"(?i)^\s*(?:copyright\s*)?(?:©|\(c\)|copyright)\s*([0-9]{4})?\s*(?:by\s+)?(.*)$"
-    return F.when(line.rlike(r), F.concat_ws("|", F.regexp_extract(line, r, 1), F.trim(F.regexp_extract(line, r, 2))))
+    """rights|year|author of a copyright line; null for other lines."""
+    t, r = T.plain_line(line), r"(?i)^copyright\b(?:\s*(?:©|\(c\)))?\s*[, ]*\s*([0-9]{4})?(?:\s+by\s+(.+))?$"
+    year, name = F.regexp_extract(t, r, 1), F.regexp_replace(F.regexp_extract(t, r, 2), _DOT, "")
+    author = F.when(F.length(name) >= 2, name).otherwise("")
+    rights = F.concat(F.lit("Copyright"), F.when(year != "", F.concat(F.lit(" © "), year)).otherwise(""), F.when(author != "", F.concat(F.lit(" by "), author)).otherwise(""))
+    return F.when(t.rlike(r), F.concat_ws("|", rights, year, author))
+
+
+def published_by(line: Column) -> Column:
+    """The house that a line says published the book; null for other lines."""
+    t, r = T.plain_line(line), r"(?i)^published by\s+(.{2,80})$"
+    name = F.regexp_replace(F.regexp_extract(t, r, 1), _DOT, "")
+    return F.when(t.rlike(r) & (F.length(name) >= 2), name)
+
+
+def isbn_line(line: Column) -> Column:
+    t, r = T.plain_line(line), r"(?i)^isbn(?:-1[03])?\s*[:#]?\s*([0-9x][0-9x \-]{8,22})$"
+    return F.when(t.rlike(r), F.regexp_extract(t, r, 1))
 
 
 def page_tick(c: Column) -> Column:
@@ -55,9 +105,24 @@ def page_tick(c: Column) -> Column:
     return F.when(c.rlike(r), F.concat_ws("|", F.regexp_extract(c, r, 1), F.regexp_extract(c, r, 2)))
 
 
+# What an answer says when the source has none.
+SILENT = [
+    "excerpt does not", "excerpt is silent", "not in the excerpt", "not in this chapter", "not in this file", "does not define", "does not provide an answer",
+    "does not mention", "not mentioned", "not defined in",
+]
+
+
 def silent(c: Column) -> Column:
     """An answer that says the source has none."""
-    return F.lower(c).rlike("does not (provide|mention|contain)|no answer|not enough information")
+    low, out = F.lower(c), F.lit(False)
+    for phrase in SILENT:
+        out = out | F.contains(low, F.lit(phrase))
+    return out
+
+
+def web_query(*parts: Column) -> Column:
+    """Question, title, chapter and note, so far as there are any."""
+    return F.concat_ws(" — ", *(F.when(p != "", p) for p in parts))
 
 
 def clip(text: Column, chapter: Column, title: Column, page: Column) -> Column:
@@ -113,3 +178,12 @@ def numbered_reply(c: Column) -> Column:
     pairs = F.transform(parts, lambda p: F.struct(F.regexp_extract(p, "^([0-9]+)>>>", 1).cast("int").alias("n"), F.regexp_replace(F.regexp_replace(p, "^[0-9]+>>>", ""), r"^\s+|\s+$", "").alias("t")))
     last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["n"] == p["n"]))
     return F.transform(F.array_sort(last), lambda p: F.concat_ws("|", p["n"].cast("string"), p["t"]))
+
+
+def unquoted(c: Column) -> Column:
+    """A YAML scalar without the quotes round it, its escapes undone."""
+    t = T.trim(c)
+    inner = F.substring(t, F.lit(2), F.length(t) - 2)
+    for a, b in (('\\"', '"'), ("\\'", "'"), ("\\\\", "\\")):
+        inner = F.replace(inner, F.lit(a), F.lit(b))
+    return F.when((F.length(t) >= 2) & F.left(t, F.lit(1)).isin('"', "'") & (F.left(t, F.lit(1)) == F.right(t, F.lit(1))), inner).otherwise(t)

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-from .functions.text import PAGE_LIKE, ROMAN, TRIM, UNREADABLE
 from .sources.relations import PROBE
 
+#: Written here anew, so that a wrong constant of the rules does not pass twice.
+SPACE = r"[\t \x{a0}\x{1680}\x{2000}-\x{200a}\x{202f}\x{205f}\x{3000}]"
+TRIM = f"^{SPACE}+|{SPACE}+$"
+UNREADABLE = r"[\x{0}-\x{8}\x{b}\x{c}\x{e}-\x{1f}\x{7f}-\x{9f}\x{fdd0}-\x{fdef}\x{fffc}-\x{ffff}]"
+ROMAN = r"^M{0,3}(?:CM|CD|D?C{0,3})(?:XC|XL|L?X{0,3})(?:IX|IV|V?I{0,3})$"
+PAGE_LIKE = r"(?i)^(?:page|página|pagina|seite|pág\.?|стр\.?|страница)\s*[0-9]+$|^第\s*[0-9]+\s*页$|^[0-9]+\s*(?:ページ|페이지)$"
+
 
 def q(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
@@ -36,6 +42,11 @@ def heading_marks(x: str) -> str:
 
 
 def atx_heading(x: str) -> str:
+    t = trim(x)
+    return f"nullif({trim(sub(t, '^#+'))}, '') || CASE WHEN {has(t, r'^#{1,6}[^#]') } AND {has(sub(t, '^#+'), r'^[\s\p{Z}]')} THEN '' END"
+
+
+def page_heading(x: str) -> str:
     head = r"^#{1,6}\s+"
     body = ext(x, r"^#{1,6}\s+(.*)")
     return f"CASE WHEN {has(x, head)} THEN trim({sub(body, chr(92) + 's+', ' ')}) END"
@@ -43,12 +54,15 @@ def atx_heading(x: str) -> str:
 
 def bold_line(x: str) -> str:
     t = trim(x)
-    r = r"^\*\*([^*]+)\*\*$"
-    return f"CASE WHEN {has(t, r)} THEN nullif({trim(ext(t, r))}, '') END"
+    inner = f"substr({t}, 3, length({t}) - 4)"
+    return f"CASE WHEN starts_with({t}, '**') AND ends_with({t}, '**') AND length({t}) > 4 AND NOT contains({inner}, '**') THEN {inner} END"
 
 
 def page_comment(x: str) -> str:
-    return f"CASE WHEN {has(trim(x), '^<!-- page [0-9]{1,9} *-->$')} THEN CAST({ext(x, '<!-- page ([0-9]+)')} AS INT) END"
+    t = trim(x)
+    inner = trim(f"substr({t}, 11, length({t}) - 13)")
+    n = f"TRY_CAST({inner} AS INT)"
+    return f"CASE WHEN starts_with({t}, '<!-- page ') AND ends_with({t}, '-->') AND {has(inner, '^[0-9]{1,9}$')} AND {n} > 0 THEN {n} END"
 
 
 def contents_line(x: str) -> str:
@@ -57,8 +71,9 @@ def contents_line(x: str) -> str:
 
 
 def contents_entry(x: str) -> str:
-    r = r"^(.*?\S)\s*(?:\.\s?){3,}\s*([0-9]{1,4})\s*$"
-    return f"CASE WHEN {has(x, r)} THEN concat_ws('|', {ext(x, r, 1)}, {ext(x, r, 2)}) END"
+    t = trim(x)
+    page, title = ext(t, r"([0-9]{1,4})\s*$"), trim(sub(t, r"\.{2,}\s*[0-9]{1,4}\s*$"))
+    return f"CASE WHEN {has(t, r'[.]{2,}' + chr(92) + 's*[0-9]{1,4}' + chr(92) + 's*$')} AND length({title}) > 1 THEN {title} || '|' || CAST({page} AS INT) END"
 
 
 def folded(x: str) -> str:
@@ -125,12 +140,18 @@ def readable(x: str) -> str:
 
 
 def close_gap(x: str) -> str:
-    return sub(sub(x, " {2,}", " "), " ([0-9]{1,4})$", r"  \1")
+    t = sub(x, " +", " ")
+    w = r"[\t\n\f\r\p{Z}]"
+    head = trim(sub(t, f"{w}[0-9]{{1,4}}{w}*$"))
+    return f"CASE WHEN {has(t, f'{w}[0-9]{{1,4}}{w}*$')} AND {head} <> '' THEN {head} || '  ' || {ext(t, f'([0-9]{{1,4}}){w}*$')} ELSE {t} END"
 
 
 def list_item(x: str) -> str:
-    r = r"^( *)([-*+]|[0-9]{1,3}[.)])\s+(\S.*)$"
-    return f"CASE WHEN {has(x, r)} THEN concat_ws('|', length({ext(x, r, 1)}), CASE WHEN {has(ext(x, r, 2), '^[0-9]')} THEN '1' ELSE '0' END, {ext(x, r, 3)}) END"
+    t = f"replace({x}, chr(9), '    ')"
+    rest = f"ltrim({t}, ' ')"
+    indent = f"length({t}) - length({rest})"
+    counted = r"^\p{N}{1,7}\. "
+    return f"CASE WHEN {has(rest, '^[-*+] ')} THEN ({indent}) || '|0|' || substr({rest}, 3) WHEN {has(rest, counted)} THEN ({indent}) || '|1|' || {sub(rest, counted)} END"
 
 
 def sentences(x: str) -> str:
@@ -174,7 +195,13 @@ def xml_escape(x: str) -> str:
 
 
 def home_scrubbed(x: str) -> str:
-    return sub(x, r"/(Users|home)/[^/\s]+", "~")
+    return sub(x, "/Users/[^/]+", "/Users/<user>")
+
+
+def footer_address(x: str) -> str:
+    t = trim(x)
+    body = sub(sub(f"lower({t})", "^https?://"), r"^www\.")
+    return f"(length({t}) BETWEEN 8 AND 80 AND NOT {has(t, chr(92) + 's')} AND contains({t}, '.') AND contains({body}, '.') AND NOT starts_with({body}, '.') AND NOT ends_with({body}, '.') AND {has(body, '^[a-z0-9.-]+$')})"
 
 
 def html_text(x: str) -> str:
@@ -207,4 +234,4 @@ BOOK = """raw AS (SELECT conv_id, turn, list_concat(['<!-- page ' || (turn + 1)
  cut AS (SELECT conv_id, turn, unnest(range(len(parts))) AS k, unnest(parts) AS text FROM raw),
  book AS (SELECT conv_id AS doc_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn, k) - 1)::INT AS line_no, text FROM cut)"""
 CARDS = """cards AS (SELECT doc_id AS id, substr(text, 1, 40) AS title, [lang, source] AS tags, CASE WHEN doc_id % 3 <> 0 THEN '/lib/' || source || '.PDF' ELSE '' END AS source_path,
-  '/lib/' || source || CASE WHEN lang <> 'en' THEN '.' || lang ELSE '' END || '.md' AS markdown_path, doc_id AS added, doc_id * 37 % 1009 AS opened, octet_length(encode(text)) AS bytes FROM documents)"""
+  source || '.pdf' AS source_name, '/lib/' || source || CASE WHEN lang <> 'en' THEN '.' || lang ELSE '' END || '.md' AS markdown_path, doc_id AS added, doc_id * 37 % 1009 AS opened, octet_length(encode(text)) AS bytes FROM documents)"""

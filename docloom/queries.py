@@ -86,11 +86,6 @@ _kinds = "[" + ", ".join(O.q(x) for x in [*R.EXTENSIONS, "exe", "PDF"]) + "]"
 _add("a01_accepted_files", lambda s, d: _docs(s, d).select("doc_id", _kind()).where(F.lower("kind").isin(R.EXTENSIONS)), f"SELECT * FROM (SELECT doc_id, {_kinds}[doc_id % 26 + 1] AS kind FROM documents) WHERE lower(kind) IN ({', '.join(map(O.q, R.EXTENSIONS))})")
 _add("a02_ready_markdown", lambda s, d: _docs(s, d).select("doc_id", _kind()).where(F.lower("kind").isin(R.READY)), f"SELECT * FROM (SELECT doc_id, {_kinds}[doc_id % 26 + 1] AS kind FROM documents) WHERE lower(kind) IN ('md', 'markdown')")
 _add("a03_url_source", lambda s, d: _docs(s, d).select("doc_id", F.concat(F.lit("app://open?file=/in/"), "source", F.lit(".md&n="), F.col("doc_id").cast("string")).alias("u")).select("doc_id", F.parse_url("u", F.lit("QUERY"), F.lit("file")).alias("path")), "SELECT doc_id, '/in/' || source || '.md' AS path FROM documents")
-_add(
-    "a04_bounded_read",
-    lambda s, d: _docs(s, d).select("doc_id", F.encode("text", "UTF-8").alias("b")).where(F.length("b") > 8).select("doc_id", F.least(F.length("b"), F.lit(2000)).cast("long").alias("kept"), (F.length("b") > 2000).alias("truncated"), F.md5(F.substring("b", 1, 2000)).alias("digest")).drop("digest"),
-    "SELECT doc_id, least(octet_length(encode(text)), 2000)::BIGINT AS kept, octet_length(encode(text)) > 2000 AS truncated FROM documents WHERE octet_length(encode(text)) > 8",
-)
 _add("a07_html_text", lambda s, d: R.table(s, d, "pages").select("page_id", R.html_text(F.col("html")).alias("text")), f"SELECT page_id, {O.html_text('html')} AS text FROM pages")
 _add("a13_html_markdown", lambda s, d: R.table(s, d, "pages").select("page_id", R.html_markdown(F.col("html")).alias("text")), f"SELECT page_id, {O.html_markdown('html')} AS text FROM pages")
 _add(
@@ -99,17 +94,6 @@ _add(
     """WITH raw AS (SELECT doc_id, [doc_id::VARCHAR || ', ' || lang || ',' || replace(substr(text, 1, 30), chr(10), ',')] AS rows FROM documents)
     SELECT doc_id, '| id | lang | note |' || chr(10) || '| --- | --- | --- |' || chr(10) || list_aggregate(list_transform(rows, lambda r: '| ' || array_to_string(list_transform(string_split(r, ','), lambda c: trim(c)), ' | ') || ' |'), 'string_agg', chr(10)) || chr(10) AS text FROM raw""",
 )
-_add(
-    "a12_xml_text",
-    lambda s, d: R.table(s, d, "pages").select("page_id", R.xml_text(F.col("html")).alias("text")),
-    "SELECT page_id, " + O.sub("replace(replace(replace(" + O.sub(O.sub("html", "</(w:p|a:p|p|si)>", "\n"), "<[^>]+>") + ", '&lt;', '<'), '&gt;', '>'), '&amp;', '&')", "[ \\t]+\n", "\n") + " AS text FROM pages",
-)
-_add(
-    "a24_thin_output",
-    lambda s, d: _docs(s, d).select("doc_id", (F.regexp_count(F.regexp_replace("text", r"!\[[^\]]*\]\([^)]*\)|<!--.*?-->|(?m)^# Page [0-9]+$", ""), F.lit(r"\p{L}")) < 60).alias("thin")),
-    "SELECT doc_id, len(regexp_extract_all(text, '\\p{L}')) < 60 AS thin FROM documents",
-)
-_add("a25_empty_output", lambda s, d: _docs(s, d).select("doc_id", (F.length(F.regexp_replace("text", r"[#>*_|\s-]", "")) < 80).alias("blank")), r"SELECT doc_id, length(regexp_replace(text, '[#>*_|\s-]', '', 'g')) < 80 AS blank FROM documents")
 
 # Sinks.
 def _base() -> Column:
@@ -117,17 +101,15 @@ def _base() -> Column:
 
 
 _base_sql = r"regexp_replace(regexp_replace(regexp_extract(markdown_path, '([^/]*)$', 1), '\.[^.]*$', ''), '(?i)\.(" + "|".join(library.CODES) + r")(-[0-9]+)?$', '')"
-_add("b01_output_path", lambda s, d: _cards(s, d).select("id", F.concat_ws("/", library.folder(F.col("markdown_path")), _base(), F.concat(_base(), F.lit(".md"))).alias("path")), f"WITH {O.CARDS} SELECT id, regexp_replace(markdown_path, '/[^/]*$', '') || '/' || {_base_sql} || '/' || {_base_sql} || '.md' AS path FROM cards")
 _add("b02_unique_names", lambda s, d: library.unique_names(_cards(s, d), _base()), f"WITH {O.CARDS}, k AS (SELECT id, {_base_sql} AS stem FROM cards), n AS (SELECT id, stem, row_number() OVER (PARTITION BY stem ORDER BY id) AS r FROM k) SELECT id, CASE WHEN r = 1 THEN stem ELSE stem || '-' || r END AS name FROM n")
 
 # Lines, pages, paragraphs.
-_add("c01_reader_lines", lambda s, d: _lines(s, d).where("line_no < 40000").select("doc_id", "line_no", F.when(F.length("text") > 180, F.concat(F.substring("text", 1, 180), F.lit("…"))).otherwise(F.col("text")).alias("text")), f"WITH {O.LINES} SELECT doc_id, line_no, CASE WHEN length(text) > 180 THEN substr(text, 1, 180) || '…' ELSE text END AS text FROM lines WHERE line_no < 40000")
 _heads = "h0 AS (SELECT doc_id, line_no, " + O.heading_text("text") + " AS title, least(" + O.heading_marks("text") + ", 3) AS level FROM src), h AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY line_no)::INT AS ord, line_no, level::INT AS level, title FROM h0 WHERE title IS NOT NULL AND title <> 'Outline' AND NOT " + O.page_like("title") + ")"
 _MD = f"WITH {O.MARKDOWN}, src AS (SELECT * FROM md), {_heads}, ends AS (SELECT doc_id, max(line_no) AS e FROM src GROUP BY 1)"
 _PR = f"WITH {O.PROBES}, src AS (SELECT * FROM probe), {_heads}, ends AS (SELECT doc_id, max(line_no) AS e FROM src GROUP BY 1)"
 _BK = f"WITH {O.BOOK}"
 _add("c03_headings", lambda s, d: outline.headings(_probe(s, d)), f"{_PR} SELECT * FROM h WHERE ord <= 180")
-_add("c04_page_headings", lambda s, d: _md(s, d).select("doc_id", "line_no", T.atx_heading(F.col("text")).alias("title")).where("title is not null"), f"WITH {O.MARKDOWN} SELECT * FROM (SELECT doc_id, line_no, {O.atx_heading('text')} AS title FROM md) WHERE title IS NOT NULL")
+_add("c04_page_headings", lambda s, d: _md(s, d).select("doc_id", "line_no", T.page_heading(F.col("text")).alias("title")).where("title is not null"), f"WITH {O.MARKDOWN} SELECT * FROM (SELECT doc_id, line_no, {O.page_heading('text')} AS title FROM md) WHERE title IS NOT NULL")
 _add("c10_pages", lambda s, d: outline.section_at(_book(s, d)).where("page is not null").groupBy("doc_id", "page").agg(F.count("*").alias("n")), f"{_BK}, p AS (SELECT doc_id, last_value({O.page_comment('text')} IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no) AS page FROM book) SELECT doc_id, page, count(*) AS n FROM p WHERE page IS NOT NULL GROUP BY 1, 2")
 _para = "list_filter(list_transform(string_split(array_to_string(list_transform(string_split(text, '\n'), lambda t: CASE WHEN " + O.has(O.trim("t"), "^($|#|<!--)") + " THEN '\u0001' ELSE " + O.trim("t") + " END), ' '), '\u0001'), lambda p: " + O.sub("p", r"^\s+|\s+$") + "), lambda p: p <> '')"
 _add("c12_paragraphs", lambda s, d: _md(s, d).groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda r: r.text), "\n").alias("text")).select("doc_id", F.posexplode(search.paragraphs(F.col("text"))).alias("pos", "paragraph")), f"WITH {O.MARKDOWN}, t AS (SELECT doc_id, string_agg(text, '\n' ORDER BY line_no) AS text FROM md GROUP BY 1), p AS (SELECT doc_id, {_para} AS ps FROM t) SELECT doc_id, unnest(range(len(ps)))::INT AS pos, unnest(ps) AS paragraph FROM p")
@@ -136,8 +118,6 @@ _add("c12_paragraphs", lambda s, d: _md(s, d).groupBy("doc_id").agg(F.array_join
 _key = "CASE WHEN t <> '' AND NOT " + O.has("t", r"^(!\[|\|)") + f" AND ({O.page_comment('t')}) IS NULL AND NOT {O.contents_line('t')} AND length(coalesce({O.heading_text('t')}, t)) <= 80 AND len(list_filter(string_split_regex(coalesce({O.heading_text('t')}, t), '\\s+'), lambda w: {O.has('w', chr(92) + 'p{L}')})) BETWEEN 2 AND 14 THEN {O.folded('coalesce(' + O.heading_text('t') + ', t)')} END"
 _keyed = f"keyed AS (SELECT doc_id, line_no, text, {_key} AS key FROM (SELECT *, {O.trim('text')} AS t FROM book))"
 _add("d08_chrome_key", lambda s, d: cleanup.with_chrome_key(_book(s, d)).where("key is not null").select("doc_id", "line_no", "key"), f"{_BK}, {_keyed} SELECT doc_id, line_no, key FROM keyed WHERE key IS NOT NULL")
-_add("d07_repeated_lines", lambda s, d: cleanup.repeated_lines(_book(s, d), 4), f"{_BK}, {_keyed} SELECT doc_id, key, count(*) AS times FROM keyed WHERE key IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 4")
-_add("d07b_without_repeated", lambda s, d: cleanup.without_repeated(_book(s, d), 4), f"{_BK}, {_keyed}, c AS (SELECT *, count(*) OVER (PARTITION BY doc_id, key) AS times, ({O.heading_text('text')}) IS NOT NULL AS head, sum((({O.heading_text('text')}) IS NOT NULL)::INT) OVER (PARTITION BY doc_id, key ORDER BY line_no) AS nth FROM keyed) SELECT doc_id, line_no, text FROM c WHERE key IS NULL OR times < 4 OR (head AND nth = 1)")
 _add(
     "d10_page_chrome", lambda s, d: cleanup.page_chrome(_book(s, d)),
     f"{_BK}, p AS (SELECT doc_id, last_value({O.page_comment('text')} IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no) AS page, {O.trim('text')} AS t FROM book), n AS (SELECT doc_id, count(DISTINCT page) AS n FROM p WHERE page IS NOT NULL GROUP BY 1), k AS (SELECT doc_id, page, {O.fold_line('t')} AS key FROM p WHERE page IS NOT NULL AND t <> '' AND ({O.page_comment('t')}) IS NULL AND {O.numbered_heading('t')} = t AND ({O.numbered_callout('t')}) IS NULL), c AS (SELECT doc_id, key, count(DISTINCT page) AS pages FROM k WHERE length(key) BETWEEN 4 AND 60 GROUP BY 1, 2) SELECT c.* FROM c JOIN n USING (doc_id) WHERE pages >= greatest(3, ceil(n * 0.34))",
@@ -165,8 +145,6 @@ _add("f13_page_bounds", lambda s, d: outline.page_starts(_book(s, d)), f"{_BK},
 _add("f15_level_ordinals", lambda s, d: outline.level_ordinals(_probe(s, d)), f"{_PR} SELECT doc_id, ord, level, row_number() OVER (PARTITION BY doc_id, level ORDER BY ord) AS nth FROM h WHERE ord <= 180")
 _add("f19_heading_tree", lambda s, d: outline.tree(_probe(s, d)), f"{_PR} SELECT a.doc_id, a.ord, a.title, (SELECT max(b.ord) FROM h b WHERE b.doc_id = a.doc_id AND b.ord < a.ord AND b.level < a.level) AS parent FROM h a WHERE a.ord <= 180")
 _add("f21_chapters", lambda s, d: outline.chapters(_probe(s, d)), f"{_PR}, t AS (SELECT doc_id, min(level) AS level FROM h GROUP BY 1), c AS (SELECT doc_id, line_no AS first, title FROM h JOIN t USING (doc_id, level)), s AS (SELECT doc_id, min(first) AS start FROM c GROUP BY 1) SELECT * FROM c UNION ALL SELECT DISTINCT doc_id, 0, 'Front matter' FROM src JOIN s USING (doc_id) WHERE line_no < start AND {O.trim('text')} <> ''")
-_slug = O.sub(O.sub("lower(title)", r"[^\p{L}\p{N}]+", "-"), "^-+|-+$")
-_add("f23_slugs", lambda s, d: outline.slugs(_probe(s, d)), f"{_PR}, b AS (SELECT doc_id, ord, coalesce(nullif({_slug}, ''), 'section') AS base FROM h WHERE ord <= 180), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, base ORDER BY ord) AS r FROM b) SELECT doc_id, ord, CASE WHEN r = 1 THEN base ELSE base || '-' || r END AS slug FROM r")
 
 # Search.
 _QUERY = "(the of OR clown) NOT idiot"
@@ -176,7 +154,6 @@ _add("g04_boolean_search", lambda s, d: search.matching(_docs(s, d), _QUERY).sel
 _add("g08_contains", lambda s, d: _docs(s, d).where(search.contains(F.col("text"), "ELLE")).select("doc_id"), f"SELECT doc_id FROM documents WHERE {_like('text', 'elle')}")
 _add("g05_hit_lines", lambda s, d: retrieval.hit_lines(_lines(s, d), _QUERY), f"WITH {O.LINES}, p AS (SELECT *, sum(({O.has(O.trim('text'), '^($|#|<!--)')})::INT) OVER (PARTITION BY doc_id ORDER BY line_no) AS para, {O.has(O.trim('text'), '^($|#|<!--)')} AS stop FROM lines), j AS (SELECT doc_id, para, string_agg(text, ' ' ORDER BY line_no) AS p, max(({_like('text', 'the')} OR {_like('text', 'of')} OR {_like('text', 'clown')})::INT) AS asked FROM p WHERE NOT stop GROUP BY 1, 2), k AS (SELECT * FROM j WHERE ({_cond('p')}) OR len(list_filter({O.sentences('p')}, lambda s: {_cond('s')})) > 0), h AS (SELECT p.doc_id, p.line_no, row_number() OVER (PARTITION BY p.doc_id ORDER BY p.line_no) AS n FROM p JOIN k USING (doc_id, para) WHERE NOT stop AND (asked = 0 OR {_like('text', 'the')} OR {_like('text', 'of')} OR {_like('text', 'clown')})) SELECT doc_id, line_no FROM h WHERE n <= 120")
 _add("g10_occurrences", lambda s, d: retrieval.occurrences(_lines(s, d), "the"), f"WITH {O.LINES}, f AS (SELECT doc_id, line_no, least(6, len(regexp_extract_all(lower(text), 'the'))) AS n FROM lines), b AS (SELECT *, sum(n) OVER (PARTITION BY doc_id ORDER BY line_no) - n AS before FROM f WHERE n > 0) SELECT doc_id, line_no, least(n, 120 - before)::INT AS n FROM b WHERE before < 120")
-_add("g12_title_hits", lambda s, d: library.title_hits(_cards(s, d), "ention er").select("id"), f"WITH {O.CARDS} SELECT id FROM cards WHERE contains(lower(title), 'ention er') OR (contains(lower(title), 'ention') AND contains(lower(title), 'er')) OR contains(lower(title), 'ention')")
 _sent = "string_split(" + O.sub("text", r"([.?!])\s+|\n+", "\\1\u0001") + ", '\u0001')"
 _add("g13_word_search", lambda s, d: search.matching_by_word(_docs(s, d), "the AND of OR clown NOT idiot").select("doc_id"), f"SELECT doc_id FROM documents WHERE len(list_filter({_sent}, lambda s: (contains(lower(s), 'the') AND contains(lower(s), 'of')) OR contains(lower(s), 'clown') OR NOT contains(lower(s), 'idiot'))) > 0")
 
@@ -188,27 +165,19 @@ _best = lambda ps, ws: f"WITH p AS (SELECT doc_id, unnest(range(len({ps}))) AS p
 _edge = r"^\s+|\s+$"
 _add("h01_answers", lambda s, d: retrieval.best_passages(_docs(s, d), _Q), _best(f"list_transform(string_split(text, '\n\n'), lambda p: {O.sub('p', _edge)})", _words))
 _add("h02_sentence_answers", lambda s, d: retrieval.best_passages(_docs(s, d), _Q, pieces=T.sentences(F.col("text")), over=3), _best(O.sentences("text"), retrieval.question_words(_Q, 3)))
-_add("h09_history", lambda s, d: _changes(s, d).withColumn("r", F.row_number().over(W.partitionBy("path").orderBy(F.desc("ts"), F.desc("event_id")))).where("r = 1").orderBy(F.desc("ts"), F.desc("event_id")).limit(25).select("path", "event_id"), "SELECT path, event_id FROM (SELECT '/in/' || user_id || '.md' AS path, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1 ORDER BY ts DESC, event_id DESC LIMIT 25")
 
 # Library.
 _origin = f"CASE WHEN source_path <> '' THEN lower(source_path) ELSE lower(regexp_replace(markdown_path, '/[^/]*$', '')) || '|' || lower({_base_sql}) END"
-_groups = f"WITH {O.CARDS}, k AS (SELECT *, {_origin} AS origin FROM cards), g AS (SELECT origin, count(*) AS n, arg_min(id, (length(title), id)) AS master, arg_max(id, (added, id)) AS newest, min(coalesce(list_min(tags), chr(65535))) AS first_tag, max(opened) AS opened FROM k GROUP BY 1)"
-_add("j01_groups", lambda s, d: library.groups(_cards(s, d)), f"{_groups} SELECT origin, n, master, newest, first_tag FROM g")
+_groups = f"WITH {O.CARDS}, k AS (SELECT *, {_origin} AS origin FROM cards), g AS (SELECT origin, count(*) AS n, coalesce(min(id) FILTER (lower(regexp_replace(regexp_extract(markdown_path, '([^/]*)$', 1), '\\.[^.]*$', '')) = lower({_base_sql})), arg_min(id, (length(title), id))) AS master, arg_max(id, (added, id)) AS newest, min(id) AS first, min(coalesce(list_min(tags), chr(65535))) AS first_tag, max(opened) AS opened FROM k GROUP BY 1)"
+_add("j01_groups", lambda s, d: library.groups(_cards(s, d)), f"{_groups} SELECT origin, n, master, newest, first_tag, first FROM g")
 _add("i01_twins", lambda s, d: library.twins(_cards(s, d)), f"{_groups} SELECT id, master FROM k JOIN g USING (origin) WHERE id <> master")
-_add("i04_semi", lambda s, d: _docs(s, d).join(R.table(s, d, "labels"), "doc_id", "left_semi").select("doc_id"), "SELECT doc_id FROM documents SEMI JOIN labels USING (doc_id)")
-_add("i05_anti", lambda s, d: _docs(s, d).join(R.table(s, d, "labels"), "doc_id", "left_anti").select("doc_id"), "SELECT doc_id FROM documents ANTI JOIN labels USING (doc_id)")
-_add("i06_left_default", lambda s, d: _docs(s, d).join(R.table(s, d, "labels"), "doc_id", "left").select("doc_id", F.coalesce("quality", F.lit(-1)).alias("quality")), "SELECT doc_id, coalesce(quality, -1) AS quality FROM documents LEFT JOIN labels USING (doc_id)")
 _add("i11_unique_title", lambda s, d: library.unique_titles(_cards(s, d), _cards(s, d).select(T.catalog_title(F.col("title")).alias("want")).distinct(), T.catalog_title(F.col("title"))), f"WITH {O.CARDS}, t AS (SELECT {O.catalog_title('title')} AS want, count(*) AS n, min(id) AS id FROM cards GROUP BY 1) SELECT want, CASE WHEN n = 1 THEN id END AS id FROM t")
 _add("j05_tag_counts", lambda s, d: library.tag_counts(_cards(s, d)), f"WITH {O.CARDS} SELECT tag, count(*) AS cards FROM (SELECT id, unnest(list_distinct(tags)) AS tag FROM cards) GROUP BY 1")
 _add("j14_cost", lambda s, d: _cards(s, d).agg((F.sum("bytes") / 4 * 18 / 1e6).alias("usd")), f"WITH {O.CARDS} SELECT sum(bytes) / 4 * 18 / 1e6 AS usd FROM cards")
-_add("j15_job_counts", lambda s, d: R.table(s, d, "events").groupBy("event_type").agg(F.count("*").alias("n")), "SELECT event_type, count(*) AS n FROM events GROUP BY 1")
-_add("k01_sorted_cards", lambda s, d: _cards(s, d).select("id", "title", F.lower("title").alias("k")).orderBy("k", "id").limit(50).select("id", "title"), f"WITH {O.CARDS} SELECT id, title FROM cards ORDER BY lower(title) COLLATE C, id LIMIT 50".replace(" COLLATE C", ""))
 _add("k05_newest_finished", lambda s, d: (lambda e: e.where("event_type = 'purchase'").orderBy(F.desc("ts"), F.desc("event_id")).limit(10).unionByName(e.where("event_type <> 'purchase'")))(R.table(s, d, "events").select("event_id", "event_type", "ts")).select("event_id"), "(SELECT event_id FROM events WHERE event_type = 'purchase' ORDER BY ts DESC, event_id DESC LIMIT 10) UNION ALL SELECT event_id FROM events WHERE event_type <> 'purchase'")
-_add("k06_least_recent", lambda s, d: library.victim(_cards(s, d), 5), f"{_groups} SELECT arg_min(origin, (opened, origin)) AS origin FROM g HAVING count(*) > 5")
 _add("k07_recent_languages", lambda s, d: _docs(s, d).groupBy("lang").agg(F.max("doc_id").alias("last")).orderBy(F.desc("last")).limit(6).select("lang"), "SELECT lang FROM documents GROUP BY lang ORDER BY max(doc_id) DESC LIMIT 6")
 _add("l01_with_tags", lambda s, d: library.with_tags(_cards(s, d), ["fr", "src0"]).select("id"), "SELECT doc_id AS id FROM documents WHERE lang = 'fr' AND source = 'src0'")
 _add("l02_union_paths", lambda s, d: _cards(s, d).select(F.col("source_path").alias("path")).union(_cards(s, d).select("markdown_path")).distinct(), f"WITH {O.CARDS} SELECT source_path AS path FROM cards UNION SELECT markdown_path FROM cards")
-_add("l03_difference", lambda s, d: _docs(s, d).select("doc_id").subtract(R.table(s, d, "labels").select("doc_id")), "SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels")
 _add("l05_renamed_tag", lambda s, d: library.renamed_tag(_cards(s, d), "src1", "fr").select("id", F.array_join("tags", ",").alias("tags")), "SELECT doc_id AS id, CASE WHEN source = 'src1' AND lang = 'fr' THEN 'fr' WHEN source = 'src1' THEN lang || ',fr' ELSE lang || ',' || source END AS tags FROM documents")
 _add("l06_toggled_tag", lambda s, d: library.toggled_tag(_cards(s, d), "src2").select("id", F.array_join("tags", ",").alias("tags")), "SELECT doc_id AS id, CASE WHEN source = 'src2' THEN lang ELSE lang || ',' || source || ',src2' END AS tags FROM documents")
 _add("l07_without_tag", lambda s, d: library.without_tag(_cards(s, d), "en").select("id", F.array_join("tags", ",").alias("tags")), "SELECT doc_id AS id, CASE WHEN lang = 'en' THEN source ELSE lang || ',' || source END AS tags FROM documents")
@@ -216,6 +185,5 @@ _add("m14_pairing_stem", lambda s, d: _cards(s, d).select("id", _base().alias("s
 _add("m15_origin_key", lambda s, d: _cards(s, d).select("id", library.origin_key().alias("origin")), f"WITH {O.CARDS} SELECT id, {_origin} AS origin FROM cards")
 
 # Streams, in their batch form.
-_add("p02_sessions", lambda s, d: C.sessions(_changes(s, d)), "WITH e AS (SELECT '/in/' || user_id || '.md' AS path, ts, event_id FROM events), g AS (SELECT *, (lag(ts) OVER w IS NULL OR ts >= lag(ts) OVER w + INTERVAL 10 MINUTE)::INT AS fresh FROM e WINDOW w AS (PARTITION BY path ORDER BY ts)), k AS (SELECT *, sum(fresh) OVER (PARTITION BY path ORDER BY ts, event_id) AS k FROM g) SELECT path, min(ts) AS start, count(*) AS n FROM k GROUP BY path, k.k")
 _add("p04_real_changes", lambda s, d: C.real_changes(_changes(s, d)).select("path", "event_id"), "SELECT path, event_id FROM (SELECT '/in/' || user_id || '.md' AS path, event_id, value, lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events) WHERE value IS DISTINCT FROM before")
 _add("p08_latest", lambda s, d: _changes(s, d).groupBy("path").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("event_id")), "SELECT '/in/' || user_id || '.md' AS path, arg_max(event_id, (ts, event_id)) AS event_id FROM events GROUP BY user_id")

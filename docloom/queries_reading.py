@@ -28,10 +28,6 @@ def _probe(s: SparkSession, d: str) -> DataFrame:
     return R.probe_lines(_docs(s, d))
 
 
-_add(
-    "a19_item_lines", lambda s, d: reading.item_lines(_docs(s, d).select("doc_id", F.posexplode(F.split(F.substring("text", 1, 400), " ")).alias("k", "s")).select("doc_id", (F.col("k") % 5 * 10 + F.col("k") / 1000).alias("x"), (500 - F.floor(F.col("k") / 5) * 9 - F.col("k") % 2).cast("double").alias("y"), "s")),
-    "WITH w AS (SELECT doc_id, unnest(range(len(a))) AS k, unnest(a) AS s FROM (SELECT doc_id, string_split(substr(text, 1, 400), ' ') AS a FROM documents)), i AS (SELECT doc_id, k % 5 * 10 + k / 1000 AS x, round((500 - k // 5 * 9 - k % 2) / 3.0) * 3 AS r, s FROM w), g AS (SELECT doc_id, r, string_agg(s, ' ' ORDER BY x, s) AS text FROM i GROUP BY 1, 2) SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY r DESC) - 1 AS line, text FROM g",
-)
 _add(
     "a22_scanned", lambda s, d: reading.scanned(R.table(s, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page"), F.length("text").alias("chars"), (F.length("text") % 4).alias("ops"))),
     "WITH p AS (SELECT conv_id AS doc_id, turn AS page, length(text) AS chars, length(text) % 4 AS ops, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations), s AS (SELECT doc_id, count(*) AS k, sum((ops < 2)::INT) AS thin, sum(chars) AS chars FROM p WHERE page IN (0, 1) OR (page = 2 AND n > 8) OR page = n // 2 OR page = n * 3 // 4 OR page = n - 1 GROUP BY 1) SELECT doc_id, thin * 2 >= k OR chars < 48 * k AS scan FROM s",
@@ -41,18 +37,14 @@ _add(
     "c18_body_starts", lambda s, d: reading.body_starts(R.lines(_docs(s, d).select("doc_id", F.expr(_front).alias("text")))),
     f"WITH d AS (SELECT doc_id, {_front} AS text FROM documents), l AS ({O.split_lines('d', 'doc_id', 'text')}), m AS (SELECT doc_id, max(CASE WHEN line_no = 0 AND {O.trim('text')} = '---' THEN 1 END) AS o, min(CASE WHEN line_no BETWEEN 1 AND 40 AND {O.trim('text')} = '---' THEN line_no END) AS c FROM l GROUP BY 1) SELECT m.doc_id, CASE WHEN o IS NOT NULL AND c IS NOT NULL THEN c + 1 + coalesce(({O.trim('l.text')} = '')::INT, 0) ELSE 0 END AS start FROM m LEFT JOIN l ON l.doc_id = m.doc_id AND l.line_no = m.c + 1",
 )
-_add("c20_opening_lines", lambda s, d: reading.opening_lines(_probe(s, d), 12), f"WITH {O.PROBES} SELECT doc_id, line_no, text FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS n FROM probe WHERE {O.trim('text')} <> '') WHERE n <= 12")
-_add("c27_figure_name", lambda s, d: _docs(s, d).select("doc_id", reading.figure_name(F.concat(F.lit("see ![x](figures/"), "source", F.lit(".png)"))).alias("name")), "SELECT doc_id, source || '.png' AS name FROM documents")
 _add(
     "d11_edge_chrome", lambda s, d: reading.edge_chrome(R.table(s, d, "conversations").select(F.col("conv_id").alias("doc_id"), "turn", F.split(F.concat(F.lit("Notes "), F.col("turn").cast("string"), F.lit("\nMore\n"), "text", F.lit("\nPage "), F.col("turn").cast("string")), "\n").alias("lines"))),
     r"WITH p AS (SELECT conv_id AS doc_id, string_split('Notes ' || turn || chr(10) || 'More' || chr(10) || text || chr(10) || 'Page ' || turn, chr(10)) AS l FROM conversations), n AS (SELECT doc_id, count(*) AS n FROM p GROUP BY 1), e AS (SELECT doc_id, unnest(list_concat(l[1:2], l[greatest(len(l) - 1, 1):len(l)])) AS t FROM p), k AS (SELECT doc_id, trim(regexp_replace(regexp_replace(lower(t), '\s+', ' ', 'g'), '[0-9./:-]+', '#', 'g')) AS key FROM e), c AS (SELECT doc_id, key, count(*) AS times FROM k WHERE length(key) >= 4 AND length(key) < 70 GROUP BY 1, 2) SELECT c.* FROM c JOIN n USING (doc_id) WHERE n >= 3 AND times >= greatest(3, floor(n * 0.45))",
 )
-_add("d19_guarded", lambda s, d: _docs(s, d).select("doc_id", reading.guarded(F.col("text"), F.substring("text", 1, 70)).alias("text")), "SELECT doc_id, CASE WHEN length(substr(text, 1, 70)) < 40 OR (length(text) > 200 AND length(substr(text, 1, 70)) * 5 < length(text)) THEN text ELSE substr(text, 1, 70) END AS text FROM documents")
 _add("d37_edit_map", lambda s, d: reading.edit_map(_probe(s, d), (F.col("doc_id") + F.col("line_no")) % 3 == 0), f"WITH {O.PROBES} SELECT doc_id, line_no AS old_line, greatest(sum(((doc_id + line_no) % 3 <> 0)::INT) OVER (PARTITION BY doc_id ORDER BY line_no) - 1, 0)::INT AS new_line FROM probe")
 _add("j10_fences", lambda s, d: reading.fences(_probe(s, d).withColumn("text", F.when(F.col("line_no") % 5 == 2, "```x").otherwise(F.col("text")))), f"WITH {O.PROBES} SELECT doc_id, line_no, coalesce(sum((line_no % 5 = 2)::INT) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) % 2 = 1 AS inside FROM probe")
 _add("j11_first_of_each", lambda s, d: reading.first_of_each(R.page_lines(R.table(s, d, "conversations"))), f"WITH {O.BOOK} SELECT doc_id, min(line_no) AS line_no, text FROM book GROUP BY doc_id, text")
 _add("k08_natural_order", lambda s, d: _docs(s, d).select("source", reading.natural_key(F.col("source")).alias("key")).distinct(), "SELECT DISTINCT source, regexp_replace(regexp_replace(lower(source), '([0-9]+)', '0000000000\\1', 'g'), '[0-9]*([0-9]{10})', '\\1', 'g') AS key FROM documents")
-_add("n04_zipped", lambda s, d: _docs(s, d).select("doc_id", reading.zipped(F.concat("lang", F.lit("\n\n"), "source"), F.when(F.col("doc_id") % 2 == 0, F.lit("A\n\nB")).otherwise("A")).alias("text")), "SELECT doc_id, lang || chr(10) || chr(10) || 'A' || chr(10) || chr(10) || source || CASE WHEN doc_id % 2 = 0 THEN chr(10) || chr(10) || 'B' ELSE '' END AS text FROM documents")
 _heads = "h0 AS (SELECT doc_id, line_no, " + O.heading_text("text") + " AS title, least(" + O.heading_marks("text") + ", 3) AS level FROM probe), h AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY line_no)::INT AS ord, line_no, level::INT AS level, title FROM h0 WHERE title IS NOT NULL AND title <> 'Outline' AND NOT " + O.page_like("title") + ")"
 _add(
     "f16_paired_titles", lambda s, d: (lambda h: h.select("doc_id", "ord", "title").join(h.select((F.col("doc_id") - 1).alias("doc_id"), "ord", F.col("title").alias("other")), ["doc_id", "ord"]))(outline.headings(_probe(s, d))),
@@ -68,9 +60,3 @@ _add(
 )
 _add("b04_sidecar", lambda s, d: outline.headings(_probe(s, d)).groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "title", "level"))), lambda h: F.concat_ws("|", h.ord.cast("string"), h.level.cast("string"), h.title)), "\n").alias("outline")), f"WITH {O.PROBES}, {_heads} SELECT doc_id, string_agg(ord || '|' || level || '|' || title, chr(10) ORDER BY ord) AS outline FROM h WHERE ord <= 180 GROUP BY 1")
 _add("l04_catalog_keys", lambda s, d: _docs(s, d).select(F.col("lang").alias("k")).union(_docs(s, d).select("source")).subtract(_docs(s, d).where("doc_id % 7 = 0 and doc_id < 40").select("source")), "(SELECT lang AS k FROM documents UNION SELECT source FROM documents) EXCEPT SELECT source FROM documents WHERE doc_id % 7 = 0 AND doc_id < 40")
-_add("o08_vault", lambda s, d: R.cards(_docs(s, d)).where(F.contains("markdown_path", F.lit("src1"))).orderBy(F.desc("added"), "id").limit(30).select("id"), "SELECT doc_id AS id FROM documents WHERE contains(source, 'src1') ORDER BY doc_id DESC LIMIT 30")
-_add("m16_ordered_pair", lambda s, d: (lambda c: library.twins(c).join(c.select("id", "title"), "id").select("id", "master", F.when(F.length("title") % 2 == 0, F.col("id")).otherwise(F.col("master")).alias("left")))(R.cards(_docs(s, d))), f"WITH {O.CARDS}, k AS (SELECT *, CASE WHEN source_path <> '' THEN lower(source_path) ELSE lower(regexp_replace(markdown_path, '/[^/]*$', '')) || '|' || lower(regexp_replace(regexp_replace(regexp_extract(markdown_path, '([^/]*)$', 1), '\\.[^.]*$', ''), '(?i)\\.({'|'.join(library.CODES)})(-[0-9]+)?$', '')) END AS origin FROM cards), g AS (SELECT origin, arg_min(id, (length(title), id)) AS master FROM k GROUP BY 1) SELECT id, master, CASE WHEN length(title) % 2 = 0 THEN id ELSE master END AS left FROM k JOIN g USING (origin) WHERE id <> master".replace(" AS left", ' AS "left"'))
-_add("p10_debounced", lambda s, d: C.sessions(C.changes(R.table(s, d, "events")), "350 milliseconds"), "WITH e AS (SELECT '/in/' || user_id || '.md' AS path, ts, event_id FROM events), g AS (SELECT *, (lag(ts) OVER w IS NULL OR ts >= lag(ts) OVER w + INTERVAL 350 MILLISECONDS)::INT AS fresh FROM e WINDOW w AS (PARTITION BY path ORDER BY ts)), k AS (SELECT *, sum(fresh) OVER (PARTITION BY path ORDER BY ts, event_id) AS k FROM g) SELECT path, min(ts) AS start, count(*) AS n FROM k GROUP BY path, k.k")
-# the whole jobs of queries whose SQL takes prefixes or a limit
-_add("a19_whole_item_lines", lambda s, d: reading.item_lines(_docs(s, d).select("doc_id", F.posexplode(F.split("text", " ")).alias("k", "s")).select("doc_id", (F.col("k") % 5 * 10 + F.col("k") / 1000).alias("x"), (500 - F.floor(F.col("k") / 5) * 9 - F.col("k") % 2).cast("double").alias("y"), "s")), ORACLE_SQL["a19_item_lines"].replace("substr(text, 1, 400)", "text"))
-_add("o08_whole_vault", lambda s, d: R.cards(_docs(s, d)).where(F.contains("markdown_path", F.lit("src1"))).orderBy(F.desc("added"), "id").select("id"), ORACLE_SQL["o08_vault"].removesuffix(" LIMIT 30"))

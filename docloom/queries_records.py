@@ -35,17 +35,11 @@ def _cards(s: SparkSession, d: str) -> DataFrame:
 
 _odd = r"[:#\[\]{}&*!|>'\"%@`,]|^[-?\s]|\s$|^$"
 _yq = lambda x: f"CASE WHEN {O.has(x, _odd)} THEN '\"' || replace(replace({x}, '\\', '\\\\'), '\"', '\\\"') || '\"' ELSE {x} END"
-_add("a16_yaml_scalar", lambda s, d: _probe(s, d).select("doc_id", "line_no", records.yaml_quoted(F.col("text")).alias("value")), f"WITH {O.PROBES} SELECT doc_id, line_no, {_yq('text')} AS value FROM probe")
-_add("a15_titled", lambda s, d: _docs(s, d).select("doc_id", records.titled(F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("---\n"), F.col("text"))).otherwise(F.col("text")), F.concat(F.lit("T: "), "lang")).alias("text")), f"SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '---\n' || text ELSE '---\ntitle: \"T: ' || lang || '\"\n---\n\n' || text END AS text FROM documents")
 _add("a23_scan_rule", lambda s, d: R.table(s, d, "conversations").groupBy("conv_id").agg((F.sum(F.regexp_count("text", F.lit(r"\p{L}"))) < F.count("*") * 40).alias("scan")), r"SELECT conv_id, sum(len(regexp_extract_all(text, '\p{L}'))) < count(*) * 40 AS scan FROM conversations GROUP BY 1")
-_add(
-    "b06_yaml_block", lambda s, d: _docs(s, d).select("doc_id", records.yaml_block([("title", F.substring("text", 1, 30)), ("lang", F.when(F.col("lang") != "en", F.col("lang"))), ("source", F.col("source"))]).alias("block")),
-    f"SELECT doc_id, '---\n' || concat_ws('\n', CASE WHEN t <> '' THEN 'title: ' || {_yq('t')} END, CASE WHEN lang <> 'en' THEN 'lang: ' || lang END, 'source: ' || source) || '\n---\n' AS block FROM (SELECT doc_id, substr(text, 1, 30) AS t, lang, source FROM documents)",
-)
 _add("b12_opf", lambda s, d: _docs(s, d).select("doc_id", records.opf([("title", F.substring("text", 1, 30)), ("language", F.col("lang")), ("publisher", F.lit(""))]).alias("opf")), f"SELECT doc_id, concat_ws('\n', CASE WHEN substr(text, 1, 30) <> '' THEN '<dc:title>' || {O.xml_escape('substr(text, 1, 30)')} || '</dc:title>' END, '<dc:language>' || lang || '</dc:language>') AS opf FROM documents")
 _add(
-    "c21_chunks", lambda s, d: _docs(s, d).select("doc_id", F.posexplode(records.chunks(F.regexp_replace(F.substring("text", 1, 4000), "\n", "\n\n"), 400)).alias("pos", "chunk")).select("doc_id", "pos", F.length("chunk").alias("n")),
-    """WITH RECURSIVE p AS (SELECT doc_id, string_split(replace(substr(text, 1, 4000), chr(10), chr(10) || chr(10)), chr(10) || chr(10)) AS a FROM documents),
+    "c21_chunks", lambda s, d: _docs(s, d).select("doc_id", F.posexplode(records.chunks(F.regexp_replace(F.col("text"), "\n", "\n\n"), 400)).alias("pos", "chunk")).select("doc_id", "pos", F.length("chunk").alias("n")),
+    """WITH RECURSIVE p AS (SELECT doc_id, string_split(replace(text, chr(10), chr(10) || chr(10)), chr(10) || chr(10)) AS a FROM documents),
     q AS (SELECT doc_id, list_filter(string_split_regex(array_to_string(a, chr(10) || chr(10)), '\\n{2,}'), lambda x: true) AS a FROM p),
     r AS (SELECT doc_id, a, 0 AS i, []::BIGINT[] AS done, 0::BIGINT AS buf FROM q
       UNION ALL SELECT doc_id, a, i + 1, CASE WHEN buf + 2 + length(a[i + 1]) > 400 AND buf > 0 THEN list_append(done, buf) ELSE done END,
@@ -54,13 +48,7 @@ _add(
     SELECT doc_id, unnest(range(len(done)))::INT AS pos, unnest(done)::INT AS n FROM f""",
 )
 _add("c28_numbered_reply", lambda s, d: _docs(s, d).select("doc_id", records.numbered_reply(F.concat(F.lit("x <<<1>>> a <<<2>>>"), F.substring("text", 1, 9), F.lit("<<<1>>> "), "lang")).alias("parts")).select("doc_id", F.array_join("parts", ";").alias("parts")), r"SELECT doc_id, '1|' || lang || ';2|' || regexp_replace(substr(text, 1, 9), '^\s+|\s+$', '', 'g') AS parts FROM documents")
-_cr = r"(?i)^\s*(?:copyright\s*)?(?:©|\(c\)|copyright)\s*([0-9]{4})?\s*(?:by\s+)?(.*)$"
-_add("m11_copyright_line", lambda s, d: _docs(s, d).select("doc_id", records.copyright_fields(F.concat(F.when(F.col("doc_id") % 3 == 0, "Copyright © ").when(F.col("doc_id") % 3 == 1, "(c) ").otherwise("see "), (F.col("doc_id") % 60 + 1960).cast("string"), F.lit(" by "), "source")).alias("fields")).where("fields is not null"), f"SELECT * FROM (SELECT doc_id, CASE WHEN {O.has('x', _cr)} THEN concat_ws('|', {O.ext('x', _cr, 1)}, trim({O.ext('x', _cr, 2)})) END AS fields FROM (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'Copyright © ' WHEN 1 THEN '(c) ' ELSE 'see ' END || (doc_id % 60 + 1960) || ' by ' || source AS x FROM documents)) WHERE fields IS NOT NULL")
 _add("m13_fill_empty", lambda s, d: _cards(s, d).select("id", records.filled(F.col("source_path"), F.col("markdown_path")).alias("path")), f"WITH {O.CARDS} SELECT id, coalesce(nullif(source_path, ''), nullif(markdown_path, '')) AS path FROM cards")
-_add("m17_newer", lambda s, d: _docs(s, d).select("doc_id", records.newer(F.concat_ws(".", (F.col("doc_id") % 3).cast("string"), (F.col("doc_id") % 12).cast("string")), F.lit("1.9.0")).alias("newer")), "SELECT doc_id, [(doc_id % 3), (doc_id % 12), 0] > [1, 9, 0] AS newer FROM documents")
-_add("m25_unquoted", lambda s, d: _docs(s, d).select("doc_id", F.replace(F.regexp_replace(F.concat(F.lit('"'), "lang", F.lit('\\"x"')), '^"|"$', ""), F.lit('\\"'), F.lit('"')).alias("v")), "SELECT doc_id, lang || '\"x' AS v FROM documents")
-_add("m27_web_query", lambda s, d: _docs(s, d).select("doc_id", F.concat_ws(" ", F.when(F.col("lang") != "en", F.col("lang")), "source", F.lit("note")).alias("q")), "SELECT doc_id, concat_ws(' ', CASE WHEN lang <> 'en' THEN lang END, source, 'note') AS q FROM documents")
-_add("g15_silent", lambda s, d: _docs(s, d).where(records.silent(F.concat("text", F.when(F.col("doc_id") % 4 == 0, " It does not mention it.").otherwise("")))).select("doc_id"), "SELECT doc_id FROM documents WHERE regexp_matches(lower(text || CASE WHEN doc_id % 4 = 0 THEN ' It does not mention it.' ELSE '' END), 'does not (provide|mention|contain)|no answer|not enough information')")
 _hits = "h AS (SELECT doc_id, line_no AS hit FROM probe WHERE contains(lower(text), 'tion') AND line_no % 5 = 0)"
 _add(
     "h03_passages", lambda s, d: (lambda p: records.passages(p, p.where("contains(lower(text), 'tion') and line_no % 5 = 0")))(_probe(s, d)),
@@ -73,15 +61,7 @@ _add("j13_page_tick", lambda s, d: _docs(s, d).select("doc_id", records.page_tic
 _add("n03_fixed_batches", lambda s, d: records.fixed_batches(R.table(s, d, "conversations").select("conv_id", "turn"), "conv_id", "turn", 5), "SELECT conv_id, turn, ((row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) // 5)::INT AS batch FROM conversations")
 _add("o01_clips", lambda s, d: _docs(s, d).select("doc_id", records.clip(F.substring("text", 1, 50), F.when(F.col("doc_id") % 2 == 0, F.col("lang")), F.col("source"), F.when(F.col("doc_id") % 3 == 0, F.col("doc_id"))).alias("clip")), r"SELECT doc_id, concat_ws(E'\n\n', CASE WHEN doc_id % 2 = 0 THEN '### ' || lang END, regexp_replace(substr(text, 1, 50), '^\s+|\s+$', '', 'g'), '*' || concat_ws(' · ', source, CASE WHEN doc_id % 3 = 0 THEN 'Page ' || doc_id END) || '*') AS clip FROM documents")
 _add("o06_merged_spans", lambda s, d: (lambda e: e.union(e.where("start % 2 = 0")).distinct())(R.table(s, d, "events").select("user_id", (F.col("event_id") % 50).alias("start"), (F.col("event_id") % 7).alias("length"))), "SELECT DISTINCT user_id, event_id % 50 AS start, event_id % 7 AS length FROM events")
-_add("p05_inbox", lambda s, d: (lambda n: n.join(_cards(s, d).where("id % 2 = 0").select(F.lower("markdown_path").alias("path")).distinct(), "path", "left_anti"))(_cards(s, d).select(F.lower("markdown_path").alias("path")).distinct()), f"WITH {O.CARDS} SELECT DISTINCT lower(markdown_path) AS path FROM cards WHERE lower(markdown_path) NOT IN (SELECT lower(markdown_path) FROM cards WHERE id % 2 = 0)")
 _add("p03_quiet_period", lambda s, d: C.changes(R.table(s, d, "events")).withColumn("first", F.min("ts").over(W.partitionBy("path"))).where(F.col("ts") >= F.col("first") + F.expr("INTERVAL 1 HOUR")).select("path", "event_id"), "SELECT path, event_id FROM (SELECT '/in/' || user_id || '.md' AS path, event_id, ts, min(ts) OVER (PARTITION BY user_id) AS first FROM events) WHERE ts >= first + INTERVAL 1 HOUR")
-# the whole jobs of queries whose SQL takes prefixes or a limit
-_add("c21_whole_chunks", lambda s, d: _docs(s, d).select("doc_id", F.posexplode(records.chunks(F.regexp_replace("text", "\n", "\n\n"), 400)).alias("pos", "chunk")).select("doc_id", "pos", F.length("chunk").alias("n")), ORACLE_SQL["c21_chunks"].replace("substr(text, 1, 4000)", "text"))
-_picture = "_A picture is stored as a file in the figures folder (Finder)._"
-_add(
-    "c01_whole_reader_lines", lambda s, d: R.lines(_docs(s, d)).where("line_no < 40000").select("doc_id", "line_no", F.when(F.contains("text", F.lit("data:image")), F.lit(_picture)).when(F.length("text") > 1800, F.concat(F.substring("text", 1, 1800), F.lit("…"))).otherwise(F.col("text")).alias("text")),
-    f"WITH {O.LINES} SELECT doc_id, line_no, CASE WHEN contains(text, 'data:image') THEN '{_picture}' WHEN length(text) > 1800 THEN substr(text, 1, 1800) || '…' ELSE text END AS text FROM lines WHERE line_no < 40000",
-)
 _TAG = "coalesce(array_min(tags), '\uffff')"  # no tags: last
 #: The library's seven sorts: key, its SQL, whether it falls; ties by id.
 SORTS = {
@@ -90,6 +70,6 @@ SORTS = {
 }
 for _name, (_key, _sql, _falls) in SORTS.items():
     _add(
-        f"k01_whole_{_name}", lambda s, d, key=_key, falls=_falls: _cards(s, d).orderBy(F.expr(key).desc() if falls else F.expr(key).asc(), "id").select("id", "title"),
+        f"k01_sorted_{_name}", lambda s, d, key=_key, falls=_falls: _cards(s, d).orderBy(F.expr(key).desc() if falls else F.expr(key).asc(), "id").select("id", "title"),
         f"WITH {O.CARDS} SELECT id, title FROM cards ORDER BY {_sql}{' DESC' if _falls else ''}, id",
     )

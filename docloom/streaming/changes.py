@@ -22,6 +22,21 @@ def sessions(rows: DataFrame, gap: str = "10 minutes", late: str | None = None)
     return rows.groupBy("path", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("n")).select("path", F.col("w.start").alias("start"), "n")
 
 
+def debounced(rows: DataFrame, seconds: float = 1.0) -> DataFrame:
+    """(path, ts, event_id) of the changes that fire: one pending task for all paths, so a change fires if
+    none of any path comes within ``seconds`` after it.
+
+    Time is cut in buckets of that length. Of a bucket only the last change can fire, and only the first
+    of the next bucket can stop it, so buckets meet by an equal join and never in one task.
+    """
+    rows = rows.withColumn("ts", F.col("ts").cast("timestamp"))
+    bucket = F.floor(F.unix_micros("ts") / int(seconds * 1e6))
+    ends = rows.groupBy(bucket.alias("bucket")).agg(F.max(F.struct("ts", "event_id", "path")).alias("last"), F.min("ts").alias("first"))
+    nxt = ends.select((F.col("bucket") - 1).alias("bucket"), F.col("first").alias("following"))
+    alone = F.col("following").isNull() | (F.unix_micros("following") - F.unix_micros("last.ts") >= int(seconds * 1e6))
+    return ends.join(nxt, "bucket", "left").where(alone).select("last.path", "last.ts", "last.event_id")
+
+
 def real_changes(rows: DataFrame) -> DataFrame:
     """Changes whose fingerprint differs from the last one of the path."""
     before = F.lag("fingerprint").over(W.partitionBy("path").orderBy("ts", "event_id"))
@@ -48,3 +63,15 @@ def real_changes_stream(rows: DataFrame) -> DataFrame:
 def watch(spark: SparkSession, folder: str, schema: str) -> DataFrame:
     """New Parquet files of a folder as a stream."""
     return spark.readStream.schema(schema).parquet(folder)
+
+
+def inbox(files: DataFrame, root: str, library: DataFrame) -> DataFrame:
+    """(path) of ready Markdown files in ``root`` or one folder below it that the library does not have.
+
+    Pictures' folders, hidden files and notes of clips are passed over. Works on a stream of files too.
+    """
+    low, rest = F.lower("path"), F.substring(F.col("path"), len(root) + 2, 1 << 30)
+    near = F.startswith("path", F.lit(f"{root}/")) & rest.rlike("^[^./][^/]*(/[^./][^/]*)?$") & ~F.lower(rest).startswith("figures/")
+    ready = low.rlike(r"\.(md|markdown)$") & ~F.endswith(low, F.lit("_forage.md"))
+    have = library.select(F.lower("path").alias("key"))
+    return files.where(near & ready).select("path", low.alias("key")).distinct().join(have, "key", "left_anti").select("path")

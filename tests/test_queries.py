@@ -6,9 +6,11 @@ import os
 import duckdb
 import pytest
 
-from docloom import queries, queries_reading, queries_records
+from docloom import queries, queries_files, queries_reading, queries_records
 
-QUERIES, ORACLE_SQL = queries.QUERIES | queries_records.QUERIES | queries_reading.QUERIES, queries.ORACLE_SQL | queries_records.ORACLE_SQL | queries_reading.ORACLE_SQL
+PARTS = (queries, queries_files, queries_records, queries_reading)
+QUERIES = {k: v for part in PARTS for k, v in part.QUERIES.items()}
+ORACLE_SQL = {k: v for part in PARTS for k, v in part.ORACLE_SQL.items()}
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 

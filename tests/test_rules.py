@@ -15,7 +15,7 @@ from docloom.streaming import changes
         (T.contents_entry, "Chapter 1: Title ........ 13", "Chapter 1: Title|13"), (T.heading_text, "#Title", "Title"), (T.heading_text, "####### x", None), (T.atx_heading, "#Title", None),
         (T.roman, "XIV.", True), (T.roman, "IIX", False), (T.valid_isbn, "ISBN 978-0-306-40615-7", "9780306406157"), (T.valid_isbn, "0-306-40615-2", "0306406152"), (T.valid_isbn, "978-0-306-40615-8", None),
         (T.tag_slug, " ##My Tag! ", "my-tag"), (T.language_tag, "en-US", "en-us"), (T.language_tag, "und", None), (T.page_like, "Seite 12", True), (T.tracked, "Y O U R G I F T", True),
-        (T.close_gap, "a   b 12", "a b  12"), (T.home_scrubbed, "/Users/me/x", "~/x"), (T.heading_text, None, None),
+        (T.close_gap, "a   b 12", "a b  12"), (T.home_scrubbed, "/Users/me/x", "/Users/<user>/x"), (T.home_scrubbed, "/home/me/x", "/home/me/x"), (T.heading_text, None, None),
     ],
 )
 def test_rule(spark, rule, line, value):

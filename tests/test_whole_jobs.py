@@ -1,10 +1,10 @@
-"""The whole jobs go past the prefixes and limits of the queries that they stand beside."""
+"""Queries take whole texts and all rows."""
 
 import pytest
 
-from docloom import queries, queries_reading, queries_records
+from docloom import queries_records
 
-QUERIES = queries.QUERIES | queries_records.QUERIES | queries_reading.QUERIES
+from .test_queries import QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -17,19 +17,20 @@ def sf(spark, tmp_path_factory):
 
 
 def test_texts_are_whole(spark, sf):
-    chunks = QUERIES["c21_whole_chunks"](spark, sf).where("doc_id = 60").collect()
+    chunks = QUERIES["c21_chunks"](spark, sf).where("doc_id = 60").collect()
     assert sum(r.n for r in chunks) >= 40 * 300 + 2500
-    words = QUERIES["a19_whole_item_lines"](spark, sf).where("doc_id = 61").collect()
+    words = QUERIES["a19_item_lines"](spark, sf).where("doc_id = 61").collect()
     assert sum(len(r.text.split()) for r in words) == 901
-    lines = {r.line_no: r.text for r in QUERIES["c01_whole_reader_lines"](spark, sf).where("doc_id = 60").collect()}
-    assert lines[0] == "x" * 300 and lines[40] == "y" * 1800 + "…" and lines[41].startswith("_A picture")
+    lines = {r.line_no: r.text for r in QUERIES["c01_reader_lines"](spark, sf).where("doc_id = 60").collect()}
+    assert lines[0] == "x" * 300 and lines[39] == "x" * 300 and lines[40].startswith("_A picture") and lines[41].startswith("_A picture")
+    assert lines[38] == "x" * 900
 
 
 def test_all_rows_are_sorted(spark, sf):
-    assert [r.id for r in QUERIES["o08_whole_vault"](spark, sf).collect()] == list(range(60, -1, -1))
+    assert [r.id for r in QUERIES["o08_vault"](spark, sf).collect()] == list(range(60, -1, -1))
     rows = [(r.id, r.title.lower(), min(r.tags)) for r in queries_records._cards(spark, sf).collect()]
     key = {"manual": lambda r: r[0], "name": lambda r: r[1], "date": lambda r: r[0], "tag": lambda r: r[2]}
     for name in queries_records.SORTS:
-        got = [r.id for r in QUERIES[f"k01_whole_{name}"](spark, sf).collect()]
+        got = [r.id for r in QUERIES[f"k01_sorted_{name}"](spark, sf).collect()]
         falls = name in ("name_desc", "date_new", "tag_desc")
         assert got == [r[0] for r in sorted(sorted(rows), key=key[name.split("_")[0]], reverse=falls)], name
