@@ -24,9 +24,13 @@ def _or_null(c: Column) -> Column:
     return F.when(c != "", c)
 
 
+# Fixed value: the mark of a translated line below its original.
+MARKER = "<!--ym-tr-->"
+
+
 def heading_text(line: Column) -> Column:
-    """Title of a line of one to six ``#`` marks, with or without a space; null for other lines."""
-    t = trim(line)
+    """Title of a line of one to six ``#`` marks, with or without a space, a translated one too; null for other lines."""
+    t = trim(F.regexp_replace(trim(line), f"^{MARKER}", ""))
     return F.when(t.rlike("^#{1,6}([^#]|$)"), _or_null(trim(F.regexp_replace(t, "^[# ]+", ""))))
 
 

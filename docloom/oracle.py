@@ -33,7 +33,7 @@ def trim(x: str) -> str:
 
 
 def heading_text(x: str) -> str:
-    t = trim(x)
+    t = trim(sub(trim(x), "^<!--ym-tr-->"))
     return f"CASE WHEN {has(t, '^#{1,6}([^#]|$)')} THEN nullif({trim(sub(t, '^[# ]+'))}, '') END"
 
 

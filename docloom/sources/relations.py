@@ -112,7 +112,7 @@ PROBE = """CASE (doc_id * 7 + line_no) % 64
  WHEN 39 THEN '/Users/ann smith/books/' || substr(text, 1, 8) WHEN 40 THEN '![a](figures/' || substr(text, 1, 5) || '.png "t")' WHEN 41 THEN 'see ![x](a/b.png)' WHEN 42 THEN '![y](' || chr(39) || 'p/q.jpg' || chr(39) || ') tail' WHEN 43 THEN '![z]()'
  WHEN 44 THEN '# 12 ' || substr(text, 1, 9) WHEN 45 THEN '## XML ' || substr(text, 1, 4) WHEN 46 THEN '## ?!' WHEN 47 THEN '## ' || substr(text, 1, 3) WHEN 48 THEN 'Copyright (c) ' || CAST(1900 + doc_id % 120 AS VARCHAR(9)) || ' by A. Name.' WHEN 49 THEN 'copyright'
  WHEN 50 THEN 'published by ' || substr(text, 1, 12) || '.' WHEN 51 THEN 'ISBN-13: 978-0-306-40615-7' WHEN 52 THEN 'www.example.org' WHEN 53 THEN 'https://example.org/a' WHEN 54 THEN 'The www.example.org' WHEN 55 THEN '“A'
- WHEN 56 THEN 'ver 1.2 ' || substr(text, 1, 9) WHEN 57 THEN '8.1.2Title glued to it' WHEN 58 THEN '9.9 page of things' WHEN 59 THEN '- ' WHEN 60 THEN 'he final ' || substr(text, 1, 9) WHEN 61 THEN 'a,b' WHEN 62 THEN '  -x: y'
+ WHEN 56 THEN 'ver 1.2 ' || substr(text, 1, 9) WHEN 57 THEN '8.1.2Title glued to it' WHEN 58 THEN '9.9 page of things' WHEN 59 THEN '- ' WHEN 60 THEN 'he final ' || substr(text, 1, 9) WHEN 61 THEN '<!--ym-tr-->## ' || substr(text, 1, 9) WHEN 62 THEN '  -x: y'
  WHEN 20 THEN '/home/user' || CAST(line_no AS VARCHAR(9)) || '/books/' || substr(text, 1, 8) WHEN 21 THEN 'ISBN 978-0-306-40615-' || CAST(line_no % 10 AS VARCHAR(9)) WHEN 22 THEN 'en-US' ELSE text END"""
 
 
