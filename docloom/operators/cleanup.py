@@ -30,22 +30,29 @@ def repeated_lines(lines: DataFrame, least: int = 10) -> DataFrame:
 
 
 def without_repeated(lines: DataFrame, least: int = 10) -> DataFrame:
-    """Lines without those repeats; the first copy that is a heading stays."""
+    """Lines without those repeats; the first copy that is a heading stays.
+
+    Only keys are exchanged to be counted; what repeats is then joined to the lines.
+    """
     keyed = with_chrome_key(lines)
-    times = F.count("*").over(W.partitionBy("doc_id", "key"))
-    head = T.heading_text(F.col("text")).isNotNull()
-    nth = F.sum(head.cast("int")).over(W.partitionBy("doc_id", "key").orderBy("line_no"))
-    told = keyed.withColumns({"times": times, "keep": head & (nth == 1)})
-    return told.where("key is null or times < %d or keep" % least).select("doc_id", "line_no", "text")
+    head = F.when(T.heading_text(F.col("text")).isNotNull(), F.col("line_no"))
+    often = keyed.where("key is not null").groupBy("doc_id", "key").agg(F.count("*").alias("times"), F.min(head).alias("kept")).where(F.col("times") >= least).drop("times")
+    told = keyed.join(often.withColumn("often", F.lit(True)), ["doc_id", "key"], "left")
+    return told.where("often is null or line_no = kept").select("doc_id", "line_no", "text")
 
 
 def page_chrome(lines: DataFrame) -> DataFrame:
-    """(doc_id, key, pages): keys of 4 to 60 characters on a third of a document's pages, three at least."""
-    paged = lines.select("doc_id", "line_no", F.last(T.page_comment(F.col("text")), ignorenulls=True).over(doc().rowsBetween(W.unboundedPreceding, 0)).alias("page"), T.trim(F.col("text")).alias("t")).where("page is not null")
+    """(doc_id, key, pages): keys of 4 to 60 characters on a third of a document's pages, three at least.
+
+    Only page marks and keys are exchanged.
+    """
+    t = F.col("t")
+    plain = (t != "") & T.page_comment(t).isNull() & (T.numbered_heading(t) == t) & T.numbered_callout(t).isNull() & (F.length(T.fold_line(t)).between(4, 60))
+    told = lines.select("doc_id", "line_no", T.trim(F.col("text")).alias("t"))
+    told = told.select("doc_id", "line_no", T.page_comment(t).alias("mark"), F.when(plain, T.fold_line(t)).alias("key")).where("mark is not null or key is not null")
+    paged = told.withColumn("page", F.last("mark", ignorenulls=True).over(doc().rowsBetween(W.unboundedPreceding, 0))).where("page is not null")
     n = paged.groupBy("doc_id").agg(F.count_distinct("page").alias("n"))
-    body = paged.where(F.col("t") != "").where(T.page_comment(F.col("t")).isNull() & (T.numbered_heading(F.col("t")) == F.col("t")) & T.numbered_callout(F.col("t")).isNull())
-    keyed = body.select("doc_id", "page", T.fold_line(F.col("t")).alias("key")).where(F.length("key").between(4, 60))
-    counts = keyed.groupBy("doc_id", "key").agg(F.count_distinct("page").alias("pages"))
+    counts = paged.where("key is not null").groupBy("doc_id", "key").agg(F.count_distinct("page").alias("pages"))
     return counts.join(n, "doc_id").where(F.col("pages") >= F.greatest(F.lit(3), F.ceil(F.col("n") * 0.34))).select("doc_id", "key", "pages")
 
 

@@ -8,6 +8,7 @@ does not parse to the end is one literal term. Terms match without regard to cas
 from __future__ import annotations
 
 import re
+import unicodedata
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -93,9 +94,38 @@ def parse(query: str) -> Node | None:
     return found if found and at == len(tokens) else Node("term", query.strip())
 
 
+def _accents() -> tuple[str, str]:
+    """Lower-case Latin letters with accents, and the letters under them."""
+    pairs = [(chr(i), unicodedata.normalize("NFD", chr(i))[0]) for i in range(0xE0, 0x180) if chr(i).islower()]
+    pairs = [(a, b) for a, b in pairs if a != b and b.isascii()]
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
+_ACCENTED, _PLAIN = _accents()
+
+
+def bare(term: str) -> str:
+    return "".join(x for x in unicodedata.normalize("NFD", term.lower()) if not unicodedata.combining(x))
+
+
 def contains(c: Column, term: str) -> Column:
-    """Case and accents do not count."""
-    return F.contains(F.collate(c, "UNICODE_CI_AI"), F.collate(F.lit(term), "UNICODE_CI_AI"))
+    """Case and accents do not count.
+
+    A text whose letters without their accents are all ASCII is searched as it is then; any other, and
+    for a term with other letters every one, by collation, which is far slower.
+    """
+    collated = F.contains(F.collate(c, "UNICODE_CI_AI"), F.collate(F.lit(term), "UNICODE_CI_AI"))
+    if not bare(term).isascii():
+        return collated
+    low = F.translate(F.lower(c), _ACCENTED, _PLAIN)
+    return F.when(F.octet_length(low) == F.length(low), F.contains(low, F.lit(bare(term)))).otherwise(collated)
+
+
+def required(node: Node) -> list[str]:
+    """Terms without which nothing matches."""
+    if node.kind == "term":
+        return [node.text]
+    return [t for p in node.parts for t in required(p)] if node.kind == "and" else []
 
 
 def compiled(node: Node, c: Column) -> Column:
@@ -137,7 +167,15 @@ def matching(docs: DataFrame, query: str, text: str = "text") -> DataFrame:
     c = F.col(text)
     if not is_boolean(node):
         return docs.where(compiled(node, c))
-    return docs.where(F.exists(paragraphs(c), lambda p: compiled(node, p) | F.exists(sentences(p), lambda s: compiled(node, s))))
+    for term in required(node):  # asked of whole texts first
+        docs = docs.where(contains(c, term))
+    # without a NOT a sentence has nothing that its paragraph lacks
+    one = lambda p: compiled(node, p) | F.exists(sentences(p), lambda s: compiled(node, s))
+    return docs.where(F.exists(paragraphs(c), one if _negates(node) else lambda p: compiled(node, p)))
+
+
+def _negates(node: Node) -> bool:
+    return node.kind == "not" or any(map(_negates, node.parts))
 
 
 def matching_by_word(docs: DataFrame, query: str, text: str = "text") -> DataFrame:

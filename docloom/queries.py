@@ -112,7 +112,7 @@ _add("c03_headings", lambda s, d: outline.headings(_probe(s, d)), f"{_PR} SELECT
 _add("c04_page_headings", lambda s, d: _md(s, d).select("doc_id", "line_no", T.page_heading(F.col("text")).alias("title")).where("title is not null"), f"WITH {O.MARKDOWN} SELECT * FROM (SELECT doc_id, line_no, {O.page_heading('text')} AS title FROM md) WHERE title IS NOT NULL")
 _add("c10_pages", lambda s, d: outline.section_at(_book(s, d)).where("page is not null").groupBy("doc_id", "page").agg(F.count("*").alias("n")), f"{_BK}, p AS (SELECT doc_id, last_value({O.page_comment('text')} IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no) AS page FROM book) SELECT doc_id, page, count(*) AS n FROM p WHERE page IS NOT NULL GROUP BY 1, 2")
 _para = "list_filter(list_transform(string_split(array_to_string(list_transform(string_split(text, '\n'), lambda t: CASE WHEN " + O.has(O.trim("t"), "^($|#|<!--)") + " THEN '\u0001' ELSE " + O.trim("t") + " END), ' '), '\u0001'), lambda p: " + O.sub("p", r"^\s+|\s+$") + "), lambda p: p <> '')"
-_add("c12_paragraphs", lambda s, d: _md(s, d).groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda r: r.text), "\n").alias("text")).select("doc_id", F.posexplode(search.paragraphs(F.col("text"))).alias("pos", "paragraph")), f"WITH {O.MARKDOWN}, t AS (SELECT doc_id, string_agg(text, '\n' ORDER BY line_no) AS text FROM md GROUP BY 1), p AS (SELECT doc_id, {_para} AS ps FROM t) SELECT doc_id, unnest(range(len(ps)))::INT AS pos, unnest(ps) AS paragraph FROM p")
+_add("c12_paragraphs", lambda s, d: R.table(s, d, "pages").select(F.col("page_id").alias("doc_id"), F.posexplode(search.paragraphs(R.unix_lines(R.html_markdown(F.col("html"))))).alias("pos", "paragraph")), f"WITH {O.MARKDOWN}, t AS (SELECT doc_id, string_agg(text, '\n' ORDER BY line_no) AS text FROM md GROUP BY 1), p AS (SELECT doc_id, {_para} AS ps FROM t) SELECT doc_id, unnest(range(len(ps)))::INT AS pos, unnest(ps) AS paragraph FROM p")
 
 # Cleanup.
 _key = "CASE WHEN t <> '' AND NOT " + O.has("t", r"^(!\[|\|)") + f" AND ({O.page_comment('t')}) IS NULL AND NOT {O.contents_line('t')} AND length(coalesce({O.heading_text('t')}, t)) <= 80 AND len(list_filter(string_split_regex(coalesce({O.heading_text('t')}, t), '\\s+'), lambda w: {O.has('w', chr(92) + 'p{L}')})) BETWEEN 2 AND 14 THEN {O.folded('coalesce(' + O.heading_text('t') + ', t)')} END"

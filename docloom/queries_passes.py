@@ -31,7 +31,7 @@ BOOK = """array_join(transform(split(text, '\n'), (x, i) -> case (doc_id * 7 + i
  when 14 then concat('## Corrupted and\n\nWhy It Is\n', x) when 15 then concat(left(x, 60), '\ufffd   ', x) when 16 then concat('- ', x, '\n- [site](https://example.org/a) and *em* **strong** `code`') when 17 then concat('Chapter One ........ ', i, '\n', x)
  when 18 then concat('www.example.org\n', x) when 19 then concat('<!-- page ', i % 6 + 1, ' -->\n\n', x) when 20 then concat('### John 3:16\n', x) when 21 then concat('Shifting from One to Two\n\nAnd ', x)
  when 22 then concat('Wh en it came, ', x) when 24 then concat('* * *\n> 12 bookmarks taken from the PDF\n\n', x)
- when 25 then concat('name kind place\n\n| name | kind |\n| --- | --- |\n| one a | two b |\n| three c | four d |\n| five e | six f |\n| seven g | eight h |\n\nname kind one two a b three c four d five six e f seven g eight h ', x) when 23 then concat('Why Life Is Not Working—and Why\n## Another Way\n\nAnother four words say it. ', x) else x end), '\n')"""
+ when 25 then concat('name kind place\n\n| name | kind |\n| --- | --- |\n| one a | two b |\n| three c | four d |\n| five e | six f |\n| seven g | eight h |\n\nname kind one two a b three four c d five six e f seven g eight h\n', x) when 23 then concat('Why Life Is Not Working—and Why\n## Another Way\n\nAnother four words say it. ', x) else x end), '\n')"""
 
 
 def _docs(s: SparkSession, d: str) -> DataFrame:
