@@ -24,16 +24,15 @@ from .common import find_words, lower_ascii, slices, written
 from .components import components
 
 SEED = 42
-#: Sketches for similarity: fingerprints of one text, the bits of each block that candidates share,
-#: and the share of all bits that may differ. Texts of which 1 word in 45 differs have 0.8 of their
-#: five-word shingles in common, 0.875 of their three-word shingles, and differ in 0.117 of their
-#: bits; 0.137 is two standard deviations of 512 bits above that.
-SKETCH, BLOCK_BITS, DIFFER = 8, 16, 0.137
 #: Near copies: five-word shingles, 0.8 of them in common. Candidates share one of 20 bands of 4 minima
 #: (two texts at 0.8 share none with a chance of 3 in 100,000) and agree in 84 of 128 minima (the mean
 #: at 0.8 is 102, four standard deviations above); the texts decide.
 SHINGLE, BANDS, BAND, SIGNATURE, LEAST = 5, 20, 4, 128, 84
+#: Pairs between groups already found agree in 768 of 1,024 minima (the mean at 0.8 is 819, four standard
+#: deviations above; 0.72 agrees in so many with a chance of 2 in 100).
+LONG, LONG_LEAST = 1024, 768
 _ODD = np.random.default_rng(SEED).integers(0, 2**63, SIGNATURE, np.uint64) * np.uint64(2) + np.uint64(1)
+_LONG_ODD = np.random.default_rng(SEED + 1).integers(0, 2**63, LONG, np.uint64) * np.uint64(2) + np.uint64(1)
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)[None, :]) & 1).astype(np.float64)
 
 
@@ -46,55 +45,36 @@ def shingles(text: str | None, size: int) -> list[str]:
     return list(map(" ".join, zip(*(words[i:] for i in range(size)))))
 
 
-def sketches_of(texts: list[str | None], size: int = 3, count: int = 1) -> np.ndarray:
-    """``count`` fingerprints of each text (signed 64-bit): a bit is set if it is set in over half the
-    shingle hashes. The first is of the XXH64 hashes, the others of those hashes mixed anew."""
-    digest = xxhash.xxh64_intdigest
+def fingerprints_of(texts: list[str | None], size: int = 3) -> np.ndarray:
+    """The fingerprint of each text (signed 64-bit): a bit is set if it is set in over half the shingle hashes."""
     parts, counts = [], np.zeros(len(texts), np.int64)
     for i, text in enumerate(texts):
         grams = shingles(text, size)
         counts[i] = len(grams)
         if grams:
-            parts.append(np.fromiter(map(digest, grams, repeat(SEED)), np.uint64, len(grams)))
-    out = np.zeros((len(texts), count), np.uint64)
-    if not parts:
-        return out.view(np.int64)
-    h = np.concatenate(parts)
-    base = np.repeat(np.arange(len(texts)) * 256, counts)
-    for j in range(count):
-        x = h
-        if j:
-            with np.errstate(over="ignore"):
-                x = (h ^ (h >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15 + 2 * j)
-                x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-                x ^= x >> np.uint64(32)
-        octets = x.view(np.uint8).reshape(-1, 8)
+            parts.append(np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(SEED)), np.uint64, len(grams)))
+    out = np.zeros(len(texts), np.uint64)
+    if parts:
+        octets = np.concatenate(parts).view(np.uint8).reshape(-1, 8)
+        base = np.repeat(np.arange(len(texts)) * 256, counts)
         for k in range(8):
             set_in = np.bincount(base + octets[:, k], minlength=256 * len(texts)).reshape(-1, 256) @ _BITS
             for bit in range(8):
-                out[:, j] |= (2 * set_in[:, bit] > counts).astype(np.uint64) << np.uint64(8 * k + bit)
+                out |= (2 * set_in[:, bit] > counts).astype(np.uint64) << np.uint64(8 * k + bit)
     return out.view(np.int64)
 
 
-def fingerprints_of(texts: list[str | None], size: int = 3) -> np.ndarray:
-    return sketches_of(texts, size)[:, 0]
-
-
-def with_fingerprint(docs: DataFrame, *, keep: list, text: str = "text", size: int = 3, count: int = 1) -> DataFrame:
-    """``keep`` columns of every row and ``fp``, with ``count`` over 1 an array of fingerprints.
-
-    Null and empty texts have fingerprint zero.
-    """
+def with_fingerprint(docs: DataFrame, *, keep: list, text: str = "text", size: int = 3) -> DataFrame:
+    """``keep`` columns of every row and ``fp``. Null and empty texts have fingerprint zero."""
     kept = docs.select(*keep)
     frame = docs.select(*keep, F.col(text).alias("__text"))
-    schema = kept.withColumn("fp", F.lit(0).cast("long") if count == 1 else F.array().cast("array<long>")).schema
+    schema = kept.withColumn("fp", F.lit(0).cast("long")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in slices(whole, whole.num_columns - 1):
-                fp = sketches_of(b.column(b.num_columns - 1).to_pylist(), size, count)
-                made = pa.array(fp[:, 0]) if count == 1 else pa.ListArray.from_arrays(pa.array(np.arange(0, fp.size + 1, count), pa.int32()), pa.array(fp.ravel()))
-                yield pa.RecordBatch.from_arrays([*b.columns[:-1], made], names=schema.names)
+                fp = fingerprints_of(b.column(b.num_columns - 1).to_pylist(), size)
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(fp)], names=schema.names)
 
     return frame.mapInArrow(run, schema)
 
@@ -235,65 +215,25 @@ def near_duplicates(spark: SparkSession, rows: DataFrame, *, of: Column | str, b
     return leaves.join(roots, leaves.fp == roots.node, "left_anti").select("fp", "least").unionByName(joined)
 
 
-def similar_links(spark: SparkSession, leaves: DataFrame, *, differ: float = DIFFER, limit: int = 512) -> DataFrame:
-    """Links (a, b) between ``node``s whose sketches ``fp`` (arrays) differ in at most ``differ`` of all bits.
-
-    Each of a sketch's fingerprints is cut in blocks of ``BLOCK_BITS``; sketches that share a block
-    are one trie, which is traversed for pairs within a loose budget, and then the differing bits of
-    the other fingerprints are added. Of two texts with similarity 0.8, 14 % share a given block, so
-    they miss all 32 with a chance under 1 %. A trie with more than ``limit`` leaves is dealt out as
-    pairs of chunks, so all of its pairs are seen and none of its tasks holds over two chunks.
-    """
-    loose = 22
+def shingle_sets(texts: list[str | None], size: int = SHINGLE) -> list[np.ndarray]:
+    """Sorted hashes of the distinct shingles of each text; a text without words has one of its own."""
+    out = []
+    for text in texts:
+        grams = shingles(text, size)
+        out.append(np.unique(np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(SEED)), np.uint64, len(grams))) if grams else np.zeros(1, np.uint64))
+    return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def close(t: pa.Table) -> Iterator[pa.RecordBatch]:
-            group, table, node = (t.column(i).to_numpy() for i in range(3))
-            fp = t.column(3).combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(group), -1)
-            own = fp[np.arange(len(fp)), table // (64 // BLOCK_BITS)]
-            order = np.lexsort((own, group))
-            group, node, fp, own = group[order], node[order], fp[order], own[order]
-            starts = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
-            sizes = np.diff(np.append(starts, len(group)))
-            work = np.cumsum(sizes * sizes)
-            at = 0
-            while at < len(starts):  # a few million node pairs at once
-                base = work[at - 1] if at else 0
-                stop = max(at + 1, int(np.searchsorted(work, base + 3_000_000, side="right")))
-                lo, hi = starts[at], starts[stop] if stop < len(starts) else len(group)
-                a, b = trie_pairs(own[lo:hi], starts[at:stop] - lo, loose, equal=True)
-                near = np.bitwise_count(fp[lo:hi][a] ^ fp[lo:hi][b]).sum(1, dtype=np.int64) <= differ * 64 * fp.shape[1]
-                a, b = node[lo:hi][a[near]], node[lo:hi][b[near]]
-                kept = forest(a, b)
-                yield pa.RecordBatch.from_arrays([pa.array(a[kept]), pa.array(b[kept])], names=["a", "b"])
-                at = stop
 
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            held.append(batch)
-            if sum(x.num_rows for x in held) < 100_000:
-                continue
-            t = pa.Table.from_batches(held).combine_chunks()
-            group = t.column(0).to_numpy()
-            last = np.flatnonzero(group != group[-1])
-            if len(last):
-                yield from close(t.slice(0, int(last[-1]) + 1).combine_chunks())
-                held = t.slice(int(last[-1]) + 1).combine_chunks().to_batches()
-        if held and sum(x.num_rows for x in held):
-            yield from close(pa.Table.from_batches(held).combine_chunks())
-
-    per = 64 // BLOCK_BITS
-    keys = [F.shiftright(F.get("fp", F.lit(t // per)), BLOCK_BITS * (t % per)).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1)) + (t << BLOCK_BITS) for t in range(SKETCH * per)]
-    dealt = leaves.select("node", "fp", F.posexplode(F.array(*keys)).alias("table", "key"))
-    counts = leaves.select(F.explode(F.array(*keys)).alias("key")).groupBy("key").count()  # tables x 2^BLOCK_BITS rows at most
-    hot = written(spark, counts.where(F.col("count") > limit).select("key", F.ceil(F.col("count") / limit).cast("int").alias("chunks")), "crowded")
-    told = dealt.join(F.broadcast(hot), "key", "left") if hot.count() <= SKETCH * per << BLOCK_BITS else dealt.join(hot, "key", "left")
-    mine = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
-    others = F.transform(F.sequence(F.lit(0), F.greatest(F.col("chunks"), F.lit(1)) - 1), lambda j: F.least(j, F.col("mine")) * 65_536 + F.greatest(j, F.col("mine")))
-    calm = told.where("chunks is null").select(F.xxhash64("key").alias("group"), "table", "node", "fp")
-    split = told.where("chunks is not null").withColumn("mine", mine).withColumn("pair", F.explode(others)).select(F.xxhash64("key", "pair").alias("group"), "table", "node", "fp")
-    rows = calm.unionByName(split).repartition("group").sortWithinPartitions("group")
-    return rows.select("group", "table", "node", "fp").mapInArrow(run, "a long, b long")
+def minima(sets: list[np.ndarray], odds: np.ndarray) -> np.ndarray:
+    """The least of each set's hashes under each of the multipliers."""
+    out = np.zeros((len(sets), len(odds)), np.uint64)
+    if sets:
+        h = np.concatenate(sets)
+        h ^= h >> np.uint64(32)
+        starts = np.cumsum([0, *(len(x) for x in sets[:-1])])
+        for j, odd in enumerate(odds):
+            out[:, j] = np.minimum.reduceat(h * odd, starts)
+    return out
 
 
 def signatures_of(texts: list[str | None], size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -302,18 +242,9 @@ def signatures_of(texts: list[str | None], size: int = SHINGLE) -> tuple[np.ndar
     The node is a hash of the whole set, so texts with one set of shingles are one node. No words:
     a set of its own.
     """
-    digest, sets = xxhash.xxh64_intdigest, []
-    for text in texts:
-        grams = shingles(text, size)
-        sets.append(np.unique(np.fromiter(map(digest, grams, repeat(SEED)), np.uint64, len(grams))) if grams else np.zeros(1, np.uint64))
-    node = np.array([digest(x.tobytes(), SEED) for x in sets], np.uint64).view(np.int64)
-    mins = np.zeros((len(sets), SIGNATURE), np.uint64)
-    if sets:
-        h = np.concatenate(sets)
-        h ^= h >> np.uint64(32)
-        starts = np.cumsum([0, *(len(x) for x in sets[:-1])])
-        for j, odd in enumerate(_ODD):
-            mins[:, j] = np.minimum.reduceat(h * odd, starts)
+    sets = shingle_sets(texts, size)
+    node = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets], np.uint64).view(np.int64)
+    mins = minima(sets, _ODD)
     keys = np.zeros((len(sets), BANDS), np.uint64)
     for t in range(BANDS):
         x = np.full(len(sets), t + 1, np.uint64)
@@ -324,6 +255,18 @@ def signatures_of(texts: list[str | None], size: int = SHINGLE) -> tuple[np.ndar
     return node, keys.view(np.int64), (mins >> np.uint64(20)).astype(np.uint8)
 
 
+def with_long_signature(texts: DataFrame) -> DataFrame:
+    """(node, signature) with ``LONG`` minima, of the few nodes whose ``text`` decides links."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in slices(whole, 1):
+                sig = (minima(shingle_sets(b.column(1).to_pylist()), _LONG_ODD) >> np.uint64(20)).astype(np.uint8)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.tobytes() for x in sig], pa.binary())], names=["node", "signature"])
+
+    return texts.select("node", "text").mapInArrow(run, "node long, signature binary")
+
+
 def with_signature(docs: DataFrame, *, keep: list, text: str = "text") -> DataFrame:
     """``keep`` columns of every row with its ``node``, ``keys`` and ``signature``."""
     schema = docs.select(*keep).withColumns({"node": F.lit(0).cast("long"), "keys": F.array().cast("array<long>"), "signature": F.lit(b"")}).schema
@@ -438,9 +381,10 @@ def near_copies(spark: SparkSession, leaves: DataFrame, texts_of: Callable[[Data
     """(node, root) of the nodes of ``leaves`` (node, keys, signature) that have a near copy.
 
     Every link is decided by the texts, which ``texts_of`` gives for a table of nodes. First the
-    nearest links of each band are decided; then all candidates between the components so found. So
-    no candidate that could join two components goes undecided, and a crowd of copies is not dealt
-    out as all of its pairs.
+    nearest links of each band are decided; then all candidates between the components so found, told
+    by longer signatures, so that of a crowd of texts that are near, but not near enough, few pairs
+    are left. No candidate that could join two components goes undecided, and a crowd of copies is
+    not dealt out as all of its pairs.
     """
     members = band_members(spark, leaves, limit=limit)
     first = written(spark, candidate_links(members, leaves), "candidates")
@@ -448,9 +392,10 @@ def near_copies(spark: SparkSession, leaves: DataFrame, texts_of: Callable[[Data
     texts = written(spark, texts_of(nodes), "candidate-texts")
     links = written(spark, true_links(first, texts), "links")
     roots = written(spark, components(spark, links), "first-roots")
-    told = leaves.join(nodes, "node").join(roots, "node", "left").select("node", "signature", F.coalesce("root", "node").alias("root"))
+    told = with_long_signature(texts).join(roots, "node", "left").select("node", "signature", F.coalesce("root", "node").alias("root"))
     told = written(spark, told, "candidate-leaves")
-    rest = written(spark, candidate_links(members.join(nodes, "node", "left_semi"), told).join(first, ["a", "b"], "left_anti"), "more-candidates")
+    rest = candidate_links(members.join(nodes, "node", "left_semi"), told, least=LONG_LEAST)
+    rest = written(spark, rest.join(first, ["a", "b"], "left_anti"), "more-candidates")
     if rest.isEmpty():
         return roots
     more = written(spark, true_links(rest, texts), "more-links")
