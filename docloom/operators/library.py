@@ -185,3 +185,8 @@ def upserted(history: DataFrame, *, keep: int = 25) -> DataFrame:
     key = [F.lower(c).alias(c) for c in ("question", "chapter", "file")]
     newest = history.groupBy(*key).agg(F.max(F.struct("at", "id", F.col("question").alias("q"))).alias("r"))
     return newest.select("r.at", "r.id", F.col("r.q").alias("question")).orderBy(F.desc("at"), F.desc("id")).limit(keep)
+
+
+def label_of(code: Column, labels: dict[str, str]) -> Column:
+    """A language's label by its code; null for codes without one."""
+    return F.try_element_at(F.create_map(*(F.lit(x) for pair in labels.items() for x in pair)), F.lower(code))

@@ -91,3 +91,10 @@ def chapters(lines: DataFrame) -> DataFrame:
 def level_ordinals(lines: DataFrame) -> DataFrame:
     """(doc_id, ord, level, nth): the place of each heading among those of its level."""
     return headings(lines).select("doc_id", "ord", "level", F.row_number().over(W.partitionBy("doc_id", "level").orderBy("ord")).alias("nth"))
+
+
+def changed_sections(lines: DataFrame) -> DataFrame:
+    """(doc_id, line_no, section): lines at which the heading above is another than before."""
+    at = section_at(lines)
+    before = F.lag("section").over(doc())
+    return at.withColumn("before", before).where(F.col("section").isNotNull() & ~F.col("section").eqNullSafe(F.col("before"))).select("doc_id", "line_no", "section")

@@ -66,3 +66,42 @@ def occurrences(lines: DataFrame, term: str, per_line: int = 6, cap: int = 120)
     found = lines.select("doc_id", "line_no", F.least(F.lit(per_line), F.regexp_count(F.lower("text"), F.lit(re.escape(term.lower())))).alias("n")).where("n > 0")
     before = F.sum("n").over(W.partitionBy("doc_id").orderBy("line_no")) - F.col("n")
     return found.withColumn("before", before).where(F.col("before") < cap).select("doc_id", "line_no", F.least("n", F.lit(cap) - F.col("before")).cast("int").alias("n"))
+
+
+def bag_difference(rows: DataFrame) -> DataFrame:
+    """(doc_id, word, n): words that ``need`` has more often than ``taken``, and how much more."""
+    count = lambda c: F.map_from_entries(F.transform(F.array_distinct(c), lambda w: F.struct(w, F.size(F.filter(c, lambda x: x == w)).cast("long"))))
+    told = rows.select("doc_id", F.explode(count(F.col("need"))).alias("word", "have"), count(F.col("taken")).alias("less"))
+    return told.withColumn("n", F.col("have") - F.coalesce(F.try_element_at("less", F.col("word")), F.lit(0))).where("n > 0").select("doc_id", "word", "n")
+
+
+def greedy(passages: DataFrame, budget: int) -> DataFrame:
+    """(doc_id, k) of the passages before the first that takes a document over its budget of characters."""
+    upto = F.sum(F.length("passage")).over(W.partitionBy("doc_id").orderBy("k"))
+    return passages.select("doc_id", "k", upto.alias("upto")).where(F.col("upto") <= budget).select("doc_id", "k")
+
+
+def tagged(cards: DataFrame, tags: list[str], term: str, *, budget: int = 12_000, each: int = 2_400, least: int = 400) -> DataFrame:
+    """(id, title, excerpt) of the cards with all tags whose text holds the term, in order of ids, while the
+    budget has ``least`` left. No more than budget / least cards can have a share, so the first of them are enough."""
+    from . import library
+
+    found = library.with_tags(cards, tags).where(search.contains(F.col("text"), term))
+    first = found.select("id", "title", F.left("text", F.lit(each)).alias("excerpt")).orderBy("id").limit(budget // least + budget // each + 1)
+    held = first.agg(F.array_sort(F.collect_list(F.struct("id", "title", "excerpt"))).alias("a"))  # a bounded list
+    zero = F.struct(F.lit(budget).alias("left"), F.array().cast("array<struct<id:bigint,title:string,excerpt:string>>").alias("out"))
+
+    def step(acc, c):  # noqa: ANN001, ANN202
+        cut = F.left(c["excerpt"], acc["left"])
+        took = F.struct((acc["left"] - F.length(cut)).alias("left"), F.array_append(acc["out"], F.struct(c["id"].alias("id"), c["title"].alias("title"), cut.alias("excerpt"))).alias("out"))
+        return F.when(acc["left"] >= least, took).otherwise(acc)
+
+    return held.select(F.explode(F.aggregate("a", zero, step)["out"]).alias("c")).select("c.*")
+
+
+def highlight_ranges(lines: DataFrame, term: str, *, per_line: int = 6, most: int = 200) -> DataFrame:
+    """(doc_id, line_no, at): where a term stands in each line, up to ``per_line``; ``most`` in a document."""
+    parts = F.split(F.lower("text"), re.escape(term.lower()))
+    places = F.transform(F.sequence(F.lit(1), F.least(F.lit(per_line), F.size("p") - 1)), lambda k: F.length(F.array_join(F.slice("p", 1, k), term)))
+    found = lines.select("doc_id", "line_no", parts.alias("p")).where(F.size("p") > 1).select("doc_id", "line_no", F.posexplode(places).alias("k", "at"))
+    return found.withColumn("n", F.row_number().over(W.partitionBy("doc_id").orderBy("line_no", "k"))).where(F.col("n") <= most).select("doc_id", "line_no", "at")

@@ -191,8 +191,9 @@ def with_page_marks(text: str, pages: list[str]) -> str:
 
 
 def distinctive(page: str | None) -> str | None:
-    """The first line of a page that is long enough to be found again and no contents line."""
-    return next((t for x in (page or "").split("\n") if 16 <= len(t := L.trim(x)) <= 120 and any(map(str.isalpha, t)) and not L.contents_line(x)), None)
+    """The first line of a page of 28 characters or more, else of 20, up to 160, that is no contents line."""
+    said = [t for x in (page or "").split("\n") if 20 <= len(t := L.trim(x)) <= 160 and any(map(str.isalpha, t)) and not L.contents_line(x)]
+    return next((t for t in said if len(t) >= 28), said[0] if said else None)
 
 
 def claimed(marks: list[Mark], text: list[str], marker: str = "") -> tuple[list[str], list[Mark]]:

@@ -149,6 +149,11 @@ def highlights(node: Node | None, under_not: bool = False) -> list[str]:
     return [t for p in node.parts for t in highlights(p, under_not != (node.kind == "not"))]
 
 
+def has_operators(query: str) -> bool:
+    """Whether a query holds AND, OR or NOT in capitals, or a word with a minus."""
+    return any(kind in ("AND", "OR", "NOT") for kind, _ in _tokens(query))
+
+
 def is_boolean(node: Node | None) -> bool:
     return node is not None and node.kind != "term"
 

@@ -6,9 +6,9 @@ import os
 import duckdb
 import pytest
 
-from docloom import queries, queries_files, queries_reading, queries_records
+from docloom import queries, queries_files, queries_reading, queries_records, queries_shelf
 
-PARTS = (queries, queries_files, queries_records, queries_reading)
+PARTS = (queries, queries_files, queries_records, queries_reading, queries_shelf)
 QUERIES = {k: v for part in PARTS for k, v in part.QUERIES.items()}
 ORACLE_SQL = {k: v for part in PARTS for k, v in part.ORACLE_SQL.items()}
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
