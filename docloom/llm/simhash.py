@@ -298,28 +298,30 @@ def nearest_trees(same: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]
 
 
 def band_members(spark: SparkSession, leaves: DataFrame, *, limit: int = 512) -> DataFrame:
-    """(group, node) of the nodes that share a band with another. A band of more than ``limit`` nodes
+    """(group, band, node) of the nodes that share a band with another. A band of more than ``limit`` nodes
     is dealt out as pairs of chunks, so all of its pairs are seen and no task holds over two chunks."""
-    dealt = leaves.select("node", F.explode("keys").alias("key"))
+    dealt = leaves.select("node", F.posexplode("keys").alias("band", "key"))
     shared = written(spark, dealt.groupBy("key").count().where("count > 1").select("key", F.ceil(F.col("count") / limit).cast("int").alias("chunks")), "shared-bands")
     told = dealt.join(F.broadcast(shared) if shared.count() <= 500_000 else shared, "key")
     others = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda j: F.least(j, F.col("mine")) * F.lit(1 << 31) + F.greatest(j, F.col("mine")))
-    calm = told.where("chunks = 1").select(F.col("key").alias("group"), "node")
+    calm = told.where("chunks = 1").select(F.col("key").alias("group"), "band", "node")
     split = told.where("chunks > 1").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("chunks").cast("long")))
-    split = split.withColumn("pair", F.explode(others)).select(F.xxhash64("key", "pair").alias("group"), "node")
+    split = split.withColumn("pair", F.explode(others)).select(F.xxhash64("key", "pair").alias("group"), "band", "node")
     return written(spark, calm.unionByName(split), "band-members")
 
 
 def candidate_links(members: DataFrame, leaves: DataFrame, *, least: int = LEAST) -> DataFrame:
     """Pairs (a, b) of ``members`` of one group whose ``signature``s agree in ``least`` places or more.
 
-    With a ``root`` in ``leaves``: all such pairs of different roots. Without: of each group the trees
-    of greatest agreement, which reach every node that is in any such pair.
+    With a ``root`` in ``leaves``: all such pairs of different roots, each in the first band that both
+    have in common. Without: of each group the trees of greatest agreement, which reach every node
+    that is in any such pair.
     """
     crossing = "root" in leaves.columns
 
     def close(t: pa.Table) -> pa.RecordBatch:
-        group, node, root = (t.column(i).to_numpy() for i in (0, 1, 3))
+        group, node, root, band = (t.column(i).to_numpy() for i in (0, 1, 3, 4))
+        keys = t.column(5).combine_chunks().flatten().to_numpy().reshape(len(group), -1) if crossing else None
         sig = np.frombuffer(b"".join(t.column(2).to_pylist()), np.uint8).reshape(len(group), -1)
         starts = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
         sizes = np.diff(np.append(starts, len(group)))
@@ -335,7 +337,11 @@ def candidate_links(members: DataFrame, leaves: DataFrame, *, least: int = LEAST
                 a, b = nearest_trees(same, least)
             found_a.append(a + s)
             found_b.append(b + s)
-        a, b = node[np.concatenate(found_a)], node[np.concatenate(found_b)]
+        a, b = np.concatenate(found_a), np.concatenate(found_b)
+        if crossing:
+            first = (keys[a] == keys[b]).argmax(1) == band[a]
+            a, b = a[first], b[first]
+        a, b = node[a], node[b]
         return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -353,8 +359,8 @@ def candidate_links(members: DataFrame, leaves: DataFrame, *, least: int = LEAST
         if held and sum(x.num_rows for x in held):
             yield close(pa.Table.from_batches(held))
 
-    rows = members.join(leaves.select("node", "signature", F.col("root") if crossing else F.lit(0).cast("long").alias("root")), "node")
-    rows = rows.select("group", "node", "signature", "root").repartition("group").sortWithinPartitions("group")
+    told = leaves.select("node", "signature", *(["root", "keys"] if crossing else [F.lit(0).cast("long").alias("root"), F.array().cast("array<long>").alias("keys")]))
+    rows = members.join(told, "node").select("group", "node", "signature", "root", "band", "keys").repartition("group").sortWithinPartitions("group")
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
@@ -392,7 +398,7 @@ def near_copies(spark: SparkSession, leaves: DataFrame, texts_of: Callable[[Data
     texts = written(spark, texts_of(nodes), "candidate-texts")
     links = written(spark, true_links(first, texts), "links")
     roots = written(spark, components(spark, links), "first-roots")
-    told = with_long_signature(texts).join(roots, "node", "left").select("node", "signature", F.coalesce("root", "node").alias("root"))
+    told = with_long_signature(texts).join(leaves.select("node", "keys"), "node").join(roots, "node", "left").select("node", "signature", "keys", F.coalesce("root", "node").alias("root"))
     told = written(spark, told, "candidate-leaves")
     rest = candidate_links(members.join(nodes, "node", "left_semi"), told, least=LONG_LEAST)
     rest = written(spark, rest.join(first, ["a", "b"], "left_anti"), "more-candidates")
