@@ -276,3 +276,61 @@ def clip_path(path: str) -> bool:
 
 def visible(text: str) -> str:
     return without_comments(text)
+
+
+def page_near(text: list[str], offset: int) -> str | None:
+    """The page that an offset of the text stands on."""
+    upto, page = 0, None
+    for line in text:
+        if upto > offset:
+            break
+        page = page_token(line) or page
+        upto += len(line) + 1
+    return page
+
+
+def selection(text: list[str], start: int, end: int) -> str:
+    """What is selected of the reader's text, tables that it touches as tables of the cells chosen."""
+    shown, where = plain_text(text)
+    ends, out, at, end = dict(grids.tables(text)), [], start, min(end, len(shown))
+    line_at = lambda o: max((i for i, p in where if p <= o), default=0)
+    while at < end:
+        line = line_at(at)
+        table = next(((a, b) for a, b in ends.items() if a <= line < b), None)
+        if table is None:
+            stop = min((p for i, p in where if p > at), default=len(shown))
+            out.append(shown[at : min(stop, end)].rstrip("\n"))
+            at = stop
+            continue
+        rows = grids.grid(text, *table)
+        first = min(p for i, p in where if table[0] <= i < table[1])
+        places = []
+        for r, row in enumerate(rows):
+            for c, cell in enumerate(row):
+                places.append((r, c, first, first + len(cell)))
+                first += len(cell) + 1
+        picked = {(r, c) for r, c, a, b in places if a < end and b > start}
+        out += grids.selected(text, *table, picked) or [rows[r][c] for r, c in sorted(picked)]
+        at = max(first, at + 1)
+    return "\n".join(out)
+
+
+def note(title: str, clips: list[str], marker: str = "") -> str:
+    """A note file of clips: its mark, its title, and the clips between rules."""
+    return "\n".join(([marker, ""] if marker else []) + [f"# {title}", "", "\n\n---\n\n".join(clips), ""])
+
+
+def working(base: str, live: str) -> str:
+    """A note's text with what is still being gathered below a rule."""
+    return "\n\n---\n\n".join(x for x in (base.strip(), live.strip()) if x)
+
+
+def daily_note(have: str, source: str, text: str) -> str:
+    """The day's note with a piece added under its source."""
+    return f"{have.rstrip()}\n\n## {source}\n\n{text.strip()}\n".lstrip()
+
+
+def chapter_text(text: str, n: int, most: int = 12_000) -> str:
+    """The n-th part of a text between headings, the whole where there are fewer than three; 12,000 characters at most."""
+    parts = re.split(r"(?m)^(?=#{1,6}\s)", text)
+    return (parts[min(n, len(parts) - 1)] if len(parts) >= 3 else text)[:most]

@@ -185,11 +185,11 @@ def extracted(rows: list[list[str | None]]) -> list[str]:
     return written([r + [""] * (width - len(r)) for r in clean])
 
 
-def selected(text: list[str], start: int, end: int, rows: set[int], columns: set[int]) -> list[str]:
-    """Chosen cells of a table as a table: the header comes along with cells of the body, other cells are
+def selected(text: list[str], start: int, end: int, chosen: set[tuple[int, int]]) -> list[str]:
+    """Chosen (row, column) cells of a table as a table: the header comes along with cells of the body, other cells are
     empty, and fewer than two cells give none."""
     table = grid(text, start, end)
-    picked = {(r, c) for r in rows for c in columns if r < len(table) and c < len(table[0])}
+    picked = {(r, c) for r, c in chosen if r < len(table) and c < len(table[0])}
     if len(picked) < 2:
         return []
     told = {r for r, _ in picked}

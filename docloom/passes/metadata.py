@@ -245,3 +245,35 @@ def from_xmp(packet: str) -> Record:
         one("dc:title"), values("dc:creator"), one("dc:publisher"), one("dc:date"), one("dc:rights"), one("dc:description"), values("dc:subject"), one("dc:language"),
         valid_isbn(one("prism:isbn") or one("dc:identifier")) or "", created=one("xmp:CreateDate")[:10], pdf_creator=one("xmp:CreatorTool"), pdf_producer=one("pdf:Producer"),
     )
+
+
+def pdf_info(data: bytes) -> Record:
+    """A record from the information dictionary of a PDF file, where its strings are plain."""
+    found = {k.decode(): re.sub(rb"\\([()\\])", rb"\1", v).decode("latin-1") for k, v in re.findall(rb"/(Title|Author|Subject|Keywords|Creator|Producer|CreationDate)\s*\(((?:\\.|[^()\\])*)\)", data)}
+    day = re.match(r"D:(\d{4})(\d\d)(\d\d)", found.get("CreationDate", ""))
+    return Record(
+        clean(found.get("Title")), names(found.get("Author")), summary=clean(found.get("Subject")), subjects=keywords(found.get("Keywords")), pdf_creator=clean(found.get("Creator")),
+        pdf_producer=clean(found.get("Producer")), created="-".join(day.groups()) if day else "",
+    )
+
+
+def normal_title(title: str) -> str:
+    return " ".join(re.sub(r"[^\w\s]|_", "", title.lower()).split())
+
+
+def from_catalog(answer: dict, year: str = "first_publish_year") -> Record:
+    """A record from a catalog's answer: the first publisher, twelve subjects at most."""
+    one = lambda k: clean(str(next(iter(v), "") if isinstance(v := answer.get(k, ""), list) else v or ""))
+    many = lambda k: [clean(str(x)) for x in answer.get(k) or [] if clean(str(x))]
+    return Record(one("title"), many("author_name"), one("publisher"), one(year)[:4], lang=one("language"), subjects=many("subject")[:12], isbn=next((n for x in many("isbn") if (n := valid_isbn(x))), ""))
+
+
+def looked_up(title: str, answers: list[dict]) -> Record | None:
+    """The one answer whose normalised title is that asked for; none where there are more, or none."""
+    hits = [a for a in answers if normal_title(str(a.get("title", ""))) == normal_title(title)]
+    return from_catalog(hits[0]) if len(hits) == 1 else None
+
+
+def resolved_title(reply: str, opening: str, name: str) -> str:
+    """An accepted title, else one from the file name."""
+    return accepted_title(reply, opening) or title_of_file(name)

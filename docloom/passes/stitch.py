@@ -308,3 +308,58 @@ def inferred(text: list[str], proposed: list[tuple[str, str]], *, least: int = 1
             new[at:at] = ["", f"## {title.strip()}", ""]
             cursor = at + 4
     return new
+
+
+def walked(entries: list[dict], level: int = 1) -> list[Mark]:
+    """A tree of outline entries (title, page, children) in reading order, with levels."""
+    out = []
+    for e in entries:
+        title = " ".join(str(e.get("title", "")).split())
+        out += [Mark(title, level, e.get("page"))] if title else []
+        out += walked(e.get("children", []), level + 1)
+    return out
+
+
+def relocated(marks: list[Mark], text: list[str]) -> list[Mark]:
+    """An outline on an edited text: entries by their titles, the others on the headings that no entry has
+    taken, in order; without an outline, the text's own headings."""
+    heads = [(i, L.marks(x), h) for i, x in enumerate(text) if (h := L.heading(x)) and not L.page_like(h) and h != "Outline"][:180]
+    if not marks:
+        return [Mark(h, min(3, n), line=i) for i, n, h in heads]
+    where = [next((i for i, _, h in heads if h.lower() == m.title.lower()), None) for m in marks]
+    left = [i for i, _, _ in heads if i not in where]
+    return [replace(m, line=w if w is not None else left.pop(0) if left else None) for m, w in zip(marks, where, strict=True)]
+
+
+def sections(text: list[str]) -> list[tuple[int, int, int, str]]:
+    """(first, past, level, title) of each heading's part, to the next heading of any level."""
+    heads = [(i, L.marks(x), h) for i, x in enumerate(text) if (h := L.heading(x)) and not L.page_like(h)]
+    ends = [i for i, _, _ in heads[1:]] + [len(text)] * bool(heads)
+    return [(i, e, n, h) for (i, n, h), e in zip(heads, ends, strict=True)]
+
+
+def counterpart(own: list[tuple[int, int, int, str]], at: int, other: list[tuple[int, int, int, str]]) -> int | None:
+    """The section of another outline that one stands for: the same place among those of its level, else the
+    same place of all."""
+    same = [k for k, s in enumerate(other) if s[2] == own[at][2]]
+    nth = sum(s[2] == own[at][2] for s in own[:at])
+    return same[nth] if nth < len(same) else at if at < len(other) else None
+
+
+def followed(text: list[str], other: list[str], line: int) -> int:
+    """The line of a translation that a line stands for: within its section's counterpart by share, else by
+    its page, else by its share of the whole."""
+    own, theirs = sections(text), sections(other)
+    at = next((k for k in range(len(own) - 1, -1, -1) if own[k][0] <= line), None)
+    to = counterpart(own, at, theirs) if at is not None else None
+    if to is not None:
+        return min(theirs[to][1] - 1, interpolated(line, own[at][:2], theirs[to][:2]))
+    page = next((n for i in range(line, -1, -1) if (n := L.page_mark(text[i])) is not None), None) if text else None
+    hit = next((i for i, x in enumerate(other) if page is not None and L.page_mark(x) == page), None)
+    return hit if hit is not None else interpolated(line, (0, len(text)), (0, len(other)))
+
+
+def next_page_line(marks: list[Mark], at: int, starts: dict[int, int], past: int) -> int:
+    """Where the next entry of a later page begins, else the end."""
+    page = marks[at].page
+    return next((starts[m.page] for m in marks[at + 1 :] if m.page in starts and (page is None or m.page > page)), past)

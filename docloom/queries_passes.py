@@ -104,7 +104,7 @@ _add("e04_compact_tables", lambda s, d: rows_of(_book(s, d), lambda t: [(a, "\n"
 _add("e06_table_echoes", lambda s, d: rows_of(_book(s, d), lambda t: [(i,) for own in [t.split("\n")] for i in sorted(grids.echoes(own, [(a, grids.grid(own, a, b)) for a, b in grids.tables(own)]))], "line_no int", "text"))
 _add("e07_interleaved", lambda s, d: rows_of(_docs(s, d), lambda t: [(grids.interleaves(w, [w[::2], w[1::2]]), grids.interleaves(w, [w[1::2], w[::2]]))  for w in [t.split()]], "woven boolean, turned boolean", "text"))
 _add("e09_table_html", lambda s, d: rows_of(_book(s, d), lambda t: [(a, grids.as_html(own, a, b)) for own in [t.split("\n")] for a, b in grids.tables(own)], "first int, html string", "text"))
-_add("e10_selected_cells", lambda s, d: rows_of(_book(s, d), lambda t: [(a, "\n".join(grids.selected(own, a, b, {0, 1}, {0, 1}))) for own in [t.split("\n")] for a, b in grids.tables(own)], "first int, text string", "text"))
+_add("e10_selected_cells", lambda s, d: rows_of(_book(s, d), lambda t: [(a, "\n".join(grids.selected(own, a, b, {(0, 0), (1, 1)}))) for own in [t.split("\n")] for a, b in grids.tables(own)], "first int, text string", "text"))
 _add("e11_extracted_grids", lambda s, d: rows_of(_docs(s, d), lambda t: [("\n".join(grids.extracted([x.split(" ")[:4] for x in t.split("\n")])),)], "text string", "text"))
 _add("s19_plain_runs", lambda s, d: rows_of(_book(s, d), lambda t: [(r.start, r.stop) for r in grids.plain_runs(t.split("\n"))], "first int, past int", "text"))
 

@@ -127,9 +127,9 @@ _add(
 )
 _add("s56_wants_chapters", lambda s, d: shelf.wants_chapters(_docs(s, d), outline.headings(_probe(s, d)), most=900, few=2), f"{_pr} SELECT doc_id FROM documents LEFT JOIN (SELECT doc_id, count(*) AS n FROM h WHERE ord <= 180 GROUP BY 1) USING (doc_id) WHERE octet_length(encode(text)) < 900 AND coalesce(n, 0) < 2")
 _add("s59_changed_headings", lambda s, d: outline.changed_sections(_probe(s, d)), f"WITH {O.PROBES}, a AS (SELECT doc_id, line_no, last_value(CASE WHEN NOT {O.page_like(O.heading_text('text'))} THEN {O.heading_text('text')} END IGNORE NULLS) OVER w AS section FROM probe WINDOW w AS (PARTITION BY doc_id ORDER BY line_no)), b AS (SELECT *, lag(section) OVER (PARTITION BY doc_id ORDER BY line_no) AS before FROM a) SELECT doc_id, line_no, section FROM b WHERE section IS NOT NULL AND section IS DISTINCT FROM before")
-_margin = "SELECT conv_id AS doc_id, turn AS page, CASE WHEN turn % 2 = 0 THEN 'Reader  Notes 12' ELSE substr(text, 1, 20) END AS text, (turn * 137 % 800)::DOUBLE AS mid_y, (8 + turn % 3 * 60)::DOUBLE AS height, 0.0::DOUBLE AS box_min_y, 800.0::DOUBLE AS box_height FROM conversations"
+_margin = "SELECT conv_id AS doc_id, turn AS page, CASE WHEN turn % 4 < 3 THEN 'Reader  Notes ' || turn ELSE substr(text, 1, 20) END AS text, (700 + turn)::DOUBLE AS mid_y, (8 + turn % 4 * 40)::DOUBLE AS height, 0.0::DOUBLE AS box_min_y, 800.0::DOUBLE AS box_height FROM conversations"
 _add(
-    "d39_margin_lines", lambda s, d: shelf.margin_lines(R.table(s, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page"), F.expr("if(turn % 2 = 0, 'Reader  Notes 12', left(text, 20))").alias("text"), F.expr("cast(turn * 137 % 800 as double)").alias("mid_y"), F.expr("cast(8 + turn % 3 * 60 as double)").alias("height"), F.lit(0.0).alias("box_min_y"), F.lit(800.0).alias("box_height")), share=0.1),
+    "d39_margin_lines", lambda s, d: shelf.margin_lines(R.table(s, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page"), F.expr("if(turn % 4 < 3, concat('Reader  Notes ', turn), left(text, 20))").alias("text"), F.expr("cast(700 + turn as double)").alias("mid_y"), F.expr("cast(8 + turn % 4 * 40 as double)").alias("height"), F.lit(0.0).alias("box_min_y"), F.lit(800.0).alias("box_height")), share=0.1),
     rf"WITH m AS ({_margin}), n AS (SELECT doc_id, count(DISTINCT page) AS n FROM m GROUP BY 1 HAVING count(DISTINCT page) >= 3), k AS (SELECT doc_id, page, regexp_replace(lower(trim(regexp_replace(text, '\s+', ' ', 'g'))), '[0-9]+', '#', 'g') AS key FROM m WHERE height <= 96 AND (mid_y >= 656 OR mid_y <= 144)), c AS (SELECT doc_id, key, count(DISTINCT page) AS pages FROM k WHERE key <> '' GROUP BY 1, 2) SELECT c.* FROM c JOIN n USING (doc_id) WHERE pages >= greatest(3, ceil(n * 0.1))",
 )
 
@@ -147,7 +147,7 @@ _add(
 )
 _add("s31_names", lambda s, d: _docs(s, d).select("doc_id", F.array_join(shelf.listed(F.expr("concat(' ', lang, '  x ;; ', source, ';')")), "|").alias("names")), "SELECT doc_id, lang || ' x|' || source AS names FROM documents")
 _add("s53_moved_paths", lambda s, d: _cards(s, d).select("id", shelf.rewritten_path(F.col("markdown_path"), "/lib/3", "/new").alias("path")), f"WITH {CARDS} SELECT id, CASE WHEN starts_with(markdown_path, '/lib/3/') THEN '/new' || substr(markdown_path, 7) ELSE markdown_path END AS path FROM cards")
-_add("s55_enqueued", lambda s, d: _docs(s, d).select(F.col("source").alias("path")).distinct().join(_docs(s, d).where("doc_id < 40").select(F.col("source").alias("path")).distinct(), "path", "left_anti"), "SELECT DISTINCT source AS path FROM documents WHERE source NOT IN (SELECT source FROM documents WHERE doc_id < 40)")
+_add("s55_enqueued", lambda s, d: _docs(s, d).select(F.expr("concat(source, '/', doc_id % 9)").alias("path")).distinct().join(_docs(s, d).where("doc_id < 40").select(F.expr("concat(source, '/', doc_id % 9)").alias("path")).distinct(), "path", "left_anti"), "SELECT DISTINCT source || '/' || doc_id % 9 AS path FROM documents WHERE (source || '/' || doc_id % 9) NOT IN (SELECT source || '/' || doc_id % 9 FROM documents WHERE doc_id < 40)")
 _add("s62_stored", lambda s, d: R.table(s, d, "events").groupBy("user_id").agg(F.max_by("value", F.struct("ts", "event_id")).alias("value")).where("user_id % 5 <> 0"), "SELECT user_id, arg_max(value, (ts, event_id)) AS value FROM events WHERE user_id % 5 <> 0 GROUP BY 1")
 _add("s63_page_finds", lambda s, d: _docs(s, d).select("doc_id", F.regexp_count(F.lower("text"), F.lit("the")).alias("n")).where("n > 0"), "SELECT doc_id, len(regexp_extract_all(lower(text), 'the'))::INT AS n FROM documents WHERE contains(lower(text), 'the')")
 _add(

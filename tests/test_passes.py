@@ -9,7 +9,7 @@ import zlib
 
 import pytest
 
-from docloom import queries_passes
+from docloom import queries_passes, queries_support
 from docloom.passes import ask, figures, grids, markup, metadata, stitch, tidy, translation
 from docloom.passes import lines as L
 from docloom.sources import office
@@ -19,9 +19,12 @@ from .test_queries import SF
 KNOWN = {"when", "in", "to", "many", "he", "came"}
 
 
-@pytest.mark.parametrize("name", sorted(queries_passes.QUERIES))
+QUERIES = queries_passes.QUERIES | {k: v for k, v in queries_support.QUERIES.items() if k not in queries_support.ORACLE_SQL}
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_queries_run(spark, name):
-    df = queries_passes.QUERIES[name](spark, SF)
+    df = QUERIES[name](spark, SF)
     rows = df.collect()
     assert rows and len(df.columns) >= 2
 
@@ -44,7 +47,7 @@ def test_queries_run(spark, name):
     (tidy.demoted, ["# John 3:16–18", "# One. Two goes on", "and here four more words", "# Fine"], ["John 3:16–18", "One. Two goes on", "and here four more words", "# Fine"], None),
     (tidy.subheadings, ["# Top", "Shifting from One to Two", "", "Next para", "lower"], ["# Top", "## Shifting from One to Two", "", "Next para", "lower"], None),
     (lambda x: tidy.closed_letters(x, "He said your gift, YOUR GIFT"), ["# Y O U R G I F T", "Y O U"], ["# YOUR GIFT", "Y O U"], None),
-    (stitch.moved_headings, ["# One", "## Two", "", "One", "a", "# One", "b", "c", "d", "e", "f", "# Two", "g"], None, None),
+    (stitch.moved_headings, ["## One", "# Two", "", "## One", "b", "c", "d", "e", "f", "# Two", "g"], ["## One", "", "## One", "b", "c", "d", "e", "f", "# Two", "g"], [0, 8, 1, 2, 3, 4, 5, 6, 7, 8, 9]),
 ])
 def test_pass(step, before, after, where):
     got = step(list(before))
@@ -173,3 +176,16 @@ def test_asking():
     assert ask.plain_text(["# Book", "<!-- page 3 -->", "**x**", "| a | b |", "| - | - |", "| c | d |", "y **z**"], "book") == ("Page 3\nx\na\nb\nc\nd\ny z\n", [(0, 0), (1, 0), (2, 7), (3, 9), (5, 13), (6, 17)])
     assert ask.clip("  a\r\n\n\n\nb ", "C", "S", "4") == "### C\n\na\n\nb\n\n*S · Page 4*" and ask.with_question("### C\n\na", "q") == "### C\n\n**Q:** q\n\na"
     assert ask.cited("*S · Page 4*\n*T*\n*U*", ("t",)) == ["S", "T"] and ask.note_body("# N\n\nx") == "x" and ask.session_title("/a/2024-01-02_10_30_00_FORAGE.md") == "2024-01-02 10.30.00"
+
+
+def test_support():
+    assert [(m.title, m.level) for m in stitch.walked([{"title": "a", "children": [{"title": "b "}]}, {"title": " "}])] == [("a", 1), ("b", 2)]
+    assert [m.line for m in stitch.relocated([stitch.Mark("two"), stitch.Mark("x")], ["# One", "", "# Two"])] == [2, 0] and stitch.relocated([], ["# One"])[0].line == 0
+    assert stitch.followed(["# a", "1", "2", "# b", "3"], ["# A", "1", "2", "3", "4", "# B", "5"], 4) == 6 and stitch.followed(["# a", "1"], ["# A", "x", "y", "z"], 1) == 2
+    r = metadata.pdf_info(b"/Title (A \\(b\\)) /Author (X; Y) /CreationDate (D:20240131)")
+    assert (r.title, r.authors, r.created) == ("A (b)", ["X", "Y"], "2024-01-31")
+    assert metadata.looked_up("The Book", [{"title": "the book!"}, {"title": "x"}]).title == "the book!" and metadata.looked_up("b", [{"title": "b"}, {"title": "B"}]) is None
+    text = ["<!-- page 4 -->", "one", "| a | b |", "| - | - |", "| c | d |", "end"]
+    assert ask.page_near(text, 30) == "4" and ask.plain_text(text)[0] == "Page 4\none\na\nb\nc\nd\nend\n"
+    assert ask.selection(text, 7, 10) == "one" and ask.selection(text, 7, 16).split("\n") == ["one", "| a | b |", "| --- | --- |", "| c |  |"]
+    assert ask.chapter_text("# a\nx\n# b\ny\n# c\nz", 1) == "# a\nx\n" and ask.working("a", " ") == "a" and ask.note("N", ["a", "b"]).startswith("# N\n\na\n\n---\n\nb")
