@@ -76,3 +76,42 @@ def test_features_match_a_plain_version():
         assert (owner == i).sum() == grams
     again = subword.features(["zzz", "abcdef"], 1 << 20, (3, 4))
     assert sorted(ids[owner == 1]) == sorted(again[1][again[0] == 1])
+
+
+@pytest.mark.parametrize("classes", [2, 3])
+def test_scores_against_a_plain_softmax(classes):
+    rng = np.random.default_rng(classes)
+    model = subword.Model(list(range(classes)), rng.normal(0, 1, (1 << 12, classes)).astype(np.float32), rng.normal(0, 1, classes), (2, 3, 5), 1.7)
+    texts = ["One two  two", "", None, "é中 x", "long " * 300, "x" * 70_000, "One two  two"]
+    got = model.probabilities(model.coder(), texts)
+    for text, p in zip(texts, got, strict=True):
+        words = subword.find_words((text or "").lower())
+        sums = np.zeros(classes)
+        for w in words:
+            _, ids = subword.features([w], 1 << 12, (2, 3, 5))
+            sums += model.table[ids].astype(np.float64).mean(0)
+        z = (sums / max(1, len(words)) + model.bias) * 1.7
+        want = np.exp(z - z.max())
+        assert np.allclose(p, want / want.sum(), atol=1e-6)
+    assert (got[0] == got[6]).all()
+
+
+def test_bags_against_counts_written_out():
+    ids, shares, words = subword.bag("ab cd ab", 1 << 12, (2, 3))
+    plain: dict[int, float] = {}
+    for w in ["ab", "cd", "ab"]:
+        _, own = subword.features([w], 1 << 12, (2, 3))
+        for i in own:
+            plain[int(i)] = plain.get(int(i), 0) + 1 / len(own)
+    assert words == 3 and sorted(plain) == ids.tolist() and np.allclose([plain[i] for i in ids.tolist()], shares, atol=1e-3)
+
+
+def test_repeated_and_null_ids_and_clashing_columns(spark, rows):
+    many = [(100_007, "ka lo mi schr", "xx")] * 3000 + [(None, "ra el", "zz")] * 50 + [r[:3] for r in rows[:200]]
+    docs = spark.createDataFrame(many, "doc_id long, text string, lang string").withColumns({c: F.lit("clash") for c in ("score", "predicted", "lang_pred", "label", "ids", "words", "shares")})
+    model = language.fit(spark, docs, max_docs=60)
+    got = language.label(spark, docs, model, keep=["doc_id"])
+    assert got.columns == ["doc_id", "lang_pred", "score"] and got.count() == len(many) and set(model.classes) == {"xx", "yy", "zz"}
+    labels = spark.createDataFrame([(100_007, 1), (100_007, 0), (None, 1), *((r[0], r[3]) for r in rows[:200])], "doc_id long, toxic int").withColumns({c: F.lit("clash") for c in ("label", "text")})
+    scored = toxicity.scored(spark, docs, toxicity.fit(spark, docs, labels, max_docs=60, buckets=2**12), keep=["doc_id"])
+    assert scored.columns == ["doc_id", "score", "predicted"] and scored.where("doc_id = 100007").distinct().count() == 1 and scored.count() == len(many)

@@ -54,3 +54,15 @@ def test_parts_are_balanced():
     x = rng.normal(size=(800, 8))
     label = ann.balanced_parts(x, ann.neighbour_graph(x, 10), 8)
     assert np.bincount(label, minlength=8).max() <= 110
+
+
+def test_the_measured_number_of_parts_finds_neighbours_without_structure(spark):
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(3000, 24))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({"part": F.lit("clash"), "v": F.lit("clash")})
+    got = ann.nearest(spark, table, table.where("vec_id % 20 = 0")).toPandas()
+    want = brute(rows, range(0, 3000, 20))
+    hits = sum(len({v for v, _ in want[q]} & set(g.vec_id)) for q, g in got.groupby("query_id"))
+    assert got.groupby("query_id").size().eq(10).all() and hits >= 0.9 * 10 * 150

@@ -89,3 +89,26 @@ def test_boundaries_stay_exact_with_very_many_lengths(spark, monkeypatch):
     docs = spark.range(200_101).select(F.col("id").alias("doc_id"), (F.col("id") + 1).cast("string").alias("text"))
     got = packing.packed(spark, docs, buckets=2)
     assert [r.bucket_len for r in got.select("bucket_len").distinct().orderBy("bucket_len").collect()] == packing.boundaries(list(range(1, 200_102)), [1] * 200_101, 2)
+
+
+def test_targets_of_many_sources_are_those_of_the_plain_version(spark):
+    rng = np.random.default_rng(3)
+    sizes = {None if i == 0 else f"s{rng.integers(0, 10**9)}é{i}": int(x) for i, x in enumerate(np.concatenate([rng.integers(0, 50, 150), rng.integers(1000, 10**6, 50)]))}
+    table = spark.createDataFrame([("n" if s is None else f"s{s}", n) for s, n in sizes.items()], "sk string, s long").repartition(7)
+    want = mixing.targets(sizes, lambda i: 1 + i % 3)
+    got = {None if r.sk == "n" else r.sk[1:]: (r.source_size, r.target) for r in mixing.targets_of(spark, table, lambda i: 1 + i % 3).collect()}
+    assert {s: n for s, (n, _) in got.items()} == sizes
+    assert all(abs(got[s][1] - want[s]) <= 1e-6 * max(1, want[s]) for s in sizes)
+    assert mixing.targets_of(spark, table.where("s < 0"), lambda i: 1 + i % 3).count() == 0
+
+
+def test_boundaries_of_very_many_lengths():
+    rng = np.random.default_rng(8)
+    lengths = np.cumsum(rng.integers(1, 4, 300_000))
+    counts = rng.integers(1, 9, 300_000)
+    whole = lambda a, b: lengths[b - 1] * counts[a:b].sum() - (lengths[a:b] * counts[a:b]).sum()
+    C, S = np.cumsum(counts), np.cumsum(lengths * counts)
+    cost = lengths[:-1] * C[:-1] - S[:-1] + lengths[-1] * (C[-1] - C[:-1]) - (S[-1] - S[:-1])
+    k = packing.boundaries(lengths, counts, 2)
+    at = int(np.searchsorted(lengths, k[0])) + 1
+    assert k[1] == lengths[-1] and whole(0, at) + whole(at, len(lengths)) == cost.min()
