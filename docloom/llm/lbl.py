@@ -119,12 +119,14 @@ def _sums(at: np.ndarray, rows: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-def train_nce(cells: np.ndarray, n: np.ndarray, size: int, *, dim: int = DIM, steps: int = 600, batch: int = 4096, noise: int = 256, seed: int = 11) -> np.ndarray:
+def train_nce(cells: np.ndarray, n: np.ndarray, size: int, *, dim: int = DIM, steps: int | None = None, batch: int = 4096, noise: int = 256, seed: int = 11) -> np.ndarray:
     """Log-probabilities of the class (column) after each class (row), from counted class pairs.
 
     Noise-contrastive estimation: each seen pair is told from ``noise`` draws of the unigram, shared by
-    the batch, by the logistic loss on score - log(noise * unigram); Adagrad steps.
+    the batch, by the logistic loss on score - log(noise * unigram); Adagrad steps, 600 and one more for
+    each 500 distinct pairs, so that what is learned grows with what was counted.
     """
+    steps = steps or 600 + len(cells) // 500
     rng = np.random.default_rng(seed)
     before, after = cells // size, cells % size
     unigram = np.bincount(after, n, size) + 0.5
