@@ -16,12 +16,29 @@ def doc() -> WindowSpec:
 
 
 def headings(lines: DataFrame, cap: int = 180) -> DataFrame:
-    """(doc_id, ord, line_no, level, title): levels 1 to 3, page-like titles left out."""
+    """(doc_id, ord, line_no, level, title): levels 1 to 3; front matter that closes within 40 lines, page-like
+    titles and the outline's own are left out."""
+    t = T.trim(F.col("text"))
+    fence = lines.where((F.col("line_no") <= 40) & (t == "---")).groupBy("doc_id").agg(F.min("line_no").alias("open"), F.min(F.when(F.col("line_no") > 0, F.col("line_no"))).alias("close"))
+    fence = fence.where("open = 0 and close is not null").select("doc_id", "close")
     h = lines.select("doc_id", "line_no", T.heading_text(F.col("text")).alias("title"), F.least(T.heading_marks(F.col("text")), F.lit(3)).alias("level"))
     h = h.where(F.col("title").isNotNull() & ~T.page_like(F.col("title")) & (F.col("title") != "Outline"))
+    h = h.join(fence, "doc_id", "left").where("close is null or line_no > close")
     return h.withColumn("ord", F.row_number().over(doc())).where(F.col("ord") <= cap).select("doc_id", "ord", "line_no", "level", "title")
 
 
+def paired_titles(main: DataFrame, other: DataFrame) -> DataFrame:
+    """(doc_id, title, other): titles (doc_id, ord, title) of two outlines by place, then those left of the
+    first by equal name."""
+    o = other.select("doc_id", "ord", F.col("title").alias("other"))
+    placed = main.join(o, ["doc_id", "ord"]).select("doc_id", "ord", "title", "other")
+    used = placed.select("doc_id", F.lower("title").alias("key")).distinct()
+    left = main.join(o.select("doc_id", "ord"), ["doc_id", "ord"], "left_anti").withColumn("key", F.lower("title")).join(used, ["doc_id", "key"], "left_anti")
+    left = left.groupBy("doc_id", "key").agg(F.min_by("title", "ord").alias("title"))
+    first = o.groupBy("doc_id", F.lower("other").alias("key")).agg(F.min_by("other", "ord").alias("other"))
+    return placed.select("doc_id", "title", "other").unionByName(left.join(first, ["doc_id", "key"]).select("doc_id", "title", "other"))
+
+
 def sections(lines: DataFrame, *, any_level: bool = False) -> DataFrame:
     """(doc_id, title, level, first, last): to the next heading of the same or a higher level, or the end.
 

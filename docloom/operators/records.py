@@ -172,9 +172,9 @@ def fixed_batches(rows: DataFrame, key: str, order: str, size: int) -> DataFrame
     return rows.withColumn("batch", F.floor((F.row_number().over(W.partitionBy(key).orderBy(order)) - 1) / size).cast("int"))
 
 
-def numbered_reply(c: Column) -> Column:
-    """Texts of a reply marked ``<<<n>>>``; the last of a number holds."""
-    parts = F.filter(F.split(c, "<<<"), lambda p: p.rlike("^[0-9]+>>>"))
+def numbered_reply(c: Column, count: int = 1 << 30) -> Column:
+    """Texts of a reply marked ``<<<n>>>``, numbers from 1 to ``count``; the last of a number holds."""
+    parts = F.filter(F.split(c, "<<<"), lambda p: p.rlike("^[0-9]+>>>") & F.regexp_extract(p, "^([0-9]+)", 1).try_cast("int").between(1, count))
     pairs = F.transform(parts, lambda p: F.struct(F.regexp_extract(p, "^([0-9]+)>>>", 1).cast("int").alias("n"), F.regexp_replace(F.regexp_replace(p, "^[0-9]+>>>", ""), r"^\s+|\s+$", "").alias("t")))
     last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["n"] == p["n"]))
     return F.transform(F.array_sort(last), lambda p: F.concat_ws("|", p["n"].cast("string"), p["t"]))

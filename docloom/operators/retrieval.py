@@ -105,3 +105,21 @@ def highlight_ranges(lines: DataFrame, term: str, *, per_line: int = 6, most: in
     places = F.transform(F.sequence(F.lit(1), F.least(F.lit(per_line), F.size("p") - 1)), lambda k: F.length(F.array_join(F.slice("p", 1, k), term)))
     found = lines.select("doc_id", "line_no", parts.alias("p")).where(F.size("p") > 1).select("doc_id", "line_no", F.posexplode(places).alias("k", "at"))
     return found.withColumn("n", F.row_number().over(W.partitionBy("doc_id").orderBy("line_no", "k"))).where(F.col("n") <= most).select("doc_id", "line_no", "at")
+
+
+# What the web page answers where the chapter says nothing.
+NOT_TOGETHER = "That chapter does not say. AND, OR, and NOT must be capitals, in the same sentence."
+NOT_SAID = "That chapter does not say. Try another heading, or the Mac app with your own key."
+
+
+def page_answers(docs: DataFrame, question: str, top: int = 3) -> DataFrame:
+    """(doc_id, answer) as the web page gives it: the three sentences with most words of the question, in one
+    scan; a question with AND, OR or NOT must hold in one sentence."""
+    words = [w for w in re.split(r"[^A-Za-z0-9_]+", question.lower()) if len(w) > 3]
+    said = F.split(F.regexp_replace("text", "\n+", " "), r"(?<=[.?!])\s+")
+    scored = F.transform(said, lambda s, i: F.struct((-_score(s, words)).alias("n"), i.alias("i"), s.alias("s")))
+    best = F.transform(F.slice(F.array_sort(F.filter(scored, lambda x: x["n"] < 0)), 1, top), lambda x: F.trim(x["s"]))
+    told = F.when(F.size("best") == 0, NOT_SAID).otherwise(F.array_join("best", " "))
+    if re.search(r"\b(AND|OR|NOT)\b", question):
+        told = F.when(~search.holds_by_word(F.col("text"), question), NOT_TOGETHER).otherwise(told)
+    return docs.withColumn("best", best).select("doc_id", told.alias("answer"))

@@ -183,15 +183,12 @@ def _negates(node: Node) -> bool:
     return node.kind == "not" or any(map(_negates, node.parts))
 
 
-def matching_by_word(docs: DataFrame, query: str, text: str = "text") -> DataFrame:
+def holds_by_word(c: Column, query: str) -> Column:
     """The plain form: words one after another with no precedence, AND or OR holding until changed;
     any of the capitals asks for one sentence, else the whole query is looked for as it stands."""
     q = query.strip()
-    c = F.col(text)
-    if not q:
-        return docs
     if not re.search(r"\b(AND|OR|NOT)\b", q):
-        return docs.where(F.contains(F.lower(c), F.lit(q.lower())))
+        return F.contains(F.lower(c), F.lit(q.lower()))
 
     def holds(sentence: Column) -> Column:
         low, mode, negate, out = F.lower(sentence), "AND", False, None
@@ -206,4 +203,9 @@ def matching_by_word(docs: DataFrame, query: str, text: str = "text") -> DataFra
                 out = bit if out is None else out | bit if mode == "OR" else out & bit
         return F.lit(False) if out is None else out
 
-    return docs.where(F.exists(F.split(F.regexp_replace(c, r"([.?!])\s+|\n+", "$1\u0001"), "\u0001"), holds))
+    return F.exists(F.split(F.regexp_replace(c, r"([.?!])\s+|\n+", "$1\u0001"), "\u0001"), holds)
+
+
+def matching_by_word(docs: DataFrame, query: str, text: str = "text") -> DataFrame:
+    """Rows that hold a query in its plain form; a blank one has all."""
+    return docs.where(holds_by_word(F.col(text), query)) if query.strip() else docs

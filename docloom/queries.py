@@ -164,7 +164,6 @@ _sum = lambda x, ws: " + ".join(f"contains(lower({x}), {O.q(w)})::INT" for w in
 _best = lambda ps, ws: f"WITH p AS (SELECT doc_id, unnest(range(len({ps}))) AS pos, unnest({ps}) AS passage FROM documents), s AS (SELECT *, {_sum('passage', ws)} AS score FROM p WHERE length(passage) > 40 AND NOT starts_with(passage, '>')), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, pos)::INT AS rank FROM s WHERE score > 0) SELECT doc_id, rank, passage, score::INT AS score FROM r WHERE rank <= 3"
 _edge = r"^\s+|\s+$"
 _add("h01_answers", lambda s, d: retrieval.best_passages(_docs(s, d), _Q), _best(f"list_transform(string_split(text, '\n\n'), lambda p: {O.sub('p', _edge)})", _words))
-_add("h02_sentence_answers", lambda s, d: retrieval.best_passages(_docs(s, d), _Q, pieces=T.sentences(F.col("text")), over=3), _best(O.sentences("text"), retrieval.question_words(_Q, 3)))
 
 # Library.
 _origin = f"CASE WHEN source_path <> '' THEN lower(source_path) ELSE lower(regexp_replace(markdown_path, '/[^/]*$', '')) || '|' || lower({_base_sql}) END"

@@ -46,10 +46,6 @@ _add("j10_fences", lambda s, d: reading.fences(_probe(s, d).withColumn("text", F
 _add("j11_first_of_each", lambda s, d: reading.first_of_each(R.page_lines(R.table(s, d, "conversations"))), f"WITH {O.BOOK} SELECT doc_id, min(line_no) AS line_no, text FROM book GROUP BY doc_id, text")
 _add("k08_natural_order", lambda s, d: _docs(s, d).select("source", reading.natural_key(F.col("source")).alias("key")).distinct(), "SELECT DISTINCT source, regexp_replace(regexp_replace(lower(source), '([0-9]+)', '0000000000\\1', 'g'), '[0-9]*([0-9]{10})', '\\1', 'g') AS key FROM documents")
 _heads = "h0 AS (SELECT doc_id, line_no, " + O.heading_text("text") + " AS title, least(" + O.heading_marks("text") + ", 3) AS level FROM probe), h AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY line_no)::INT AS ord, line_no, level::INT AS level, title FROM h0 WHERE title IS NOT NULL AND title <> 'Outline' AND NOT " + O.page_like("title") + ")"
-_add(
-    "f16_paired_titles", lambda s, d: (lambda h: h.select("doc_id", "ord", "title").join(h.select((F.col("doc_id") - 1).alias("doc_id"), "ord", F.col("title").alias("other")), ["doc_id", "ord"]))(outline.headings(_probe(s, d))),
-    f"WITH {O.PROBES}, {_heads} SELECT a.doc_id, a.ord, a.title, b.title AS other FROM h a JOIN h b ON b.doc_id = a.doc_id + 1 AND b.ord = a.ord WHERE a.ord <= 180 AND b.ord <= 180",
-)
 _add(
     "f17_outlines_align", lambda s, d: (lambda h: h.join(h.select((F.col("doc_id") - 1).alias("doc_id"), F.col("n").alias("m"), F.col("t").alias("u")), "doc_id").select("doc_id", ((F.col("n") == F.col("m")) & (F.size(F.array_except("t", "u")) == 0)).alias("align")))(outline.headings(_probe(s, d)).groupBy("doc_id").agg(F.count("*").alias("n"), F.collect_set(F.lower("title")).alias("t"))),
     f"WITH {O.PROBES}, {_heads}, g AS (SELECT doc_id, count(*) AS n, list(DISTINCT lower(title)) AS t FROM h WHERE ord <= 180 GROUP BY 1) SELECT a.doc_id, a.n = b.n AND list_has_all(b.t, a.t) AS align FROM g a JOIN g b ON b.doc_id = a.doc_id + 1",

@@ -47,7 +47,6 @@ _add(
     f AS (SELECT doc_id, CASE WHEN buf > 0 THEN list_append(done, buf) ELSE done END AS done FROM r WHERE i = len(a))
     SELECT doc_id, unnest(range(len(done)))::INT AS pos, unnest(done)::INT AS n FROM f""",
 )
-_add("c28_numbered_reply", lambda s, d: _docs(s, d).select("doc_id", records.numbered_reply(F.concat(F.lit("x <<<1>>> a <<<2>>>"), F.substring("text", 1, 9), F.lit("<<<1>>> "), "lang")).alias("parts")).select("doc_id", F.array_join("parts", ";").alias("parts")), r"SELECT doc_id, '1|' || lang || ';2|' || regexp_replace(substr(text, 1, 9), '^\s+|\s+$', '', 'g') AS parts FROM documents")
 _add("m13_fill_empty", lambda s, d: _cards(s, d).select("id", records.filled(F.col("source_path"), F.col("markdown_path")).alias("path")), f"WITH {O.CARDS} SELECT id, coalesce(nullif(source_path, ''), nullif(markdown_path, '')) AS path FROM cards")
 _hits = "h AS (SELECT doc_id, line_no AS hit FROM probe WHERE contains(lower(text), 'tion') AND line_no % 5 = 0)"
 _add(
@@ -61,7 +60,6 @@ _add("j13_page_tick", lambda s, d: _docs(s, d).select("doc_id", records.page_tic
 _add("n03_fixed_batches", lambda s, d: records.fixed_batches(R.table(s, d, "conversations").select("conv_id", "turn"), "conv_id", "turn", 5), "SELECT conv_id, turn, ((row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) // 5)::INT AS batch FROM conversations")
 _add("o01_clips", lambda s, d: _docs(s, d).select("doc_id", records.clip(F.substring("text", 1, 50), F.when(F.col("doc_id") % 2 == 0, F.col("lang")), F.col("source"), F.when(F.col("doc_id") % 3 == 0, F.col("doc_id"))).alias("clip")), r"SELECT doc_id, concat_ws(E'\n\n', CASE WHEN doc_id % 2 = 0 THEN '### ' || lang END, regexp_replace(substr(text, 1, 50), '^\s+|\s+$', '', 'g'), '*' || concat_ws(' · ', source, CASE WHEN doc_id % 3 = 0 THEN 'Page ' || doc_id END) || '*') AS clip FROM documents")
 _add("o06_merged_spans", lambda s, d: (lambda e: e.union(e.where("start % 2 = 0")).distinct())(R.table(s, d, "events").select("user_id", (F.col("event_id") % 50).alias("start"), (F.col("event_id") % 7).alias("length"))), "SELECT DISTINCT user_id, event_id % 50 AS start, event_id % 7 AS length FROM events")
-_add("p03_quiet_period", lambda s, d: C.changes(R.table(s, d, "events")).withColumn("first", F.min("ts").over(W.partitionBy("path"))).where(F.col("ts") >= F.col("first") + F.expr("INTERVAL 1 HOUR")).select("path", "event_id"), "SELECT path, event_id FROM (SELECT '/in/' || user_id || '.md' AS path, event_id, ts, min(ts) OVER (PARTITION BY user_id) AS first FROM events) WHERE ts >= first + INTERVAL 1 HOUR")
 _TAG = "coalesce(array_min(tags), '\uffff')"  # no tags: last
 #: The library's seven sorts: key, its SQL, whether it falls; ties by id.
 SORTS = {

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from . import oracle as O
 from .functions import text as T
-from .operators import cleanup, library, outline, retrieval, shelf
+from .operators import cleanup, library, outline, records, retrieval, shelf
 from .plans import search
 from .sources import relations as R
+from .streaming import changes as C
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -168,3 +169,29 @@ _add(
 _LANGS = {"en": "English", "de": "German", "fr": "French", "es": "Spanish"}
 _add("m28_language_labels", lambda s, d: _docs(s, d).select("doc_id", F.coalesce(library.label_of(F.col("lang"), _LANGS), "lang").alias("label")), "SELECT doc_id, CASE lang WHEN 'en' THEN 'English' WHEN 'de' THEN 'German' WHEN 'fr' THEN 'French' WHEN 'es' THEN 'Spanish' ELSE lang END AS label FROM documents")
 _add("m19b_comments_out", lambda s, d: _docs(s, d).select("doc_id", T.without_comments(F.expr("concat('a<!-- x', chr(10), 'y -->', left(text, 9), '<!-- open ', source)")).alias("text")), "SELECT doc_id, 'a' || substr(text, 1, 9) AS text FROM documents")
+
+# Rules that were covered in part.
+_fronted = f"CASE WHEN doc_id % 3 = 0 THEN '---' || {NL} || '# x' || {NL} || '---' || {NL} || '# A ' || text WHEN doc_id % 3 = 1 THEN '---' || {NL} || '# y' || {NL} || text ELSE '# z' || {NL} || '---' || {NL} || text || {NL} || '---' END"
+_add(
+    "c03b_headings_after_front", lambda s, d: outline.headings(R.lines(_docs(s, d).select("doc_id", F.expr(_fronted).alias("text")))),
+    f"WITH f AS (SELECT doc_id, {_fronted} AS text FROM documents), l AS ({O.split_lines('f', 'doc_id', 'text')}), h AS (SELECT doc_id, line_no, {O.heading_text('text')} AS title, least({O.heading_marks('text')}, 3)::INT AS level FROM l), k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_no)::INT AS ord FROM h WHERE title IS NOT NULL AND title <> 'Outline' AND NOT {O.page_like('title')} AND NOT (doc_id % 3 = 0 AND line_no <= 2)) SELECT doc_id, ord, line_no, level, title FROM k WHERE ord <= 180",
+)
+_add(
+    "f16_paired_titles", lambda s, d: (lambda h: outline.paired_titles(h.where("doc_id % 2 = 0"), h.where("doc_id % 2 = 1 and (ord > 1 or doc_id % 3 = 0)").select((F.col("doc_id") - 1).alias("doc_id"), "ord", F.when(F.col("ord") % 2 == 0, F.upper("title")).otherwise(F.lit("8.1")).alias("title"))))(outline.headings(_probe(s, d)).select("doc_id", "ord", F.lit("8.1").alias("t"), "title").select("doc_id", "ord", F.substring("title", 1, 4).alias("title"))),
+    f"{_pr}, m AS (SELECT doc_id, ord, substr(title, 1, 4) AS title FROM h WHERE doc_id % 2 = 0 AND ord <= 180), o AS (SELECT doc_id - 1 AS doc_id, ord, CASE WHEN ord % 2 = 0 THEN upper(substr(title, 1, 4)) ELSE '8.1' END AS title FROM h WHERE doc_id % 2 = 1 AND ord <= 180 AND (ord > 1 OR doc_id % 3 = 0)), p AS (SELECT m.doc_id, m.title, o.title AS other FROM m JOIN o USING (doc_id, ord)), u AS (SELECT DISTINCT doc_id, lower(title) AS k FROM p), l AS (SELECT m.doc_id, lower(m.title) AS k, arg_min(m.title, m.ord) AS title FROM m WHERE (m.doc_id, m.ord) NOT IN (SELECT (doc_id, ord) FROM o) AND (m.doc_id, lower(m.title)) NOT IN (SELECT (doc_id, k) FROM u) GROUP BY 1, 2), f AS (SELECT doc_id, lower(title) AS k, arg_min(title, ord) AS other FROM o GROUP BY 1, 2) SELECT * FROM p UNION ALL SELECT l.doc_id, l.title, f.other FROM l JOIN f USING (doc_id, k)",
+)
+_words = ["what", "about", "thing", "thing", "ention"]
+_n = lambda x: " + ".join(f"contains(lower({x}), '{w}')::INT" for w in _words)
+_pieces = r"string_split(regexp_replace(regexp_replace(text, '\n+', ' ', 'g'), '([.?!])\s+', '\1' || chr(1), 'g'), chr(1))"
+_best = f"WITH p AS (SELECT doc_id, unnest(range(len(a))) AS i, unnest(a) AS s FROM (SELECT doc_id, {_pieces} AS a FROM documents)), r AS (SELECT *, {_n('s')} AS n, row_number() OVER (PARTITION BY doc_id ORDER BY {_n('s')} DESC, i) AS k FROM p), b AS (SELECT doc_id, string_agg(trim(s), ' ' ORDER BY k) AS best FROM r WHERE n > 0 AND k <= 3 GROUP BY 1)"
+_add("h02_page_answers", lambda s, d: retrieval.page_answers(_docs(s, d), "What about thing, thing? Ention"), f"{_best} SELECT doc_id, coalesce(best, {O.q(retrieval.NOT_SAID)}) AS answer FROM documents LEFT JOIN b USING (doc_id)")
+_sentences = r"string_split(regexp_replace(text, '([.?!])\s+|\n+', '\1' || chr(1), 'g'), chr(1))"
+_add(
+    "h02b_page_answers_guarded", lambda s, d: retrieval.page_answers(_docs(s, d), "thing AND ention"),
+    f"WITH p AS (SELECT doc_id, unnest(range(len(a))) AS i, unnest(a) AS s FROM (SELECT doc_id, {_pieces} AS a FROM documents)), r AS (SELECT *, contains(lower(s), 'thing')::INT + contains(lower(s), 'ention')::INT AS n FROM p), k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, i) AS k FROM r), b AS (SELECT doc_id, string_agg(trim(s), ' ' ORDER BY k) AS best FROM k WHERE n > 0 AND k <= 3 GROUP BY 1) SELECT doc_id, CASE WHEN len(list_filter({_sentences}, lambda s: contains(lower(s), 'thing') AND contains(lower(s), 'ention'))) = 0 THEN {O.q(retrieval.NOT_TOGETHER)} ELSE coalesce(best, {O.q(retrieval.NOT_SAID)}) END AS answer FROM documents LEFT JOIN b USING (doc_id)",
+)
+_add("c28_numbered_reply", lambda s, d: _docs(s, d).select("doc_id", F.array_join(records.numbered_reply(F.concat(F.lit("x <<<1>>> a <<<2>>>"), F.col("text"), F.lit("<<<1>>> "), "lang", F.lit(" <<<3>>> z <<<0>>> y")), 2), ";").alias("parts")), r"SELECT doc_id, '1|' || lang || ';2|' || regexp_replace(text, '^\s+|\s+$', '', 'g') AS parts FROM documents")
+_add(
+    "p03_heard_changes", lambda s, d: (lambda e: C.heard(C.changes(e.where("event_id % 3 > 0")), e.where("event_id % 3 = 0"), 4).select("path", "event_id"))(R.table(s, d, "events")),
+    "WITH o AS (SELECT ts FROM events WHERE event_id % 3 = 0), e AS (SELECT * FROM events WHERE event_id % 3 > 0) SELECT '/in/' || user_id || '.md' AS path, event_id FROM e ASOF LEFT JOIN o ON e.ts >= o.ts WHERE o.ts IS NULL OR e.ts - o.ts >= INTERVAL 4 SECOND",
+)

@@ -37,6 +37,21 @@ def debounced(rows: DataFrame, seconds: float = 1.0) -> DataFrame:
     return ends.join(nxt, "bucket", "left").where(alone).select("last.path", "last.ts", "last.event_id")
 
 
+def heard(rows: DataFrame, own: DataFrame, seconds: float) -> DataFrame:
+    """Changes that come when no write of our own (``own`` with ``ts``) was made within ``seconds`` before.
+
+    In buckets of that length the first write of the same bucket and the last of the one before decide,
+    so writes meet changes by equal joins, two numbers a bucket.
+    """
+    size = int(seconds * 1e6)
+    at = lambda df: df.withColumn("us", F.unix_micros(F.col("ts").cast("timestamp"))).withColumn("bucket", F.floor(F.col("us") / size))
+    ends = at(own).groupBy("bucket").agg(F.min("us").alias("first"), F.max("us").alias("last"))
+    before = ends.select((F.col("bucket") + 1).alias("bucket"), F.col("last").alias("late"))
+    told = at(rows).join(ends.select("bucket", "first"), "bucket", "left").join(before, "bucket", "left")
+    quiet = F.coalesce(F.col("first") <= F.col("us"), F.lit(False)) | F.coalesce(F.col("us") - F.col("late") < size, F.lit(False))
+    return told.where(~quiet).drop("us", "bucket", "first", "late")
+
+
 def real_changes(rows: DataFrame) -> DataFrame:
     """Changes whose fingerprint differs from the last one of the path."""
     before = F.lag("fingerprint").over(W.partitionBy("path").orderBy("ts", "event_id"))
