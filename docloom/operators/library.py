@@ -190,3 +190,17 @@ def upserted(history: DataFrame, *, keep: int = 25) -> DataFrame:
 def label_of(code: Column, labels: dict[str, str]) -> Column:
     """A language's label by its code; null for codes without one."""
     return F.try_element_at(F.create_map(*(F.lit(x) for pair in labels.items() for x in pair)), F.lower(code))
+
+
+def sidecar(path: Column) -> Column:
+    """The outline file beside a Markdown file."""
+    return F.concat(F.regexp_replace(path, r"\.[^./]*$", ""), F.lit(".outline.json"))
+
+
+def deleted_files(cards: DataFrame, gone: DataFrame) -> DataFrame:
+    """(path) of what goes with the cards ``gone`` (id): their Markdown, outline and searchable copy, and a
+    folder's figures where no other card is left in it."""
+    told = cards.join(gone.select("id").distinct().withColumn("gone", F.lit(True)), "id", "left")
+    own = told.where("gone").select(F.explode(F.array(F.col("markdown_path"), sidecar(F.col("markdown_path")), F.regexp_replace("markdown_path", r"\.[^./]*$", ".searchable.pdf"))).alias("path"))
+    empty = told.groupBy(folder(F.col("markdown_path")).alias("f")).agg(F.bool_and(F.coalesce("gone", F.lit(False))).alias("all")).where("all")
+    return own.unionByName(empty.select(F.concat("f", F.lit("/figures")).alias("path"))).distinct()

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import oracle as O
+from . import queries, queries_reading
 from .functions import text as T
 from .operators import cleanup, library, outline, records, retrieval, shelf
 from .plans import search
@@ -17,6 +18,8 @@ from .streaming import changes as C
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 NL = "chr(10)"
+_ENGINE = {k: (q, queries.ORACLE_SQL[k]) for k, q in queries.QUERIES.items()}
+_READING = {k: (q, queries_reading.ORACLE_SQL[k]) for k, q in queries_reading.QUERIES.items()}
 
 
 def _add(name: str, query: Callable[[SparkSession, str], DataFrame], sql: str) -> None:
@@ -195,3 +198,19 @@ _add(
     "p03_heard_changes", lambda s, d: (lambda e: C.heard(C.changes(e.where("event_id % 3 > 0")), e.where("event_id % 3 = 0"), 4).select("path", "event_id"))(R.table(s, d, "events")),
     "WITH o AS (SELECT ts FROM events WHERE event_id % 3 = 0), e AS (SELECT * FROM events WHERE event_id % 3 > 0) SELECT '/in/' || user_id || '.md' AS path, event_id FROM e ASOF LEFT JOIN o ON e.ts >= o.ts WHERE o.ts IS NULL OR e.ts - o.ts >= INTERVAL 4 SECOND",
 )
+
+# Joins that other rows have: as-of, interval, by place.
+_add("i07_as_of", *_ENGINE["f11_section_at"])
+_add("i08_interval", *_READING["f24_page_chapter"])
+_add(
+    "i10_zipped", lambda s, d: (lambda c, a, b: c.select("conv_id", "turn", F.posexplode(a).alias("k", "a")).join(c.select("conv_id", "turn", F.posexplode(b).alias("k", "b")), ["conv_id", "turn", "k"]))(R.table(s, d, "conversations"), F.split("text", " "), F.split("text", r"\.")),
+    "WITH a AS (SELECT conv_id, turn, unnest(range(len(x)))::INT AS k, unnest(x) AS a FROM (SELECT conv_id, turn, string_split(text, ' ') AS x FROM conversations)), b AS (SELECT conv_id, turn, unnest(range(len(x)))::INT AS k, unnest(x) AS b FROM (SELECT conv_id, turn, string_split(text, '.') AS x FROM conversations)) SELECT * FROM a JOIN b USING (conv_id, turn, k)",
+)
+_add(
+    "s50_deleted_files", lambda s, d: library.deleted_files(_cards(s, d), _docs(s, d).where("doc_id % 40 in (3, 5) or doc_id % 7 = 0").select(F.col("doc_id").alias("id"))),
+    f"WITH {CARDS}, t AS (SELECT markdown_path AS p, regexp_replace(markdown_path, '\\.md$', '') AS stem, '/lib/' || id % 40 AS f, id % 40 IN (3, 5) OR id % 7 = 0 AS gone FROM cards) SELECT p AS path FROM t WHERE gone UNION SELECT stem || '.outline.json' FROM t WHERE gone UNION SELECT stem || '.searchable.pdf' FROM t WHERE gone UNION SELECT f || '/figures' FROM t GROUP BY f HAVING bool_and(gone)",
+)
+_add(
+    "s54_imported", lambda s, d: library.new_files(_docs(s, d).select(F.expr("concat('/In/', source, '/', doc_id % 30, '.md')").alias("path")), _docs(s, d).where("doc_id % 3 = 0").select(F.expr("concat('/in/', source, '/', doc_id % 30, '.md')").alias("path"))).select("path", library.sidecar(F.col("path")).alias("outline")),
+    "SELECT DISTINCT '/in/' || source || '/' || doc_id % 30 || '.md' AS path, '/in/' || source || '/' || doc_id % 30 || '.outline.json' AS outline FROM documents WHERE (source, doc_id % 30) NOT IN (SELECT (source, doc_id % 30) FROM documents WHERE doc_id % 3 = 0)",
+)

@@ -21,6 +21,7 @@ from .passes.spark import rows_of
 from .plans import search
 from .queries_passes import KNOWN, _book, _docs, _front, _listed, _marks, _outline
 from .queries_shelf import ASKED
+from .sources import office
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -53,6 +54,8 @@ QUERIES["g02_trees"] = lambda s, d: s.createDataFrame([(q, _tree(search.parse(q)
 ORACLE_SQL["g02_trees"] = _values(_trees, "tree")
 
 # Sources.
+_of("i09_fuzzy_join", lambda t: [(i, m.title) for own in [_cut(t)] for m in _marks(t) for i, x in enumerate(own) if stitch.line_matches(x, L.folded(m.title))], "line_no int, title string")
+_one("a17_first_engine", lambda t: next((x for x in (office.document_text(t.encode()), office.member(t.encode(), "a"), t[:50]) if x), None), source=_docs)
 _of("a20_outline_walk", lambda t: _listed(stitch.walked([{"title": m.title, "page": m.page, "children": [{"title": m.title + " a"}, {"title": " "}]} for m in _marks(t)])), _outline)
 _one("a32_catalog_lookup", lambda t: _json(vars(r)) if (r := metadata.looked_up(t[:20], [{"title": t[:20].upper() + "!", "author_name": ["A"], "publisher": ["P", "Q"], "subject": list("abcdefghijklmnop"), "first_publish_year": 2001}, {"title": "Other"}])) else None, source=_docs)
 _one("a34_pdf_info", lambda t: _json(vars(metadata.pdf_info(b"%PDF /Title (" + re.sub(r"[()\\]", "", t[:30]).encode("latin-1", "replace") + b") /Author (A; B) /CreationDate (D:20240131)"))), source=_docs)
