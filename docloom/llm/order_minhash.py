@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import slices
+
 
 K, SLOTS, LENGTH = 10, 64, 2
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -159,17 +161,18 @@ def edited_pairs(spark: SparkSession, docs: DataFrame, *, ranges: int | None = N
             digest = hashlib.sha256(new.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass")).hexdigest()
             return doc, len(points), digest, as_text(mine), as_text(edited), likeness(mine, edited), likeness(mine, sig)
 
-        for b in batches:
-            for doc, text, at, halo in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if halo and closed == at:
-                    continue
-                points = points_of(text)
-                sig = signature(points, **how)
-                if before is not None:
-                    out.append(row(before, points, sig))
-                before, closed = (None, at) if halo else ((doc, points, sig, at), closed)
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(list(c)) if i else pa.array(list(c), pa.int64()) for i, c in enumerate(zip(*out, strict=True))], names=names)
-                out = []
+        for whole in batches:
+            for b in slices(whole, 1):
+                for doc, text, at, halo in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                    if halo and closed == at:
+                        continue
+                    points = points_of(text)
+                    sig = signature(points, **how)
+                    if before is not None:
+                        out.append(row(before, points, sig))
+                    before, closed = (None, at) if halo else ((doc, points, sig, at), closed)
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(list(c)) if i else pa.array(list(c), pa.int64()) for i, c in enumerate(zip(*out, strict=True))], names=names)
+                    out = []
 
     return dealt.select("doc_id", "text", "range", "extra").mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
