@@ -19,7 +19,6 @@ from pyspark.sql import functions as F
 
 from .common import slices
 
-
 K, SLOTS, LENGTH = 10, 64, 2
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
