@@ -19,7 +19,8 @@ def with_chrome_key(lines: DataFrame) -> DataFrame:
     plain = (F.col("t") != "") & ~F.col("t").rlike(r"^(!\[|\|)") & T.page_comment(F.col("t")).isNull() & ~F.col("t").rlike(r"\.{3,}")
     contents = (F.col("title") == F.col("t")) & F.col("t").rlike(r"\s{2,}[0-9]{1,4}\s*$")
     fits = words.between(2, 14) & (F.length(T.folded(F.col("title"))) >= 2)
-    steps = steps.withColumn("ok", plain & ~contents & (F.length("title") <= 80) & (T.footer_address(F.col("title")) | fits))
+    short = (F.length("t") <= 80) | F.startswith("t", F.lit("#")) | F.startswith("t", F.lit(T.MARKER))  # the cheap part first
+    steps = steps.withColumn("ok", short & plain & ~contents & (F.length("title") <= 80) & (T.footer_address(F.col("title")) | fits))
     return steps.withColumn("key", F.when(F.col("ok"), T.folded(F.col("title")))).drop("t", "title", "ok")
 
 

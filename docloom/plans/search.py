@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -108,17 +109,27 @@ def bare(term: str) -> str:
     return "".join(x for x in unicodedata.normalize("NFD", term.lower()) if not unicodedata.combining(x))
 
 
-def contains(c: Column, term: str) -> Column:
-    """Case and accents do not count.
+def _collated(c: Column, term: str) -> Column:
+    return F.contains(F.collate(c, "UNICODE_CI_AI"), F.collate(F.lit(term), "UNICODE_CI_AI"))
+
+
+def _in_folded(c: Column, term: str) -> Column:
+    return F.contains(c, F.lit(bare(term)))
+
 
-    A text whose letters without their accents are all ASCII is searched as it is then; any other, and
-    for a term with other letters every one, by collation, which is far slower.
-    """
-    collated = F.contains(F.collate(c, "UNICODE_CI_AI"), F.collate(F.lit(term), "UNICODE_CI_AI"))
+def contains(c: Column, term: str) -> Column:
+    """Case and accents do not count. ASCII texts are searched in lower case, others by collation, which is far slower."""
     if not bare(term).isascii():
-        return collated
+        return _collated(c, term)
+    return F.when(F.octet_length(c) == F.length(c), _in_folded(F.lower(c), term)).otherwise(_collated(c, term))
+
+
+def folded(c: Column) -> Column:
+    """Lower case, Latin letters without their accents."""
     low = F.translate(F.lower(c), _ACCENTED, _PLAIN)
-    return F.when(F.octet_length(low) == F.length(low), F.contains(low, F.lit(bare(term)))).otherwise(collated)
+    for one, two in (("ß", "ss"), ("œ", "oe"), ("æ", "ae")):
+        low = F.replace(low, F.lit(one), F.lit(two))
+    return low
 
 
 def required(node: Node) -> list[str]:
@@ -128,10 +139,10 @@ def required(node: Node) -> list[str]:
     return [t for p in node.parts for t in required(p)] if node.kind == "and" else []
 
 
-def compiled(node: Node, c: Column) -> Column:
+def compiled(node: Node, c: Column, has: Callable[[Column, str], Column] = contains) -> Column:
     if node.kind == "term":
-        return contains(c, node.text)
-    parts = [compiled(p, c) for p in node.parts]
+        return has(c, node.text)
+    parts = [compiled(p, c, has) for p in node.parts]
     if node.kind == "not":
         return ~parts[0]
     out = parts[0]
@@ -172,11 +183,25 @@ def matching(docs: DataFrame, query: str, text: str = "text") -> DataFrame:
     c = F.col(text)
     if not is_boolean(node):
         return docs.where(compiled(node, c))
-    for term in required(node):  # asked of whole texts first
-        docs = docs.where(contains(c, term))
-    # without a NOT a sentence has nothing that its paragraph lacks
-    one = lambda p: compiled(node, p) | F.exists(sentences(p), lambda s: compiled(node, s))
-    return docs.where(F.exists(paragraphs(c), one if _negates(node) else lambda p: compiled(node, p)))
+    def test(x: Column, has: Callable[[Column, str], Column]) -> Column:
+        # without a NOT a sentence has nothing that its paragraph lacks
+        whole = lambda p: compiled(node, p, has)
+        either = lambda p: whole(p) | F.exists(sentences(p), whole)
+        found = F.exists(paragraphs(x), either if _negates(node) else whole)
+        for term in required(node):  # asked of whole texts first
+            found = has(x, term) & found
+        return found
+
+    if not all(bare(t).isascii() for t in _terms(node)):
+        return docs.where(test(c, _collated))
+    # a text is folded once; one that has other letters is left to collation
+    told = docs.withColumn("__folded", folded(c))
+    plain = F.octet_length("__folded") == F.length("__folded")
+    return told.where(F.when(plain, test(F.col("__folded"), _in_folded)).otherwise(test(c, _collated))).drop("__folded")
+
+
+def _terms(node: Node) -> list[str]:
+    return [node.text] if node.kind == "term" else [t for p in node.parts for t in _terms(p)]
 
 
 def _negates(node: Node) -> bool:
