@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_template, language, lbl, learned_ann, mixing, order_minhash, packing, simhash, token_corpus, toxicity
+from . import html_template, language, lbl, learned_ann, lexical, merge_counts, mixing, order_minhash, packing, periodic, simhash, token_corpus, toxicity
 from .common import fold, read, table_path, written
 
 
@@ -65,5 +65,21 @@ def op10_learned_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return learned_ann.nearest(spark, rows, rows.where("vec_id % 100 = 0"))
 
 
-QUERIES = {f.__name__: f for f in (op1_range_ans, op2_simhash, op3_html_template, op4_log_bilinear, op5_mixing, op6_toxicity, op7_order_minhash, op8_packing, op9_language_id, op10_learned_ann)}
-ORACLE_SQL: dict[str, str] = {"op8_packing": packing.ORACLE_SQL}
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = table_path(spark, "index")
+    lexical.build(spark, read(spark, sf_dir, "documents"), path)
+    return lexical.search(spark, path, read(spark, sf_dir, "benchmark"))
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return merge_counts.counted(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.periodic(read(spark, sf_dir, "documents"), planted=True)
+
+
+QUERIES = {f.__name__: f for f in (op1_range_ans, op2_simhash, op3_html_template, op4_log_bilinear, op5_mixing, op6_toxicity, op7_order_minhash, op8_packing, op9_language_id, op10_learned_ann, op11_lexical_search, op12_token_counts, op13_periodic_runs)}
+ORACLE_SQL: dict[str, str] = {"op8_packing": packing.ORACLE_SQL, "op11_lexical_search": lexical.ORACLE_SQL}
