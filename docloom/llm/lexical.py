@@ -46,21 +46,24 @@ def _cells(batch: pa.RecordBatch, name: str, dtype) -> list[np.ndarray]:
     return [np.frombuffer(c.as_buffer(), dtype) for c in batch.column(name)]
 
 
-def _raw_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
-        for piece in slices(whole, 1):
-            for at in range(0, piece.num_rows, SHARD_ROWS):
-                b = piece.slice(at, SHARD_ROWS)
-                numbers: defaultdict[str, int] = defaultdict()
-                numbers.default_factory = numbers.__len__
-                found = [np.fromiter(map(numbers.__getitem__, terms), np.int64, len(terms)) for terms in (find_terms(lower_ascii(t)) if t else [] for t in b.column(1).to_pylist())]
-                sizes = np.fromiter(map(len, found), np.int64, len(found))
-                keys, tf = np.unique(np.concatenate(found) * b.num_rows + np.repeat(np.arange(b.num_rows), sizes), return_counts=True)
-                ptr = np.searchsorted(keys, np.arange(len(numbers) + 1) * b.num_rows)
-                cells = [sizes.tobytes(), ptr.astype(np.int64).tobytes(), (keys % b.num_rows).astype(np.uint16).tobytes(), tf.astype(np.int32).tobytes()]
-                sizes, ptr, posting, tf = (pa.array([c], pa.binary()) for c in cells)
-                docs = pa.array([b.column(0).to_pylist()], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([docs, sizes, pa.array([list(numbers)], pa.list_(pa.string())), ptr, posting, tf], names=["docs", "sizes", "terms", "ptr", "posting", "tf"])
+def _raw_shards(shard_rows: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for piece in slices(whole, 1):
+                for at in range(0, piece.num_rows, shard_rows):
+                    b = piece.slice(at, shard_rows)
+                    numbers: defaultdict[str, int] = defaultdict()
+                    numbers.default_factory = numbers.__len__
+                    found = [np.fromiter(map(numbers.__getitem__, terms), np.int64, len(terms)) for terms in (find_terms(lower_ascii(t)) if t else [] for t in b.column(1).to_pylist())]
+                    sizes = np.fromiter(map(len, found), np.int64, len(found))
+                    keys, tf = np.unique(np.concatenate(found) * b.num_rows + np.repeat(np.arange(b.num_rows), sizes), return_counts=True)
+                    ptr = np.searchsorted(keys, np.arange(len(numbers) + 1) * b.num_rows)
+                    cells = [sizes.tobytes(), ptr.astype(np.int64).tobytes(), (keys % b.num_rows).astype(np.uint16).tobytes(), tf.astype(np.int32).tobytes()]
+                    sizes, ptr, posting, tf = (pa.array([c], pa.binary()) for c in cells)
+                    docs = pa.array([b.column(0).to_pylist()], pa.list_(pa.int64()))
+                    yield pa.RecordBatch.from_arrays([docs, sizes, pa.array([list(numbers)], pa.list_(pa.string())), ptr, posting, tf], names=["docs", "sizes", "terms", "ptr", "posting", "tf"])
+
+    return run
 
 
 def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,10 +82,10 @@ def impacts(tf: np.ndarray, sizes: np.ndarray, n: int, total: int) -> np.ndarray
     return 1_000_000_000 * tf // (1000 * tf + 20 * length)
 
 
-def build(spark: SparkSession, docs: DataFrame, path: str) -> None:
-    """Write the index of ``docs`` (doc_id, text) to ``path``: ``shards``, and ``totals`` of one row."""
+def build(spark: SparkSession, docs: DataFrame, path: str, *, shard_rows: int = SHARD_ROWS) -> None:
+    """Write the index of ``docs`` (doc_id, text) to ``path``: ``shards`` of ``shard_rows`` (65,536 at most), and ``totals`` of one row."""
     raw_path = table_path(spark, "postings")
-    raw = written(spark, docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(_raw_shards, _RAW), "postings", raw_path)
+    raw = written(spark, docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(_raw_shards(shard_rows), _RAW), "postings", raw_path)
     n, total = raw.select("sizes").mapInArrow(_totals, "n long, total long").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("total"), F.lit(0))).first()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,19 +105,19 @@ def _weight(n: int, df: int) -> int:
 
 
 class Block:
-    """Queries of a block as arrays: for groups of ``ROW_BLOCK`` queries, the terms and, by term, the queries."""
+    """Queries of a block as arrays: for groups of ``at_once`` queries, the terms and, by term, the queries."""
 
-    def __init__(self, rows: list[tuple[int | None, str]], df: dict[str, int], n: int) -> None:
+    def __init__(self, rows: list[tuple[int | None, str]], df: dict[str, int], n: int, at_once: int) -> None:
         self.items = sorted({r[0] for r in rows}, key=lambda x: (x is None, x or 0))
         place = {item: i for i, item in enumerate(self.items)}
         self.groups = []
         by_group: defaultdict[int, defaultdict[str, list[int]]] = defaultdict(lambda: defaultdict(list))
         for item, term in rows:
             if df.get(term):
-                by_group[place[item] // ROW_BLOCK][term].append(place[item] % ROW_BLOCK)
+                by_group[place[item] // at_once][term].append(place[item] % at_once)
         for g, held in sorted(by_group.items()):
             terms = sorted(held)
-            self.groups.append((g * ROW_BLOCK, min(ROW_BLOCK, len(self.items) - g * ROW_BLOCK), terms, [_weight(n, df[t]) for t in terms], [np.array(sorted(held[t])) for t in terms]))
+            self.groups.append((g * at_once, min(at_once, len(self.items) - g * at_once), terms, [_weight(n, df[t]) for t in terms], [np.array(sorted(held[t])) for t in terms]))
 
 
 def best(scores: np.ndarray, docs: np.ndarray, top: int) -> np.ndarray:
@@ -183,24 +186,25 @@ def _holding(terms: list[str]):
     return run
 
 
-def search(spark: SparkSession, path: str, queries: DataFrame, *, top: int = TOP) -> DataFrame:
+def search(spark: SparkSession, path: str, queries: DataFrame, *, top: int = TOP, block_items: int = BLOCK_ITEMS, block_terms: int = BLOCK_TERMS, at_once: int = ROW_BLOCK) -> DataFrame:
     """(item_id, rank, doc_id, score): the ``top`` best documents of the index at ``path`` for each query (item_id, text).
 
-    Queries go in blocks of about ``BLOCK_ITEMS`` and ``BLOCK_TERMS`` terms, one pass over the shards each.
+    Queries go in blocks of about ``block_items`` and ``block_terms`` terms, one pass over the shards each;
+    a shard holds the scores of ``at_once`` queries at a time.
     """
     shards = spark.read.schema(_SHARD).parquet(f"{path}/shards")
     n, total = spark.read.schema("n long, total long").parquet(f"{path}/totals").first()
     found = F.regexp_extract_all(F.translate("text", UPPER, LOWER), F.lit(TERM_RE), F.lit(0))
     asked = written(spark, queries.select(F.col("item_id").cast("long").alias("item_id"), F.explode(found).alias("term")).distinct(), "asked")
     items, pairs = asked.agg(F.count_distinct(F.coalesce(F.col("item_id").cast("string"), F.lit(""))), F.count("*")).first()
-    blocks = max(1, -(-items // BLOCK_ITEMS), -(-pairs // BLOCK_TERMS))
+    blocks = max(1, -(-items // block_items), -(-pairs // block_terms))
     salts = max(1, math.isqrt(shards.rdd.getNumPartitions()))
     results = []
     for k in range(blocks):
-        rows = [(r.item_id, r.term) for r in asked.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).collect()]  # of about BLOCK_TERMS
+        rows = [(r.item_id, r.term) for r in asked.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).collect()]  # of about block_terms
         terms = sorted({t for _, t in rows})
         held = shards.select("terms", "ptr").mapInArrow(_holding(terms), "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).collect()
-        block = Block(rows, {terms[r.term]: r.df for r in held}, n)
+        block = Block(rows, {terms[r.term]: r.df for r in held}, n, at_once)
         made = shards.mapInArrow(_search(block, top), "item_id long, doc_id long, score long").withColumn("salt", F.spark_partition_id() % salts)
         order = [F.desc("score"), F.asc_nulls_last("doc_id")]
         near = made.withColumn("rank", F.row_number().over(Window.partitionBy("item_id", "salt").orderBy(*order))).where(F.col("rank") <= top)
