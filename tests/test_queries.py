@@ -6,9 +6,9 @@ import os
 import duckdb
 import pytest
 
-from docloom import queries, queries_files, queries_reading, queries_records, queries_shelf, queries_support
+from docloom import queries, queries_files, queries_joins, queries_reading, queries_records, queries_shelf, queries_support
 
-PARTS = (queries, queries_files, queries_records, queries_reading, queries_shelf, queries_support)
+PARTS = (queries, queries_files, queries_records, queries_reading, queries_shelf, queries_support, queries_joins)
 QUERIES = {k: v for part in PARTS for k, v in part.QUERIES.items() if k in part.ORACLE_SQL}
 ORACLE_SQL = {k: v for part in PARTS for k, v in part.ORACLE_SQL.items()}
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
