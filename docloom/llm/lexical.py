@@ -36,8 +36,8 @@ TERM_RE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 find_terms = re.compile("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+").findall
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 TOP = 50
-#: Bounds of a shard (rows; characters are cut by ``slices``) and of a block of queries.
-SHARD_ROWS, ROW_BLOCK, BLOCK_ITEMS, BLOCK_TERMS = 4096, 256, 4096, 400_000
+#: Bounds of a shard (rows, bytes of text) and of a block of queries. Small shards keep rows and arrays small.
+SHARD_ROWS, SHARD_BYTES, ROW_BLOCK, BLOCK_ITEMS, BLOCK_TERMS = 4096, 600_000, 256, 4096, 400_000
 _RAW = "docs array<long>, sizes binary, terms array<string>, ptr binary, posting binary, tf binary"
 _SHARD = "docs array<long>, terms array<string>, ptr binary, posting binary, impact binary"
 
@@ -49,7 +49,7 @@ def _cells(batch: pa.RecordBatch, name: str, dtype) -> list[np.ndarray]:
 def _raw_shards(shard_rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for piece in slices(whole, 1):
+            for piece in slices(whole, 1, SHARD_BYTES):
                 for at in range(0, piece.num_rows, shard_rows):
                     b = piece.slice(at, shard_rows)
                     numbers: defaultdict[str, int] = defaultdict()
