@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import oracle as O
-from .operators import matching, outline
+from .functions import text as T
+from .operators import matching, outline, stitching
+from .queries_passes import BOOK, _book
 from .sources import relations as R
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,6 +32,12 @@ def _probe(s: SparkSession, d: str) -> DataFrame:
     return R.probe_lines(_docs(s, d))
 
 
+def _pages(s: SparkSession, d: str) -> DataFrame:
+    return R.lines(_book(s, d))
+
+
+#: The books of ``queries_passes`` in the other dialect.
+BOOKS = "b AS (SELECT doc_id, " + re.sub(r"\bi\b", "(j - 1)", BOOK.replace("array_join(transform(split(text, '\n'), (x, i) ->", "array_to_string(list_transform(string_split(text, '\n'), lambda x, j:")) + " AS text FROM documents WHERE text IS NOT NULL), probe AS (" + O.split_lines("b", "doc_id", "text") + ")"
 _heads = "h0 AS (SELECT doc_id, line_no, " + O.heading_text("text") + " AS title, least(" + O.heading_marks("text") + ", 3) AS level FROM probe), h AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY line_no)::INT AS ord, line_no, level::INT AS level, title FROM h0 WHERE title IS NOT NULL AND title <> 'Outline' AND NOT " + O.page_like("title") + " QUALIFY ord <= 180)"
 _said = f"s AS (SELECT doc_id, line_no, {O.folded('text')} AS a, ({O.heading_text('text')}) IS NOT NULL AS head FROM probe WHERE NOT {O.contents_line('text')})"
 _says = "length(x) >= 3 AND length(a) >= 3 AND ((starts_with(a, x) AND NOT regexp_matches(substr(a, length(x) + 1, 1), '^\\p{L}')) OR (length(a) >= 16 AND starts_with(x, a) AND NOT starts_with(a, 'page ')) OR (NOT head AND length(a) <= 120 AND length(x) >= 8 AND NOT starts_with(a, x) AND contains(a, x)))"
@@ -40,3 +49,31 @@ _add(
     "i09_fuzzy_join", lambda s, d: (lambda p: matching.titles_elsewhere(outline.headings(p), p))(_probe(s, d)),
     f"WITH {O.PROBES}, {_heads}, {_said}, c AS (SELECT a, head, count(*) AS times, min(doc_id) AS f FROM s GROUP BY 1, 2), n AS (SELECT DISTINCT {O.folded('title')} AS x FROM h) SELECT x AS title, count(*) AS texts, CAST(sum(times) AS BIGINT) AS lines, min(f) AS first_doc FROM n JOIN c ON {_says} GROUP BY 1",
 )
+
+
+# Outlines put into texts.
+def _outline(s: SparkSession, d: str) -> DataFrame:
+    """An outline of a book's own headings, a third of them without a page, and two entries besides: a title
+    that wraps and one that stands nowhere."""
+    h = outline.headings(_pages(s, d))
+    own = h.select("doc_id", (F.col("ord") * 2).alias("ord"), "title", (1 + F.col("ord") % 3).alias("level"), F.when(F.col("ord") % 3 != 0, F.col("ord") % 7).cast("int").alias("page"))
+    more = F.expr("stack(2, 1, 'Why Life Is Not Working—and Why Another Way', 2, cast(null as int), 5, 'Not there', 2, 1) as (ord, title, level, page)")
+    return own.unionByName(h.select("doc_id").distinct().select("doc_id", more))
+
+
+_marks = "m AS (SELECT doc_id, ord * 2 AS ord, title, CASE WHEN ord % 3 <> 0 THEN ord % 7 END AS page FROM h UNION ALL SELECT DISTINCT doc_id, 1, 'Why Life Is Not Working—and Why Another Way', NULL FROM h UNION ALL SELECT DISTINCT doc_id, 5, 'Not there', 1 FROM h)"
+_core = lambda x: f"(CASE WHEN length({O.sub(O.folded(x), '^[0-9]+([.][0-9]+)*[ ]+')}) >= 3 THEN {O.sub(O.folded(x), '^[0-9]+([.][0-9]+)*[ ]+')} ELSE {O.folded(x)} END)"
+_start = f"g AS (SELECT doc_id, line_no, try_cast(regexp_extract({O.folded('(' + O.heading_text('text') + ')')}, '^page +([0-9]{{1,9}})$', 1) AS INT) AS hd, ({O.page_comment('text')}) AS mk FROM probe), starts AS (SELECT doc_id, coalesce(hd, mk) - 1 AS page, coalesce(max(CASE WHEN hd > 0 THEN line_no END), min(line_no)) AS start FROM g WHERE hd > 0 OR mk IS NOT NULL GROUP BY ALL)"
+_add("f04_page_map", lambda s, d: stitching.page_map(_pages(s, d)), f"WITH {BOOKS}, {_start} SELECT * FROM starts")
+_add(
+    "f02_title_anchors", lambda s, d: stitching.anchors(_outline(s, d), _pages(s, d)).groupBy("doc_id", "ord").agg(F.min(F.struct("line", "span")).alias("x")).select("doc_id", "ord", "x.line", "x.span"),
+    f"""WITH {BOOKS}, {_heads}, {_marks}, l AS (SELECT doc_id, line_no, {O.trim('text')} AS t, ({O.heading_text('text')}) AS ht, {O.contents_line('text')} AS c FROM probe), k AS (SELECT doc_id, line_no, ht, t <> '' AND NOT regexp_matches(t, '^(<!--|```|~~~)') AND NOT c AS ok, CASE WHEN ok AND length(t) <= 80 AND NOT regexp_matches(t, '^(!\[|\|)') THEN {O.folded('coalesce(ht, t)')} END AS p FROM l),
+    w AS (SELECT *, lead(p) OVER o AS p2, lead(p, 2) OVER o AS p3 FROM k WINDOW o AS (PARTITION BY doc_id ORDER BY line_no)), e AS (SELECT doc_id, line_no, {_core('ht')} AS key, 1 AS span FROM w WHERE ok AND ht IS NOT NULL UNION ALL SELECT doc_id, line_no, p || ' ' || p2, 2 FROM w UNION ALL SELECT doc_id, line_no, p || ' ' || p2 || ' ' || p3, 3 FROM w),
+    a AS (SELECT doc_id, ord, {_core('title')} AS key FROM m), f AS (SELECT a.doc_id, ord, min((line_no, span)) AS x FROM a JOIN e ON a.doc_id = e.doc_id AND a.key = e.key WHERE length(a.key) >= 3 GROUP BY ALL) SELECT doc_id, ord, x[1] AS line, x[2] AS span FROM f""",
+)
+_add(
+    "s24_next_page_lines", lambda s, d: stitching.next_page_lines(_outline(s, d), _pages(s, d)),
+    f"WITH {BOOKS}, {_heads}, {_marks}, {_start}, n AS (SELECT doc_id, max(line_no) + 1 AS n FROM probe GROUP BY 1), later AS (SELECT a.doc_id, a.ord, arg_min(start, b.ord) AS line FROM m a JOIN m b ON a.doc_id = b.doc_id AND b.ord > a.ord AND (a.page IS NULL OR b.page > a.page) JOIN starts s ON s.doc_id = b.doc_id AND s.page = b.page GROUP BY ALL) SELECT m.doc_id, m.ord, coalesce(line, n)::INT AS until FROM m JOIN n USING (doc_id) LEFT JOIN later USING (doc_id, ord)",
+)
+_add("f01_stitched", lambda s, d: stitching.stitched(_book(s, d), stitching.placed(_outline(s, d), _pages(s, d))))
+_add("f01b_stitched_outline", lambda s, d: (lambda p: stitching.located(stitching.placed(_outline(s, d), p), p))(_pages(s, d)))
