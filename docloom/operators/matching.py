@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.shared import written
 
 SHORT, GRAM, HELD, LEVELS = 16, 8, 120, 8
 HOT = 50_000
@@ -59,8 +60,8 @@ def matches(needles: DataFrame, texts: DataFrame, *by: str, hot: int = HOT) -> D
     head) that match; columns ``by`` are equal on both sides."""
     needle, said, n = F.col("needle"), F.col("said"), F.col("n")
     size = F.length(needle)
-    asked = needles.select(*by, "needle").distinct()
-    held = texts.select(*by, "said", "n", "head").distinct()
+    asked = written(needles.select(*by, "needle").distinct(), "needles")
+    held = written(texts.select(*by, "said", "n", "head").distinct(), "texts")
     one = lambda a: F.slice(a, F.greatest(F.size(a), F.lit(1)), 1)
     title_keys = F.concat(
         F.transform(one(_beginnings(needle, size)), lambda t: _key(by, "title", t)), F.transform(_beginnings(needle, size), lambda t: _key(by, "line", t)),
@@ -75,8 +76,9 @@ def matches(needles: DataFrame, texts: DataFrame, *by: str, hot: int = HOT) -> D
     often = parts.join(grams.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.count("*").alias("times"))
     rare = grams.join(often, "key", "left").groupBy(*by, "needle").agg(F.min_by("key", F.struct(F.coalesce("times", F.lit(0)), "key")).alias("key"), F.bool_and(F.col("times").isNotNull()).alias("all"))
     left = asked.select(*by, "needle", F.explode(title_keys).alias("key")).unionByName(rare.where("all").select(*by, "needle", "key"))
+    left = written(left, "title-keys")
     right = held.select(*by, "said", "n", "head", F.explode(line_keys).alias("key")).unionByName(parts)
-    right = right.join(left.select("key").distinct(), "key", "left_semi")
+    right = written(right.join(left.select("key").distinct(), "key", "left_semi"), "line-keys")
     full = right.groupBy("key").agg(F.count("*").alias("times")).where(F.col("times") > hot).select("key", F.ceil(F.col("times") / hot).cast("int").alias("deals"))
     left = left.join(full, "key", "left").select(*by, "needle", "key", F.explode(F.sequence(F.lit(0), F.coalesce("deals", F.lit(1)) - 1)).alias("deal"))
     right = right.join(full, "key", "left").select(*by, "said", "n", "head", "key", F.pmod(F.xxhash64("said"), F.coalesce("deals", F.lit(1))).cast("int").alias("deal"))
@@ -96,8 +98,9 @@ def with_needle(titles: DataFrame) -> DataFrame:
 
 def lines_saying(titles: DataFrame, lines: DataFrame) -> DataFrame:
     """(doc_id, line_no, title): lines of a document that say a title of the same document's outline."""
-    asked = with_needle(titles).select("doc_id", "title", "needle").distinct()
+    asked = written(with_needle(titles).select("doc_id", "title", "needle").distinct(), "titles")
     texts = line_texts(lines.select("doc_id", "line_no", "text"), width(asked))
+    texts = written(texts, "lines")
     pairs = matches(asked, texts, "doc_id")
     return texts.join(pairs, ["doc_id", "said", "n", "head"]).join(asked, ["doc_id", "needle"]).select("doc_id", "line_no", "title")
 
@@ -108,8 +111,9 @@ def titles_elsewhere(titles: DataFrame, lines: DataFrame) -> DataFrame:
 
     Lines that are the same are one class with its size, so no pair of copies is made.
     """
-    asked = with_needle(titles).select("needle").distinct()
+    asked = written(with_needle(titles).select("needle").distinct(), "titles")
     texts = line_texts(lines.select("doc_id", "text"), width(asked)).groupBy("said", "n", "head").agg(F.count("*").alias("times"), F.min("doc_id").alias("first_doc"))
+    texts = written(texts, "lines")
     pairs = matches(asked, texts)
     told = pairs.join(texts, ["said", "n", "head"]).groupBy("needle").agg(F.count("*").alias("texts"), F.sum("times").alias("lines"), F.min("first_doc").alias("first_doc"))
     return told.withColumnRenamed("needle", "title")

@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.shared import written
 from . import matching
 from .outline import doc
 
@@ -86,15 +87,16 @@ def placed(marks: DataFrame, lines: DataFrame) -> DataFrame:
     entry before it has no place then. Without a page it is looked for from the place before on. Titles
     of white space have no place. Lines are read as they came, also where an entry before took one.
     """
-    own = _bounds(marks, lines).where(F.trim("title") != "")
+    own = written(_bounds(marks, lines).where(F.trim("title") != ""), "entries")
     stand = anchors(own, lines)
     span = F.struct(F.col("line").alias("line"), "span", "head")
     inside = (F.col("line") >= F.coalesce("lo", F.lit(0))) & (F.col("line") + F.col("span") <= F.col("until"))
     hits = own.join(stand, ["doc_id", "ord"]).where(inside).groupBy("doc_id", "ord").agg(F.min(span).alias("first"), F.array_sort(F.collect_list(F.when(F.col("lo").isNull(), span))).alias("later"))
+    hits = written(hits, "hits")
     # A line that says the title is asked for only where it does not stand.
     rest = own.join(hits.select("doc_id", "ord"), ["doc_id", "ord"], "left_anti").where("not (shares and page is not null)").unionByName(own.join(hits, ["doc_id", "ord"], "left_semi").where("lo is null"))
-    asked = matching.with_needle(rest.select("doc_id", "ord", "title", "lo", "hi"))
-    texts = matching.line_texts(lines.select("doc_id", "line_no", "text"), matching.width(asked))
+    asked = written(matching.with_needle(rest.select("doc_id", "ord", "title", "lo", "hi")), "sought")
+    texts = written(matching.line_texts(lines.select("doc_id", "line_no", "text"), matching.width(asked)), "lines")
     pairs = matching.matches(asked.select("doc_id", "needle"), texts, "doc_id")
     near = asked.join(texts.join(pairs, ["doc_id", "said", "n", "head"]).select("doc_id", "needle", "line_no"), ["doc_id", "needle"])
     near = near.where(F.col("lo").isNull() | (F.col("line_no") >= F.col("lo")) & (F.col("line_no") < F.col("hi")))
