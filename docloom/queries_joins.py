@@ -9,8 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import oracle as O
-from .functions import text as T
-from .operators import matching, outline, stitching
+from .operators import matching, outline, scan, stitching
 from .queries_passes import BOOK, _book
 from .sources import relations as R
 
@@ -77,3 +76,12 @@ _add(
 )
 _add("f01_stitched", lambda s, d: stitching.stitched(_book(s, d), stitching.placed(_outline(s, d), _pages(s, d))))
 _add("f01b_stitched_outline", lambda s, d: (lambda p: stitching.located(stitching.placed(_outline(s, d), p), p))(_pages(s, d)))
+
+# Rules that go from line to line, as scans in two levels; tests/test_scan.py holds them against the plain passes.
+for _name, _edits in {"d04_broken_words": scan.hyphens, "d06_repeated_marks": scan.repeated_marks, "d21_blank_run_text": scan.blank_runs, "d24_subheadings": scan.subheadings, "d27_joined_headings": scan.joined_headings}.items():
+    _add(_name, lambda s, d, edits=_edits: edits(_pages(s, d)))
+_add("d36_edited_lines", lambda s, d: (lambda p: scan.line_map(p, scan.blank_runs(p)))(_pages(s, d)))
+_add(
+    "j10_running_state", lambda s, d: scan.with_free(_pages(s, d)).select("doc_id", "line_no", "free"),
+    f"WITH {BOOKS}, f AS (SELECT doc_id, line_no, regexp_matches({O.trim('text')}, '^(```|~~~)')::INT AS mark FROM probe) SELECT doc_id, line_no, mark = 0 AND coalesce(sum(mark) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) % 2 = 0 AS free FROM f",
+)

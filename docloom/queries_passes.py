@@ -52,8 +52,8 @@ KNOWN = frozenset("when many in to it came the and of a an is was that he she th
 # Cleanup.
 for _name, _passes in {
     "d01_readable_text": (tidy.readable,), "d03_drop_cap_text": (tidy.drop_caps,), "d04_whole_words": (lambda x: tidy.whole_words(x, KNOWN),), "d05_split_words": (lambda x: tidy.split_words(x, KNOWN),),
-    "d06_repeated_marks": (tidy.repeated_marks,), "d07_without_chrome": (tidy.without_chrome,), "d20_heading_layout": (tidy.heading_layout,), "d21_blank_run_text": (tidy.blank_runs,),
-    "d23_long_lines": (tidy.long_lines,), "d24_subheadings": (tidy.subheadings,), "d26_tidy_headings": (tidy.tidy_headings,), "d27_joined_headings": (tidy.joined_headings,),
+    "d07_without_chrome": (tidy.without_chrome,), "d20_heading_layout": (tidy.heading_layout,),
+    "d23_long_lines": (tidy.long_lines,), "d26_tidy_headings": (tidy.tidy_headings,),
     "d28_chapter_ornaments": (tidy.chapter_ornaments,), "d29_demoted_headings": (tidy.demoted,), "d30_moved_headings": (stitch.moved_headings,), "d33_hidden_numbers": (tidy.hidden_numbers,),
     "d31_closed_letters": (lambda x: tidy.closed_letters(x, "It was YOUR GIFT. So your gift"),), "e01_compacted_tables": (grids.compacted,), "e05_lifted_prose": (lambda x: L.Rewrite(grids.lifted(x), list(range(len(x)))),),
     "d40_without_ornaments": (lambda x: figures.without_ornaments(x, [(f"figure-{i:03d}.png", 40 + i % 3, 30) for i in range(1, 15)]),),
@@ -118,11 +118,6 @@ def _marks(t: str) -> list[stitch.Mark]:
 
 _outline = "ord int, title string, level int, page int, line int"
 _listed = lambda marks: [(k, m.title, m.level, m.page, m.line) for k, m in enumerate(marks)]
-_add("f01_stitched", lambda s, d: rows_of(_book(s, d), lambda t: [("\n".join(stitch.stitched(_marks(t), t.split("\n"))[0]),)], "text string", "text"))
-_add("f01b_stitched_outline", lambda s, d: rows_of(_book(s, d), lambda t: _listed(stitch.stitched(_marks(t), t.split("\n"))[1]), _outline, "text"))
-_add("f02_title_anchors", lambda s, d: rows_of(_book(s, d), lambda t: [(m.title, stitch.anchor(m.title, own, 0, len(own))) for own in [t.split("\n")] for m in _marks(t)], "title string, line int", "text"))
-_add("f03_fuzzy_lines", lambda s, d: rows_of(_book(s, d), lambda t: [(i, m.title) for own in [t.split("\n")] for m in _marks(t)[:9] for i, x in enumerate(own) if stitch.line_matches(x, L.folded(m.title))], "line_no int, title string", "text"))
-_add("f04_page_map", lambda s, d: rows_of(_book(s, d), lambda t: sorted(stitch.page_starts(t.split("\n")).items()), "page int, line int", "text"))
 _add("f05_page_marks", lambda s, d: rows_of(_docs(s, d), lambda t: [(stitch.with_page_marks(t, [p for p in re.split(r"(?<=\.) ", t)[::7]]),)], "text string", "text"))
 _add("f06_claimed_outline", lambda s, d: rows_of(_book(s, d), lambda t: _listed(stitch.claimed([*_marks(t)[::2], stitch.Mark("Neu", 2, 3)], t.split("\n"))[1]), _outline, "text"))
 _add("f07_bookmark_lines", lambda s, d: rows_of(_book(s, d), lambda t: [(m.title, stitch.found(m, t.split("\n"))) for m in _marks(t)], "title string, line int", "text"))

@@ -54,7 +54,6 @@ QUERIES["g02_trees"] = lambda s, d: s.createDataFrame([(q, _tree(search.parse(q)
 ORACLE_SQL["g02_trees"] = _values(_trees, "tree")
 
 # Sources.
-_of("i09_fuzzy_join", lambda t: [(i, m.title) for own in [_cut(t)] for m in _marks(t) for i, x in enumerate(own) if stitch.line_matches(x, L.folded(m.title))], "line_no int, title string")
 _one("a17_first_engine", lambda t: next((x for x in (office.document_text(t.encode()), office.member(t.encode(), "a"), t[:50]) if x), None), source=_docs)
 _of("a20_outline_walk", lambda t: _listed(stitch.walked([{"title": m.title, "page": m.page, "children": [{"title": m.title + " a"}, {"title": " "}]} for m in _marks(t)])), _outline)
 _one("a32_catalog_lookup", lambda t: _json(vars(r)) if (r := metadata.looked_up(t[:20], [{"title": t[:20].upper() + "!", "author_name": ["A"], "publisher": ["P", "Q"], "subject": list("abcdefghijklmnop"), "first_publish_year": 2001}, {"title": "Other"}])) else None, source=_docs)
@@ -65,7 +64,6 @@ _one("e12_woven_tables", lambda t: "\n".join(grids.woven(_cut(t), [(x[:20], [[["
 # Outlines.
 _of("f18_followed_lines", lambda t: [(i, stitch.followed(own, other, i)) for own in [_cut(t)] for other in [_cut(t.replace(". ", ".\n"))] for i in range(0, len(own), 3)], "line_no int, other int")
 _of("f26_relocated_outline", lambda t: _listed(stitch.relocated([*_marks(t)[1::2], stitch.Mark("New")], _cut(t))), _outline)
-_of("s24_next_page_lines", lambda t: [(k, stitch.next_page_line(m, k, stitch.page_starts(own), len(own))) for own in [_cut(t)] for m in [_marks(t)] for k in range(len(m))], "ord int, line int")
 _of("s25_heading_and_title_lines", lambda t: [(m.title, stitch.heading_line(m.title, own), stitch.title_line(m.title, own)) for own in [_cut(t)] for m in _marks(t)], "title string, heading int, line int")
 _one("s26_body_starts", lambda t: next((i for i, x in enumerate(_cut(t)) if "<!-- page 1 -->" in x), 0), "int")
 _of("s58_outline_after_ornaments", lambda t: [(m.title, w[m.line] if m.line is not None else None) for own in [_cut(t)] for w in [figures.without_ornaments(own, [(f"figure-{i:03d}.png", 40, 30) for i in range(1, 12)]).where] for m in stitch.stitched(_marks(t), own)[1] if m.line is None or m.line < len(w)], "title string, line int")
@@ -104,5 +102,4 @@ _one("s65_chapter_texts", lambda t: ask.chapter_text(t, 2))
 _of("o03_pages_near", lambda t: [(k, ask.page_near(_cut(t), k)) for k in range(0, len(t), 400)], "at int, page string")
 _one("o04_selections", lambda t: ask.selection(_cut(t), 5, min(len(t), 300)))
 _one("o01_cited_clips", lambda t: ask.clip(t, L.heading(_cut(t)[0]) or "", "Book", ask.page_near(_cut(t), len(t) // 2) or ""))
-_one("j10_running_state", lambda t: _json([sum(L.free(_cut(t))), stitch.sections(_cut(t))[-1:]]))
 _one("d37_edited_map", lambda t: _json(tidy.tidy_headings(_cut(t)).where[:50]))
