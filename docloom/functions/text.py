@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 #: Blanks that a trim removes: tab, space and the Unicode spaces, but no line ends.
 BLANK = r"[ \t\x{a0}\x{1680}\x{2000}-\x{200a}\x{202f}\x{205f}\x{3000}]"
-TRIM = rf"^{BLANK}+|{BLANK}+$"
+BLANKS = "\t \xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
 #: Control characters, replacement characters and noncharacters that conversion leaves behind.
 UNREADABLE = r"[\x{00}-\x{08}\x{0b}\x{0c}\x{0e}-\x{1f}\x{7f}-\x{9f}\x{fffc}\x{fffd}\x{fdd0}-\x{fdef}\x{fffe}\x{ffff}]"
 # Roman numerals, and the spellings of a page title.
@@ -17,7 +17,7 @@ CITATION = r"^[0-9]? ?\p{L}[\p{L} ]* [0-9]{1,3}:[0-9]{1,3}([–,;: 0-9-]|\p{L}[\
 
 
 def trim(c: Column) -> Column:
-    return F.regexp_replace(c, TRIM, "")
+    return F.btrim(c, F.lit(BLANKS))  # looks at the ends alone
 
 
 def _or_null(c: Column) -> Column:
@@ -30,8 +30,9 @@ MARKER = "<!--ym-tr-->"
 
 def heading_text(line: Column) -> Column:
     """Title of a line of one to six ``#`` marks, with or without a space, a translated one too; null for other lines."""
-    t = trim(F.regexp_replace(trim(line), f"^{MARKER}", ""))
-    return F.when(t.rlike("^#{1,6}([^#]|$)"), _or_null(trim(F.regexp_replace(t, "^[# ]+", ""))))
+    t = trim(line)
+    t = F.when(F.startswith(t, F.lit(MARKER)), trim(F.substring(t, len(MARKER) + 1, 1 << 30))).otherwise(t)
+    return F.when(F.startswith(t, F.lit("#")) & t.rlike("^#{1,6}([^#]|$)"), _or_null(trim(F.ltrim(t, F.lit("# ")))))
 
 
 def heading_marks(line: Column) -> Column:
@@ -57,7 +58,8 @@ def bold_line(line: Column) -> Column:
 
 def page_comment(line: Column) -> Column:
     """Number, from 1, of a page mark; null for other lines."""
-    n = F.regexp_extract(trim(line), rf"^<!-- page {BLANK}*([0-9]{{1,9}}){BLANK}*-->$", 1).try_cast("int")
+    t = trim(line)
+    n = F.when(F.startswith(t, F.lit("<!-- page ")), F.regexp_extract(t, rf"^<!-- page {BLANK}*([0-9]{{1,9}}){BLANK}*-->$", 1).try_cast("int"))
     return F.when(n > 0, n)
 
 
@@ -74,10 +76,11 @@ def contents_entry(line: Column) -> Column:
 
 def folded(c: Column) -> Column:
     """Title for comparison: no marks, no empty box, plain dashes, single spaces, lower case."""
-    t = F.regexp_replace(trim(c), r"\x{a0}", " ")
-    t = trim(F.regexp_replace(t, "^#+", ""))
-    t = F.when(F.substring(t, 1, 2) == "[]", trim(F.substring(t, 3, 1 << 30))).otherwise(t)
-    return F.lower(F.regexp_replace(F.regexp_replace(t, "[–—−]", "-"), r"\s+", " "))
+    t = trim(F.ltrim(trim(F.replace(c, F.lit("\xa0"), F.lit(" "))), F.lit("#")))
+    for dash in "–—−":
+        t = F.replace(t, F.lit(dash), F.lit("-"))
+    # each step uses the one before once, so that nothing is computed twice
+    return F.lower(F.regexp_replace(trim(F.regexp_replace(t, r"^\[\]", "")), r"\s\s+|[\t\n\x0b\f\r]", " "))
 
 
 def fold_line(c: Column) -> Column:

@@ -103,11 +103,16 @@ def is_fence(t: Column) -> Column:
     return t.rlike("^(```|~~~)")
 
 
-def with_free(lines: DataFrame, *, chunk: int = CHUNK) -> DataFrame:
-    """``lines`` with ``free``: whether a line stands outside fences and is no fence."""
-    told = lines.select("doc_id", "line_no", is_fence(T.trim(F.col("text"))).alias("fence"))
-    inside = states(told.withColumn("step", F.when(F.col("fence"), table([1, 0])).otherwise(table([0, 1]))), "step", 2, chunk=chunk)
-    return lines.join(inside, ["doc_id", "line_no"]).select(*lines.columns, ((F.col("state") == 0) & ~is_fence(T.trim(F.col("text")))).alias("free"))
+def free(lines: DataFrame, *, chunk: int = CHUNK) -> DataFrame:
+    """(doc_id, line_no, free): whether a line stands outside fences and is no fence."""
+    told = lines.select("doc_id", "line_no", F.when(is_fence(T.trim(F.col("text"))), table([1, 0])).otherwise(table([0, 1])).alias("step"))
+    inside = states(told, "step", 2, chunk=chunk)
+    return told.join(inside, ["doc_id", "line_no"]).select("doc_id", "line_no", ((F.col("state") == 0) & (F.col("step") == table([0, 1]))).alias("free"))
+
+
+def with_free(told: DataFrame, lines: DataFrame, chunk: int) -> DataFrame:
+    """``told``, what a rule needs of each of the ``lines``, with ``free``."""
+    return told.join(free(lines, chunk=chunk), ["doc_id", "line_no"])
 
 
 def _edit(df: DataFrame, text: Column, back: Column | None = None) -> DataFrame:
@@ -117,15 +122,15 @@ def _edit(df: DataFrame, text: Column, back: Column | None = None) -> DataFrame:
 def hyphens(lines: DataFrame, *, chunk: int = CHUNK) -> DataFrame:
     """Edits: words broken at line ends put together, through as many lines as break."""
     t = F.regexp_replace(F.col("text"), ENDS, "")
-    told = with_free(lines, chunk=chunk).select("doc_id", "line_no", "text", "free", (F.col("free") & t.rlike(r"\p{L}[-\x{ad}\x{2010}]$") & T.heading_text(F.col("text")).isNull()).alias("breaks"), (F.col("free") & T.trim(F.col("text")).rlike(r"^\p{L}")).alias("goes_on"))
-    told = written(told, "breaks")
+    told = lines.select("doc_id", "line_no", (t.rlike(r"\p{L}[-\x{ad}\x{2010}]$") & T.heading_text(F.col("text")).isNull()).alias("breaks"), T.trim(F.col("text")).rlike(r"^\p{L}").alias("goes_on"))
+    told = written(with_free(told, lines, chunk).where("free"), "breaks")
     at = told.where("breaks").select("doc_id", (F.col("line_no") + 1).alias("line_no")).withColumn("above", F.lit(True))
     joins = told.where("goes_on").join(at, ["doc_id", "line_no"]).select("doc_id", "line_no")
     # Lines that join one another follow without a gap, so their number less their rank is one for each group.
     group = joins.withColumn("run", F.col("line_no") - F.row_number().over(W.partitionBy("doc_id").orderBy("line_no")))
     group = group.select("doc_id", "line_no", (F.min("line_no").over(W.partitionBy("doc_id", "run")) - 1).alias("head"))
     heads = group.select("doc_id", F.col("head").alias("line_no"), "head").distinct()
-    parts = group.unionByName(heads).join(told.select("doc_id", "line_no", "text"), ["doc_id", "line_no"])
+    parts = lines.select("doc_id", "line_no", "text").join(group.unionByName(heads), ["doc_id", "line_no"])  # few lines' texts
     made = parts.groupBy("doc_id", "head").agg(F.array_sort(F.collect_list(F.struct("line_no", "text"))).alias("rows"))
     body = lambda x, i: F.when(i == 0, x["text"]).otherwise(T.trim(x["text"]))
     said = F.transform("rows", lambda x, i: F.when(i == F.size("rows") - 1, body(x, i)).otherwise(F.regexp_replace(F.regexp_replace(body(x, i), ENDS, ""), r"(?s).$", "")))
@@ -135,14 +140,14 @@ def hyphens(lines: DataFrame, *, chunk: int = CHUNK) -> DataFrame:
 def repeated_marks(lines: DataFrame, *, chunk: int = CHUNK) -> DataFrame:
     """Edits: page marks met before go, and so does a page's first line if it repeats an earlier heading."""
     t = F.col("t")
-    told = with_free(lines, chunk=chunk).select("doc_id", "line_no", "free", T.trim(F.col("text")).alias("t"))
-    title = T.heading_text(t)
-    name = F.coalesce(title, t)
-    said = F.col("free") & F.col("mark").isNull() & (t != "")
-    told = told.select("doc_id", "line_no", "free", "t", T.page_comment(t).alias("mark"), title.alias("title"), T.folded(name).alias("key"))
-    top = said & ~t.rlike(r"^(!\[|\||>)") & ~T.contents_line(t) & (F.length(F.coalesce("title", "t")) <= 80) & (F.length("key") >= 2)
-    told = told.select("doc_id", "line_no", "free", is_fence(t).alias("fence"), F.when(F.col("free"), F.col("mark")).alias("mark"), said.alias("said"), F.when(top, F.col("key")).alias("key"), F.when(said & F.col("title").isNotNull(), F.col("key")).alias("head"))
-    told = written(told, "marks")
+    told = lines.select("doc_id", "line_no", T.trim(F.col("text")).alias("t"))
+    told = told.select("doc_id", "line_no", "t", T.page_comment(t).alias("mark"), T.heading_text(t).alias("title"))
+    said, short = F.col("mark").isNull() & (t != ""), F.length(F.coalesce("title", "t")) <= 80
+    key = F.when(said & (short | F.col("title").isNotNull()), T.folded(F.coalesce("title", "t")))
+    told = told.select("doc_id", "line_no", "mark", said.alias("said"), is_fence(t).alias("fence"), key.alias("key"), (short & ~t.rlike(r"^(!\[|\||>)") & ~T.contents_line(t)).alias("top"), F.col("title").isNotNull().alias("head"))
+    told = told.select("doc_id", "line_no", "mark", "said", "fence", F.when(F.col("top") & (F.length("key") >= 2), F.col("key")).alias("key"), F.when(F.col("head"), F.col("key")).alias("head"))
+    told = with_free(told, lines, chunk)
+    told = written(told.select("doc_id", "line_no", "fence", *(F.when(F.col("free"), F.col(c)).alias(c) for c in ("mark", "said", "key", "head"))), "marks")
     first = told.where("mark is not null").groupBy("doc_id", "mark").agg(F.min("line_no").alias("line_no")).withColumn("new", F.lit(True))
     marked = told.join(first.select("doc_id", "line_no", "new"), ["doc_id", "line_no"], "left")
     step = F.when(F.col("new"), table([1, 1])).when(F.col("said") | F.col("fence"), table([0, 0])).otherwise(table([0, 1]))
@@ -162,10 +167,11 @@ def ends_sentence(t: Column) -> Column:
 def blank_runs(lines: DataFrame, *, chunk: int = CHUNK) -> DataFrame:
     """Edits: one blank line between paragraphs, none within a sentence or at the ends."""
     t = F.col("t")
-    told = with_free(lines, chunk=chunk).select("doc_id", "line_no", "free", T.trim(F.col("text")).alias("t"))
+    told = lines.select("doc_id", "line_no", T.trim(F.col("text")).alias("t"))
     mark = t.rlike(r"^(#|<!--|!\[|\||>)") | (t == "---")
-    said = F.when((t != "") | ~F.col("free"), F.struct((t != "").alias("said"), mark.alias("mark"), ends_sentence(t).alias("ends"), t.rlike(r"^\p{L}").alias("letter")))
-    told = told.select("doc_id", "line_no", ((t == "") & F.col("free")).alias("blank"), said.alias("value"))
+    told = told.select("doc_id", "line_no", F.struct((t != "").alias("said"), mark.alias("mark"), ends_sentence(t).alias("ends"), t.rlike(r"^\p{L}").alias("letter")).alias("value"))
+    blank = ~F.col("value.said") & F.col("free")
+    told = with_free(told, lines, chunk).select("doc_id", "line_no", blank.alias("blank"), F.when(~blank, F.col("value")).alias("value"))
     near = nearest(told, {"last": F.col("value"), "next": F.when(F.col("value")["said"], F.col("value"))}, chunk=chunk)
     near = nearest(near, {"above": F.struct("blank", "line_no")}, chunk=chunk).where("blank")
     goes_on = ~F.col("last.mark") & ~F.col("next.mark") & F.col("next.letter") & ~F.col("last.ends")
@@ -209,14 +215,15 @@ def subheadings(lines: DataFrame, *, chunk: int = CHUNK) -> DataFrame:
     heading of level n.
     """
     t = F.col("t")
-    told = with_free(lines, chunk=chunk).select("doc_id", "line_no", "free", T.trim(F.col("text")).alias("t"))
+    told = lines.select("doc_id", "line_no", T.trim(F.col("text")).alias("t"))
     marks = F.length(F.regexp_extract(t, "^(#{1,6}) ", 1))
     bare = F.regexp_replace(F.coalesce(T.heading_text(t), t), r"^[()\[\]“”\"'.]+|[()\[\]“”\"'.]+$", "")
     citation = F.length(bare).between(3, 80) & bare.rlike(rf"^{_CITE}(?:\s*;\s*{_CITE})*$")
     form = t.rlike(r"^\p{Lu}") & ~ends_sentence(t) & ~t.rlike("[,;:]$") & F.length(t).between(8, 80) & F.size(F.filter(F.split(t, r"[\s\x{85}\p{Z}]+"), lambda w: w != "")).between(2, 14)
-    told = told.select("doc_id", "line_no", "t", (t != "").alias("said"), marks.alias("level"), (ends_sentence(t) | t.rlike("^<!--")).alias("told"), (F.col("free") & (marks == 0) & form & ~citation & ~T.contents_line(t) & ~t.rlike(r"^(<!--|!\[|\||>|- |\* |•)")).alias("form"), t.rlike(r"^\p{Lu}").alias("capital"))
+    told = told.select("doc_id", "line_no", (t != "").alias("said"), marks.alias("level"), (ends_sentence(t) | t.rlike("^<!--")).alias("told"), ((marks == 0) & form & ~citation & ~T.contents_line(t) & ~t.rlike(r"^(<!--|!\[|\||>|- |\* |•)")).alias("form"), t.rlike(r"^\p{Lu}").alias("capital"), F.substring(t, 1, 80).alias("t"))
+    told = with_free(told.withColumn("t", F.when(F.col("form"), F.col("t"))), lines, chunk)
     near = nearest(told, {"next": F.when(F.col("said"), F.col("capital"))}, chunk=chunk)
-    near = near.withColumn("form", F.col("form") & F.coalesce("next", F.lit(False)))
+    near = near.withColumn("form", F.col("form") & F.col("free") & F.coalesce("next", F.lit(False)))
     kind = F.when(F.col("level") > 0, F.col("level") + 1).when(F.col("told"), F.lit(0)).otherwise(F.lit(1))
     steady = sum((F.call_function("shiftleft", kind.cast("bigint"), F.lit(4 * s)) for s in range(1, 8)), kind.cast("bigint"))
     rise = [3, 1, *(min(3, n + 1) + 1 for n in range(1, 7))]

@@ -66,7 +66,7 @@ _start = f"g AS (SELECT doc_id, line_no, try_cast(regexp_extract({O.folded('(' +
 _add("f04_page_map", lambda s, d: stitching.page_map(_pages(s, d)), f"WITH {BOOKS}, {_start} SELECT * FROM starts")
 _add(
     "f02_title_anchors", lambda s, d: stitching.anchors(_outline(s, d), _pages(s, d)).groupBy("doc_id", "ord").agg(F.min(F.struct("line", "span")).alias("x")).select("doc_id", "ord", "x.line", "x.span"),
-    f"""WITH {BOOKS}, {_heads}, {_marks}, l AS (SELECT doc_id, line_no, {O.trim('text')} AS t, ({O.heading_text('text')}) AS ht, {O.contents_line('text')} AS c FROM probe), k AS (SELECT doc_id, line_no, ht, t <> '' AND NOT regexp_matches(t, '^(<!--|```|~~~)') AND NOT c AS ok, CASE WHEN ok AND length(t) <= 80 AND NOT regexp_matches(t, '^(!\[|\|)') THEN {O.folded('coalesce(ht, t)')} END AS p FROM l),
+    f"""WITH {BOOKS}, {_heads}, {_marks}, l AS (SELECT doc_id, line_no, {O.trim('text')} AS t, ({O.heading_text('text')}) AS ht, {O.contents_line('text')} AS c FROM probe), k AS (SELECT doc_id, line_no, ht, t <> '' AND NOT regexp_matches(t, '^(<!--|```|~~~)') AND NOT c AS ok, CASE WHEN ok AND length(t) <= 80 AND NOT regexp_matches(t, '^(!\\[|\\|)') THEN {O.folded('coalesce(ht, t)')} END AS p FROM l),
     w AS (SELECT *, lead(p) OVER o AS p2, lead(p, 2) OVER o AS p3 FROM k WINDOW o AS (PARTITION BY doc_id ORDER BY line_no)), e AS (SELECT doc_id, line_no, {_core('ht')} AS key, 1 AS span FROM w WHERE ok AND ht IS NOT NULL UNION ALL SELECT doc_id, line_no, p || ' ' || p2, 2 FROM w UNION ALL SELECT doc_id, line_no, p || ' ' || p2 || ' ' || p3, 3 FROM w),
     a AS (SELECT doc_id, ord, {_core('title')} AS key FROM m), f AS (SELECT a.doc_id, ord, min((line_no, span)) AS x FROM a JOIN e ON a.doc_id = e.doc_id AND a.key = e.key WHERE length(a.key) >= 3 GROUP BY ALL) SELECT doc_id, ord, x[1] AS line, x[2] AS span FROM f""",
 )
@@ -82,6 +82,6 @@ for _name, _edits in {"d04_broken_words": scan.hyphens, "d06_repeated_marks": sc
     _add(_name, lambda s, d, edits=_edits: edits(_pages(s, d)))
 _add("d36_edited_lines", lambda s, d: (lambda p: scan.line_map(p, scan.blank_runs(p)))(_pages(s, d)))
 _add(
-    "j10_running_state", lambda s, d: scan.with_free(_pages(s, d)).select("doc_id", "line_no", "free"),
+    "j10_running_state", lambda s, d: scan.free(_pages(s, d)),
     f"WITH {BOOKS}, f AS (SELECT doc_id, line_no, regexp_matches({O.trim('text')}, '^(```|~~~)')::INT AS mark FROM probe) SELECT doc_id, line_no, mark = 0 AND coalesce(sum(mark) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) % 2 = 0 AS free FROM f",
 )

@@ -52,7 +52,7 @@ def test_edits_are_those_of_the_pass(books, name, chunk):
 @pytest.mark.parametrize("chunk", [1, 4, 512])
 def test_free_lines(books, chunk):
     texts, lines = books
-    got = {(r.doc_id, r.line_no): r.free for r in scan.with_free(lines, chunk=chunk).collect()}
+    got = {(r.doc_id, r.line_no): r.free for r in scan.free(lines, chunk=chunk).collect()}
     assert got == {(i, k): f for i, text in enumerate(texts) for k, f in enumerate(L.free(text.split("\n")))}
 
 
