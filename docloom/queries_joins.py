@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import oracle as O
-from .operators import matching, outline, scan, stitching
+from .operators import budgets, claims, lexicon, matching, outline, scan, stitching
 from .queries_passes import BOOK, _book
 from .sources import relations as R
 
@@ -85,3 +85,52 @@ _add(
     "j10_running_state", lambda s, d: scan.free(_pages(s, d)),
     f"WITH {BOOKS}, f AS (SELECT doc_id, line_no, regexp_matches({O.trim('text')}, '^(```|~~~)')::INT AS mark FROM probe) SELECT doc_id, line_no, mark = 0 AND coalesce(sum(mark) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) % 2 = 0 AS free FROM f",
 )
+
+# Outlines and the headings of another text.
+_hd = f"hd AS (SELECT doc_id, line_no, ({O.heading_text('text')}) AS title FROM probe), hk AS (SELECT doc_id, line_no, title, {O.folded('title')} AS key, row_number() OVER (PARTITION BY doc_id, {O.folded('title')} ORDER BY line_no) AS nth FROM hd WHERE title IS NOT NULL)"
+_add(
+    "f06_claimed_outline", lambda s, d: claims.claimed(_outline(s, d), _pages(s, d)),
+    f"""WITH {BOOKS}, {_heads}, {_marks}, {_hd}, mk AS (SELECT doc_id, ord, {O.folded('title')} AS key, row_number() OVER (PARTITION BY doc_id, {O.folded('title')} ORDER BY ord) AS nth FROM m WHERE title <> ''), said AS (SELECT mk.doc_id, ord, line_no FROM mk JOIN hk USING (doc_id, key, nth)),
+    fh AS (SELECT doc_id, line_no, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS r FROM hk WHERE NOT {O.page_like('title')} AND lower(title) <> 'outline' AND (doc_id, line_no) NOT IN (SELECT doc_id, line_no FROM said)), fm AS (SELECT doc_id, ord, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS r FROM m WHERE (doc_id, ord) NOT IN (SELECT doc_id, ord FROM said)),
+    pg AS (SELECT doc_id, ({O.page_comment('text')}) - 1 AS page, min(line_no) AS pl FROM probe WHERE ({O.page_comment('text')}) IS NOT NULL GROUP BY ALL), fd AS (SELECT *, 'title' AS how FROM said UNION ALL SELECT fm.doc_id, ord, line_no, 'order' FROM fm JOIN fh USING (doc_id, r))
+    SELECT m.doc_id, m.ord, coalesce(line_no, pl)::INT AS line, coalesce(how, CASE WHEN pl IS NOT NULL THEN 'page' END) AS how FROM m LEFT JOIN fd ON m.doc_id = fd.doc_id AND m.ord = fd.ord LEFT JOIN pg ON m.doc_id = pg.doc_id AND m.page = pg.page""",
+)
+_add(
+    "f26_relocated_outline", lambda s, d: claims.relocated(_outline(s, d), _pages(s, d)),
+    f"""WITH {BOOKS}, {_heads}, {_marks}, {_hd}, said AS (SELECT m.doc_id, ord, min(line_no) AS line_no FROM m JOIN hd ON m.doc_id = hd.doc_id AND lower(m.title) = lower(hd.title) GROUP BY ALL), fh AS (SELECT doc_id, line_no, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS r FROM h WHERE (doc_id, line_no) NOT IN (SELECT doc_id, line_no FROM said)),
+    fm AS (SELECT doc_id, ord, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS r FROM m WHERE (doc_id, ord) NOT IN (SELECT doc_id, ord FROM said)) SELECT m.doc_id, m.ord, coalesce(said.line_no, fh.line_no)::INT AS line FROM m LEFT JOIN said ON m.doc_id = said.doc_id AND m.ord = said.ord LEFT JOIN fm ON m.doc_id = fm.doc_id AND m.ord = fm.ord LEFT JOIN fh ON fm.doc_id = fh.doc_id AND fm.r = fh.r""",
+)
+
+
+# Requests under a budget.
+def _items(s: SparkSession, d: str) -> DataFrame:
+    return _pages(s, d).select("doc_id", F.col("line_no").alias("pos"), F.length("text").alias("size"))
+
+
+def _fold(fits: str) -> str:
+    """The fold itself: each item goes with the one before it while ``fits``."""
+    return f"WITH RECURSIVE {BOOKS}, i AS (SELECT doc_id, line_no AS pos, length(text) AS size FROM probe), f AS (SELECT doc_id, pos, size, 0 AS batch, 1 AS n, size AS held FROM i WHERE pos = 0 UNION ALL SELECT i.doc_id, i.pos, i.size, CASE WHEN {fits} THEN f.batch ELSE f.batch + 1 END, CASE WHEN {fits} THEN f.n + 1 ELSE 1 END, CASE WHEN {fits} THEN f.held + i.size ELSE i.size END FROM f JOIN i ON i.doc_id = f.doc_id AND i.pos = f.pos + 1) SELECT doc_id, batch, count(*) AS texts, CAST(sum(size) AS BIGINT) AS chars FROM f GROUP BY 1, 2"
+
+
+def _requests(items: DataFrame, **how: int) -> DataFrame:
+    return budgets.batched(items, **how).groupBy("doc_id", "batch").agg(F.count("*").alias("texts"), F.sum("size").alias("chars"))
+
+
+_add("c22_chat_batches", lambda s, d: _requests(_items(s, d), budget=2800, extra=8), _fold("f.held + 8 * f.n + i.size + 8 <= 2800"))
+_add("n02_requests", lambda s, d: _requests(_items(s, d), budget=4499, most=32), _fold("f.n < 32 AND f.held + i.size < 4500"))
+
+# Split words, by the corpus's own words.
+_lex = "lex AS (SELECT word, count(*) AS times FROM (SELECT unnest(regexp_extract_all(lower(text), '\\p{L}+')) AS word FROM probe) GROUP BY 1 HAVING count(*) >= 3), tk AS (SELECT doc_id, line_no, text, regexp_extract_all(text, '\\p{L}+|[^\\p{L}]+') AS t FROM probe), ps AS (SELECT doc_id, line_no, text, k - 1 AS k, t[k] AS x, t[k + 2] AS y FROM (SELECT *, unnest(range(1, greatest(1, len(t) - 1))) AS k FROM tk) WHERE t[k + 1] = ' ' AND regexp_matches(t[k], '^\\p{L}') AND regexp_matches(t[k + 2], '^\\p{Ll}')), jd AS (SELECT ps.*, w.word IS NOT NULL AS whole, l.word IS NOT NULL AS left_, r.word IS NOT NULL AS right_ FROM ps LEFT JOIN lex w ON w.word = lower(x || y) LEFT JOIN lex l ON l.word = lower(x) LEFT JOIN lex r ON r.word = lower(y))"
+_add("d05_lexicon", lambda s, d: lexicon.lexicon(_pages(s, d)), f"WITH {BOOKS}, {_lex} SELECT * FROM lex")
+_add(
+    "d05_split_pairs", lambda s, d: (lambda p: lexicon.split_pairs(p, lexicon.lexicon(p)))(_pages(s, d)),
+    f"WITH {BOOKS}, {_lex}, fc AS (SELECT doc_id, line_no, regexp_matches({O.trim('text')}, '^(```|~~~)')::INT AS mark FROM probe), fr AS (SELECT doc_id, line_no FROM (SELECT *, coalesce(sum(mark) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) % 2 AS o FROM fc) WHERE o = 0 AND mark = 0), hit AS (SELECT jd.* FROM jd JOIN fr USING (doc_id, line_no) WHERE length(x) <= 8 AND length(y) <= 6 AND whole AND NOT (left_ AND right_) AND NOT starts_with({O.trim('text')}, '<!--')), run AS (SELECT *, k - 2 * row_number() OVER (PARTITION BY doc_id, line_no ORDER BY k) AS g FROM hit) SELECT doc_id, line_no, k::INT AS \"at\", x AS first, y AS second FROM run QUALIFY row_number() OVER (PARTITION BY doc_id, line_no, g ORDER BY k) % 2 = 1",
+)
+_add("d05_split_words", lambda s, d: (lambda p: lexicon.rejoined(p, lexicon.lexicon(p)))(_pages(s, d)))
+_sus = f"su AS (SELECT DISTINCT doc_id, line_no FROM jd WHERE length(x) BETWEEN 2 AND 4 AND length(y) BETWEEN 2 AND 4 AND (NOT right_ OR (NOT left_ AND length(x) = 2 AND length(y) = 2)) AND NOT regexp_matches({O.trim('text')}, '^(#|<!--|!\\[|\\||>)'))"
+_add("d41_suspect_lines", lambda s, d: (lambda p: lexicon.suspects(p, lexicon.lexicon(p)))(_pages(s, d)), f"WITH {BOOKS}, {_lex}, {_sus} SELECT * FROM su")
+_add(
+    "d41c_neighbours", lambda s, d: (lambda p: lexicon.with_neighbours(lexicon.suspects(p, lexicon.lexicon(p)), p))(_pages(s, d)),
+    f"WITH {BOOKS}, {_lex}, {_sus}, wd AS (SELECT doc_id, line_no, list_filter(string_split_regex(text, '[\\s\\p{{Z}}]+'), lambda w: w <> '') AS w FROM probe) SELECT su.doc_id, su.line_no, coalesce(array_to_string(a.w[-6:], ' '), '') AS before, coalesce(array_to_string(b.w[:6], ' '), '') AS after FROM su LEFT JOIN wd a ON a.doc_id = su.doc_id AND a.line_no = su.line_no - 1 LEFT JOIN wd b ON b.doc_id = su.doc_id AND b.line_no = su.line_no + 1",
+)
+_add("s49_rejoined_lines", lambda s, d: (lambda p: (lambda w: lexicon.rejoined(p, w).join(lexicon.suspects(p, w), ["doc_id", "line_no"], "left_semi").select("doc_id", "line_no", "text"))(lexicon.lexicon(p)))(_pages(s, d)))

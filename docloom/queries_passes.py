@@ -51,7 +51,7 @@ KNOWN = frozenset("when many in to it came the and of a an is was that he she th
 
 # Cleanup.
 for _name, _passes in {
-    "d01_readable_text": (tidy.readable,), "d03_drop_cap_text": (tidy.drop_caps,), "d04_whole_words": (lambda x: tidy.whole_words(x, KNOWN),), "d05_split_words": (lambda x: tidy.split_words(x, KNOWN),),
+    "d01_readable_text": (tidy.readable,), "d03_drop_cap_text": (tidy.drop_caps,), "d04_whole_words": (lambda x: tidy.whole_words(x, KNOWN),),
     "d07_without_chrome": (tidy.without_chrome,), "d20_heading_layout": (tidy.heading_layout,),
     "d23_long_lines": (tidy.long_lines,), "d26_tidy_headings": (tidy.tidy_headings,),
     "d28_chapter_ornaments": (tidy.chapter_ornaments,), "d29_demoted_headings": (tidy.demoted,), "d30_moved_headings": (stitch.moved_headings,), "d33_hidden_numbers": (tidy.hidden_numbers,),
@@ -83,8 +83,8 @@ _below = lambda i, own: L.trim(own[k]) if (k := L.next_said(own, i)) is not None
 for _name, (_of, _kind) in {
     "d09_without_footers": (lambda x, i, own: tidy.without_footers(x + "www.example.org", ["www.example.org"]), "string"), "d12_frame_lines": (lambda x, i, own: tidy.frame_line(x, {"reader notes 1"}), "boolean"),
     "d16_split_numbered_headings": (lambda x, i, own: "|".join(tidy.numbered_heading(x) or ()), "string"), "d22_continued_sentences": (lambda x, i, own: tidy.continues(L.trim(x), _below(i, own)), "boolean"),
-    "d22b_sentence_ends": (lambda x, i, own: L.ends_sentence(x), "boolean"), "d25_citation_lines": (lambda x, i, own: L.citation(x), "boolean"), "d41_suspect_lines": (lambda x, i, own: tidy.suspect(x, KNOWN), "boolean"),
-    "d41b_accepted_lines": (lambda x, i, own: tidy.accepted(x, re.sub(r"\b(\w{2}) (\w{2})\b", r"\1\2", x)), "string"), "d41c_neighbours": (lambda x, i, own: " | ".join([" ".join(own[i - 1].split()[-6:]) if i else "", " ".join(own[i + 1].split()[:6]) if i + 1 < len(own) else ""]) if tidy.suspect(x, KNOWN) else None, "string"),
+    "d22b_sentence_ends": (lambda x, i, own: L.ends_sentence(x), "boolean"), "d25_citation_lines": (lambda x, i, own: L.citation(x), "boolean"),
+    "d41b_accepted_lines": (lambda x, i, own: tidy.accepted(x, re.sub(r"\b(\w{2}) (\w{2})\b", r"\1\2", x)), "string"),
     "c08_image_links": (lambda x, i, own: markup.image_link(x), "string"), "c15_kept_lines": (lambda x, i, own: translation.kept_line(x), "boolean"), "c24_bold_runs": (lambda x, i, own: json.dumps(ask.bold_runs(x)) if "**" in x else None, "string"),
     "s04_unreadable": (lambda x, i, own: len(tidy.UNREADABLE.findall(x)), "int"), "s05_drop_caps": (lambda x, i, own: tidy.cap_pieces(x), "string"), "s07_banners": (lambda x, i, own: tidy.banner(x), "boolean"),
     "s08_heading_echoes": (lambda x, i, own: tidy.echo(x, L.heading(_above(i, own)) or ""), "boolean"), "s08b_wrapped_titles": (lambda x, i, own: tidy.wrapped_title(x, L.heading(_below(i, own)) or ""), "boolean"),
@@ -119,7 +119,6 @@ def _marks(t: str) -> list[stitch.Mark]:
 _outline = "ord int, title string, level int, page int, line int"
 _listed = lambda marks: [(k, m.title, m.level, m.page, m.line) for k, m in enumerate(marks)]
 _add("f05_page_marks", lambda s, d: rows_of(_docs(s, d), lambda t: [(stitch.with_page_marks(t, [p for p in re.split(r"(?<=\.) ", t)[::7]]),)], "text string", "text"))
-_add("f06_claimed_outline", lambda s, d: rows_of(_book(s, d), lambda t: _listed(stitch.claimed([*_marks(t)[::2], stitch.Mark("Neu", 2, 3)], t.split("\n"))[1]), _outline, "text"))
 _add("f07_bookmark_lines", lambda s, d: rows_of(_book(s, d), lambda t: [(m.title, stitch.found(m, t.split("\n"))) for m in _marks(t)], "title string, line int", "text"))
 _add("f14_interpolated", lambda s, d: rows_of(_book(s, d), lambda t: [(i, stitch.interpolated(i, (0, n - 1), (0, 2 * n))) for n in [t.count("\n") + 1] for i in range(0, n, 5)], "line_no int, other int", "text"))
 _add("f20_navigation", lambda s, d: rows_of(_book(s, d), lambda t: [(markup.navigation(h, markup.chapters(own, h, "Book")),) for own in [t.split("\n")] for h in [markup.headings(own)]], "html string", "text"))
@@ -138,7 +137,6 @@ _add("s23_distinctive_lines", lambda s, d: rows_of(_docs(s, d), lambda t: [(stit
 _add("c16_blocks", lambda s, d: rows_of(_book(s, d), lambda t: [(k, b.text, b.prefix, b.body) for k, b in enumerate(translation.blocks(t))], "ord int, translated boolean, prefix string, body string", "text"))
 _add("n01_below", lambda s, d: rows_of(_book(s, d), lambda t: [("\n".join(translation.rendered(b, [x.body.upper() for x in b if x.text])),) for b in [translation.blocks(t)]], "text string", "text"))
 _add("n01b_replaced", lambda s, d: rows_of(_book(s, d), lambda t: [("\n".join(translation.rendered(b, [x.body.upper() for x in b if x.text], below=False)),) for b in [translation.blocks(t)]], "text string", "text"))
-_add("n02_requests", lambda s, d: rows_of(_book(s, d), lambda t: [(k, len(x), sum(map(len, x))) for k, x in enumerate(translation.batches([b.body for b in translation.blocks(t) if b.text]))], "batch int, texts int, chars int", "text"))
 _add("n05_protected_links", lambda s, d: rows_of(_book(s, d), lambda t: [(p, len(links), translation.restored(p, links) == t) for p, links in [translation.protected(t)]], "text string, links int, same boolean", "text"))
 
 # Records.
@@ -173,7 +171,6 @@ _asked = "What about the ention and thing, thing?"
 _add("h07_needles", lambda s, d: rows_of(_docs(s, d), lambda t: [(json.dumps(ask.needles(f'It says "{t[10:30]}" here.', _asked), ensure_ascii=False),)], "needles string", "text"))
 _add("h08_bound_lines", lambda s, d: rows_of(_docs(s, d), lambda t: [(i,) for i in ask.bound(ask.needles(f'"{t[10:30]}"', _asked), t.split("\n"), (0, 3))], "line_no int", "text"))
 _add("h06_tagged_excerpts", lambda s, d: rows_of(_docs(s, d), lambda t: [(ask.excerpt(t.split("\n"), "tion", 2400),)], "excerpt string", "text"))
-_add("c22_chat_batches", lambda s, d: rows_of(_docs(s, d), lambda t: [(k, len(x)) for k, x in enumerate(ask.budgeted(t.split("\n")))], "batch int, texts int", "text"))
 _add("c29_json_replies", lambda s, d: rows_of(_docs(s, d), lambda t: [(json.dumps(ask.json_reply(f"Sure! ```json\n[{json.dumps(t[:30])}, 2]\n``` bye")), json.dumps(ask.json_reply(f'{{"a": {json.dumps(t[:9])}')))], "whole string, mended string", "text"))
 _add("c14_page_sentences", lambda s, d: rows_of(_docs(s, d), lambda t: list(enumerate(ask.page_sentences(t))), "pos int, sentence string", "text"))
 _add("c17_reader_runs", lambda s, d: rows_of(_book(s, d), lambda t: ask.runs(t.split("\n")), "kind string, first int, past int", "text"))

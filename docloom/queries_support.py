@@ -63,7 +63,6 @@ _one("e12_woven_tables", lambda t: "\n".join(grids.woven(_cut(t), [(x[:20], [[["
 
 # Outlines.
 _of("f18_followed_lines", lambda t: [(i, stitch.followed(own, other, i)) for own in [_cut(t)] for other in [_cut(t.replace(". ", ".\n"))] for i in range(0, len(own), 3)], "line_no int, other int")
-_of("f26_relocated_outline", lambda t: _listed(stitch.relocated([*_marks(t)[1::2], stitch.Mark("New")], _cut(t))), _outline)
 _of("s25_heading_and_title_lines", lambda t: [(m.title, stitch.heading_line(m.title, own), stitch.title_line(m.title, own)) for own in [_cut(t)] for m in _marks(t)], "title string, heading int, line int")
 _one("s26_body_starts", lambda t: next((i for i, x in enumerate(_cut(t)) if "<!-- page 1 -->" in x), 0), "int")
 _of("s58_outline_after_ornaments", lambda t: [(m.title, w[m.line] if m.line is not None else None) for own in [_cut(t)] for w in [figures.without_ornaments(own, [(f"figure-{i:03d}.png", 40, 30) for i in range(1, 12)]).where] for m in stitch.stitched(_marks(t), own)[1] if m.line is None or m.line < len(w)], "title string, line int")
@@ -77,7 +76,6 @@ _of("s12_stolen_headings", lambda t: [j for j in [stitch._stolen(_cut(t + "\n##
 _one("s13_tracked_titles", lambda t: tidy.closed_letters(["## Y O U R G I F T"], f"{t} Your gift, YOUR GIFT").lines[0])
 _of("s22_margin_keys", lambda t: [(i, re.sub("[0-9]+", "#", " ".join(x.lower().split())), L.lone_number(x)) for i, x in enumerate(_cut(t)[:2] + _cut(t)[-2:])], "place int, key string, number boolean")
 _one("s48_numbers_removed", lambda t: tidy.reopened(t, (tidy.hidden_numbers,)))
-_of("s49_rejoined_lines", lambda t: [(i, tidy.accepted(x, tidy.rejoined(x, KNOWN))) for i, x in enumerate(_cut(t)) if tidy.suspect(x, KNOWN)], "line_no int, text string")
 
 # Records.
 _of("s27_block_spans", lambda t: [(markup.front_matter(_cut(t)), t.count("\n"))], "past int, newlines int", _front)
