@@ -75,25 +75,74 @@ def bag_difference(rows: DataFrame) -> DataFrame:
     return told.withColumn("n", F.col("have") - F.coalesce(F.try_element_at("less", F.col("word")), F.lit(0))).where("n > 0").select("doc_id", "word", "n")
 
 
-def greedy(passages: DataFrame, budget: int) -> DataFrame:
-    """(doc_id, k) of the passages before the first that takes a document over its budget of characters."""
-    upto = F.sum(F.length("passage")).over(W.partitionBy("doc_id").orderBy("k"))
-    return passages.select("doc_id", "k", upto.alias("upto")).where(F.col("upto") <= budget).select("doc_id", "k")
-
-
-def tagged(cards: DataFrame, tags: list[str], term: str, *, budget: int = 12_000, each: int = 2_400, least: int = 400) -> DataFrame:
-    """(id, title, excerpt) of the cards with all tags whose text holds the term, in order of ids, while the
-    budget has ``least`` left. No more than budget / least cards can have a share, so the first of them are enough."""
+def passages(hits: DataFrame, lines: DataFrame, *, ahead: int = 6, longest: int = 500) -> DataFrame:
+    """(doc_id, line_no, passage): what stands at each hit, ``ahead`` lines at most, to the next heading or until it
+    has over ``longest`` characters; comments and blank lines are passed over. Only those lines are exchanged."""
+    near = hits.select("doc_id", "line_no", F.explode(F.sequence(F.lit(0), F.lit(ahead - 1))).alias("off"))
+    own = lines.select("doc_id", F.col("line_no").alias("at"), "text")
+    rows = near.withColumn("at", F.col("line_no") + F.col("off")).join(own, ["doc_id", "at"]).groupBy("doc_id", "line_no").agg(F.array_sort(F.collect_list(F.struct("off", "text"))).alias("rows"))
+
+    def step(acc, r):  # noqa: ANN001, ANN202
+        t = T.trim(r["text"])
+        grown = F.when((t == "") | F.startswith(t, F.lit("<!--")), acc["said"]).when(acc["said"] == "", r["text"]).otherwise(F.concat_ws("\n", acc["said"], r["text"]))
+        past = acc["past"] | ((r["off"] > 0) & F.startswith(t, F.lit("#")))
+        return F.struct(F.when(past, acc["said"]).otherwise(grown).alias("said"), (past | (~F.startswith(t, F.lit("<!--")) & (F.length(grown) > longest))).alias("past"))
+
+    said = F.aggregate("rows", F.struct(F.lit("").alias("said"), F.lit(False).alias("past")), step)["said"]
+    return rows.select("doc_id", "line_no", said.alias("passage")).where("passage <> ''")
+
+
+def boolean_plan(lines: DataFrame, query: str, *, budget: int = 12_000) -> DataFrame:
+    """(doc_id, hits, excerpt): how many lines of a document answer a boolean query, and the passages at them, in
+    order, before the first that takes the document over its budget of characters."""
+    hits = hit_lines(lines, query)
+    upto = F.sum(F.length("passage")).over(W.partitionBy("doc_id").orderBy("line_no"))
+    kept = passages(hits, lines).withColumn("upto", upto).where(F.col("upto") <= budget)
+    told = kept.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("line_no", "passage"))).alias("a"))
+    out = hits.groupBy("doc_id").agg(F.count("*").alias("hits")).join(told, "doc_id", "left")
+    return out.select("doc_id", "hits", F.coalesce(F.array_join(F.transform("a", lambda x: x["passage"]), "\n\n"), F.lit("")).alias("excerpt"))
+
+
+def excerpts(docs: DataFrame, query: str, *, before: int = 2, after: int = 8, each: int = 2_400) -> DataFrame:
+    """(doc_id, excerpt) of documents that match: the lines round the first that answers, else round the first that
+    holds the query by itself, else the beginning; ``each`` characters at most."""
+    from ..sources import relations as R
+
+    own = docs.select("doc_id", "text")
+    lines = R.lines(own)
+    first = hit_lines(lines, query).groupBy("doc_id").agg(F.min("line_no").alias("hit"))
+    alone = search.matching(lines, query).groupBy("doc_id").agg(F.min("line_no").alias("alone"))
+    at = own.join(first, "doc_id", "left").join(alone, "doc_id", "left").withColumn("at", F.coalesce("hit", "alone"))
+    begin = F.greatest(F.lit(0), F.col("at") - before)
+    part = F.slice(F.split(R.unix_lines(F.col("text")), "\n"), begin + 1, F.col("at") + after - begin)
+    return at.select("doc_id", F.left(F.when(F.col("at").isNull(), F.col("text")).otherwise(F.array_join(part, "\n")), F.lit(each)).alias("excerpt"))
+
+
+def tagged(cards: DataFrame, tags: list[str], query: str, *, budget: int = 12_000, each: int = 2_400, least: int = 400) -> DataFrame:
+    """(id, title, excerpt) of the cards with all tags whose text matches the query, in order of ids, while the
+    budget has ``least`` left; each gives the lines round its first hit.
+
+    Cards are taken in growing numbers until the budget is used, since an excerpt may be short: the driver
+    holds the lengths of excerpts that were looked at, no more of them than the budget has characters.
+    """
     from . import library
 
-    found = library.with_tags(cards, tags).where(search.contains(F.col("text"), term))
-    first = found.select("id", "title", F.left("text", F.lit(each)).alias("excerpt")).orderBy("id").limit(budget // least + budget // each + 1)
-    held = first.agg(F.array_sort(F.collect_list(F.struct("id", "title", "excerpt"))).alias("a"))  # a bounded list
+    found = library.with_tags(search.matching(cards, query), tags)
+    count = budget // least + 1
+    while True:
+        first = found.select("id", "title", "text").orderBy("id").limit(count)
+        cut = excerpts(first.select(F.col("id").alias("doc_id"), "text"), query, each=each).withColumnRenamed("doc_id", "id").where("excerpt <> ''")
+        told = first.select("id", "title").join(cut, "id")
+        looked, used = first.count(), told.agg(F.sum(F.length("excerpt"))).first()[0] or 0
+        if looked < count or budget - used < least or count > budget:
+            break
+        count *= 4
+    held = told.agg(F.array_sort(F.collect_list(F.struct("id", "title", "excerpt"))).alias("a"))  # a bounded list
     zero = F.struct(F.lit(budget).alias("left"), F.array().cast("array<struct<id:bigint,title:string,excerpt:string>>").alias("out"))
 
     def step(acc, c):  # noqa: ANN001, ANN202
-        cut = F.left(c["excerpt"], acc["left"])
-        took = F.struct((acc["left"] - F.length(cut)).alias("left"), F.array_append(acc["out"], F.struct(c["id"].alias("id"), c["title"].alias("title"), cut.alias("excerpt"))).alias("out"))
+        part = F.left(c["excerpt"], acc["left"])
+        took = F.struct((acc["left"] - F.length(part)).alias("left"), F.array_append(acc["out"], F.struct(c["id"].alias("id"), c["title"].alias("title"), part.alias("excerpt"))).alias("out"))
         return F.when(acc["left"] >= least, took).otherwise(acc)
 
     return held.select(F.explode(F.aggregate("a", zero, step)["out"]).alias("c")).select("c.*")

@@ -99,13 +99,18 @@ _add(
     "g11_highlight_ranges", lambda s, d: retrieval.highlight_ranges(_lines(s, d), "the"),
     f"WITH {O.LINES}, w AS (SELECT doc_id, line_no, unnest(range(1, least(7, len(string_split(lower(text), 'the'))))) AS k, string_split(lower(text), 'the') AS parts FROM lines), r AS (SELECT doc_id, line_no, k, length(array_to_string(parts[1:k], 'the'))::INT AS \"at\", row_number() OVER (PARTITION BY doc_id ORDER BY line_no, k) AS n FROM w) SELECT doc_id, line_no, \"at\" FROM r WHERE n <= 200",
 )
+_hits = f"hits AS ({queries.ORACLE_SQL['g05_hit_lines']}), matched AS ({queries.ORACLE_SQL['g04_boolean_search']})"
 _add(
-    "h04_boolean_plan", lambda s, d: retrieval.greedy(_docs(s, d).select("doc_id", F.posexplode(F.split("text", "\n")).alias("k", "passage")).where("passage <> ''"), 2000),
-    f"WITH p AS (SELECT doc_id, unnest(range(len(a))) AS k, unnest(a) AS passage FROM (SELECT doc_id, string_split(text, {NL}) AS a FROM documents)), u AS (SELECT *, sum(length(passage)) OVER (PARTITION BY doc_id ORDER BY k) AS upto FROM p WHERE passage <> '') SELECT doc_id, k::INT AS k FROM u WHERE upto <= 2000",
+    "h04_boolean_plan", lambda s, d: retrieval.boolean_plan(_lines(s, d), queries._QUERY),
+    f"""WITH {O.LINES}, {_hits}, near AS (SELECT h.doc_id, h.line_no, l.line_no - h.line_no AS off, l.text, {O.trim('l.text')} AS t FROM hits h JOIN lines l ON l.doc_id = h.doc_id AND l.line_no BETWEEN h.line_no AND h.line_no + 5),
+    cut AS (SELECT *, min(CASE WHEN off > 0 AND starts_with(t, '#') THEN off END) OVER (PARTITION BY doc_id, line_no) AS head FROM near), own AS (SELECT * FROM cut WHERE off < coalesce(head, 9) AND t <> '' AND NOT starts_with(t, '<!--')), sized AS (SELECT *, coalesce(sum(length(text) + 1) OVER (PARTITION BY doc_id, line_no ORDER BY off ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) - 1 AS before FROM own),
+    said AS (SELECT doc_id, line_no, string_agg(text, {NL} ORDER BY off) AS p FROM sized WHERE before <= 500 GROUP BY 1, 2), kept AS (SELECT *, sum(length(p)) OVER (PARTITION BY doc_id ORDER BY line_no) AS upto FROM said), told AS (SELECT doc_id, string_agg(p, {NL} || {NL} ORDER BY line_no) AS excerpt FROM kept WHERE upto <= 12000 GROUP BY 1)
+    SELECT h.doc_id, h.hits, coalesce(excerpt, '') AS excerpt FROM (SELECT doc_id, count(*) AS hits FROM hits GROUP BY 1) h LEFT JOIN told USING (doc_id)""",
 )
 _add(
-    "h05_tagged_excerpts", lambda s, d: retrieval.tagged(R.cards(_docs(s, d)).join(_docs(s, d).select(F.col("doc_id").alias("id"), "text"), "id"), ["en"], "thing").select("id", F.length("excerpt").alias("n")),
-    "WITH RECURSIVE m AS (SELECT doc_id AS id, length(text) AS size, row_number() OVER (ORDER BY doc_id) AS r FROM documents WHERE lang = 'en' AND contains(lower(text), 'thing')), w AS (SELECT id, r, least(size, 2400) AS n, 12000 - least(size, 2400) AS leftover FROM m WHERE r = 1 UNION ALL SELECT m.id, m.r, least(size, 2400, leftover), leftover - least(size, 2400, leftover) FROM w JOIN m ON m.r = w.r + 1 WHERE leftover >= 400) SELECT id, n::INT AS n FROM w",
+    "h05_tagged_excerpts", lambda s, d: retrieval.tagged(R.cards(_docs(s, d)).join(_docs(s, d).select(F.col("doc_id").alias("id"), "text"), "id"), ["en"], queries._QUERY).select("id", "excerpt"),
+    f"""WITH RECURSIVE {O.LINES}, {_hits}, f AS (SELECT doc_id, min(line_no) AS i FROM hits GROUP BY 1), e AS (SELECT d.doc_id AS id, substr(CASE WHEN i IS NULL THEN d.text ELSE array_to_string(string_split(d.text, {NL})[greatest(0, i - 2) + 1 : i + 8], {NL}) END, 1, 2400) AS x FROM documents d JOIN matched m ON m.doc_id = d.doc_id LEFT JOIN f ON f.doc_id = d.doc_id WHERE lang = 'en'),
+    m AS (SELECT *, row_number() OVER (ORDER BY id) AS r FROM e WHERE x <> ''), w AS (SELECT id, r, x AS excerpt, 12000 - length(x) AS leftover FROM m WHERE r = 1 UNION ALL SELECT m.id, m.r, substr(m.x, 1, leftover), leftover - length(substr(m.x, 1, leftover)) FROM w JOIN m ON m.r = w.r + 1 WHERE leftover >= 400) SELECT id, excerpt FROM w""",
 )
 _add("h10_page_history", lambda s, d: R.table(s, d, "events").groupBy(F.col("event_type").alias("q")).agg(F.max(F.struct("ts", "event_id")).alias("at")).orderBy(F.desc("at")).limit(20).select("q", "at.event_id"), "SELECT event_type AS q, arg_max(event_id, (ts, event_id)) AS event_id FROM events GROUP BY 1 ORDER BY max(ts) DESC LIMIT 20")
 
