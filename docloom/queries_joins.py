@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import oracle as O
-from .operators import budgets, claims, lexicon, matching, outline, scan, stitching
+from .operators import budgets, claims, following, lexicon, matching, outline, scan, stitching
 from .queries_passes import BOOK, _book
 from .sources import relations as R
 
@@ -134,3 +134,16 @@ _add(
     f"WITH {BOOKS}, {_lex}, {_sus}, wd AS (SELECT doc_id, line_no, list_filter(string_split_regex(text, '[\\s\\p{{Z}}]+'), lambda w: w <> '') AS w FROM probe) SELECT su.doc_id, su.line_no, coalesce(array_to_string(a.w[-6:], ' '), '') AS before, coalesce(array_to_string(b.w[:6], ' '), '') AS after FROM su LEFT JOIN wd a ON a.doc_id = su.doc_id AND a.line_no = su.line_no - 1 LEFT JOIN wd b ON b.doc_id = su.doc_id AND b.line_no = su.line_no + 1",
 )
 _add("s49_rejoined_lines", lambda s, d: (lambda p: (lambda w: lexicon.rejoined(p, w).join(lexicon.suspects(p, w), ["doc_id", "line_no"], "left_semi").select("doc_id", "line_no", "text"))(lexicon.lexicon(p)))(_pages(s, d)))
+
+
+# A text followed in its pair: the same book, cut into other lines.
+def _pair(s: SparkSession, d: str) -> DataFrame:
+    return R.lines(_book(s, d).withColumn("text", F.replace("text", F.lit(". "), F.lit(".\n"))))
+
+
+_add("f18_followed_lines", lambda s, d: following.followed(_pages(s, d), _pair(s, d)))
+_size = lambda df, name: df.groupBy("doc_id").agg((F.max("line_no") + 1).alias(name))
+_add(
+    "f14_interpolated", lambda s, d: _pages(s, d).select("doc_id", "line_no").join(_size(_pages(s, d), "n"), "doc_id").join(_size(_pair(s, d), "m"), "doc_id").select("doc_id", "line_no", following.interpolated(F.col("line_no"), F.lit(0), F.col("n"), F.lit(0), F.col("m")).alias("other")),
+    f"WITH {BOOKS}, n AS (SELECT doc_id, len(string_split(text, chr(10))) AS n, len(string_split(replace(text, '. ', '.' || chr(10)), chr(10))) AS m FROM b) SELECT doc_id, line_no, floor(m * (line_no::DOUBLE / n))::INT AS other FROM probe JOIN n USING (doc_id)",
+)

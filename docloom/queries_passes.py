@@ -120,7 +120,6 @@ _outline = "ord int, title string, level int, page int, line int"
 _listed = lambda marks: [(k, m.title, m.level, m.page, m.line) for k, m in enumerate(marks)]
 _add("f05_page_marks", lambda s, d: rows_of(_docs(s, d), lambda t: [(stitch.with_page_marks(t, [p for p in re.split(r"(?<=\.) ", t)[::7]]),)], "text string", "text"))
 _add("f07_bookmark_lines", lambda s, d: rows_of(_book(s, d), lambda t: [(m.title, stitch.found(m, t.split("\n"))) for m in _marks(t)], "title string, line int", "text"))
-_add("f14_interpolated", lambda s, d: rows_of(_book(s, d), lambda t: [(i, stitch.interpolated(i, (0, n - 1), (0, 2 * n))) for n in [t.count("\n") + 1] for i in range(0, n, 5)], "line_no int, other int", "text"))
 _add("f20_navigation", lambda s, d: rows_of(_book(s, d), lambda t: [(markup.navigation(h, markup.chapters(own, h, "Book")),) for own in [t.split("\n")] for h in [markup.headings(own)]], "html string", "text"))
 _add("f22_export_headings", lambda s, d: rows_of(_book(s, d), lambda t: [(h.line, h.level, h.title, h.anchor) for h in markup.headings(t.split("\n"))], "line_no int, level int, title string, anchor string", "text"))
 _add("f24_page_files", lambda s, d: rows_of(_book(s, d), lambda t: sorted(markup.page_files(own, markup.chapters(own, markup.headings(own), "Book")).items()) if (own := t.split("\n")) else [], "page int, file string", "text"))

@@ -62,7 +62,6 @@ _one("b11_clip_notes", lambda t: ask.note("Notes", [ask.clip(p, "C", "Book", "3"
 _one("e12_woven_tables", lambda t: "\n".join(grids.woven(_cut(t), [(x[:20], [[["a", "b"], ["c", "d"]]]) for x in _cut(t)[:3]])), source=_docs)
 
 # Outlines.
-_of("f18_followed_lines", lambda t: [(i, stitch.followed(own, other, i)) for own in [_cut(t)] for other in [_cut(t.replace(". ", ".\n"))] for i in range(0, len(own), 3)], "line_no int, other int")
 _of("s25_heading_and_title_lines", lambda t: [(m.title, stitch.heading_line(m.title, own), stitch.title_line(m.title, own)) for own in [_cut(t)] for m in _marks(t)], "title string, heading int, line int")
 _one("s26_body_starts", lambda t: next((i for i, x in enumerate(_cut(t)) if "<!-- page 1 -->" in x), 0), "int")
 _of("s58_outline_after_ornaments", lambda t: [(m.title, w[m.line] if m.line is not None else None) for own in [_cut(t)] for w in [figures.without_ornaments(own, [(f"figure-{i:03d}.png", 40, 30) for i in range(1, 12)]).where] for m in stitch.stitched(_marks(t), own)[1] if m.line is None or m.line < len(w)], "title string, line int")
