@@ -11,6 +11,7 @@ from . import oracle as O
 from . import queries, queries_reading
 from .functions import text as T
 from .operators import cleanup, library, outline, records, retrieval, shelf
+from .passes.spark import rows_of
 from .plans import search
 from .sources import relations as R
 from .streaming import changes as C
@@ -89,9 +90,32 @@ _add("k09_capped_headings", lambda s, d: outline.headings(_probe(s, d), 2), f"WI
 # The search language: its terms, and whole texts in place of paragraphs.
 ASKED = ["a b", "a OR b c", '"a b" -c', "(a OR b) NOT c", "a and b", "a AND", "a)", '""', "(a OR b", "low-speed", "-(a)", "NOT"]
 _terms = ["a|b", "a|b|c", "a b", "a|b", "a|and|b", "a", "a)", '""', "a|b", "low-speed", "-|a", "NOT"]
-_add("g06_highlight_terms", lambda s, d: s.createDataFrame([(q, "|".join(search.highlights(search.parse(q)))) for q in ASKED], "query string, terms string"), "SELECT * FROM (VALUES " + ", ".join(f"({O.q(a)}, {O.q(b)})" for a, b in zip(ASKED, _terms, strict=True)) + ") AS t(query, terms)")
 _operators = [False, True, True, True, False, True, False, False, True, False, False, True]
-_add("g07_has_operators", lambda s, d: s.createDataFrame([(q, search.has_operators(q)) for q in ASKED], "query string, has boolean"), "SELECT * FROM (VALUES " + ", ".join(f"({O.q(q)}, {str(x).lower()})" for q, x in zip(ASKED, _operators, strict=True)) + ") AS t(query, has)")
+
+
+def _asked(s: SparkSession, d: str) -> DataFrame:
+    """(item_id, query): a search for each text of the table, in one of the forms above, with the text's own words."""
+    said = F.regexp_extract_all("text", F.lit("[a-z]{4,}"), F.lit(0))
+    own = R.table(s, d, "benchmark").select("item_id", F.get(F.array(*map(F.lit, ASKED)), (F.col("item_id") % len(ASKED)).cast("int")).alias("query"), said.alias("w")).where("size(w) >= 3")
+    for k, letter in enumerate("abc"):
+        own = own.withColumn("query", F.regexp_replace("query", rf"\b{letter}\b", F.get("w", F.lit(k))))
+    return own.select("item_id", "query")
+
+
+def asked_sql(answers: list, name: str) -> str:
+    """The same searches, and the answers to their forms with the same words."""
+    put = lambda x: f"regexp_replace(regexp_replace(regexp_replace({x}, '\\ba\\b', w[1], 'g'), '\\bb\\b', w[2], 'g'), '\\bc\\b', w[3], 'g')"
+    of = lambda rows: "[" + ", ".join(O.q(x) if isinstance(x, str) else str(x).lower() for x in rows) + f"][item_id % {len(ASKED)} + 1]"
+    told = put(of(answers)) if isinstance(answers[0], str) else of(answers)
+    return f"SELECT item_id, {put(of(ASKED))} AS query, {told} AS {name} FROM (SELECT item_id, regexp_extract_all(text, '[a-z]{{4,}}') AS w FROM benchmark) WHERE len(w) >= 3"
+
+
+def parsed(name: str, kind: str, of: Callable[[str], object]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda s, d: rows_of(_asked(s, d).withColumn("asked", F.col("query")), lambda q: [(q, of(q))], f"query string, {name} {kind}", "asked", key="item_id")
+
+
+_add("g06_highlight_terms", parsed("terms", "string", lambda q: "|".join(search.highlights(search.parse(q)))), asked_sql(_terms, "terms"))
+_add("g07_has_operators", parsed("has", "boolean", search.has_operators), asked_sql(_operators, "has"))
 _has = lambda x, t: f"contains(lower(strip_accents({x})), '{t}')"
 _add("g03_evaluated", lambda s, d: _docs(s, d).select("doc_id", search.compiled(search.parse("(thing OR elle) NOT idiot the"), F.col("text")).alias("holds")), f"SELECT doc_id, ({_has('text', 'thing')} OR {_has('text', 'elle')}) AND NOT {_has('text', 'idiot')} AND {_has('text', 'the')} AS holds FROM documents")
 _add("g09_found_cards", lambda s, d: search.matching(_docs(s, d).select("doc_id", R.decoded(R.bounded(F.encode("text", "UTF-8"))).alias("text")), "Élle").select(F.col("doc_id").alias("id")), f"SELECT doc_id AS id FROM documents WHERE octet_length(encode(text)) > 8 AND {_has('text', 'elle')}")

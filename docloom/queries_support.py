@@ -14,13 +14,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import oracle as O
 from .passes import ask, figures, grids, markup, metadata, stitch, tidy, translation
 from .passes import lines as L
 from .passes.spark import rows_of
 from .plans import search
 from .queries_passes import KNOWN, _book, _docs, _front, _listed, _marks, _outline
-from .queries_shelf import ASKED
+from .queries_shelf import asked_sql, parsed
 from .sources import office
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,11 +46,10 @@ def _tree(n: search.Node | None) -> str:
     return "" if n is None else n.text if n.kind == "term" else f"({n.kind} {' '.join(map(_tree, n.parts))})"
 
 
-_values = lambda right, name: "SELECT * FROM (VALUES " + ", ".join(f"({O.q(a)}, {O.q(b)})" for a, b in zip(ASKED, right, strict=True)) + f") AS t(query, {name})"
-QUERIES["g01_tokens"] = lambda s, d: s.createDataFrame([(q, " ".join(v if k == "term" else k for k, v in search._tokens(q))) for q in ASKED], "query string, tokens string")
-ORACLE_SQL["g01_tokens"] = _values(_tokens, "tokens")
-QUERIES["g02_trees"] = lambda s, d: s.createDataFrame([(q, _tree(search.parse(q))) for q in ASKED], "query string, tree string")
-ORACLE_SQL["g02_trees"] = _values(_trees, "tree")
+QUERIES["g01_tokens"] = parsed("tokens", "string", lambda q: " ".join(v if k == "term" else k for k, v in search._tokens(q)))
+ORACLE_SQL["g01_tokens"] = asked_sql(_tokens, "tokens")
+QUERIES["g02_trees"] = parsed("tree", "string", lambda q: _tree(search.parse(q)))
+ORACLE_SQL["g02_trees"] = asked_sql(_trees, "tree")
 
 # Sources.
 _one("a17_first_engine", lambda t: next((x for x in (office.document_text(t.encode()), office.member(t.encode(), "a"), t[:50]) if x), None), source=_docs)
