@@ -185,6 +185,12 @@ DANGLING = ["and", "or", "the", "of", "a", "an", "as", "to", "for", "which", "wh
 _CITE = r"(?:[1-3]\s+)?[A-Za-z][A-Za-z'’]*(?:\s+[A-Za-z][A-Za-z'’]*){0,3}\s+\d{1,3}\s*:\s*\d{1,3}(?:\s*[–—-]\s*\d{1,3})?"
 
 
+def citation(t: Column) -> Column:
+    """Whether a trimmed line, or the title that it is, has citations of a chapter and verse alone."""
+    bare = F.btrim(F.coalesce(T.heading_text(t), t), F.lit("()[]“”\"'."))
+    return F.length(bare).between(3, 80) & bare.rlike(rf"^{_CITE}(?:\s*;\s*{_CITE})*$")
+
+
 def short_title(t: Column) -> Column:
     """Whether a trimmed line is a heading or could be one."""
     plain = (t != "") & ~T.roman(t) & ~t.rlike(r"^(<!--|!\[|\||•|- |\* )") & (F.length(t) <= 60) & ~t.rlike("[.!?]$") & F.size(T.title_words(t)).between(1, 10)
@@ -217,10 +223,8 @@ def subheadings(lines: DataFrame, *, chunk: int = CHUNK) -> DataFrame:
     t = F.col("t")
     told = lines.select("doc_id", "line_no", T.trim(F.col("text")).alias("t"))
     marks = F.length(F.regexp_extract(t, "^(#{1,6}) ", 1))
-    bare = F.regexp_replace(F.coalesce(T.heading_text(t), t), r"^[()\[\]“”\"'.]+|[()\[\]“”\"'.]+$", "")
-    citation = F.length(bare).between(3, 80) & bare.rlike(rf"^{_CITE}(?:\s*;\s*{_CITE})*$")
     form = t.rlike(r"^\p{Lu}") & ~ends_sentence(t) & ~t.rlike("[,;:]$") & F.length(t).between(8, 80) & F.size(F.filter(F.split(t, r"[\s\x{85}\p{Z}]+"), lambda w: w != "")).between(2, 14)
-    told = told.select("doc_id", "line_no", (t != "").alias("said"), marks.alias("level"), (ends_sentence(t) | t.rlike("^<!--")).alias("told"), ((marks == 0) & form & ~citation & ~T.contents_line(t) & ~t.rlike(r"^(<!--|!\[|\||>|- |\* |•)")).alias("form"), t.rlike(r"^\p{Lu}").alias("capital"), F.substring(t, 1, 80).alias("t"))
+    told = told.select("doc_id", "line_no", (t != "").alias("said"), marks.alias("level"), (ends_sentence(t) | t.rlike("^<!--")).alias("told"), ((marks == 0) & form & ~citation(t) & ~T.contents_line(t) & ~t.rlike(r"^(<!--|!\[|\||>|- |\* |•)")).alias("form"), t.rlike(r"^\p{Lu}").alias("capital"), F.substring(t, 1, 80).alias("t"))
     told = with_free(told.withColumn("t", F.when(F.col("form"), F.col("t"))), lines, chunk)
     near = nearest(told, {"next": F.when(F.col("said"), F.col("capital"))}, chunk=chunk)
     near = near.withColumn("form", F.col("form") & F.col("free") & F.coalesce("next", F.lit(False)))

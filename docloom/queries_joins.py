@@ -5,11 +5,12 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import oracle as O
-from .operators import budgets, claims, following, lexicon, matching, outline, scan, stitching
+from .functions import text as T
+from .operators import budgets, claims, following, lexicon, matching, outline, scan, stitching, tracking
 from .queries_passes import BOOK, _book
 from .sources import relations as R
 
@@ -147,3 +148,36 @@ _add(
     "f14_interpolated", lambda s, d: _pages(s, d).select("doc_id", "line_no").join(_size(_pages(s, d), "n"), "doc_id").join(_size(_pair(s, d), "m"), "doc_id").select("doc_id", "line_no", following.interpolated(F.col("line_no"), F.lit(0), F.col("n"), F.lit(0), F.col("m")).alias("other")),
     f"WITH {BOOKS}, n AS (SELECT doc_id, len(string_split(text, chr(10))) AS n, len(string_split(replace(text, '. ', '.' || chr(10)), chr(10))) AS m FROM b) SELECT doc_id, line_no, floor(m * (line_no::DOUBLE / n))::INT AS other FROM probe JOIN n USING (doc_id)",
 )
+
+
+# Letter-spaced titles: each book begins with its own first words so set; its text is the source.
+def _spaced(s: SparkSession, d: str) -> DataFrame:
+    first = F.regexp_replace(F.upper(F.substring("text", 1, 40)), r"[^\p{L}\p{N}]", "")
+    return R.lines(_docs(s, d).select("doc_id", F.concat(F.lit("## "), F.array_join(F.split(first, ""), " "), F.lit("\n"), "text").alias("text")))
+
+
+_add("s13_tracked_titles", lambda s, d: tracking.tracked_titles(_spaced(s, d)))
+_add("d31_closed_letters", lambda s, d: tracking.closed_letters(_spaced(s, d), _docs(s, d)))
+
+
+# Rules on one line.
+def _rule(name: str, value: Callable[[Column], Column], sql: str) -> None:
+    """(doc_id, line_no, value) of the lines of the books for which a rule says something."""
+    _add(name, lambda s, d: _pages(s, d).select("doc_id", "line_no", value(T.trim(F.col("text"))).alias("value")).where("value is not null"), f"WITH {BOOKS}, v AS (SELECT doc_id, line_no, {sql} AS value FROM probe) SELECT * FROM v WHERE value IS NOT NULL")
+
+
+_st = O.trim("text")
+_true = lambda c: F.when(c, F.lit(True))
+_yes = lambda x: f"CASE WHEN {x} THEN true END"
+_verse = r"(?:[1-3]\s+)?[A-Za-z][A-Za-z'’]*(?:\s+[A-Za-z][A-Za-z'’]*){0,3}\s+[0-9]{1,3}\s*:\s*[0-9]{1,3}(?:\s*[-–—]\s*[0-9]{1,3})?"
+_name = f"trim(coalesce(({O.heading_text('text')}), {_st}), '()[]“”\"''.')"
+_rule("d22b_sentence_ends", lambda t: _true(scan.ends_sentence(t)), _yes(O.has(_st, "[.!?…][\"”’')\\]}»]*$")))
+_rule("d25_citation_lines", lambda t: _true(scan.citation(t)), _yes(f"length({_name}) BETWEEN 3 AND 80 AND {O.has(_name, f'^{_verse}(?:' + chr(92) + 's*;' + chr(92) + f's*{_verse})*$')}"))
+_rule("s07_banners", lambda t: _true(F.startswith(t, F.lit(">")) & F.contains("text", F.lit("bookmarks taken from the PDF"))), _yes(f"starts_with({_st}, '>') AND contains(text, 'bookmarks taken from the PDF')"))
+_rule("s11_short_titles", lambda t: _true(scan.short_title(t)), _yes(f"({O.heading_text('text')}) IS NOT NULL OR ({_st} <> '' AND NOT {O.roman('text')} AND NOT {O.has(_st, '^(<!--|!' + chr(92) + '[|' + chr(92) + '||•|- |[*] )')} AND length({_st}) <= 60 AND NOT {O.has(_st, '[.!?]$')} AND len({O.title_words('text')}) BETWEEN 1 AND 10)"))
+_rule("s15_levels", lambda t: F.when(t.rlike("^#{1,6} "), F.length(F.regexp_extract(t, "^(#+)", 1))), f"CASE WHEN {O.has(_st, '^#{1,6} ')} THEN length({O.ext(_st, '^(#+)')})::INT END")
+_rule("s16_fences", lambda t: _true(scan.is_fence(t)), _yes(f"substr({_st}, 1, 3) IN ('```', '~~~')"))
+_rule("s34_rules", lambda t: _true(F.replace(t, F.lit(" "), F.lit("")).rlike(r"^(-{3,}|\*{3,}|_{3,})$")), _yes(f"length(replace({_st}, ' ', '')) >= 3 AND translate(replace({_st}, ' ', ''), substr({_st}, 1, 1), '') = '' AND substr({_st}, 1, 1) IN ('-', '*', '_')"))
+_rule("c15_kept_lines", lambda t: _true(t.rlike(r"^(<!--|!\[|\||---|\*\*\*)") | F.contains(t, F.lit("](figures/")) | F.contains(t, F.lit("](./figures/"))), _yes(f"starts_with({_st}, '<!--') OR starts_with({_st}, '![') OR starts_with({_st}, '|') OR substr({_st}, 1, 3) IN ('---', '***') OR contains({_st}, '](figures/') OR contains({_st}, '](./figures/')"))
+_rule("s21_letters", lambda t: F.when(F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}]", "") != "", F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}]", "")), f"nullif({O.sub('lower(text)', '[^' + chr(92) + 'p{L}' + chr(92) + 'p{N}]')}, '')")
+_rule("s04_unreadable", lambda t: F.when(F.regexp_count("text", F.lit(T.UNREADABLE)) > 0, F.regexp_count("text", F.lit(T.UNREADABLE))), f"nullif(len(regexp_extract_all(text, {O.q(O.UNREADABLE)})), 0)::INT")

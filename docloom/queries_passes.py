@@ -55,7 +55,7 @@ for _name, _passes in {
     "d07_without_chrome": (tidy.without_chrome,), "d20_heading_layout": (tidy.heading_layout,),
     "d23_long_lines": (tidy.long_lines,), "d26_tidy_headings": (tidy.tidy_headings,),
     "d28_chapter_ornaments": (tidy.chapter_ornaments,), "d29_demoted_headings": (tidy.demoted,), "d30_moved_headings": (stitch.moved_headings,), "d33_hidden_numbers": (tidy.hidden_numbers,),
-    "d31_closed_letters": (lambda x: tidy.closed_letters(x, "It was YOUR GIFT. So your gift"),), "e01_compacted_tables": (grids.compacted,), "e05_lifted_prose": (lambda x: L.Rewrite(grids.lifted(x), list(range(len(x)))),),
+    "e01_compacted_tables": (grids.compacted,), "e05_lifted_prose": (lambda x: L.Rewrite(grids.lifted(x), list(range(len(x)))),),
     "d40_without_ornaments": (lambda x: figures.without_ornaments(x, [(f"figure-{i:03d}.png", 40 + i % 3, 30) for i in range(1, 15)]),),
 }.items():
     _add(_name, lambda s, d, passes=_passes: rewritten(_book(s, d), *passes))
@@ -83,16 +83,16 @@ _below = lambda i, own: L.trim(own[k]) if (k := L.next_said(own, i)) is not None
 for _name, (_of, _kind) in {
     "d09_without_footers": (lambda x, i, own: tidy.without_footers(x + "www.example.org", ["www.example.org"]), "string"), "d12_frame_lines": (lambda x, i, own: tidy.frame_line(x, {"reader notes 1"}), "boolean"),
     "d16_split_numbered_headings": (lambda x, i, own: "|".join(tidy.numbered_heading(x) or ()), "string"), "d22_continued_sentences": (lambda x, i, own: tidy.continues(L.trim(x), _below(i, own)), "boolean"),
-    "d22b_sentence_ends": (lambda x, i, own: L.ends_sentence(x), "boolean"), "d25_citation_lines": (lambda x, i, own: L.citation(x), "boolean"),
+   
     "d41b_accepted_lines": (lambda x, i, own: tidy.accepted(x, re.sub(r"\b(\w{2}) (\w{2})\b", r"\1\2", x)), "string"),
-    "c08_image_links": (lambda x, i, own: markup.image_link(x), "string"), "c15_kept_lines": (lambda x, i, own: translation.kept_line(x), "boolean"), "c24_bold_runs": (lambda x, i, own: json.dumps(ask.bold_runs(x)) if "**" in x else None, "string"),
-    "s04_unreadable": (lambda x, i, own: len(tidy.UNREADABLE.findall(x)), "int"), "s05_drop_caps": (lambda x, i, own: tidy.cap_pieces(x), "string"), "s07_banners": (lambda x, i, own: tidy.banner(x), "boolean"),
+    "c08_image_links": (lambda x, i, own: markup.image_link(x), "string"), "c24_bold_runs": (lambda x, i, own: json.dumps(ask.bold_runs(x)) if "**" in x else None, "string"),
+    "s05_drop_caps": (lambda x, i, own: tidy.cap_pieces(x), "string"),
     "s08_heading_echoes": (lambda x, i, own: tidy.echo(x, L.heading(_above(i, own)) or ""), "boolean"), "s08b_wrapped_titles": (lambda x, i, own: tidy.wrapped_title(x, L.heading(_below(i, own)) or ""), "boolean"),
-    "s09_mark_counts": (lambda x, i, own: L.marks(x) * 10 + min(6, max(2, L.marks(x))), "int"), "s10_neighbour_lines": (lambda x, i, own: f"{_above(i, own)}|{_below(i, own)}", "string"), "s11_short_titles": (lambda x, i, own: L.short_title(x), "boolean"),
-    "s14_prose_lines": (lambda x, i, own: tidy.prose(x), "boolean"), "s14b_cuts": (lambda x, i, own: tidy.cut(x, 68, 98) if len(x) > 98 else None, "int"), "s15_levels": (lambda x, i, own: L.level(x), "int"),
-    "s16_fences": (lambda x, i, own: L.is_fence(x), "boolean"), "s16b_broken_words": (lambda x, i, own: i + 1 < len(own) and tidy.broken(x, own[i + 1]), "boolean"), "s17_page_headings": (lambda x, i, own: L.page_heading(x), "string"),
-    "s18_cut_ends": (lambda x, i, own: grids.goes_on(x) * 2 + grids.ended(x), "int"), "s20_separators": (lambda x, i, own: grids.separator(x) if "|" in x else None, "boolean"), "s21_letters": (lambda x, i, own: tidy.bare(x), "string"),
-    "s34_rules": (lambda x, i, own: markup.rule(x), "boolean"), "s35_destinations": (lambda x, i, own: markup.safe_path(markup.destination(m[1])) if (m := re.search(r"\]\(([^)]*)\)", x)) else None, "string"),
+    "s09_mark_counts": (lambda x, i, own: L.marks(x) * 10 + min(6, max(2, L.marks(x))), "int"), "s10_neighbour_lines": (lambda x, i, own: f"{_above(i, own)}|{_below(i, own)}", "string"),
+    "s14_prose_lines": (lambda x, i, own: tidy.prose(x), "boolean"), "s14b_cuts": (lambda x, i, own: tidy.cut(x, 68, 98) if len(x) > 98 else None, "int"),
+    "s16b_broken_words": (lambda x, i, own: i + 1 < len(own) and tidy.broken(x, own[i + 1]), "boolean"), "s17_page_headings": (lambda x, i, own: L.page_heading(x), "string"),
+    "s18_cut_ends": (lambda x, i, own: grids.goes_on(x) * 2 + grids.ended(x), "int"), "s20_separators": (lambda x, i, own: grids.separator(x) if "|" in x else None, "boolean"),
+    "s35_destinations": (lambda x, i, own: markup.safe_path(markup.destination(m[1])) if (m := re.search(r"\]\(([^)]*)\)", x)) else None, "string"),
     "s41_figure_numbers": (lambda x, i, own: figures.figure_number(figures.linked_name(x) or ""), "int"), "m20_inline": (lambda x, i, own: markup.inline(x, lambda p: f"images/{p}"), "string"),
     "g16_reader_breaks": (lambda x, i, own: ask.reader_break(x), "boolean"),
 }.items():

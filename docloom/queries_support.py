@@ -70,7 +70,6 @@ _one("s01_page_loop", lambda t: tidy.tidied(t, tidy.pages_of(t), most=3))
 _of("s02_cleaned_lines", lambda t: [(i, x.strip()) for i, x in enumerate(re.split("\r\n|\r|\n", t)) if x.strip() and not tidy.frame_line(x)], "line_no int, text string")
 _of("s06_remembered_titles", lambda t: [(i, L.folded(h), L.core(L.folded(h))) for i, x in enumerate(_cut(t)) if (h := L.heading(x))], "line_no int, folded string, core string")
 _of("s12_stolen_headings", lambda t: [j for j in [stitch._stolen(_cut(t + "\n## One\n# Two\n\n## One\nb\nc\nd\ne\nf\n# Two\ng"))] if j], "source int, target int")
-_one("s13_tracked_titles", lambda t: tidy.closed_letters(["## Y O U R G I F T"], f"{t} Your gift, YOUR GIFT").lines[0])
 _of("s22_margin_keys", lambda t: [(i, re.sub("[0-9]+", "#", " ".join(x.lower().split())), L.lone_number(x)) for i, x in enumerate(_cut(t)[:2] + _cut(t)[-2:])], "place int, key string, number boolean")
 _one("s48_numbers_removed", lambda t: tidy.reopened(t, (tidy.hidden_numbers,)))
 

@@ -6,7 +6,7 @@ from collections import Counter
 
 import pytest
 
-from docloom.operators import budgets, claims, lexicon, scan
+from docloom.operators import budgets, claims, lexicon, scan, tracking
 from docloom.passes import ask, tidy, translation
 from docloom.passes import lines as L
 from docloom.sources import relations as R
@@ -99,3 +99,26 @@ def test_split_words(spark):
     for (i, k), (before, after) in near.items():
         own = texts[i].split("\n")
         assert before == (" ".join(own[k - 1].split()[-6:]) if k else "") and after == (" ".join(own[k + 1].split()[:6]) if k + 1 < len(own) else "")
+
+
+def test_letter_spaced_titles(spark):
+    rng = random.Random(8)
+    words = ["your", "gift", "Your", "GIFT", "of", "the", "12", "day", "“Day”", "it’s", "é"]
+    sources, books = [], []
+    for _ in range(150):
+        said = [rng.choice(words) for _ in range(rng.randrange(2, 40))]
+        sources.append("".join(w + rng.choice([" ", "\n", ", ", "  ", "-", ""]) for w in said))
+        titles = []
+        for _ in range(3):
+            k = rng.randrange(len(said))
+            letters = "".join(c for w in said[k : k + rng.randrange(1, 5)] for c in w if c.isalnum())
+            titles.append(rng.choice(["## ", "", "  ", "> ", "#"]) + " ".join(rng.choice([letters, letters.upper(), "NOT THERE"])))
+        books.append("\n".join([*titles, "plain", "```", "Y O U R G I F T", "```"]))
+    lines = R.lines(spark.createDataFrame(list(enumerate(books)), "doc_id long, text string"))
+    edits = tracking.closed_letters(lines, spark.createDataFrame(list(enumerate(sources)), "doc_id long, text string"))
+    got = {(r.doc_id, r.line_no): r.text for r in edits.collect()}
+    want = {}
+    for i, (book, source) in enumerate(zip(books, sources, strict=True)):
+        own = book.split("\n")
+        want |= {(i, k): new for k, (old, new) in enumerate(zip(own, tidy.closed_letters(own, source).lines, strict=True)) if new != old}
+    assert got == want and len(got) > 60
