@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from . import oracle as O
 from .functions import text as T
-from .operators import budgets, claims, following, lexicon, matching, outline, scan, stitching, tracking
+from .operators import budgets, claims, following, lexicon, matching, ornaments, outline, scan, stitching, tracking
 from .queries_passes import BOOK, _book
 from .sources import relations as R
 
@@ -181,3 +181,13 @@ _rule("s34_rules", lambda t: _true(F.replace(t, F.lit(" "), F.lit("")).rlike(r"^
 _rule("c15_kept_lines", lambda t: _true(t.rlike(r"^(<!--|!\[|\||---|\*\*\*)") | F.contains(t, F.lit("](figures/")) | F.contains(t, F.lit("](./figures/"))), _yes(f"starts_with({_st}, '<!--') OR starts_with({_st}, '![') OR starts_with({_st}, '|') OR substr({_st}, 1, 3) IN ('---', '***') OR contains({_st}, '](figures/') OR contains({_st}, '](./figures/')"))
 _rule("s21_letters", lambda t: F.when(F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}]", "") != "", F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}]", "")), f"nullif({O.sub('lower(text)', '[^' + chr(92) + 'p{L}' + chr(92) + 'p{N}]')}, '')")
 _rule("s04_unreadable", lambda t: F.when(F.regexp_count("text", F.lit(T.UNREADABLE)) > 0, F.regexp_count("text", F.lit(T.UNREADABLE))), f"nullif(len(regexp_extract_all(text, {O.q(O.UNREADABLE)})), 0)::INT")
+
+
+# Ornaments: each book has fourteen pictures, of sizes that its number sets.
+def _pictures(s: SparkSession, d: str) -> DataFrame:
+    own = _docs(s, d).where("text is not null").select("doc_id", F.explode(F.sequence(F.lit(1), F.lit(14))).alias("i"))
+    return own.select("doc_id", F.format_string("figure-%03d.png", "i").alias("name"), F.expr("cast(40 + doc_id * i % 13 as int)").alias("w"), F.lit(30).alias("h"))
+
+
+_add("d40_without_ornaments", lambda s, d: ornaments.without_ornaments(_pages(s, d), _pictures(s, d)))
+_add("s58_outline_after_ornaments", lambda s, d: (lambda p: outline.headings(p).join(scan.line_map(p, ornaments.without_ornaments(p, _pictures(s, d))).withColumnRenamed("old_line", "line_no"), ["doc_id", "line_no"]).select("doc_id", "ord", "title", F.col("new_line").alias("line")))(_pages(s, d)))

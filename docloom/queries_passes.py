@@ -56,7 +56,6 @@ for _name, _passes in {
     "d23_long_lines": (tidy.long_lines,), "d26_tidy_headings": (tidy.tidy_headings,),
     "d28_chapter_ornaments": (tidy.chapter_ornaments,), "d29_demoted_headings": (tidy.demoted,), "d30_moved_headings": (stitch.moved_headings,), "d33_hidden_numbers": (tidy.hidden_numbers,),
     "e01_compacted_tables": (grids.compacted,), "e05_lifted_prose": (lambda x: L.Rewrite(grids.lifted(x), list(range(len(x)))),),
-    "d40_without_ornaments": (lambda x: figures.without_ornaments(x, [(f"figure-{i:03d}.png", 40 + i % 3, 30) for i in range(1, 15)]),),
 }.items():
     _add(_name, lambda s, d, passes=_passes: rewritten(_book(s, d), *passes))
 REOPEN = (tidy.repeated_marks, tidy.without_chrome, lambda x: tidy.whole_words(x, KNOWN), tidy.heading_layout, tidy.tidy_headings, stitch.moved_headings, tidy.hidden_numbers, tidy.blank_runs, grids.compacted, tidy.subheadings, tidy.long_lines)

@@ -6,8 +6,8 @@ from collections import Counter
 
 import pytest
 
-from docloom.operators import budgets, claims, lexicon, scan, tracking
-from docloom.passes import ask, tidy, translation
+from docloom.operators import budgets, claims, lexicon, ornaments, scan, tracking
+from docloom.passes import ask, figures, tidy, translation
 from docloom.passes import lines as L
 from docloom.sources import relations as R
 
@@ -122,3 +122,25 @@ def test_letter_spaced_titles(spark):
         own = book.split("\n")
         want |= {(i, k): new for k, (old, new) in enumerate(zip(own, tidy.closed_letters(own, source).lines, strict=True)) if new != old}
     assert got == want and len(got) > 60
+
+
+def test_ornaments(spark):
+    rng = random.Random(12)
+    books, pictures = [], []
+    for _ in range(80):
+        n = rng.randrange(1, 60)
+        sizes = [(f"p{k:03d}.png", rng.choice([20, 22, 25, 28, 40, 400]) + rng.randrange(3), rng.choice([20, 23, 26, 500])) for k in range(n)]
+        pictures.append(sizes)
+        books.append([rng.choice([f"![a](figures/p{rng.randrange(n):03d}.png)", "text", "", f'  ![x](p{rng.randrange(n):03d}.png "t") tail', "see ![x](p001.png)"]) for _ in range(30)])
+    frame = spark.createDataFrame([(i, *p) for i, own in enumerate(pictures) for p in own], "doc_id long, name string, w int, h int")
+    got = {(r.doc_id, r.name) for r in ornaments.ornaments(frame).collect()}
+    assert got == {(i, name) for i, own in enumerate(pictures) for name in figures.ornaments(own)} and len(got) > 300
+    lines = R.lines(spark.createDataFrame([(i, "\n".join(b)) for i, b in enumerate(books)], "doc_id long, text string"))
+    edits = ornaments.without_ornaments(lines, frame).cache()
+    where: dict[int, list[int]] = {}
+    for r in scan.line_map(lines, edits).orderBy("doc_id", "old_line").collect():
+        where.setdefault(r.doc_id, []).append(r.new_line)
+    gone = {(r.doc_id, r.line_no) for r in edits.collect()}
+    for i, (book, own) in enumerate(zip(books, pictures, strict=True)):
+        want = figures.without_ornaments(book, own)
+        assert [x for k, x in enumerate(book) if (i, k) not in gone] == want.lines and where[i] == want.where
