@@ -37,7 +37,7 @@ find_terms = re.compile("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+").findall
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 TOP = 50
 #: Bounds of a shard (rows, bytes of text) and of a block of queries. Small shards keep rows and arrays small.
-SHARD_ROWS, SHARD_BYTES, ROW_BLOCK, BLOCK_ITEMS, BLOCK_TERMS = 4096, 600_000, 256, 4096, 400_000
+SHARD_ROWS, SHARD_BYTES, ROW_BLOCK, BLOCK_ITEMS, BLOCK_TERMS = 4096, 250_000, 256, 4096, 400_000
 _RAW = "docs array<long>, sizes binary, terms array<string>, ptr binary, posting binary, tf binary"
 _SHARD = "docs array<long>, terms array<string>, ptr binary, posting binary, impact binary"
 
@@ -58,7 +58,7 @@ def _raw_shards(shard_rows: int):
                     sizes = np.fromiter(map(len, found), np.int64, len(found))
                     keys, tf = np.unique(np.concatenate(found) * b.num_rows + np.repeat(np.arange(b.num_rows), sizes), return_counts=True)
                     ptr = np.searchsorted(keys, np.arange(len(numbers) + 1) * b.num_rows)
-                    cells = [sizes.tobytes(), ptr.astype(np.int64).tobytes(), (keys % b.num_rows).astype(np.uint16).tobytes(), tf.astype(np.int32).tobytes()]
+                    cells = [sizes.tobytes(), ptr.astype(np.int64).tobytes(), (keys % b.num_rows).astype(np.uint16).tobytes(), tf.astype(np.uint16 if tf.max(initial=0) < 1 << 16 else np.int32).tobytes()]
                     sizes, ptr, posting, tf = (pa.array([c], pa.binary()) for c in cells)
                     docs = pa.array([b.column(0).to_pylist()], pa.list_(pa.int64()))
                     yield pa.RecordBatch.from_arrays([docs, sizes, pa.array([list(numbers)], pa.list_(pa.string())), ptr, posting, tf], names=["docs", "sizes", "terms", "ptr", "posting", "tf"])
@@ -91,7 +91,9 @@ def build(spark: SparkSession, docs: DataFrame, path: str, *, shard_rows: int =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for sizes, posting, tf in zip(_cells(b, "sizes", np.int64), _cells(b, "posting", np.uint16), _cells(b, "tf", np.int32), strict=True):
+            for sizes, posting, cell in zip(_cells(b, "sizes", np.int64), _cells(b, "posting", np.uint16), b.column("tf"), strict=True):
+                data = cell.as_buffer()  # two bytes a posting, or four where some document needs them
+                tf = np.frombuffer(data, np.uint16 if data.size == posting.nbytes else np.int32)
                 out.append(impacts(tf, sizes[posting], n, total).astype(np.int32).tobytes())
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("docs", "terms", "ptr", "posting")), pa.array(out, pa.binary())], names=["docs", "terms", "ptr", "posting", "impact"])
 

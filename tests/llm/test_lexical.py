@@ -44,7 +44,7 @@ def tables(spark):
         return rng.choice([" ", ", ", "-", "  "]).join(rng.choice(words[: rng.choice([5, 30, 65])]) for _ in range(n))
 
     docs = [(i, text(rng.randrange(30)), "x") for i in range(400)]
-    docs += [(900 + i, "w1 w2 w3 same", "x") for i in range(80)] + [(7, "w1 w2 w3 same", "x"), (None, "w1 w2 w3 same", "x"), (901, None, "x"), (902, "", "x"), (903, " .,!", "x"), (904, "w4 " * 30_000, "x")]
+    docs += [(900 + i, "w1 w2 w3 same", "x") for i in range(80)] + [(7, "w1 w2 w3 same", "x"), (None, "w1 w2 w3 same", "x"), (901, None, "x"), (902, "", "x"), (903, " .,!", "x"), (904, "w4 " * 30_000, "x"), (905, "w5 " * 70_000, "x")]
     rng.shuffle(docs)
     items = [(i, text(rng.randrange(8)), 1) for i in range(30)] + [(50, "SAME w1", 1), (50, "w2 w2", 1), (51, None, 1), (52, "nowhere", 1), (None, "same", 1), (53, "", 1)]
     return docs, items, spark.createDataFrame(docs, "doc_id long, text string, score string").repartition(5), spark.createDataFrame(items, "item_id long, text string, rank int")
