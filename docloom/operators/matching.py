@@ -117,3 +117,27 @@ def titles_elsewhere(titles: DataFrame, lines: DataFrame) -> DataFrame:
     pairs = matches(asked, texts)
     told = pairs.join(texts, ["said", "n", "head"]).groupBy("needle").agg(F.count("*").alias("texts"), F.sum("times").alias("lines"), F.min("first_doc").alias("first_doc"))
     return told.withColumnRenamed("needle", "title")
+
+
+WINDOW = 16
+
+
+def _minima(text: Column) -> Column:
+    """Of each stretch of 16 characters the least hash of its grams of eight; the same stretch has the same."""
+    grams = F.transform(F.sequence(F.lit(1), F.length(text) - (GRAM - 1)), lambda i: F.xxhash64(F.substring(text, i, F.lit(GRAM))))
+    # one array of hashes a text, of which each stretch looks at its own nine
+    held = F.array(F.struct(grams.alias("g")))
+    return F.array_distinct(F.flatten(F.transform(held, lambda h: F.transform(F.sequence(F.lit(1), F.size(h["g"]) - (WINDOW - GRAM)), lambda i: F.array_min(F.slice(h["g"], i, WINDOW - GRAM + 1))))))
+
+
+def containing(needles: DataFrame, texts: DataFrame, *by: str) -> DataFrame:
+    """(*by, needle, said): the pairs of distinct ``needles`` (*by, needle) of 16 characters or more and ``texts``
+    (*by, said) that hold them anywhere, with equal columns ``by``.
+
+    A needle's first 16 characters have one least gram, and a text that holds the needle has the same among
+    those of its stretches, so equal keys miss no pair.
+    """
+    asked = needles.where(F.length("needle") >= WINDOW).select(*by, "needle").distinct()
+    left = asked.withColumn("key", F.element_at(_minima(F.substring("needle", 1, WINDOW)), 1))
+    right = texts.where(F.length("said") >= WINDOW).select(*by, "said").distinct().select(*by, "said", F.explode(_minima(F.col("said"))).alias("key"))
+    return left.join(right, [*by, "key"]).where(F.contains("said", F.col("needle"))).select(*by, "needle", "said")

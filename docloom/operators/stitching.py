@@ -156,3 +156,49 @@ def stitched(docs: DataFrame, places: DataFrame) -> DataFrame:
         return F.concat(put, own_line)
 
     return own.select("doc_id", F.array_join(F.flatten(F.transform("lines", line)), "\n").alias("text"))
+
+
+def distinctive(page: Column) -> Column:
+    """The first line of a page of 28 characters or more, else of 20, up to 160, with a letter; no contents line."""
+    said = F.filter(F.split(page, "\n"), lambda x: F.length(T.trim(x)).between(20, 160) & x.rlike(r"\p{L}") & ~T.contents_line(x))
+    told = F.transform(said, lambda x: T.trim(x))
+    return F.coalesce(F.get(F.filter(told, lambda x: F.length(x) >= 28), F.lit(0)), F.get(told, F.lit(0)))
+
+
+def page_marks(pages: DataFrame, lines: DataFrame) -> DataFrame:
+    """(doc_id, page, at, put): the line that each page of ``pages`` (doc_id, page, text), from 0, begins at, and
+    whether a mark is put before it; none for a text that has two marks or two page headings already.
+
+    A page begins at the first line after the one before that holds its distinctive line or is part of it,
+    else at its share of the lines left. Candidates come from equal keys; only line numbers are folded.
+    """
+    title = T.folded(T.heading_text(F.col("text")))
+    headed = title.rlike("^page +[0-9]{1,9}$") & ~title.rlike("^page +0+$")
+    told = lines.select("doc_id", "line_no", T.page_comment(F.col("text")).alias("mark"), F.coalesce(headed, F.lit(False)).cast("int").alias("headed"))
+    sizes = told.groupBy("doc_id").agg((F.max("line_no") + 1).alias("n"), F.count_distinct("mark").alias("marks"), F.sum("headed").alias("heads")).where("marks < 2 and heads < 2").select("doc_id", "n")
+    sizes = written(sizes, "unmarked")
+    own = written(pages.join(sizes, "doc_id", "left_semi").select("doc_id", "page", T.folded(distinctive(F.col("text"))).alias("needle")), "pages")
+    said = lines.join(sizes, "doc_id", "left_semi").where(~T.contents_line(F.col("text"))).select("doc_id", "line_no", T.folded(F.col("text")).alias("said"))
+    said = written(said.where(F.length("said") >= matching.WINDOW), "said")
+    asked, held = own.select("doc_id", "needle").where("needle is not null"), said.select("doc_id", "said")
+    holds = matching.containing(asked, held, "doc_id")
+    parts = matching.containing(held.withColumnRenamed("said", "needle"), asked.withColumnRenamed("needle", "said"), "doc_id").select("doc_id", F.col("said").alias("needle"), F.col("needle").alias("said"))
+    hits = holds.unionByName(parts).distinct().join(said, ["doc_id", "said"]).groupBy("doc_id", "needle").agg(F.array_sort(F.collect_set("line_no")).alias("hits"))
+    rows = own.join(hits, ["doc_id", "needle"], "left").select("doc_id", F.struct("page", F.coalesce("hits", F.array().cast("array<int>")).alias("hits")).alias("row"))
+    folded = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list("row")).alias("rows")).join(sizes, "doc_id")
+
+    def step(acc: Column, row: Column) -> Column:
+        hit = F.get(F.filter(row["hits"], lambda x: x >= acc["cursor"]), F.lit(0))
+        share = acc["cursor"] + F.floor(F.greatest(F.lit(1), F.col("n") - acc["cursor"]) / F.greatest(F.lit(1), F.size("rows") - F.size(acc["out"]))).cast("int")
+        at = F.coalesce(hit, F.least(F.col("n"), share))
+        return F.struct(F.least(F.col("n"), at + 1).alias("cursor"), F.array_append(acc["out"], F.struct(row["page"].alias("page"), at.alias("at"))).alias("out"))
+
+    zero = F.struct(F.lit(0).alias("cursor"), F.array().cast("array<struct<page: int, at: int>>").alias("out"))
+    made = folded.select("doc_id", "n", F.explode(F.aggregate("rows", zero, step)["out"]).alias("x")).select("doc_id", "n", "x.*")
+    marks = lines.where(F.contains("text", F.lit("<!-- page"))).select("doc_id", "line_no", "text")
+    here = marks.select("doc_id", F.col("line_no").alias("at"), F.lit(True).alias("here"))
+    above = marks.select("doc_id", (F.col("line_no") + 1).alias("at"), F.col("text").alias("above"))
+    last = F.max("page").over(W.partitionBy("doc_id", "at"))
+    out = made.withColumn("last", last).join(here, ["doc_id", "at"], "left").join(above, ["doc_id", "at"], "left")
+    said_so = F.contains("above", F.concat(F.lit("<!-- page "), (F.col("page") + 1).cast("string")))
+    return out.select("doc_id", "page", "at", (F.col("here").isNull() & ~F.coalesce(said_so, F.lit(False)) & (F.col("page") == F.col("last"))).alias("put"))

@@ -191,3 +191,14 @@ def _pictures(s: SparkSession, d: str) -> DataFrame:
 
 _add("d40_without_ornaments", lambda s, d: ornaments.without_ornaments(_pages(s, d), _pictures(s, d)))
 _add("s58_outline_after_ornaments", lambda s, d: (lambda p: outline.headings(p).join(scan.line_map(p, ornaments.without_ornaments(p, _pictures(s, d))).withColumnRenamed("old_line", "line_no"), ["doc_id", "line_no"]).select("doc_id", "ord", "title", F.col("new_line").alias("line")))(_pages(s, d)))
+
+
+# Page marks: every seventh sentence of a text, as it stands in the file, is a page's.
+def _file_pages(s: SparkSession, d: str) -> DataFrame:
+    return _docs(s, d).select("doc_id", F.posexplode(F.split("text", r"(?<=\.) ")).alias("k", "text")).where("k % 7 = 0").select("doc_id", F.expr("cast(k / 7 as int)").alias("page"), "text")
+
+
+_add("f05_page_marks", lambda s, d: stitching.page_marks(_file_pages(s, d), R.lines(_docs(s, d))))
+_long = lambda low: f"list_filter(string_split(text, chr(10)), lambda x: length({O.trim('x')}) BETWEEN {low} AND 160 AND regexp_matches(x, '\\p{{L}}') AND NOT {O.contents_line('x')})[1]"
+_add("s23_distinctive_lines", lambda s, d: _docs(s, d).where("text is not null").select("doc_id", stitching.distinctive(F.col("text")).alias("line")), f"SELECT doc_id, {O.trim(f'coalesce({_long(28)}, {_long(20)})')} AS line FROM documents WHERE text IS NOT NULL")
+_add("s26_body_starts", lambda s, d: _pages(s, d).groupBy("doc_id").agg(F.coalesce(F.min(F.when(F.contains("text", F.lit("<!-- page 1 -->")), F.col("line_no"))), F.lit(0)).alias("start")), f"WITH {BOOKS} SELECT doc_id, coalesce(min(CASE WHEN contains(text, '<!-- page 1 -->') THEN line_no END), 0)::INT AS start FROM probe GROUP BY 1")

@@ -117,7 +117,6 @@ def _marks(t: str) -> list[stitch.Mark]:
 
 _outline = "ord int, title string, level int, page int, line int"
 _listed = lambda marks: [(k, m.title, m.level, m.page, m.line) for k, m in enumerate(marks)]
-_add("f05_page_marks", lambda s, d: rows_of(_docs(s, d), lambda t: [(stitch.with_page_marks(t, [p for p in re.split(r"(?<=\.) ", t)[::7]]),)], "text string", "text"))
 _add("f07_bookmark_lines", lambda s, d: rows_of(_book(s, d), lambda t: [(m.title, stitch.found(m, t.split("\n"))) for m in _marks(t)], "title string, line int", "text"))
 _add("f20_navigation", lambda s, d: rows_of(_book(s, d), lambda t: [(markup.navigation(h, markup.chapters(own, h, "Book")),) for own in [t.split("\n")] for h in [markup.headings(own)]], "html string", "text"))
 _add("f22_export_headings", lambda s, d: rows_of(_book(s, d), lambda t: [(h.line, h.level, h.title, h.anchor) for h in markup.headings(t.split("\n"))], "line_no int, level int, title string, anchor string", "text"))
@@ -129,7 +128,6 @@ _add("c11_page_breaks", lambda s, d: rows_of(_docs(s, d), lambda t: [(stitch.pag
 _add("a21_font_headings", lambda s, d: rows_of(_docs(s, d), lambda t: [(m.title, m.page) for m in stitch.font_headings([(i // 12, x[:80], 10.0 + 8 * (i % 12 == 3)) for i, x in enumerate(re.split(r"(?<=[.,]) ", t))])], "title string, page int", "text"))
 _add("a30_outline_files", lambda s, d: rows_of(_book(s, d), lambda t: _listed(stitch.read(stitch.written(_marks(t)) if len(t) % 7 else "{broken")), _outline, "text"))
 _add("b04_outline_json", lambda s, d: rows_of(_book(s, d), lambda t: [(stitch.written(_marks(t)[:-1]),)], "outline string", "text"))
-_add("s23_distinctive_lines", lambda s, d: rows_of(_docs(s, d), lambda t: [(stitch.distinctive(t),)], "line string", "text"))
 
 # Translation.
 _add("c16_blocks", lambda s, d: rows_of(_book(s, d), lambda t: [(k, b.text, b.prefix, b.body) for k, b in enumerate(translation.blocks(t))], "ord int, translated boolean, prefix string, body string", "text"))

@@ -61,7 +61,6 @@ _one("e12_woven_tables", lambda t: "\n".join(grids.woven(_cut(t), [(x[:20], [[["
 
 # Outlines.
 _of("s25_heading_and_title_lines", lambda t: [(m.title, stitch.heading_line(m.title, own), stitch.title_line(m.title, own)) for own in [_cut(t)] for m in _marks(t)], "title string, heading int, line int")
-_one("s26_body_starts", lambda t: next((i for i, x in enumerate(_cut(t)) if "<!-- page 1 -->" in x), 0), "int")
 _of("s60_counterparts", lambda t: [(s[3], other[c][3] if (c := stitch.counterpart(own, k, other)) is not None else None) for own in [stitch.sections(_cut(t))] for other in [stitch.sections(_cut(t)[9:])] for k, s in enumerate(own)], "title string, other string")
 
 # Cleanup.

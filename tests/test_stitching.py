@@ -103,3 +103,31 @@ def test_no_entries_and_no_lines(spark):
     marks = spark.createDataFrame([], "doc_id long, ord int, title string, level int, page int")
     assert stitching.placed(marks, R.lines(docs)).count() == 0
     assert {r.doc_id: r.text for r in stitching.stitched(docs, stitching.placed(marks, R.lines(docs))).collect()} == {1: "a\nb", 2: None}
+
+
+def test_page_marks(spark):
+    rng = random.Random(21)
+    words = "alpha beta gamma delta epsilon zeta eta theta iota kappa".split()
+    said = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    books, files = [], []
+    for k in range(150):
+        pages = [[rng.choice([said(1), said(4), said(6), said(30), "", "12", said(5) + " ..... 7"]) for _ in range(rng.randrange(0, 5))] for _ in range(rng.randrange(0, 7))]
+        lines = [rng.choice([x, x, x + ", and on", "so " + x, x[: rng.randrange(12, 30)], "# " + x, said(3), x + "   12"]) for page in pages for x in page]
+        lines += rng.choice([[], ["<!-- page 1 -->"], ["## Page 3", "more"], ["<!-- page 1 -->", "x", "<!-- page 2 -->"], ["## Page 1", "## Page 2"]])
+        if k % 5 == 0:
+            rng.shuffle(lines)
+        books.append(lines or [""])
+        files.append(["\n".join(p) for p in pages])
+    docs = spark.createDataFrame([(i, "\n".join(b)) for i, b in enumerate(books)], "doc_id long, text string")
+    pages = spark.createDataFrame([(i, k, t) for i, f in enumerate(files) for k, t in enumerate(f)], "doc_id long, page int, text string")
+    got: dict[int, list[tuple]] = {}
+    for r in stitching.page_marks(pages, R.lines(docs)).where("put").collect():
+        got.setdefault(r.doc_id, []).append((r.at, r.page))
+    put = 0
+    for i, (book, file) in enumerate(zip(books, files, strict=True)):
+        new = list(book)
+        for at, page in sorted(got.get(i, []), reverse=True):
+            new.insert(at, f"<!-- page {page + 1} -->")
+        assert "\n".join(new) == stitch.with_page_marks("\n".join(book), file), (book, file)
+        put += len(got.get(i, []))
+    assert put > 150
