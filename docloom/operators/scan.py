@@ -103,16 +103,17 @@ def is_fence(t: Column) -> Column:
     return t.rlike("^(```|~~~)")
 
 
-def free(lines: DataFrame, *, chunk: int = CHUNK) -> DataFrame:
-    """(doc_id, line_no, free): whether a line stands outside fences and is no fence."""
-    told = lines.select("doc_id", "line_no", F.when(is_fence(T.trim(F.col("text"))), table([1, 0])).otherwise(table([0, 1])).alias("step"))
-    inside = states(told, "step", 2, chunk=chunk)
-    return told.join(inside, ["doc_id", "line_no"]).select("doc_id", "line_no", ((F.col("state") == 0) & (F.col("step") == table([0, 1]))).alias("free"))
+def with_free(told: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """``told``, what a rule needs of each line, with ``free`` in place of ``fence``: whether a line stands outside
+    fences and is none. Texts are read once: what is needed of them is written, and steps go on from there."""
+    held = written(told, "told")
+    inside = states(held.select("doc_id", "line_no", F.when(F.col("fence"), table([1, 0])).otherwise(table([0, 1])).alias("step")), "step", 2, chunk=chunk)
+    return held.join(inside, ["doc_id", "line_no"]).withColumn("free", (F.col("state") == 0) & ~F.col("fence")).drop("state", "fence")
 
 
-def with_free(told: DataFrame, lines: DataFrame, chunk: int) -> DataFrame:
-    """``told``, what a rule needs of each of the ``lines``, with ``free``."""
-    return told.join(free(lines, chunk=chunk), ["doc_id", "line_no"])
+def free(lines: DataFrame, *, chunk: int = CHUNK) -> DataFrame:
+    """(doc_id, line_no, free): whether a line stands outside fences and is no fence."""
+    return with_free(lines.select("doc_id", "line_no", is_fence(T.trim(F.col("text"))).alias("fence")), chunk)
 
 
 def _edit(df: DataFrame, text: Column, back: Column | None = None) -> DataFrame:
@@ -122,8 +123,8 @@ def _edit(df: DataFrame, text: Column, back: Column | None = None) -> DataFrame:
 def hyphens(lines: DataFrame, *, chunk: int = CHUNK) -> DataFrame:
     """Edits: words broken at line ends put together, through as many lines as break."""
     t = F.regexp_replace(F.col("text"), ENDS, "")
-    told = lines.select("doc_id", "line_no", (t.rlike(r"\p{L}[-\x{ad}\x{2010}]$") & T.heading_text(F.col("text")).isNull()).alias("breaks"), T.trim(F.col("text")).rlike(r"^\p{L}").alias("goes_on"))
-    told = written(with_free(told, lines, chunk).where("free"), "breaks")
+    told = lines.select("doc_id", "line_no", (t.rlike(r"\p{L}[-\x{ad}\x{2010}]$") & T.heading_text(F.col("text")).isNull()).alias("breaks"), T.trim(F.col("text")).rlike(r"^\p{L}").alias("goes_on"), is_fence(T.trim(F.col("text"))).alias("fence"))
+    told = written(with_free(told, chunk).where("free"), "breaks")
     at = told.where("breaks").select("doc_id", (F.col("line_no") + 1).alias("line_no")).withColumn("above", F.lit(True))
     joins = told.where("goes_on").join(at, ["doc_id", "line_no"]).select("doc_id", "line_no")
     # Lines that join one another follow without a gap, so their number less their rank is one for each group.
@@ -145,9 +146,9 @@ def repeated_marks(lines: DataFrame, *, chunk: int = CHUNK) -> DataFrame:
     said, short = F.col("mark").isNull() & (t != ""), F.length(F.coalesce("title", "t")) <= 80
     key = F.when(said & (short | F.col("title").isNotNull()), T.folded(F.coalesce("title", "t")))
     told = told.select("doc_id", "line_no", "mark", said.alias("said"), is_fence(t).alias("fence"), key.alias("key"), (short & ~t.rlike(r"^(!\[|\||>)") & ~T.contents_line(t)).alias("top"), F.col("title").isNotNull().alias("head"))
-    told = told.select("doc_id", "line_no", "mark", "said", "fence", F.when(F.col("top") & (F.length("key") >= 2), F.col("key")).alias("key"), F.when(F.col("head"), F.col("key")).alias("head"))
-    told = with_free(told, lines, chunk)
-    told = written(told.select("doc_id", "line_no", "fence", *(F.when(F.col("free"), F.col(c)).alias(c) for c in ("mark", "said", "key", "head"))), "marks")
+    told = told.select("doc_id", "line_no", "mark", "said", "fence", F.col("fence").alias("is_fence"), F.when(F.col("top") & (F.length("key") >= 2), F.col("key")).alias("key"), F.when(F.col("head"), F.col("key")).alias("head"))
+    told = with_free(told, chunk)
+    told = written(told.select("doc_id", "line_no", F.col("is_fence").alias("fence"), *(F.when(F.col("free"), F.col(c)).alias(c) for c in ("mark", "said", "key", "head"))), "marks")
     first = told.where("mark is not null").groupBy("doc_id", "mark").agg(F.min("line_no").alias("line_no")).withColumn("new", F.lit(True))
     marked = told.join(first.select("doc_id", "line_no", "new"), ["doc_id", "line_no"], "left")
     step = F.when(F.col("new"), table([1, 1])).when(F.col("said") | F.col("fence"), table([0, 0])).otherwise(table([0, 1]))
@@ -169,9 +170,9 @@ def blank_runs(lines: DataFrame, *, chunk: int = CHUNK) -> DataFrame:
     t = F.col("t")
     told = lines.select("doc_id", "line_no", T.trim(F.col("text")).alias("t"))
     mark = t.rlike(r"^(#|<!--|!\[|\||>)") | (t == "---")
-    told = told.select("doc_id", "line_no", F.struct((t != "").alias("said"), mark.alias("mark"), ends_sentence(t).alias("ends"), t.rlike(r"^\p{L}").alias("letter")).alias("value"))
+    told = told.select("doc_id", "line_no", F.struct((t != "").alias("said"), mark.alias("mark"), ends_sentence(t).alias("ends"), t.rlike(r"^\p{L}").alias("letter")).alias("value"), is_fence(t).alias("fence"))
     blank = ~F.col("value.said") & F.col("free")
-    told = with_free(told, lines, chunk).select("doc_id", "line_no", blank.alias("blank"), F.when(~blank, F.col("value")).alias("value"))
+    told = written(with_free(told, chunk).select("doc_id", "line_no", blank.alias("blank"), F.when(~blank, F.col("value")).alias("value")), "blanks")
     near = nearest(told, {"last": F.col("value"), "next": F.when(F.col("value")["said"], F.col("value"))}, chunk=chunk)
     near = nearest(near, {"above": F.struct("blank", "line_no")}, chunk=chunk).where("blank")
     goes_on = ~F.col("last.mark") & ~F.col("next.mark") & F.col("next.letter") & ~F.col("last.ends")
@@ -203,8 +204,8 @@ def joined_headings(lines: DataFrame, *, chunk: int = CHUNK) -> DataFrame:
     told = lines.select("doc_id", "line_no", t.alias("t"), T.heading_text(F.col("text")).alias("title"))
     told = told.withColumn("words", F.when(F.col("title").isNotNull(), T.title_words(F.col("title"))))
     open_ = F.coalesce(F.element_at("words", -1).isin(DANGLING), F.lit(False))
-    told = told.select("doc_id", "line_no", (F.col("t") != "").alias("said"), (open_ & (F.size("words") > 0)).alias("open"), F.when(short_title(F.col("t")), F.coalesce("title", "t")).alias("short"), F.length(F.regexp_extract("t", "^(#*)", 1)).alias("marks"), "title")
-    near = nearest(told, {"next": F.when(F.col("said"), F.struct("line_no", "short"))}, chunk=chunk)
+    told = told.select("doc_id", "line_no", (F.col("t") != "").alias("said"), (open_ & (F.size("words") > 0)).alias("open"), F.when(short_title(F.col("t")), F.coalesce("title", "t")).alias("short"), F.length(F.regexp_extract("t", "^(#*)", 1)).alias("marks"), F.when(open_, F.col("title")).alias("title"))
+    near = nearest(written(told, "titles"), {"next": F.when(F.col("said"), F.struct("line_no", "short"))}, chunk=chunk)
     near = written(near.withColumn("takes", F.col("open") & F.col("next.short").isNotNull()), "headings")
     step = F.when(F.col("takes"), table([1, 0])).when(F.col("said"), table([0, 0])).otherwise(table([0, 1]))
     at = near.join(states(near.withColumn("step", step), "step", 2, chunk=chunk), ["doc_id", "line_no"])
@@ -224,8 +225,8 @@ def subheadings(lines: DataFrame, *, chunk: int = CHUNK) -> DataFrame:
     told = lines.select("doc_id", "line_no", T.trim(F.col("text")).alias("t"))
     marks = F.length(F.regexp_extract(t, "^(#{1,6}) ", 1))
     form = t.rlike(r"^\p{Lu}") & ~ends_sentence(t) & ~t.rlike("[,;:]$") & F.length(t).between(8, 80) & F.size(F.filter(F.split(t, r"[\s\x{85}\p{Z}]+"), lambda w: w != "")).between(2, 14)
-    told = told.select("doc_id", "line_no", (t != "").alias("said"), marks.alias("level"), (ends_sentence(t) | t.rlike("^<!--")).alias("told"), ((marks == 0) & form & ~citation(t) & ~T.contents_line(t) & ~t.rlike(r"^(<!--|!\[|\||>|- |\* |•)")).alias("form"), t.rlike(r"^\p{Lu}").alias("capital"), F.substring(t, 1, 80).alias("t"))
-    told = with_free(told.withColumn("t", F.when(F.col("form"), F.col("t"))), lines, chunk)
+    told = told.select("doc_id", "line_no", (t != "").alias("said"), marks.alias("level"), (ends_sentence(t) | t.rlike("^<!--")).alias("told"), ((marks == 0) & form & ~citation(t) & ~T.contents_line(t) & ~t.rlike(r"^(<!--|!\[|\||>|- |\* |•)")).alias("form"), t.rlike(r"^\p{Lu}").alias("capital"), F.substring(t, 1, 80).alias("t"), is_fence(t).alias("fence"))
+    told = written(with_free(told.withColumn("t", F.when(F.col("form"), F.col("t"))), chunk), "titles")
     near = nearest(told, {"next": F.when(F.col("said"), F.col("capital"))}, chunk=chunk)
     near = near.withColumn("form", F.col("form") & F.col("free") & F.coalesce("next", F.lit(False)))
     kind = F.when(F.col("level") > 0, F.col("level") + 1).when(F.col("told"), F.lit(0)).otherwise(F.lit(1))

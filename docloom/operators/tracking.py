@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..sources.shared import written
-from .scan import with_free
+from .scan import free
 
 _REST, _GLUED = r"[^\p{L}\p{N}]*", r"[^\s\x{1c}-\x{1f}\x{85}\p{Z}\p{L}\p{N}]*"
 LEAST, SOURCE = 5, 8
@@ -28,7 +28,7 @@ def tracked_titles(lines: DataFrame) -> DataFrame:
     head = F.regexp_extract("text", r"^([ \t]*(?:#{1,6} +)?)", 1)
     told = lines.select("doc_id", "line_no", head.alias("head"), F.col("text").alias("body")).withColumn("body", F.expr("substring(body, length(head) + 1)"))
     told = told.where(~F.col("body").rlike(r"^(<!--|!\[|\||>)") & T.tracked(F.col("body")))
-    return with_free(told, lines, 512).where("free").select("doc_id", "line_no", "head", "body")
+    return told.join(free(lines).where("free"), ["doc_id", "line_no"], "left_semi")
 
 
 def closed_letters(lines: DataFrame, sources: DataFrame) -> DataFrame:
