@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..plans import search
+from ..sources.relations import lines as lines_of
+from ..sources.relations import unix_lines
 
 # Words of a question that say nothing.
 STOP = {"the", "and", "for", "that", "this", "with", "from", "what", "when", "where", "which", "about", "does", "into", "have", "been"}
@@ -75,46 +77,49 @@ def bag_difference(rows: DataFrame) -> DataFrame:
     return told.withColumn("n", F.col("have") - F.coalesce(F.try_element_at("less", F.col("word")), F.lit(0))).where("n > 0").select("doc_id", "word", "n")
 
 
-def passages(hits: DataFrame, lines: DataFrame, *, ahead: int = 6, longest: int = 500) -> DataFrame:
-    """(doc_id, line_no, passage): what stands at each hit, ``ahead`` lines at most, to the next heading or until it
-    has over ``longest`` characters; comments and blank lines are passed over. Only those lines are exchanged."""
-    near = hits.select("doc_id", "line_no", F.explode(F.sequence(F.lit(0), F.lit(ahead - 1))).alias("off"))
-    own = lines.select("doc_id", F.col("line_no").alias("at"), "text")
-    rows = near.withColumn("at", F.col("line_no") + F.col("off")).join(own, ["doc_id", "at"]).groupBy("doc_id", "line_no").agg(F.array_sort(F.collect_list(F.struct("off", "text"))).alias("rows"))
+def passages(docs: DataFrame, hits: DataFrame, *, ahead: int = 6, longest: int = 500) -> DataFrame:
+    """(doc_id, n, passages): how many ``hits`` (doc_id, line_no) a document has, and what stands at each that has
+    something, in order: ``ahead`` lines at most, to the next heading or until there are over ``longest``
+    characters; comments and blank lines are passed over. A text meets its hits once, as one row."""
+    own = docs.select("doc_id", F.split(unix_lines(F.col("text")), "\n").alias("lines"))
+    rows = own.join(hits.groupBy("doc_id").agg(F.array_sort(F.collect_set("line_no")).alias("at")), "doc_id")
 
-    def step(acc, r):  # noqa: ANN001, ANN202
-        t = T.trim(r["text"])
-        grown = F.when((t == "") | F.startswith(t, F.lit("<!--")), acc["said"]).when(acc["said"] == "", r["text"]).otherwise(F.concat_ws("\n", acc["said"], r["text"]))
-        past = acc["past"] | ((r["off"] > 0) & F.startswith(t, F.lit("#")))
-        return F.struct(F.when(past, acc["said"]).otherwise(grown).alias("said"), (past | (~F.startswith(t, F.lit("<!--")) & (F.length(grown) > longest))).alias("past"))
+    def said(at):  # noqa: ANN001, ANN202
+        def step(acc, r):  # noqa: ANN001, ANN202
+            t = T.trim(r["text"])
+            grown = F.when((t == "") | F.startswith(t, F.lit("<!--")), acc["said"]).when(acc["said"] == "", r["text"]).otherwise(F.concat_ws("\n", acc["said"], r["text"]))
+            past = acc["past"] | ((r["off"] > 0) & F.startswith(t, F.lit("#")))
+            return F.struct(F.when(past, acc["said"]).otherwise(grown).alias("said"), (past | (~F.startswith(t, F.lit("<!--")) & (F.length(grown) > longest))).alias("past"))
 
-    said = F.aggregate("rows", F.struct(F.lit("").alias("said"), F.lit(False).alias("past")), step)["said"]
-    return rows.select("doc_id", "line_no", said.alias("passage")).where("passage <> ''")
+        part = F.transform(F.slice("lines", at + 1, ahead), lambda x, i: F.struct(i.alias("off"), x.alias("text")))
+        return F.aggregate(part, F.struct(F.lit("").alias("said"), F.lit(False).alias("past")), step)["said"]
 
+    return rows.select("doc_id", F.size("at").cast("long").alias("n"), F.filter(F.transform("at", said), lambda p: p != "").alias("passages"))
 
-def boolean_plan(lines: DataFrame, query: str, *, budget: int = 12_000) -> DataFrame:
+
+def boolean_plan(docs: DataFrame, query: str, *, budget: int = 12_000) -> DataFrame:
     """(doc_id, hits, excerpt): how many lines of a document answer a boolean query, and the passages at them, in
     order, before the first that takes the document over its budget of characters."""
-    hits = hit_lines(lines, query)
-    upto = F.sum(F.length("passage")).over(W.partitionBy("doc_id").orderBy("line_no"))
-    kept = passages(hits, lines).withColumn("upto", upto).where(F.col("upto") <= budget)
-    told = kept.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("line_no", "passage"))).alias("a"))
-    out = hits.groupBy("doc_id").agg(F.count("*").alias("hits")).join(told, "doc_id", "left")
-    return out.select("doc_id", "hits", F.coalesce(F.array_join(F.transform("a", lambda x: x["passage"]), "\n\n"), F.lit("")).alias("excerpt"))
+
+    def step(acc, p):  # noqa: ANN001, ANN202
+        used = acc["used"] + F.length(p)
+        fits = ~acc["full"] & (used <= budget)
+        return F.struct(F.when(fits, used).otherwise(acc["used"]).alias("used"), (acc["full"] | (used > budget)).alias("full"), F.when(fits, F.array_append(acc["out"], p)).otherwise(acc["out"]).alias("out"))
+
+    zero = F.struct(F.lit(0).alias("used"), F.lit(False).alias("full"), F.array().cast("array<string>").alias("out"))
+    return passages(docs, hit_lines(lines_of(docs), query)).select("doc_id", F.col("n").alias("hits"), F.array_join(F.aggregate("passages", zero, step)["out"], "\n\n").alias("excerpt"))
 
 
 def excerpts(docs: DataFrame, query: str, *, before: int = 2, after: int = 8, each: int = 2_400) -> DataFrame:
     """(doc_id, excerpt) of documents that match: the lines round the first that answers, else round the first that
     holds the query by itself, else the beginning; ``each`` characters at most."""
-    from ..sources import relations as R
-
     own = docs.select("doc_id", "text")
-    lines = R.lines(own)
+    lines = lines_of(own)
     first = hit_lines(lines, query).groupBy("doc_id").agg(F.min("line_no").alias("hit"))
     alone = search.matching(lines, query).groupBy("doc_id").agg(F.min("line_no").alias("alone"))
     at = own.join(first, "doc_id", "left").join(alone, "doc_id", "left").withColumn("at", F.coalesce("hit", "alone"))
     begin = F.greatest(F.lit(0), F.col("at") - before)
-    part = F.slice(F.split(R.unix_lines(F.col("text")), "\n"), begin + 1, F.col("at") + after - begin)
+    part = F.slice(F.split(unix_lines(F.col("text")), "\n"), begin + 1, F.col("at") + after - begin)
     return at.select("doc_id", F.left(F.when(F.col("at").isNull(), F.col("text")).otherwise(F.array_join(part, "\n")), F.lit(each)).alias("excerpt"))
 
 

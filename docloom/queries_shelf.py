@@ -125,7 +125,7 @@ _add(
 )
 _hits = f"hits AS ({queries.ORACLE_SQL['g05_hit_lines']}), matched AS ({queries.ORACLE_SQL['g04_boolean_search']})"
 _add(
-    "h04_boolean_plan", lambda s, d: retrieval.boolean_plan(_lines(s, d), queries._QUERY),
+    "h04_boolean_plan", lambda s, d: retrieval.boolean_plan(_docs(s, d), queries._QUERY),
     f"""WITH {O.LINES}, {_hits}, near AS (SELECT h.doc_id, h.line_no, l.line_no - h.line_no AS off, l.text, {O.trim('l.text')} AS t FROM hits h JOIN lines l ON l.doc_id = h.doc_id AND l.line_no BETWEEN h.line_no AND h.line_no + 5),
     cut AS (SELECT *, min(CASE WHEN off > 0 AND starts_with(t, '#') THEN off END) OVER (PARTITION BY doc_id, line_no) AS head FROM near), own AS (SELECT * FROM cut WHERE off < coalesce(head, 9) AND t <> '' AND NOT starts_with(t, '<!--')), sized AS (SELECT *, coalesce(sum(length(text) + 1) OVER (PARTITION BY doc_id, line_no ORDER BY off ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) - 1 AS before FROM own),
     said AS (SELECT doc_id, line_no, string_agg(text, {NL} ORDER BY off) AS p FROM sized WHERE before <= 500 GROUP BY 1, 2), kept AS (SELECT *, sum(length(p)) OVER (PARTITION BY doc_id ORDER BY line_no) AS upto FROM said), told AS (SELECT doc_id, string_agg(p, {NL} || {NL} ORDER BY line_no) AS excerpt FROM kept WHERE upto <= 12000 GROUP BY 1)
