@@ -85,6 +85,16 @@ def nearest(lines: DataFrame, values: dict[str, Column], *, chunk: int = CHUNK)
     return out.select(*lines.columns, *(F.coalesce(f"near_{n}", f"far_{n}").alias(n) for n in values))
 
 
+def as_of(lines: DataFrame, *, chunk: int = CHUNK) -> DataFrame:
+    """(doc_id, line_no, section, page): the title that each line stands under, its own counted, and the page at or
+    above it; a document's lines may lie in many tasks."""
+    title = T.heading_text(F.col("text"))
+    told = lines.select("doc_id", "line_no", title.alias("title"), T.page_comment(F.col("text")).alias("mark"))
+    told = written(told.withColumn("title", F.when(~T.page_like(F.col("title")), F.col("title"))), "as-of")
+    near = nearest(told, {"section": F.col("title"), "page": F.col("mark")}, chunk=chunk)
+    return near.select("doc_id", "line_no", F.coalesce("title", "section").alias("section"), F.coalesce("mark", "page").alias("page"))
+
+
 def line_map(lines: DataFrame, edits: DataFrame, *, chunk: int = CHUNK) -> DataFrame:
     """(doc_id, old_line, new_line) under ``edits``, by counts of the lines that stay."""
     both = lines.select("doc_id", "line_no").join(edits.where("text is null").select("doc_id", "line_no", "back", F.lit(0).alias("stays")), ["doc_id", "line_no"], "left")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import oracle as O
+from . import queries
 from .functions import text as T
 from .operators import budgets, claims, following, lexicon, matching, ornaments, outline, scan, stitching, tracking
 from .queries_passes import BOOK, _book
@@ -202,3 +203,6 @@ _add("f05_page_marks", lambda s, d: stitching.page_marks(_file_pages(s, d), R.li
 _long = lambda low: f"list_filter(string_split(text, chr(10)), lambda x: length({O.trim('x')}) BETWEEN {low} AND 160 AND regexp_matches(x, '\\p{{L}}') AND NOT {O.contents_line('x')})[1]"
 _add("s23_distinctive_lines", lambda s, d: _docs(s, d).where("text is not null").select("doc_id", stitching.distinctive(F.col("text")).alias("line")), f"SELECT doc_id, {O.trim(f'coalesce({_long(28)}, {_long(20)})')} AS line FROM documents WHERE text IS NOT NULL")
 _add("s26_body_starts", lambda s, d: _pages(s, d).groupBy("doc_id").agg(F.coalesce(F.min(F.when(F.contains("text", F.lit("<!-- page 1 -->")), F.col("line_no"))), F.lit(0)).alias("start")), f"WITH {BOOKS} SELECT doc_id, coalesce(min(CASE WHEN contains(text, '<!-- page 1 -->') THEN line_no END), 0)::INT AS start FROM probe GROUP BY 1")
+
+# An as-of join without a window over all of a document.
+_add("i07_as_of", lambda s, d: scan.as_of(_probe(s, d)), queries.ORACLE_SQL["f11_section_at"])

@@ -19,7 +19,6 @@ from .streaming import changes as C
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 NL = "chr(10)"
-_ENGINE = {k: (q, queries.ORACLE_SQL[k]) for k, q in queries.QUERIES.items()}
 _READING = {k: (q, queries_reading.ORACLE_SQL[k]) for k, q in queries_reading.QUERIES.items()}
 
 
@@ -229,7 +228,6 @@ _add(
 )
 
 # Joins that other rows have: as-of, interval, by place.
-_add("i07_as_of", *_ENGINE["f11_section_at"])
 _add("i08_interval", *_READING["f24_page_chapter"])
 _add(
     "i10_zipped", lambda s, d: (lambda c, a, b: c.select("conv_id", "turn", F.posexplode(a).alias("k", "a")).join(c.select("conv_id", "turn", F.posexplode(b).alias("k", "b")), ["conv_id", "turn", "k"]))(R.table(s, d, "conversations"), F.split("text", " "), F.split("text", r"\.")),
