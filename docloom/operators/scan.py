@@ -18,7 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..sources.shared import written
+from ..sources.shared import by_shuffle, written
 
 CHUNK = 512
 #: White space at a line's end, line breaks among it.
@@ -65,7 +65,7 @@ def states(lines: DataFrame, step: str, number: int, *, first: int = 0, chunk: i
     def passed(acc: Column, row: Column) -> Column:
         return F.struct(_next(row["step"], acc["state"]).cast("int").alias("state"), F.array_append(acc["out"], F.struct(row["line_no"].alias("line_no"), acc["state"].alias("state"))).alias("out"))
 
-    made = parts.join(entry, ["doc_id", "chunk"]).select("doc_id", F.explode(F.aggregate("rows", F.struct(F.col("state").alias("state"), told.alias("out")), passed)["out"]).alias("x"))
+    made = parts.join(by_shuffle(entry), ["doc_id", "chunk"]).select("doc_id", F.explode(F.aggregate("rows", F.struct(F.col("state").alias("state"), told.alias("out")), passed)["out"]).alias("x"))
     return made.select("doc_id", "x.*")
 
 
@@ -81,7 +81,7 @@ def nearest(lines: DataFrame, values: dict[str, Column], *, chunk: int = CHUNK)
     ends = ends.select("doc_id", "chunk", *(pick(n, back, ahead, F.col(n)).alias(f"far_{n}") for n in values))
     inner = W.partitionBy("doc_id", "chunk").orderBy("line_no")
     near = own.withColumns({f"near_{n}": pick(n, inner.rowsBetween(W.unboundedPreceding, -1), inner.rowsBetween(1, W.unboundedFollowing), F.col(f"own_{n}")) for n in values})
-    out = near.join(ends, ["doc_id", "chunk"])
+    out = near.join(by_shuffle(ends), ["doc_id", "chunk"])
     return out.select(*lines.columns, *(F.coalesce(f"near_{n}", f"far_{n}").alias(n) for n in values))
 
 
@@ -97,14 +97,15 @@ def as_of(lines: DataFrame, *, chunk: int = CHUNK) -> DataFrame:
 
 def line_map(lines: DataFrame, edits: DataFrame, *, chunk: int = CHUNK) -> DataFrame:
     """(doc_id, old_line, new_line) under ``edits``, by counts of the lines that stay."""
-    both = lines.select("doc_id", "line_no").join(edits.where("text is null").select("doc_id", "line_no", "back", F.lit(0).alias("stays")), ["doc_id", "line_no"], "left")
+    gone = edits.where("text is null").select("doc_id", "line_no", "back", F.lit(0).alias("stays"))
+    both = lines.select("doc_id", "line_no").join(by_shuffle(gone), ["doc_id", "line_no"], "left")
     own = _chunked(both.withColumn("stays", F.coalesce("stays", F.lit(1))), chunk)
     sums = own.groupBy("doc_id", "chunk").agg(F.sum("stays").alias("sum"))
     by_chunk = W.partitionBy("doc_id").orderBy("chunk")
     sums = sums.select("doc_id", "chunk", (F.sum("sum").over(by_chunk) - F.col("sum")).alias("base"), F.sum("sum").over(W.partitionBy("doc_id")).alias("total"))
     inner = W.partitionBy("doc_id", "chunk").orderBy("line_no")
     before = F.col("base") + F.sum("stays").over(inner) - F.col("stays")
-    made = own.join(sums, ["doc_id", "chunk"]).withColumn("before", before)
+    made = own.join(by_shuffle(sums), ["doc_id", "chunk"]).withColumn("before", before)
     to = F.when(F.col("stays") == 1, F.col("before")).when(F.col("back"), F.col("before") - 1).otherwise(F.least(F.col("before"), F.col("total") - 1))
     return made.select("doc_id", F.col("line_no").alias("old_line"), F.greatest(F.lit(0), to).cast("int").alias("new_line"))
 
@@ -118,7 +119,7 @@ def with_free(told: DataFrame, chunk: int = CHUNK) -> DataFrame:
     fences and is none. Texts are read once: what is needed of them is written, and steps go on from there."""
     held = written(told, "told")
     inside = states(held.select("doc_id", "line_no", F.when(F.col("fence"), table([1, 0])).otherwise(table([0, 1])).alias("step")), "step", 2, chunk=chunk)
-    return held.join(inside, ["doc_id", "line_no"]).withColumn("free", (F.col("state") == 0) & ~F.col("fence")).drop("state", "fence")
+    return held.join(by_shuffle(inside), ["doc_id", "line_no"]).withColumn("free", (F.col("state") == 0) & ~F.col("fence")).drop("state", "fence")
 
 
 def free(lines: DataFrame, *, chunk: int = CHUNK) -> DataFrame:
@@ -136,12 +137,12 @@ def hyphens(lines: DataFrame, *, chunk: int = CHUNK) -> DataFrame:
     told = lines.select("doc_id", "line_no", (t.rlike(r"\p{L}[-\x{ad}\x{2010}]$") & T.heading_text(F.col("text")).isNull()).alias("breaks"), T.trim(F.col("text")).rlike(r"^\p{L}").alias("goes_on"), is_fence(T.trim(F.col("text"))).alias("fence"))
     told = written(with_free(told, chunk).where("free"), "breaks")
     at = told.where("breaks").select("doc_id", (F.col("line_no") + 1).alias("line_no")).withColumn("above", F.lit(True))
-    joins = told.where("goes_on").join(at, ["doc_id", "line_no"]).select("doc_id", "line_no")
+    joins = told.where("goes_on").join(by_shuffle(at), ["doc_id", "line_no"]).select("doc_id", "line_no")
     # Lines that join one another follow without a gap, so their number less their rank is one for each group.
     group = joins.withColumn("run", F.col("line_no") - F.row_number().over(W.partitionBy("doc_id").orderBy("line_no")))
     group = group.select("doc_id", "line_no", (F.min("line_no").over(W.partitionBy("doc_id", "run")) - 1).alias("head"))
     heads = group.select("doc_id", F.col("head").alias("line_no"), "head").distinct()
-    parts = lines.select("doc_id", "line_no", "text").join(group.unionByName(heads), ["doc_id", "line_no"])  # few lines' texts
+    parts = lines.select("doc_id", "line_no", "text").join(by_shuffle(group.unionByName(heads)), ["doc_id", "line_no"])
     made = parts.groupBy("doc_id", "head").agg(F.array_sort(F.collect_list(F.struct("line_no", "text"))).alias("rows"))
     body = lambda x, i: F.when(i == 0, x["text"]).otherwise(T.trim(x["text"]))
     said = F.transform("rows", lambda x, i: F.when(i == F.size("rows") - 1, body(x, i)).otherwise(F.regexp_replace(F.regexp_replace(body(x, i), ENDS, ""), r"(?s).$", "")))
@@ -160,14 +161,14 @@ def repeated_marks(lines: DataFrame, *, chunk: int = CHUNK) -> DataFrame:
     told = with_free(told, chunk)
     told = written(told.select("doc_id", "line_no", F.col("is_fence").alias("fence"), *(F.when(F.col("free"), F.col(c)).alias(c) for c in ("mark", "said", "key", "head"))), "marks")
     first = told.where("mark is not null").groupBy("doc_id", "mark").agg(F.min("line_no").alias("line_no")).withColumn("new", F.lit(True))
-    marked = told.join(first.select("doc_id", "line_no", "new"), ["doc_id", "line_no"], "left")
+    marked = told.join(by_shuffle(first.select("doc_id", "line_no", "new")), ["doc_id", "line_no"], "left")
     step = F.when(F.col("new"), table([1, 1])).when(F.col("said") | F.col("fence"), table([0, 0])).otherwise(table([0, 1]))
     fresh = states(marked.withColumn("step", step), "step", 2, chunk=chunk).where("state = 1").select("doc_id", "line_no")
     core = F.regexp_replace("head", r"^[0-9]+(\.[0-9]+)*\s+", "")
     heads = told.where("head is not null").select("doc_id", "line_no", F.explode(F.array("head", F.when(core.rlike(r"^\p{L}"), core))).alias("key")).where("key is not null")
     heads = heads.groupBy("doc_id", "key").agg(F.min("line_no").alias("first"))
-    again = told.where("key is not null").join(fresh, ["doc_id", "line_no"]).join(heads, ["doc_id", "key"]).where("first < line_no").select("doc_id", "line_no")
-    old = told.where("mark is not null").select("doc_id", "line_no").join(first, ["doc_id", "line_no"], "left_anti")
+    again = told.where("key is not null").join(by_shuffle(fresh), ["doc_id", "line_no"]).join(by_shuffle(heads), ["doc_id", "key"]).where("first < line_no").select("doc_id", "line_no")
+    old = told.where("mark is not null").select("doc_id", "line_no").join(by_shuffle(first), ["doc_id", "line_no"], "left_anti")
     return _edit(again.unionByName(old), F.lit(None))
 
 
@@ -218,7 +219,7 @@ def joined_headings(lines: DataFrame, *, chunk: int = CHUNK) -> DataFrame:
     near = nearest(written(told, "titles"), {"next": F.when(F.col("said"), F.struct("line_no", "short"))}, chunk=chunk)
     near = written(near.withColumn("takes", F.col("open") & F.col("next.short").isNotNull()), "headings")
     step = F.when(F.col("takes"), table([1, 0])).when(F.col("said"), table([0, 0])).otherwise(table([0, 1]))
-    at = near.join(states(near.withColumn("step", step), "step", 2, chunk=chunk), ["doc_id", "line_no"])
+    at = near.join(by_shuffle(states(near.withColumn("step", step), "step", 2, chunk=chunk)), ["doc_id", "line_no"])
     made = F.concat(F.expr("repeat('#', marks)"), F.lit(" "), F.col("title"), F.lit(" "), F.col("next.short"))
     taken = at.where("state = 1")
     return _edit(at.where("state = 0 and takes"), made).unionByName(_edit(taken, F.lit(None), F.lit(True)))
@@ -243,7 +244,7 @@ def subheadings(lines: DataFrame, *, chunk: int = CHUNK) -> DataFrame:
     steady = sum((F.call_function("shiftleft", kind.cast("bigint"), F.lit(4 * s)) for s in range(1, 8)), kind.cast("bigint"))
     rise = [3, 1, *(min(3, n + 1) + 1 for n in range(1, 7))]
     near = written(near.withColumn("step", F.when(~F.col("said"), table(range(8))).when(F.col("form"), table(rise)).otherwise(steady)), "titles")
-    at = near.where("form").join(states(near, "step", 8, chunk=chunk), ["doc_id", "line_no"]).where("state <> 1")
+    at = near.where("form").join(by_shuffle(states(near, "step", 8, chunk=chunk)), ["doc_id", "line_no"]).where("state <> 1")
     level = F.when(F.col("state") == 0, F.lit(2)).otherwise(F.least(F.lit(3), F.col("state")))
     return _edit(at, F.concat(F.repeat(F.lit("#"), level), F.lit(" "), t))
 
