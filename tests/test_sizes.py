@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docloom.operators import scan
+from docloom.operators import lexicon, scan
 
 
 def plan(df) -> str:
@@ -22,3 +22,17 @@ def test_no_line_table_is_sent_to_all(spark):
         made = edits(own)
         assert "BroadcastExchange" not in plan(made), edits.__name__
     assert "BroadcastExchange" not in plan(scan.line_map(own, scan.blank_runs(own)))
+
+
+def test_no_words_or_lines_of_split_words_are_sent_to_all(spark):
+    own = lines(spark, ["when when when\nwh en it Wh en\nwh en wh en wh en\n```\nwh en\n```\n<!-- wh en -->\nthe wh  en, wh en. En wh en", "Wh enx wh en\nxwh en"])
+    words = lexicon.lexicon(own)
+    split, odd = lexicon.split_pairs(own, words), lexicon.suspects(own, words)
+    # the pairs that hold may be sent, which are few; a pair of that kind is the only thing in a broadcast
+    assert plan(split).count("BroadcastExchange") <= 1 and plan(odd).count("BroadcastExchange") <= 1
+    assert "BroadcastExchange" not in plan(lexicon.with_neighbours(own.select("doc_id", "line_no"), own))
+    assert sorted((r.doc_id, r.line_no, r.at) for r in split.collect()) == []
+    fewer = spark.createDataFrame([("when", 3), ("it", 3)], "word string, times long")
+    got = sorted((r.doc_id, r.line_no, r.at, r.first, r.second) for r in lexicon.split_pairs(own, fewer).collect())
+    assert got == [(0, 1, 0, "wh", "en"), (0, 1, 6, "Wh", "en"), (0, 2, 0, "wh", "en"), (0, 2, 4, "wh", "en"), (0, 2, 8, "wh", "en"), (0, 7, 6, "wh", "en"), (0, 7, 12, "wh", "en")] + [(1, 0, 4, "wh", "en")]
+    assert {(r.doc_id, r.line_no) for r in lexicon.suspects(own, fewer).collect()} == {(0, 1), (0, 2), (0, 4), (0, 7), (1, 0), (1, 1)}
