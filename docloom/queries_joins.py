@@ -14,6 +14,7 @@ from .functions import text as T
 from .operators import budgets, claims, following, lexicon, matching, ornaments, outline, scan, stitching, tracking
 from .queries_passes import BOOK, _book
 from .sources import relations as R
+from .sources.shared import by_shuffle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -135,7 +136,7 @@ _add(
     "d41c_neighbours", lambda s, d: (lambda p: lexicon.with_neighbours(lexicon.suspects(p, lexicon.lexicon(p)), p))(_pages(s, d)),
     f"WITH {BOOKS}, {_lex}, {_sus}, wd AS (SELECT doc_id, line_no, list_filter(string_split_regex(text, '[\\s\\p{{Z}}]+'), lambda w: w <> '') AS w FROM probe) SELECT su.doc_id, su.line_no, coalesce(array_to_string(a.w[-6:], ' '), '') AS before, coalesce(array_to_string(b.w[:6], ' '), '') AS after FROM su LEFT JOIN wd a ON a.doc_id = su.doc_id AND a.line_no = su.line_no - 1 LEFT JOIN wd b ON b.doc_id = su.doc_id AND b.line_no = su.line_no + 1",
 )
-_add("s49_rejoined_lines", lambda s, d: (lambda p: (lambda w: lexicon.rejoined(p, w).join(lexicon.suspects(p, w), ["doc_id", "line_no"], "left_semi").select("doc_id", "line_no", "text"))(lexicon.lexicon(p)))(_pages(s, d)))
+_add("s49_rejoined_lines", lambda s, d: (lambda p: (lambda w: lexicon.rejoined(p, w).join(by_shuffle(lexicon.suspects(p, w)), ["doc_id", "line_no"], "left_semi").select("doc_id", "line_no", "text"))(lexicon.lexicon(p)))(_pages(s, d)))
 
 
 # A text followed in its pair: the same book, cut into other lines.
