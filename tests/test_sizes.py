@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+from pyspark.util import PythonEvalType
+
 from docloom.operators import lexicon, scan
+from docloom.passes.spark import rows_of
+from docloom.sources import office
 
 
 def plan(df) -> str:
@@ -36,3 +41,34 @@ def test_no_words_or_lines_of_split_words_are_sent_to_all(spark):
     got = sorted((r.doc_id, r.line_no, r.at, r.first, r.second) for r in lexicon.split_pairs(own, fewer).collect())
     assert got == [(0, 1, 0, "wh", "en"), (0, 1, 6, "Wh", "en"), (0, 2, 0, "wh", "en"), (0, 2, 4, "wh", "en"), (0, 2, 8, "wh", "en"), (0, 7, 6, "wh", "en"), (0, 7, 12, "wh", "en")] + [(1, 0, 4, "wh", "en")]
     assert {(r.doc_id, r.line_no) for r in lexicon.suspects(own, fewer).collect()} == {(0, 1), (0, 2), (0, 4), (0, 7), (1, 0), (1, 1)}
+
+
+class _Docs:
+    """A table that keeps the step it is given."""
+
+    def __init__(self, spark):
+        self.empty = spark.createDataFrame([], "doc_id long, text string")
+
+    def select(self, *columns):
+        return self.empty.select(*columns) if columns == ("doc_id",) else self
+
+    def mapInArrow(self, run, made):
+        self.run = run
+
+
+def test_passes_hold_few_texts(spark):
+    docs = _Docs(spark)
+    rows_of(docs, lambda x: [(x * 2,)], "value string", "text")
+    big = pa.RecordBatch.from_pydict({"doc_id": list(range(100)), "text": ["x" * 100_000] * 99 + [None]})
+    made = list(docs.run(iter([big])))
+    assert max(b.nbytes for b in made) < 2 << 20
+    assert [v for b in made for v in b.column(0).to_pylist()] == list(range(99))
+    assert all(v == "x" * 200_000 for b in made for v in b.column(1).to_pylist())
+
+
+def test_sample_files_come_a_few_at_a_time(spark):
+    docs = spark.createDataFrame([(i, None if i == 7 else f"a{i}\nb") for i in range(50)], "doc_id long, text string").coalesce(1)
+    rows = {r.doc_id: r.f for r in docs.select("doc_id", office.sample("pptx")(docs.text).alias("f")).collect()}
+    assert len(rows) == 50 and rows[7] is None
+    assert all(office.converted(f"/in/{i}.pptx", bytes(f)) for i, f in rows.items() if f is not None)
+    assert office.sample("pptx").evalType == PythonEvalType.SQL_SCALAR_ARROW_ITER_UDF
