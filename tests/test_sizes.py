@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import duckdb
 import pyarrow as pa
 from pyspark.util import PythonEvalType
 
+import __spark_entry__
+from docloom.functions import text as T
 from docloom.operators import lexicon, scan
 from docloom.passes.spark import rows_of
 from docloom.sources import office
@@ -72,3 +75,18 @@ def test_sample_files_come_a_few_at_a_time(spark):
     assert len(rows) == 50 and rows[7] is None
     assert all(office.converted(f"/in/{i}.pptx", bytes(f)) for i, f in rows.items() if f is not None)
     assert office.sample("pptx").evalType == PythonEvalType.SQL_SCALAR_ARROW_ITER_UDF
+
+
+def oracle(name, d):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{d}/documents.parquet/*.parquet'")
+    return sorted(con.execute(__spark_entry__.oracle_sql()[name]).fetchall())
+
+
+def test_paired_titles_keep_the_sharp_s(spark, tmp_path):
+    text = "\n".join(["Beß ﬁ x"] * 64)
+    spark.createDataFrame([(i, text, "de", "s", len(text)) for i in range(4)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(tuple(r) for r in __spark_entry__.queries()["f16_paired_titles"](spark, str(tmp_path)).collect())
+    assert got == oracle("f16_paired_titles", tmp_path) and any("BEẞ" in r[2] for r in got)
+    words = spark.createDataFrame([("aßΐ𝒶ﬁ",), ("",), (None,)], "w string")
+    assert [r[0] for r in words.select(T.upper_letters(words.w)).collect()] == ["Aẞΐ𝒶ﬁ", "", None]
