@@ -8,7 +8,7 @@ from pyspark.util import PythonEvalType
 
 import __spark_entry__
 from docloom.functions import text as T
-from docloom.operators import lexicon, scan
+from docloom.operators import lexicon, scan, shelf
 from docloom.passes.spark import rows_of
 from docloom.sources import office
 
@@ -90,3 +90,17 @@ def test_paired_titles_keep_the_sharp_s(spark, tmp_path):
     assert got == oracle("f16_paired_titles", tmp_path) and any("BEẞ" in r[2] for r in got)
     words = spark.createDataFrame([("aßΐ𝒶ﬁ",), ("",), (None,)], "w string")
     assert [r[0] for r in words.select(T.upper_letters(words.w)).collect()] == ["Aẞΐ𝒶ﬁ", "", None]
+
+
+def test_pairs_of_an_origin_are_made_once(spark, monkeypatch):
+    monkeypatch.setattr(shelf, "DEAL", 3)
+    # repeated ids, one of them with two cards, and a name and a source that many share
+    given = [(i, f"/a/{i % 2}.md", "/s" if i % 3 else "") for i in range(12)] + [(3, "/b/9.md", "/t"), (4, "/a/0.md", "/s"), (20, "/b/9.md", "/s"), (None, "/b/9.md", "/s")]
+    cards = spark.createDataFrame(given, "id long, markdown_path string, source_path string")
+    made = shelf.origin_pairs(cards)
+    has = {}
+    for i, path, source in given:
+        has.setdefault(i, set()).update({path} | ({source} - {""}))
+    has.pop(None)
+    assert sorted(map(tuple, made.collect())) == sorted((a, b) for a in has for b in has if a != b and has[a] & has[b])
+    assert not any("id#" in x and "mate#" in x for x in plan(made).splitlines() if "Exchange" in x or "HashAggregate" in x)
