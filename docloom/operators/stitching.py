@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..sources.shared import written
+from ..sources.shared import by_shuffle, written
 from . import matching
 from .outline import doc
 
@@ -165,27 +165,44 @@ def distinctive(page: Column) -> Column:
     return F.coalesce(F.get(F.filter(told, lambda x: F.length(x) >= 28), F.lit(0)), F.get(told, F.lit(0)))
 
 
+#: Lines of a document that meet its pages' distinctive lines in one task.
+STRETCH = 4096
+
+
+def _needle_lines(own: DataFrame, sizes: DataFrame, lines: DataFrame) -> DataFrame:
+    """(doc_id, needle, line_no): the lines that hold a needle of their document (``own`` has doc_id, needle) or are part
+    of it, both of 16 characters or more; no contents lines. The needles of a document come to its lines with
+    their keys, of which a line that is to be looked at has one."""
+    begun = lambda c: F.element_at(matching._minima(F.substring(c, 1, matching.WINDOW)), 1)
+    asked = own.where(F.length("needle") >= matching.WINDOW).select("doc_id", "needle").distinct()
+    asked = asked.select("doc_id", "needle", begun(F.col("needle")).alias("begun"), matching._minima(F.col("needle")).alias("keys"))
+    by_doc = asked.groupBy("doc_id").agg(F.collect_list("needle").alias("needles"), F.collect_set("begun").alias("begun"), F.array_distinct(F.flatten(F.collect_list("keys"))).alias("keys"))
+    by_doc = by_doc.join(by_shuffle(sizes), "doc_id").select("doc_id", "needles", "begun", "keys", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / STRETCH).cast("int"))).alias("stretch"))
+    said = lines.where(~T.contents_line(F.col("text"))).select("doc_id", "line_no", F.floor(F.col("line_no") / STRETCH).cast("int").alias("stretch"), T.folded(F.col("text")).alias("said"))
+    both = said.where(F.length("said") >= matching.WINDOW).join(by_shuffle(by_doc), ["doc_id", "stretch"])
+    near = both.where(F.array_contains("keys", begun(F.col("said"))) | F.arrays_overlap(matching._minima(F.col("said")), "begun"))
+    found = F.filter("needles", lambda x: F.contains("said", x) | F.contains(x, F.col("said")))
+    return near.select("doc_id", "line_no", F.explode(found).alias("needle"))
+
+
 def page_marks(pages: DataFrame, lines: DataFrame) -> DataFrame:
     """(doc_id, page, at, put): the line that each page of ``pages`` (doc_id, page, text), from 0, begins at, and
     whether a mark is put before it; none for a text that has two marks or two page headings already.
 
     A page begins at the first line after the one before that holds its distinctive line or is part of it,
-    else at its share of the lines left. Candidates come from equal keys; only line numbers are folded.
+    else at its share of the lines left. Candidates come from equal keys; a line is exchanged once, its
+    keys never, and only line numbers are folded.
     """
     title = T.folded(T.heading_text(F.col("text")))
     headed = title.rlike("^page +[0-9]{1,9}$") & ~title.rlike("^page +0+$")
     told = lines.select("doc_id", "line_no", T.page_comment(F.col("text")).alias("mark"), F.coalesce(headed, F.lit(False)).cast("int").alias("headed"))
     sizes = told.groupBy("doc_id").agg((F.max("line_no") + 1).alias("n"), F.count_distinct("mark").alias("marks"), F.sum("headed").alias("heads")).where("marks < 2 and heads < 2").select("doc_id", "n")
     sizes = written(sizes, "unmarked")
-    own = written(pages.join(sizes, "doc_id", "left_semi").select("doc_id", "page", T.folded(distinctive(F.col("text"))).alias("needle")), "pages")
-    said = lines.join(sizes, "doc_id", "left_semi").where(~T.contents_line(F.col("text"))).select("doc_id", "line_no", T.folded(F.col("text")).alias("said"))
-    said = written(said.where(F.length("said") >= matching.WINDOW), "said")
-    asked, held = own.select("doc_id", "needle").where("needle is not null"), said.select("doc_id", "said")
-    holds = matching.containing(asked, held, "doc_id")
-    parts = matching.containing(held.withColumnRenamed("said", "needle"), asked.withColumnRenamed("needle", "said"), "doc_id").select("doc_id", F.col("said").alias("needle"), F.col("needle").alias("said"))
-    hits = holds.unionByName(parts).distinct().join(said, ["doc_id", "said"]).groupBy("doc_id", "needle").agg(F.array_sort(F.collect_set("line_no")).alias("hits"))
-    rows = own.join(hits, ["doc_id", "needle"], "left").select("doc_id", F.struct("page", F.coalesce("hits", F.array().cast("array<int>")).alias("hits")).alias("row"))
-    folded = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list("row")).alias("rows")).join(sizes, "doc_id")
+    needles = pages.select("doc_id", "page", T.folded(distinctive(F.col("text"))).alias("needle"))
+    own = written(needles.join(by_shuffle(sizes), "doc_id", "left_semi"), "pages")
+    hits = _needle_lines(own, sizes, lines).groupBy("doc_id", "needle").agg(F.array_sort(F.collect_set("line_no")).alias("hits"))
+    rows = own.join(by_shuffle(hits), ["doc_id", "needle"], "left").select("doc_id", F.struct("page", F.coalesce("hits", F.array().cast("array<int>")).alias("hits")).alias("row"))
+    folded = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list("row")).alias("rows")).join(by_shuffle(sizes), "doc_id")
 
     def step(acc: Column, row: Column) -> Column:
         hit = F.get(F.filter(row["hits"], lambda x: x >= acc["cursor"]), F.lit(0))
@@ -199,6 +216,6 @@ def page_marks(pages: DataFrame, lines: DataFrame) -> DataFrame:
     here = marks.select("doc_id", F.col("line_no").alias("at"), F.lit(True).alias("here"))
     above = marks.select("doc_id", (F.col("line_no") + 1).alias("at"), F.col("text").alias("above"))
     last = F.max("page").over(W.partitionBy("doc_id", "at"))
-    out = made.withColumn("last", last).join(here, ["doc_id", "at"], "left").join(above, ["doc_id", "at"], "left")
+    out = made.withColumn("last", last).join(by_shuffle(here), ["doc_id", "at"], "left").join(by_shuffle(above), ["doc_id", "at"], "left")
     said_so = F.contains("above", F.concat(F.lit("<!-- page "), (F.col("page") + 1).cast("string")))
     return out.select("doc_id", "page", "at", (F.col("here").isNull() & ~F.coalesce(said_so, F.lit(False)) & (F.col("page") == F.col("last"))).alias("put"))

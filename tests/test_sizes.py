@@ -8,7 +8,7 @@ from pyspark.util import PythonEvalType
 
 import __spark_entry__
 from docloom.functions import text as T
-from docloom.operators import lexicon, scan, shelf
+from docloom.operators import lexicon, scan, shelf, stitching
 from docloom.passes.spark import rows_of
 from docloom.sources import office
 
@@ -104,3 +104,17 @@ def test_pairs_of_an_origin_are_made_once(spark, monkeypatch):
     has.pop(None)
     assert sorted(map(tuple, made.collect())) == sorted((a, b) for a in has for b in has if a != b and has[a] & has[b])
     assert not any("id#" in x and "mate#" in x for x in plan(made).splitlines() if "Exchange" in x or "HashAggregate" in x)
+
+
+def test_lines_of_page_marks_are_exchanged_once(spark, monkeypatch):
+    monkeypatch.setattr(stitching, "STRETCH", 2)
+    text = "It was a long and winding road\nthat went down to the sea\nno\nand then we came to the old harbour wall again\nthe old harbour wall"
+    own = lines(spark, [text, text, "<!-- page 1 -->\n<!-- page 2 -->\nthe old harbour wall"])
+    pages = spark.createDataFrame([(0, 0, "winding road that goes"), (0, 1, "the old harbour wall"), (0, 2, "x"), (1, 0, "so that went down to the sea at last"), (2, 0, "the old harbour wall")], "doc_id long, page int, text string")
+    made = stitching.page_marks(pages, own)
+    got = sorted((r.doc_id, r.page, r.at) for r in made.collect())
+    assert got == [(0, 0, 1), (0, 1, 3), (0, 2, 5), (1, 0, 1)]
+    sizes = spark.createDataFrame([(0, 5), (1, 5)], "doc_id long, n int")
+    found = stitching._needle_lines(pages.withColumnRenamed("text", "needle"), sizes, own)
+    assert "BroadcastExchange" not in plan(found) and "BroadcastExchange" not in plan(made)
+    assert sorted(map(tuple, found.select("doc_id", "line_no", "needle").collect())) == [(0, 3, "the old harbour wall"), (0, 4, "the old harbour wall"), (1, 1, "so that went down to the sea at last")]
