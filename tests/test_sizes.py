@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import duckdb
 import pyarrow as pa
 from pyspark.util import PythonEvalType
@@ -9,6 +11,8 @@ from pyspark.util import PythonEvalType
 import __spark_entry__
 from docloom.functions import text as T
 from docloom.operators import lexicon, scan, shelf, stitching
+from docloom.passes import lines as L
+from docloom.passes import tidy
 from docloom.passes.spark import rows_of
 from docloom.sources import office
 
@@ -118,3 +122,24 @@ def test_lines_of_page_marks_are_exchanged_once(spark, monkeypatch):
     found = stitching._needle_lines(pages.withColumnRenamed("text", "needle"), sizes, own)
     assert "BroadcastExchange" not in plan(found) and "BroadcastExchange" not in plan(made)
     assert sorted(map(tuple, found.select("doc_id", "line_no", "needle").collect())) == [(0, 3, "the old harbour wall"), (0, 4, "the old harbour wall"), (1, 1, "so that went down to the sea at last")]
+
+
+def test_a_long_line_is_gone_through_once(monkeypatch):
+    real, seen = tidy.cut, []
+    monkeypatch.setattr(tidy, "cut", lambda line, usual, limit: (seen.append(len(line) - limit), real(line, usual, limit))[1])
+    rng = random.Random(7)
+    for n in [0, 1, 30, 95, 96, 97, 110, 120, 140, 141] + [rng.randrange(60, 900) for _ in range(400)]:
+        line = "".join(rng.choice(["word", "a", "longer", " ", " ", "  ", ". ", ", ", "\u00a0", "x" * 40]) for _ in range(n // 4))
+        rest, parts, free = L.trim(line), [], tidy.prose(L.trim(line)) and len(L.trim(line)) > 99
+        while free and len(rest) > 99 and (at := real(rest, 68, 99)) is not None:
+            a, b = L.trim(rest[:at]), L.trim(rest[at:])
+            if len(a) < 12 or len(b) < 12:
+                break
+            parts.append(a)
+            rest = b
+        usual = tidy.usual_length([line])
+        if max(usual + 28, int(usual * 1.45 + 0.5)) != 99:
+            continue
+        want = [p if k else line[: len(line) - len(line.lstrip(" \t"))] + p for k, p in enumerate(parts + ([rest] if rest else []))] if free else [line]
+        assert tidy.long_lines([line]).lines == want
+    assert seen and max(seen) <= 32
