@@ -15,20 +15,20 @@ from docloom.llm.common import written
 
 
 def _whole(docs: DataFrame) -> DataFrame:
-    """The row as one value beside its text, so that no column can clash with an operator's own."""
-    return docs.select(F.struct(*docs.columns).alias("doc"), "text")
+    """The row as one value, so that no column can clash with an operator's own, and a text goes to Python once."""
+    return docs.select(F.struct(*docs.columns).alias("doc"))
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the model knows; it learns from all folds of the stage's input."""
     model = language.fit(spark, docs, held=-1)
-    return language.label(spark, _whole(docs), model, keep=["doc"]).where(~language.rejects()).select("doc.*")
+    return language.label(spark, _whole(docs), model, keep=["doc"], text="doc.text").where(~language.rejects()).select("doc.*")
 
 
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the model does not call toxic; it learns from all labelled rows of the input."""
     model = toxicity.fit(spark, docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), held=-1)
-    return toxicity.scored(spark, _whole(docs), model, keep=["doc"]).where("predicted = 0").select("doc.*")
+    return toxicity.scored(spark, _whole(docs), model, keep=["doc"], text="doc.text").where("predicted = 0").select("doc.*")
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -119,6 +119,20 @@ def slices(batch: pa.RecordBatch, text_at: int, max_bytes: int = 4_000_000) -> I
         start = stop
 
 
+def beside_text(docs: DataFrame, keep: list, text: str = "text") -> DataFrame:
+    """``keep`` columns and last, for Python, ``text`` as ``__text``; a ``text`` of the form ``doc.text`` is not sent
+    beside the column ``doc`` of ``keep`` that holds it."""
+    return docs.select(*keep) if "." in text else docs.select(*keep, F.col(text).alias("__text"))
+
+
+def with_text(batch: pa.RecordBatch, text: str = "text") -> pa.RecordBatch:
+    """A batch of ``beside_text`` with the text as its last column, without a copy."""
+    if "." not in text:
+        return batch
+    column, field = text.split(".", 1)
+    return batch.append_column("__text", batch.column(column).field(field))
+
+
 def runs_of(words: list[str], chars: int = 200_000) -> Iterator[list[str]]:
     """``words`` in runs of about ``chars`` characters, so that what is computed of a run stays small."""
     start, held = 0, 0

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import subword
-from .common import fold, least_ids, slices
+from .common import beside_text, fold, least_ids, slices, with_text
 
 UNKNOWN = "und"
 FOLDS, HELD = 4, 2
@@ -33,14 +33,14 @@ def fit(spark: SparkSession, docs: DataFrame, *, max_docs: int = 3000, buckets:
     return subword.train(data, langs, buckets=buckets, epochs=4)
 
 
-def label(spark: SparkSession, docs: DataFrame, model: subword.Model, *, keep: list[str]) -> DataFrame:
+def label(spark: SparkSession, docs: DataFrame, model: subword.Model, *, keep: list[str], text: str = "text") -> DataFrame:
     """``keep`` columns of every row, with ``lang_pred`` and its calibrated probability ``score``.
 
     A null text or one without a letter is ``und`` with score 0. Ties go to the first class in
     order. Repeated rows get the same answer; an empty table gives an empty table.
     """
     shared = spark.sparkContext.broadcast(model)
-    frame = docs.select(*keep, F.col("text").alias("__text"))
+    frame = beside_text(docs, keep, text)
     schema = docs.select(*keep).withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)}).schema
     known = bool(model.classes) and isinstance(model.classes[0], str)
 
@@ -49,6 +49,7 @@ def label(spark: SparkSession, docs: DataFrame, model: subword.Model, *, keep: l
         coder = model.coder()
         names = np.array([str(c) for c in model.classes] + [UNKNOWN], object)
         for whole in batches:
+            whole = with_text(whole, text)
             for b in slices(whole, whole.num_columns - 1):
                 texts = b.column(b.num_columns - 1).to_pylist()
                 p = model.probabilities(coder, texts)

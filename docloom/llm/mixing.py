@@ -17,13 +17,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import WORD_RE, written
+from .common import written
 
 CAP = 3
 
 
 def n_words(text: str = "text") -> Column:
-    return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD_RE)), F.lit(0)).cast("long")
+    """Words, by their first characters: ``regexp_count`` would hold every word of a text as a string."""
+    first = F.regexp_replace(F.col(text), r"[\x20\x09-\x0D]*+([^\x20\x09-\x0D]?+)[^\x20\x09-\x0D]*+", "$1")
+    return F.coalesce(F.length(first), F.lit(0)).cast("long")
 
 
 def targets(sizes: dict[str | None, int], weight: Callable[[int], float], cap: float = CAP) -> dict[str | None, float]:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import subword
-from .common import fold, least_ids, slices, written
+from .common import beside_text, fold, least_ids, slices, with_text, written
 
 FOLDS, HELD = 5, 0
 
@@ -35,20 +35,21 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, *, max_docs: in
     return subword.train(data, marks, buckets=buckets, grams=grams, dim=4, epochs=6, rate=4.0, rare=0.002)
 
 
-def scored(spark: SparkSession, docs: DataFrame, model: subword.Model, *, keep: list[str]) -> DataFrame:
+def scored(spark: SparkSession, docs: DataFrame, model: subword.Model, *, keep: list[str], text: str = "text") -> DataFrame:
     """``keep`` columns of every row, with ``score`` (probability of toxic) and ``predicted`` (score >= 0.5).
 
     Null and empty texts get the score of the bias alone. Repeated rows get the same answer; an
     empty table gives an empty table.
     """
     shared = spark.sparkContext.broadcast(model)
-    frame = docs.select(*keep, F.col("text").alias("__text"))
+    frame = beside_text(docs, keep, text)
     schema = docs.select(*keep).withColumns({"score": F.lit(0.0), "predicted": F.lit(0)}).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         coder = model.coder()
         for whole in batches:
+            whole = with_text(whole, text)
             for b in slices(whole, whole.num_columns - 1):
                 p = model.probabilities(coder, b.column(b.num_columns - 1).to_pylist())
                 score = p[:, model.classes.index(1)] if 1 in model.classes else np.zeros(len(p))

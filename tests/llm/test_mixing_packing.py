@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docloom.llm import mixing, packing
+from docloom.llm.common import find_words
 
 
 def test_targets_stop_at_the_cap_and_share_the_excess():
@@ -112,3 +113,11 @@ def test_boundaries_of_very_many_lengths():
     k = packing.boundaries(lengths, counts, 2)
     at = int(np.searchsorted(lengths, k[0])) + 1
     assert k[1] == lengths[-1] and whole(0, at) + whole(at, len(lengths)) == cost.min()
+
+
+def test_words_are_counted_without_a_string_each(spark):
+    texts = [None, "", " ", "\t\n\r ", "a", " a ", "a\x0bb\x0cc", "   x", "😀 😀😀\n", "\x1c\x1d \x00 \x7f", "one  two\r\nthree", "é" * 3000 + " " * 3000 + "x", "$1 \\1 $"]
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i long, text string")
+    counted = docs.select("i", mixing.n_words().alias("n"))
+    assert {r.i: r.n for r in counted.collect()} == {i: len(find_words(x or "")) for i, x in enumerate(texts)}
+    assert "regexp_extract_all" not in counted._jdf.queryExecution().executedPlan().toString()

@@ -4,7 +4,7 @@ import corpus_pipeline as cp
 import numpy as np
 import pytest
 
-from docloom.llm import packing, simhash
+from docloom.llm import language, packing, simhash, subword, toxicity
 from docloom.llm.common import find_words
 
 
@@ -69,3 +69,16 @@ def test_stages(spark, corpus):
 def test_run(spark, corpus):
     got = cp.run(spark, corpus)
     assert got.count() > 100 and "batch" in got.columns
+
+
+def test_a_text_goes_to_python_once(spark, corpus):
+    docs = spark.read.parquet(f"{corpus}/documents.parquet")
+    plain = subword.Model(["de", "en"], np.ones((64, 2), np.float32), np.array([0.0, 1.0]), (3,))
+    whole = cp._whole(docs)
+    assert whole.columns == ["doc"]
+    for rows in (language.label(spark, whole, plain, keep=["doc"], text="doc.text"), toxicity.scored(spark, whole, subword.Model([0, 1], plain.table, plain.bias, (3,)), keep=["doc"], text="doc.text")):
+        assert "__text" not in rows._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(str, rows.select("doc.*").collect())) == sorted(map(str, docs.collect()))
+    told = language.label(spark, docs, plain, keep=["doc_id"]).collect()
+    inside = language.label(spark, whole, plain, keep=["doc"], text="doc.text").select("doc.doc_id", "lang_pred", "score").collect()
+    assert sorted(map(str, told)) == sorted(map(str, inside))
