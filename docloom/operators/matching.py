@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..sources.shared import written
+from ..sources.shared import by_shuffle, written
 
 SHORT, GRAM, HELD, LEVELS = 16, 8, 120, 8
 HOT = 50_000
@@ -96,13 +96,26 @@ def with_needle(titles: DataFrame) -> DataFrame:
     return titles.withColumn("needle", T.folded(F.col("title")))
 
 
+#: Lines of a document that meet its titles in one task.
+STRETCH = 4096
+
+
+def said_in_document(asked: DataFrame, lines: DataFrame) -> DataFrame:
+    """Rows of ``asked`` (doc_id, needle, size, ..), ``size`` the document's lines, with each line_no of ``lines``
+    (doc_id, line_no, text) that says the needle.
+
+    A document has few titles, so they come to its lines: a line is exchanged once, and no gram of it.
+    """
+    texts = line_texts(lines, width(asked)).withColumn("stretch", F.floor(F.col("line_no") / STRETCH).cast("int"))
+    dealt = asked.where(F.length("needle") >= 3).withColumn("stretch", F.explode(F.sequence(F.lit(0), F.floor((F.greatest("size", F.lit(1)) - 1) / STRETCH).cast("int"))))
+    return texts.join(by_shuffle(dealt), ["doc_id", "stretch"]).where(says(F.col("needle"), F.col("said"), F.col("n"), F.col("head"))).drop("stretch", "size", "said", "n", "head")
+
+
 def lines_saying(titles: DataFrame, lines: DataFrame) -> DataFrame:
     """(doc_id, line_no, title): lines of a document that say a title of the same document's outline."""
-    asked = written(with_needle(titles).select("doc_id", "title", "needle").distinct(), "titles")
-    texts = line_texts(lines.select("doc_id", "line_no", "text"), width(asked))
-    texts = written(texts, "lines")
-    pairs = matches(asked, texts, "doc_id")
-    return texts.join(pairs, ["doc_id", "said", "n", "head"]).join(asked, ["doc_id", "needle"]).select("doc_id", "line_no", "title")
+    size = lines.groupBy("doc_id").agg((F.max("line_no") + 1).alias("size"))
+    asked = with_needle(titles).select("doc_id", "title", "needle").distinct().join(by_shuffle(size), "doc_id")
+    return said_in_document(written(asked, "titles"), lines.select("doc_id", "line_no", "text")).select("doc_id", "line_no", "title")
 
 
 def titles_elsewhere(titles: DataFrame, lines: DataFrame) -> DataFrame:

@@ -49,15 +49,17 @@ def anchors(titles: DataFrame, lines: DataFrame) -> DataFrame:
     head = F.col("one").isNotNull()
     joined = lambda *p: F.when(sum((F.col(x).isNull().cast("int") for x in p), F.lit(0)) == 0, F.concat_ws(" ", *p))
     every = F.array(F.struct(F.col("one").alias("key"), F.lit(1).alias("span")), F.struct(joined("piece", "second").alias("key"), F.lit(2).alias("span")), F.struct(joined("piece", "second", "third").alias("key"), F.lit(3).alias("span")))
-    spread = near.select("doc_id", F.col("line_no").alias("line"), head.alias("head"), F.explode(F.filter(every, lambda x: F.length(x.key) >= 3)).alias("x")).select("doc_id", "line", "head", "x.key", "x.span")
     asked = titles.select("doc_id", "ord", entry_key(F.col("title")).alias("key")).where(F.length("key") >= 3)
-    return asked.join(spread, ["doc_id", "key"]).groupBy("doc_id", "ord", "line", "head").agg(F.min("span").alias("span"))
+    # a document's few keys come to its lines, which lie together already; only what they ask for is exchanged
+    by_doc = asked.groupBy("doc_id").agg(F.collect_set("key").alias("asked"))
+    held = near.join(by_shuffle(by_doc), "doc_id").select("doc_id", F.col("line_no").alias("line"), head.alias("head"), F.explode(F.filter(every, lambda x: F.array_contains("asked", x.key))).alias("x"))
+    return asked.join(by_shuffle(held.select("doc_id", "line", "head", "x.key", "x.span")), ["doc_id", "key"]).groupBy("doc_id", "ord", "line", "head").agg(F.min("span").alias("span"))
 
 
 def _bounds(marks: DataFrame, lines: DataFrame) -> DataFrame:
     """Entries with ``lo`` and ``hi``, the lines of their page, ``until``, where the next entry of a later page
     begins, ``n`` lines, and whether they share their page with the entry before."""
-    starts = page_map(lines)
+    starts = written(page_map(lines), "page-starts")
     size = lines.groupBy("doc_id").agg((F.max("line_no") + 1).alias("n"))
     by_page = W.partitionBy("doc_id").orderBy("page")
     paged = starts.withColumn("next", F.lead("start").over(by_page))
@@ -95,10 +97,8 @@ def placed(marks: DataFrame, lines: DataFrame) -> DataFrame:
     hits = written(hits, "hits")
     # A line that says the title is asked for only where it does not stand.
     rest = own.join(hits.select("doc_id", "ord"), ["doc_id", "ord"], "left_anti").where("not (shares and page is not null)").unionByName(own.join(hits, ["doc_id", "ord"], "left_semi").where("lo is null"))
-    asked = written(matching.with_needle(rest.select("doc_id", "ord", "title", "lo", "hi")), "sought")
-    texts = written(matching.line_texts(lines.select("doc_id", "line_no", "text"), matching.width(asked)), "lines")
-    pairs = matching.matches(asked.select("doc_id", "needle"), texts, "doc_id")
-    near = asked.join(texts.join(pairs, ["doc_id", "said", "n", "head"]).select("doc_id", "needle", "line_no"), ["doc_id", "needle"])
+    asked = written(matching.with_needle(rest.select("doc_id", "ord", "title", "lo", "hi", F.col("n").alias("size"))), "sought")
+    near = matching.said_in_document(asked, lines.select("doc_id", "line_no", "text"))
     near = near.where(F.col("lo").isNull() | (F.col("line_no") >= F.col("lo")) & (F.col("line_no") < F.col("hi")))
     near = near.groupBy("doc_id", "ord").agg(F.min("line_no").alias("near"), F.array_sort(F.collect_list(F.when(F.col("lo").isNull(), F.col("line_no")))).alias("nears"))
     told = own.join(hits, ["doc_id", "ord"], "left").join(near, ["doc_id", "ord"], "left")

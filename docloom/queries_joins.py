@@ -14,7 +14,7 @@ from .functions import text as T
 from .operators import budgets, claims, following, lexicon, matching, ornaments, outline, scan, stitching, tracking
 from .queries_passes import BOOK, _book
 from .sources import relations as R
-from .sources.shared import by_shuffle
+from .sources.shared import by_shuffle, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -57,7 +57,7 @@ _add(
 def _outline(s: SparkSession, d: str) -> DataFrame:
     """An outline of a book's own headings, a third of them without a page, and two entries besides: a title
     that wraps and one that stands nowhere."""
-    h = outline.headings(_pages(s, d))
+    h = written(outline.headings(_pages(s, d)), "headings")
     own = h.select("doc_id", (F.col("ord") * 2).alias("ord"), "title", (1 + F.col("ord") % 3).alias("level"), F.when(F.col("ord") % 3 != 0, F.col("ord") % 7).cast("int").alias("page"))
     more = F.expr("stack(2, 1, 'Why Life Is Not Working—and Why Another Way', 2, cast(null as int), 5, 'Not there', 2, 1) as (ord, title, level, page)")
     return own.unionByName(h.select("doc_id").distinct().select("doc_id", more))

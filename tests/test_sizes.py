@@ -10,7 +10,7 @@ from pyspark.util import PythonEvalType
 
 import __spark_entry__
 from docloom.functions import text as T
-from docloom.operators import lexicon, scan, shelf, stitching
+from docloom.operators import lexicon, matching, outline, scan, shelf, stitching
 from docloom.passes import lines as L
 from docloom.passes import tidy
 from docloom.passes.spark import rows_of
@@ -143,3 +143,20 @@ def test_a_long_line_is_gone_through_once(monkeypatch):
         want = [p if k else line[: len(line) - len(line.lstrip(" \t"))] + p for k, p in enumerate(parts + ([rest] if rest else []))] if free else [line]
         assert tidy.long_lines([line]).lines == want
     assert seen and max(seen) <= 32
+
+
+def test_no_gram_or_key_of_all_lines_is_exchanged(spark, monkeypatch):
+    own = lines(spark, ["## One\nof Two things here\n# Two\nThree\nand three\n<!-- page 2 -->\nNot there, of two things", "One\nTwo\n\nThree of them"])
+    marks = spark.createDataFrame([(d, i, x, 1, p) for d in (0, 1) for i, (x, p) in enumerate([("One", None), ("two things", 2), ("Three", None), ("Not there", 1)])], "doc_id long, ord int, title string, level int, page int")
+    monkeypatch.setattr(matching, "_grams", None)  # a gram of each place in a line was exchanged
+    placed = {(r.doc_id, r.title): (r["at"], r["head"]) for r in stitching.placed(marks, own).collect()}
+    assert placed == {(0, "One"): (0, True), (0, "two things"): (1, False), (0, "Three"): (3, False), (0, "Not there"): (6, False), (1, "One"): (0, False), (1, "two things"): (1, False), (1, "Three"): (3, False), (1, "Not there"): (4, False)}
+    assert {(r.doc_id, r.line_no) for r in matching.lines_saying(outline.headings(own), own).collect()} == {(0, 0), (0, 2)}
+    assert "array_contains" in plan(stitching.anchors(marks, own))
+
+
+def test_titles_meet_every_stretch_of_a_long_document(spark, monkeypatch):
+    monkeypatch.setattr(matching, "STRETCH", 2)
+    own = lines(spark, ["a title\nx\nx\nthe a title\nx\nx\na title so"])
+    asked = spark.createDataFrame([(0, "a title", 7), (0, "", 7)], "doc_id long, needle string, size int")
+    assert sorted(r.line_no for r in matching.said_in_document(asked, own).collect()) == [0, 6]
