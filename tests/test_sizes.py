@@ -10,7 +10,7 @@ from pyspark.util import PythonEvalType
 
 import __spark_entry__
 from docloom.functions import text as T
-from docloom.operators import lexicon, matching, outline, scan, shelf, stitching
+from docloom.operators import lexicon, matching, outline, reading, scan, shelf, stitching
 from docloom.passes import lines as L
 from docloom.passes import tidy
 from docloom.passes.spark import rows_of
@@ -160,3 +160,10 @@ def test_titles_meet_every_stretch_of_a_long_document(spark, monkeypatch):
     own = lines(spark, ["a title\nx\nx\nthe a title\nx\nx\na title so"])
     asked = spark.createDataFrame([(0, "a title", 7), (0, "", 7)], "doc_id long, needle string, size int")
     assert sorted(r.line_no for r in matching.said_in_document(asked, own).collect()) == [0, 6]
+
+
+def test_placed_words_are_exchanged_once(spark):
+    items = spark.createDataFrame([(0, 2.0, 9.0, "b"), (0, 1.0, 10.0, "a"), (0, 1.0, 1.0, " "), (1, 5.0, 0.0, "c")], "doc_id long, x double, y double, s string")
+    held = reading.item_lines(items)
+    assert plan(held).count("Exchange") == 1
+    assert sorted(map(tuple, held.collect())) == [(0, 0, "a b"), (1, 0, "c")]
