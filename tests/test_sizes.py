@@ -145,6 +145,17 @@ def test_a_long_line_is_gone_through_once(monkeypatch):
     assert seen and max(seen) <= 32
 
 
+FRONT = ["---\n# a\n---\n# b\n---\n# c", "# a\n---\n# b\n---\n# c", "---\n# a", "x\n" * 38 + "---\n---\n---\n# a", " --- \n## a\n" + "x\n" * 39 + "---\n## b", "---\n### a\n  ---\n<!--ym-tr-->## b\n## Page 3\n# Outline\n#", ""]
+
+
+def test_headings_read_their_lines_once(spark):
+    own = lines(spark, FRONT)
+    found = outline.headings(own)
+    assert plan(found).count("Scan") == 1
+    said = {d: [r.title for r in sorted(found.collect(), key=lambda r: r.ord) if r.doc_id == d] for d in range(len(FRONT))}
+    assert said == {0: ["b", "c"], 1: ["a", "b", "c"], 2: ["a"], 3: ["a"], 4: ["a", "b"], 5: ["b"], 6: []}
+
+
 def test_no_gram_or_key_of_all_lines_is_exchanged(spark, monkeypatch):
     own = lines(spark, ["## One\nof Two things here\n# Two\nThree\nand three\n<!-- page 2 -->\nNot there, of two things", "One\nTwo\n\nThree of them"])
     marks = spark.createDataFrame([(d, i, x, 1, p) for d in (0, 1) for i, (x, p) in enumerate([("One", None), ("two things", 2), ("Three", None), ("Not there", 1)])], "doc_id long, ord int, title string, level int, page int")
