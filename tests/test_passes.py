@@ -189,3 +189,14 @@ def test_support():
     assert ask.page_near(text, 30) == "4" and ask.plain_text(text)[0] == "Page 4\none\na\nb\nc\nd\nend\n"
     assert ask.selection(text, 7, 10) == "one" and ask.selection(text, 7, 16).split("\n") == ["one", "| a | b |", "| --- | --- |", "| c |  |"]
     assert ask.chapter_text("# a\nx\n# b\ny\n# c\nz", 1) == "# a\nx\n" and ask.working("a", " ") == "a" and ask.note("N", ["a", "b"]).startswith("# N\n\na\n\n---\n\nb")
+
+
+def test_titles_are_looked_for_in_lines_folded_once(monkeypatch):
+    text = ["# Of the Engine", "the engine fire switches", "12 engine fire switches here", "page 3 and so on, a long line", "# Engine Fire Switches", "engine fire switchesx", "x" * 121 + " of wings and tails", "see of wings and tails", "Of wings ... 5", "of  the engine, more", "the wing", ""]
+    titles = ["Of the engine", "Engine  fire switches", "Page 3 and so on, a long line of it", "The engine fire switches, and the rest", "of wings and tails", "the", "th", "", "not there", "of the engine"]
+    assert stitch.heading_and_title_lines(titles, text) == [(t, stitch.heading_line(t, text), stitch.title_line(t, text)) for t in titles]
+    assert stitch.heading_and_title_lines(["Any"], []) == [("Any", None, None)]
+    folded, done = L.folded, []
+    monkeypatch.setattr(L, "folded", lambda t: done.append(t) or folded(t))
+    stitch.heading_and_title_lines([f"Title {k}" for k in range(200)], [f"a line {k} of text" for k in range(300)])
+    assert len(done) <= 300 + 2 * 200  # not one for each pair
