@@ -200,3 +200,28 @@ def test_titles_are_looked_for_in_lines_folded_once(monkeypatch):
     monkeypatch.setattr(L, "folded", lambda t: done.append(t) or folded(t))
     stitch.heading_and_title_lines([f"Title {k}" for k in range(200)], [f"a line {k} of text" for k in range(300)])
     assert len(done) <= 300 + 2 * 200  # not one for each pair
+
+
+def test_chapters_of_a_package_look_at_their_own_lines(monkeypatch):
+    text = [x for k in range(40) for x in (f"# Part {k}", "- a ![p](figures/a.png)", "| x | y |", "| --- | --- |", "| ![p](figures/b.png) | * |", "> ..9", "* * *", "`c` & _d_", "")]
+    outside, done = markup.outside, []
+    monkeypatch.setattr(markup, "outside", lambda t: done.append(len(t)) or outside(t))
+    book = zipfile.ZipFile(io.BytesIO(markup.epub(text, "B", "urn:x", pictures={"figures/a.png": b"a", "figures/b.png": b"b"})))
+    assert [x for x in book.namelist() if "images" in x] == ["OEBPS/images/a.png", "OEBPS/images/b.png"]
+    assert book.read("OEBPS/text/ch040.xhtml").decode().count("<img") == 2
+    assert len(done) <= 3  # not one for each chapter
+
+
+def test_pieces_too_long_for_a_known_word_are_not_looked_up():
+    class Known(frozenset):
+        asked = 0
+
+        def __contains__(self, x):
+            Known.asked += 1
+            return super().__contains__(x)
+
+    text = ["Wh en seventy sixths came, ma ny in to the ho use"]
+    assert tidy.split_words(text, Known({"when", "many", "into"})).lines == ["When seventy sixths came, many into the ho use"]
+    assert Known.asked <= 6
+    line = "one two three, four five six. seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen"
+    assert [tidy.cut(line, u, m) for u, m in ((20, 40), (30, 60), (68, 98), (200, 300))] == [30, 30, 65, None]
