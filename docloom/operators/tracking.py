@@ -16,6 +16,8 @@ from .scan import free
 
 _REST, _GLUED = r"[^\p{L}\p{N}]*", r"[^\s\x{1c}-\x{1f}\x{85}\p{Z}\p{L}\p{N}]*"
 LEAST, SOURCE = 5, 8
+#: A source has letters enough: looked for to the last of them, however long it is.
+ENOUGH = rf"(?:[\p{{L}}\p{{N}}][^\p{{L}}\p{{N}}]*+){{{SOURCE}}}"
 
 
 def _letters(c: Column) -> Column:
@@ -35,7 +37,7 @@ def closed_letters(lines: DataFrame, sources: DataFrame) -> DataFrame:
     """Edits (doc_id, line_no, text, back): letter-spaced titles as ``sources`` (doc_id, text) have them; of several
     places that with most capitals alike, then the shortest, then the first. A title that its source lacks stays."""
     titles = written(tracked_titles(lines), "titles")
-    text = sources.select("doc_id", F.col("text").alias("source")).join(titles.select("doc_id").distinct(), "doc_id", "left_semi").where(F.size(_letters(F.col("source"))) >= SOURCE)
+    text = sources.select("doc_id", F.col("text").alias("source")).join(titles.select("doc_id").distinct(), "doc_id", "left_semi").where(F.col("source").rlike(ENOUGH))
     asked = titles.withColumn("own", _letters(F.col("body"))).where(F.size("own") >= LEAST)
     pattern = F.concat(F.lit(f"(?iu){_GLUED}"), F.array_join("own", _REST), F.lit(_GLUED))
     found = asked.withColumn("pattern", pattern).join(text, "doc_id").withColumn("places", F.regexp_extract_all("source", F.col("pattern"), F.lit(0)))
@@ -43,5 +45,6 @@ def closed_letters(lines: DataFrame, sources: DataFrame) -> DataFrame:
     alike = lambda s: F.size(F.filter(F.zip_with("own", _letters(s), lambda a, b: upper(a) == upper(b)), lambda x: x))
     said = lambda s: F.trim(F.regexp_replace(s, r"[\s\x{1c}-\x{1f}\x{85}\p{Z}]+", " "))
     best = F.array_min(F.transform("places", lambda s, i: F.struct((-alike(s)).alias("alike"), F.length(s).alias("n"), i.alias("i"), said(s).alias("said"))))
-    told = found.select("doc_id", "line_no", "head", best["said"].alias("said")).where("said <> ''")
+    # generated, since a filter on a plain column would look through the source again for each use of it
+    told = found.select("doc_id", "line_no", "head", F.explode(F.array(best["said"])).alias("said")).where("said <> ''")
     return told.where(~T.tracked(F.col("said"))).select("doc_id", "line_no", F.concat("head", "said").alias("text"), F.lit(False).alias("back"))

@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from docloom.operators import tracking
 from docloom.operators import following
 from docloom.passes import lines as L
 from docloom.sources import relations as R
@@ -67,3 +68,12 @@ def test_lines_are_followed(spark, chunk):
     want = {(i, k): plain(t, o, k) for i, (t, o) in enumerate(zip(texts, others, strict=True)) for k in range(len(t))}
     assert got == want
     assert sum(v is not None for v in got.values()) > 1000
+
+
+def test_a_source_is_gone_through_once_for_a_title(spark):
+    rows = [(1, "## Y O U R G I F T\nx"), (2, "S o m e t\n"), (3, "## A b c d e f\n"), (4, "# Y O U R G I F T")]
+    sources = [(1, "a your gift, then (Your Gift). x"), (2, "Somet"), (3, "abcdef 12345678"), (4, None)]
+    lines = spark.createDataFrame([(k, i, x) for k, t in rows for i, x in enumerate(t.split("\n"))], "doc_id long, line_no int, text string")
+    out = tracking.closed_letters(lines, spark.createDataFrame(sources, "doc_id long, text string"))
+    assert sorted((r.doc_id, r.line_no, r.text) for r in out.collect()) == [(1, 0, "## (Your Gift)."), (3, 0, "## abcdef")]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all(source") == 1
