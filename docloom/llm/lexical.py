@@ -1,10 +1,10 @@
 """Ranked lexical search over document-sharded postings with integer impacts.
 
-``build`` reads the texts once. Each shard holds some thousand documents at most and its postings as
-compressed sparse rows: for each of its terms the documents that hold it, with the impact that a
-posting gives, a 64-bit integer rule of the term's occurrences, the document's length and the
-corpus's mean length. The mean is known when all texts are read, so occurrences are written first
-and impacts take their place in a second pass over the postings.
+``build`` reads the texts once and writes once. Each shard holds some thousand documents at most and
+its postings as compressed sparse rows: for each of its terms the documents that hold it, with its
+occurrences there. The impact of a posting, a 64-bit integer rule of the occurrences, the document's
+length and the corpus's mean length, is made where a shard is searched, as the mean is known only
+when all texts are read. Row groups are small, so that neither side holds a file's shards at once.
 
 ``search`` takes the queries in blocks. Every shard adds, a term at a time, weight x impact into dense
 arrays, one row a query, and keeps its best by a partition of that array with ties cut by document
@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import drop_table, lower_ascii, slices, table_path, written
+from .common import lower_ascii, slices, written
 
 #: A term: a run of ASCII letters and digits and of all beyond ASCII.
 TERM_RE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -38,15 +38,23 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 TOP = 50
 #: Bounds of a shard (rows, bytes of text) and of a block of queries. Small shards keep rows and arrays small.
 SHARD_ROWS, SHARD_BYTES, ROW_BLOCK, BLOCK_ITEMS, BLOCK_TERMS = 4096, 250_000, 256, 4096, 400_000
-_RAW = "docs array<long>, sizes binary, terms array<string>, ptr binary, posting binary, tf binary"
-_SHARD = "docs array<long>, terms array<string>, ptr binary, posting binary, impact binary"
+#: Terms are one string with their ends, so that no row is made of each on the way to the files and back.
+_SHARD = "docs array<long>, sizes binary, terms binary, ends binary, ptr binary, posting binary, tf binary"
+#: Bytes of a row group, looked at after each shard (the writer would hold a hundred of them else).
+_GROUP = {"parquet.block.size": 4 << 20, "parquet.page.size.row.check.min": 1, "parquet.page.size.row.check.max": 1}
 
 
 def _cells(batch: pa.RecordBatch, name: str, dtype) -> list[np.ndarray]:
     return [np.frombuffer(c.as_buffer(), dtype) for c in batch.column(name)]
 
 
-def _raw_shards(shard_rows: int):
+def _terms(batch: pa.RecordBatch) -> Iterator[pa.StringArray]:
+    """The terms of each shard of a batch, without a copy."""
+    for ends, data in zip(batch.column("ends"), batch.column("terms"), strict=True):
+        yield pa.StringArray.from_buffers(len(ends.as_buffer()) // 4 - 1, ends.as_buffer(), data.as_buffer())
+
+
+def _shards(shard_rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for piece in slices(whole, 1, SHARD_BYTES):
@@ -59,9 +67,12 @@ def _raw_shards(shard_rows: int):
                     keys, tf = np.unique(np.concatenate(found) * b.num_rows + np.repeat(np.arange(b.num_rows), sizes), return_counts=True)
                     ptr = np.searchsorted(keys, np.arange(len(numbers) + 1) * b.num_rows)
                     cells = [sizes.tobytes(), ptr.astype(np.int64).tobytes(), (keys % b.num_rows).astype(np.uint16).tobytes(), tf.astype(np.uint16 if tf.max(initial=0) < 1 << 16 else np.int32).tobytes()]
-                    sizes, ptr, posting, tf = (pa.array([c], pa.binary()) for c in cells)
+                    names = pa.array(numbers, pa.string()).cast(pa.binary())
+                    ends = np.concatenate([[0], np.cumsum(pc.binary_length(names).to_numpy())])
+                    cells += [b"".join(names.to_pylist()), ends.astype(np.int32).tobytes()]
+                    sizes, ptr, posting, tf, terms, ends = (pa.array([c], pa.binary()) for c in cells)
                     docs = pa.array([b.column(0).to_pylist()], pa.list_(pa.int64()))
-                    yield pa.RecordBatch.from_arrays([docs, sizes, pa.array([list(numbers)], pa.list_(pa.string())), ptr, posting, tf], names=["docs", "sizes", "terms", "ptr", "posting", "tf"])
+                    yield pa.RecordBatch.from_arrays([docs, sizes, terms, ends, ptr, posting, tf], names=["docs", "sizes", "terms", "ends", "ptr", "posting", "tf"])
 
     return run
 
@@ -76,30 +87,26 @@ def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def impacts(tf: np.ndarray, sizes: np.ndarray, n: int, total: int) -> np.ndarray:
     """Of postings with ``tf`` occurrences in documents of ``sizes`` terms, in a corpus of ``n`` documents and ``total`` terms."""
+    return _impacts(tf, _lengths(sizes, n, total))
+
+
+def _lengths(sizes: np.ndarray, n: int, total: int) -> np.ndarray:
     each, back = np.unique(sizes, return_inverse=True)
-    length = np.array([100 - 50 + (50 * s * n) // total for s in each.tolist()], np.int64)[back]
+    return np.array([100 - 50 + (50 * s * n) // total for s in each.tolist()], np.int64)[back]
+
+
+def _impacts(tf: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     tf = tf.astype(np.int64)
-    return 1_000_000_000 * tf // (1000 * tf + 20 * length)
+    return 1_000_000_000 * tf // (1000 * tf + 20 * lengths)
 
 
 def build(spark: SparkSession, docs: DataFrame, path: str, *, shard_rows: int = SHARD_ROWS) -> None:
     """Write the index of ``docs`` (doc_id, text) to ``path``: ``shards`` of ``shard_rows`` (65,536 at most), and ``totals`` of one row."""
-    raw_path = table_path(spark, "postings")
-    raw = written(spark, docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(_raw_shards(shard_rows), _RAW), "postings", raw_path)
-    n, total = raw.select("sizes").mapInArrow(_totals, "n long, total long").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("total"), F.lit(0))).first()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for sizes, posting, cell in zip(_cells(b, "sizes", np.int64), _cells(b, "posting", np.uint16), b.column("tf"), strict=True):
-                data = cell.as_buffer()  # two bytes a posting, or four where some document needs them
-                tf = np.frombuffer(data, np.uint16 if data.size == posting.nbytes else np.int32)
-                out.append(impacts(tf, sizes[posting], n, total).astype(np.int32).tobytes())
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("docs", "terms", "ptr", "posting")), pa.array(out, pa.binary())], names=["docs", "terms", "ptr", "posting", "impact"])
-
-    raw.mapInArrow(run, _SHARD).write.parquet(f"{path}/shards")
+    made = docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(_shards(shard_rows), _SHARD)
+    made.write.options(**_GROUP).parquet(f"{path}/shards")
+    sizes = spark.read.schema("sizes binary").parquet(f"{path}/shards")
+    n, total = sizes.mapInArrow(_totals, "n long, total long").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("total"), F.lit(0))).first()
     spark.createDataFrame([(n, total)], "n long, total long").coalesce(1).write.parquet(f"{path}/totals")
-    drop_table(spark, raw_path)
 
 
 def _weight(n: int, df: int) -> int:
@@ -138,21 +145,22 @@ def best(scores: np.ndarray, docs: np.ndarray, top: int) -> np.ndarray:
 _LAST = np.int64(2**63 - 1)
 
 
-def _search(block: Block, top: int):
+def _search(block: Block, n: int, total: int, top: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for b in batches:
-            for k, (ptr, posting, impact) in enumerate(zip(_cells(b, "ptr", np.int64), _cells(b, "posting", np.uint16), _cells(b, "impact", np.int32), strict=True)):
+            for k, (terms, sizes, ptr, posting) in enumerate(zip(_terms(b), _cells(b, "sizes", np.int64), _cells(b, "ptr", np.int64), _cells(b, "posting", np.uint16), strict=True)):
                 docs = b.column("docs")[k].values
                 docs = pc.fill_null(docs, int(_LAST)).to_numpy(zero_copy_only=False)
-                terms = b.column("terms")[k].values
+                data = b.column("tf")[k].as_buffer()  # two bytes a posting, or four where some document needs them
+                impact = _impacts(np.frombuffer(data, np.uint16 if data.size == posting.nbytes else np.int32), _lengths(sizes, n, total)[posting])
                 for first, count, wanted, weights, queries in block.groups:
                     scores = np.zeros((count, len(docs)), np.int64)
                     rows = pc.index_in(pa.array(wanted, pa.string()), value_set=terms)
                     there = np.flatnonzero(rows.is_valid().to_numpy(zero_copy_only=False))
                     for t, row in zip(there.tolist(), rows.drop_null().to_pylist(), strict=True):
                         span = slice(ptr[row], ptr[row + 1])
-                        add = weights[t] * impact[span].astype(np.int64)
+                        add = weights[t] * impact[span]
                         where = posting[span]
                         if len(queries[t]) == 1:
                             scores[queries[t][0]][where] += add
@@ -178,8 +186,8 @@ def _holding(terms: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted, total = pa.array(terms, pa.string()), np.zeros(len(terms), np.int64)
         for b in batches:
-            for k, ptr in enumerate(_cells(b, "ptr", np.int64)):
-                rows = pc.index_in(wanted, value_set=b.column("terms")[k].values)
+            for held, ptr in zip(_terms(b), _cells(b, "ptr", np.int64), strict=True):
+                rows = pc.index_in(wanted, value_set=held)
                 there = rows.is_valid().to_numpy(zero_copy_only=False)
                 total[there] += np.diff(ptr)[rows.drop_null().to_numpy()]
         at = np.flatnonzero(total)
@@ -205,9 +213,9 @@ def search(spark: SparkSession, path: str, queries: DataFrame, *, top: int = TOP
     for k in range(blocks):
         rows = [(r.item_id, r.term) for r in asked.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).collect()]  # of about block_terms
         terms = sorted({t for _, t in rows})
-        held = shards.select("terms", "ptr").mapInArrow(_holding(terms), "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).collect()
+        held = shards.select("terms", "ends", "ptr").mapInArrow(_holding(terms), "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).collect()
         block = Block(rows, {terms[r.term]: r.df for r in held}, n, at_once)
-        made = shards.mapInArrow(_search(block, top), "item_id long, doc_id long, score long").withColumn("salt", F.spark_partition_id() % salts)
+        made = shards.mapInArrow(_search(block, n, total, top), "item_id long, doc_id long, score long").withColumn("salt", F.spark_partition_id() % salts)
         order = [F.desc("score"), F.asc_nulls_last("doc_id")]
         near = made.withColumn("rank", F.row_number().over(Window.partitionBy("item_id", "salt").orderBy(*order))).where(F.col("rank") <= top)
         results.append(near.withColumn("rank", F.row_number().over(Window.partitionBy("item_id").orderBy(*order))).where(F.col("rank") <= top).select("item_id", "rank", "doc_id", "score"))

@@ -1,11 +1,13 @@
 """Search over shards against the rule written out for every pair of a query and a document."""
 
+import glob
 import math
 import random
 import re
 from collections import Counter
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from docloom.llm import lexical
@@ -87,3 +89,13 @@ def test_ties_are_cut_by_document():
 def test_impacts_stay_exact_beyond_64_bits():
     got = lexical.impacts(np.array([1, 3]), np.array([10**7, 10]), 10**13, 5 * 10**15)
     assert got.tolist() == [(10**9 * tf) // (1000 * tf + 20 * (50 + (50 * n * 10**13) // (5 * 10**15))) for tf, n in ((1, 10**7), (3, 10))]
+
+
+def test_row_groups_are_small(spark, tmp_path):
+    """Neither the writer of the shards nor a reader holds a file's shards at once."""
+    rows = spark.range(0, 2000, 1, 1).selectExpr("id doc_id", "concat_ws(' ', transform(sequence(1, 700), i -> substring(sha2(cast(id * 700 + i as string), 256), 1, 12))) text")
+    lexical.build(spark, rows, f"{tmp_path}/i")
+    (file,) = glob.glob(f"{tmp_path}/i/shards/*.parquet")
+    meta = pq.read_metadata(file)
+    sizes = [meta.row_group(i).total_byte_size for i in range(meta.num_row_groups)]
+    assert sum(sizes) > 16_000_000 and max(sizes) < 8_000_000
