@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.shared import by_shuffle, written
+from . import outline, scan
 
 SMALL, TIMES, SLACK = 150_000, 10, 0.15
 
@@ -57,4 +59,13 @@ def linked_name(line: Column) -> Column:
 def without_ornaments(lines: DataFrame, pictures: DataFrame) -> DataFrame:
     """Edits (doc_id, line_no, text, back): the lines that show an ornament go."""
     shown = lines.where(F.startswith(T.trim(F.col("text")), F.lit("!["))).select("doc_id", "line_no", linked_name(F.col("text")).alias("name"))
-    return shown.join(ornaments(pictures), ["doc_id", "name"], "left_semi").select("doc_id", "line_no", F.lit(None).cast("string").alias("text"), F.lit(False).alias("back"))
+    shown = written(shown, "shown")
+    own = pictures.join(by_shuffle(shown.select("doc_id").distinct()), "doc_id", "left_semi")  # of documents that show any
+    return shown.join(ornaments(own), ["doc_id", "name"], "left_semi").select("doc_id", "line_no", F.lit(None).cast("string").alias("text"), F.lit(False).alias("back"))
+
+
+def outline_after(lines: DataFrame, pictures: DataFrame) -> DataFrame:
+    """(doc_id, ord, title, line): the headings, at the lines that they have once ornaments are gone. The lines are made
+    once: those that are looked at are written."""
+    looked = written(lines.where(outline.candidates() | F.contains("text", F.lit("!["))), "marks")
+    return scan.renumbered(outline.headings(looked), without_ornaments(looked, pictures)).select("doc_id", "ord", "title", "line")

@@ -110,6 +110,15 @@ def line_map(lines: DataFrame, edits: DataFrame, *, chunk: int = CHUNK) -> DataF
     return made.select("doc_id", F.col("line_no").alias("old_line"), F.greatest(F.lit(0), to).cast("int").alias("new_line"))
 
 
+def renumbered(asked: DataFrame, edits: DataFrame) -> DataFrame:
+    """``asked`` (doc_id, line_no, ..), lines that stay, with ``line``: their numbers under ``edits``. No other lines are
+    read: a number falls by the lines before that go."""
+    gone = edits.where("text is null").select("doc_id", "line_no", F.lit(1).alias("gone"))
+    both = asked.withColumn("gone", F.lit(0)).unionByName(gone, allowMissingColumns=True)
+    before = F.sum("gone").over(W.partitionBy("doc_id").orderBy("line_no"))
+    return both.withColumn("line", (F.col("line_no") - before).cast("int")).where("gone = 0").drop("gone")
+
+
 def is_fence(t: Column) -> Column:
     return t.rlike("^(```|~~~)")
 

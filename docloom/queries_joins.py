@@ -192,7 +192,7 @@ def _pictures(s: SparkSession, d: str) -> DataFrame:
 
 
 _add("d40_without_ornaments", lambda s, d: ornaments.without_ornaments(_pages(s, d), _pictures(s, d)))
-_add("s58_outline_after_ornaments", lambda s, d: (lambda p: outline.headings(p).join(scan.line_map(p, ornaments.without_ornaments(p, _pictures(s, d))).withColumnRenamed("old_line", "line_no"), ["doc_id", "line_no"]).select("doc_id", "ord", "title", F.col("new_line").alias("line")))(_pages(s, d)))
+_add("s58_outline_after_ornaments", lambda s, d: ornaments.outline_after(_pages(s, d), _pictures(s, d)))
 
 
 # Page marks: every seventh sentence of a text, as it stands in the file, is a page's.

@@ -6,7 +6,8 @@ from collections import Counter
 
 import pytest
 
-from docloom.operators import budgets, claims, lexicon, ornaments, scan, tracking
+from docloom import queries_joins
+from docloom.operators import budgets, claims, lexicon, ornaments, outline, scan, tracking
 from docloom.passes import ask, figures, tidy, translation
 from docloom.passes import lines as L
 from docloom.sources import relations as R
@@ -144,3 +145,23 @@ def test_ornaments(spark):
     for i, (book, own) in enumerate(zip(books, pictures, strict=True)):
         want = figures.without_ornaments(book, own)
         assert [x for k, x in enumerate(book) if (i, k) not in gone] == want.lines and where[i] == want.where
+
+
+def test_outline_after_ornaments(spark):
+    """Headings at the lines that a map of all lines gives them, by the lines that go alone."""
+    rng = random.Random(13)
+    books = [["---", "x", "---"] * (i % 2) + [rng.choice(["# A title", "text", "", "![a](p1.png)", "## Other", "![b](q.png)", "see ![x](p1.png)", "- a ---"]) for _ in range(rng.randrange(60))] for i in range(40)]
+    lines = R.lines(spark.createDataFrame([(i, "\n".join(b)) for i, b in enumerate(books)], "doc_id long, text string")).cache()
+    frame = spark.createDataFrame([(i, f"p{k}.png", 30, 20) for i in range(0, 40, 3) for k in range(12)], "doc_id long, name string, w int, h int")
+    edits = ornaments.without_ornaments(lines, frame)
+    places = {(r.doc_id, r.old_line): r.new_line for r in scan.line_map(lines, edits).collect()}
+    want = sorted((r.doc_id, r.ord, r.title, places[r.doc_id, r.line_no]) for r in outline.headings(lines).collect())
+    assert sorted(map(tuple, ornaments.outline_after(lines, frame).collect())) == want and any(k != places[i, k] for i, k in places)
+
+
+def test_outline_after_ornaments_makes_lines_once(spark):
+    docs = spark.createDataFrame([(1, "# a\n![x](p1.png)\n# b")], "doc_id long, text string")
+    frame = spark.createDataFrame([(1, f"p{k}.png", 30, 20) for k in range(12)], "doc_id long, name string, w int, h int")
+    made = queries_joins.QUERIES["s58_outline_after_ornaments"](spark, "/root/testdata/sf0.001")
+    assert "posexplode" not in made._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, ornaments.outline_after(R.lines(docs), frame).collect())) == [(1, 1, "a", 0), (1, 2, "b", 1)]
