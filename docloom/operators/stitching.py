@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..sources.shared import by_shuffle, written
-from . import matching
+from . import matching, outline
 from .outline import doc
 
 PIECE = 80
@@ -37,15 +37,23 @@ def page_map(lines: DataFrame) -> DataFrame:
     return of.groupBy("doc_id", "page").agg(F.coalesce(F.max(F.when(F.col("head").isNotNull(), F.col("line_no"))), F.min("line_no")).alias("start"))
 
 
+def candidates() -> Column:
+    """Whether ``anchors`` or ``outline.headings`` looks at a line."""
+    return outline.candidates() | (F.length("text") <= PIECE) | (F.length(T.trim(F.col("text"))) <= PIECE)
+
+
 def anchors(titles: DataFrame, lines: DataFrame) -> DataFrame:
     """(doc_id, ord, line, span, head): the places where an entry's title stands, as a heading or over ``span``
-    lines of 80 characters at most; ``titles`` are (doc_id, ord, title)."""
+    lines of 80 characters at most; ``titles`` are (doc_id, ord, title). Lines that are no ``candidates`` may be left out."""
     t = F.col("t")
-    told = lines.select("doc_id", "line_no", T.trim(F.col("text")).alias("t"), T.heading_text(F.col("text")).alias("title"), T.contents_line(F.col("text")).alias("out"))
+    told = lines.select("doc_id", "line_no", T.trim(F.col("text")).alias("t"), T.heading_text(F.col("text")).alias("title"), "text")
+    # most of a text is in long lines, which give no key and are not looked at further
+    told = told.select("doc_id", "line_no", "title", "t", F.when((F.length(t) <= PIECE) | F.col("title").isNotNull(), T.contents_line(F.col("text"))).otherwise(True).alias("out"))
     told = told.select("doc_id", "line_no", "title", F.when((t != "") & ~t.rlike(r"^(<!--|```|~~~)") & ~F.col("out"), t).alias("t"))
     piece = F.when(t.isNotNull() & (F.length(t) <= PIECE) & ~t.rlike(r"^(!\[|\|)"), T.folded(F.coalesce("title", "t")))
     keys = told.select("doc_id", "line_no", F.when(t.isNotNull() & F.col("title").isNotNull(), entry_key(F.col("title"))).alias("one"), piece.alias("piece"))
-    near = keys.withColumns({"second": F.lead("piece").over(doc()), "third": F.lead("piece", 2).over(doc())})
+    after = lambda k: F.when(F.lead("line_no", k).over(doc()) == F.col("line_no") + k, F.lead("piece", k).over(doc()))
+    near = keys.withColumns({"second": after(1), "third": after(2)})
     head = F.col("one").isNotNull()
     joined = lambda *p: F.when(sum((F.col(x).isNull().cast("int") for x in p), F.lit(0)) == 0, F.concat_ws(" ", *p))
     every = F.array(F.struct(F.col("one").alias("key"), F.lit(1).alias("span")), F.struct(joined("piece", "second").alias("key"), F.lit(2).alias("span")), F.struct(joined("piece", "second", "third").alias("key"), F.lit(3).alias("span")))

@@ -54,10 +54,10 @@ _add(
 
 
 # Outlines put into texts.
-def _outline(s: SparkSession, d: str) -> DataFrame:
+def _outline(s: SparkSession, d: str, lines: DataFrame | None = None) -> DataFrame:
     """An outline of a book's own headings, a third of them without a page, and two entries besides: a title
-    that wraps and one that stands nowhere."""
-    h = written(outline.headings(_pages(s, d)), "headings")
+    that wraps and one that stands nowhere. ``lines`` are those of the books, if they are at hand."""
+    h = written(outline.headings(_pages(s, d) if lines is None else lines), "headings")
     own = h.select("doc_id", (F.col("ord") * 2).alias("ord"), "title", (1 + F.col("ord") % 3).alias("level"), F.when(F.col("ord") % 3 != 0, F.col("ord") % 7).cast("int").alias("page"))
     more = F.expr("stack(2, 1, 'Why Life Is Not Working—and Why Another Way', 2, cast(null as int), 5, 'Not there', 2, 1) as (ord, title, level, page)")
     return own.unionByName(h.select("doc_id").distinct().select("doc_id", more))
@@ -68,7 +68,7 @@ _core = lambda x: f"(CASE WHEN length({O.sub(O.folded(x), '^[0-9]+([.][0-9]+)*[
 _start = f"g AS (SELECT doc_id, line_no, try_cast(regexp_extract({O.folded('(' + O.heading_text('text') + ')')}, '^page +([0-9]{{1,9}})$', 1) AS INT) AS hd, ({O.page_comment('text')}) AS mk FROM probe), starts AS (SELECT doc_id, coalesce(hd, mk) - 1 AS page, coalesce(max(CASE WHEN hd > 0 THEN line_no END), min(line_no)) AS start FROM g WHERE hd > 0 OR mk IS NOT NULL GROUP BY ALL)"
 _add("f04_page_map", lambda s, d: stitching.page_map(_pages(s, d)), f"WITH {BOOKS}, {_start} SELECT * FROM starts")
 _add(
-    "f02_title_anchors", lambda s, d: stitching.anchors(_outline(s, d), _pages(s, d)).groupBy("doc_id", "ord").agg(F.min(F.struct("line", "span")).alias("x")).select("doc_id", "ord", "x.line", "x.span"),
+    "f02_title_anchors", lambda s, d: (lambda p: stitching.anchors(_outline(s, d, p), p))(written(_pages(s, d).where(stitching.candidates()), "pieces")).groupBy("doc_id", "ord").agg(F.min(F.struct("line", "span")).alias("x")).select("doc_id", "ord", "x.line", "x.span"),
     f"""WITH {BOOKS}, {_heads}, {_marks}, l AS (SELECT doc_id, line_no, {O.trim('text')} AS t, ({O.heading_text('text')}) AS ht, {O.contents_line('text')} AS c FROM probe), k AS (SELECT doc_id, line_no, ht, t <> '' AND NOT regexp_matches(t, '^(<!--|```|~~~)') AND NOT c AS ok, CASE WHEN ok AND length(t) <= 80 AND NOT regexp_matches(t, '^(!\\[|\\|)') THEN {O.folded('coalesce(ht, t)')} END AS p FROM l),
     w AS (SELECT *, lead(p) OVER o AS p2, lead(p, 2) OVER o AS p3 FROM k WINDOW o AS (PARTITION BY doc_id ORDER BY line_no)), e AS (SELECT doc_id, line_no, {_core('ht')} AS key, 1 AS span FROM w WHERE ok AND ht IS NOT NULL UNION ALL SELECT doc_id, line_no, p || ' ' || p2, 2 FROM w UNION ALL SELECT doc_id, line_no, p || ' ' || p2 || ' ' || p3, 3 FROM w),
     a AS (SELECT doc_id, ord, {_core('title')} AS key FROM m), f AS (SELECT a.doc_id, ord, min((line_no, span)) AS x FROM a JOIN e ON a.doc_id = e.doc_id AND a.key = e.key WHERE length(a.key) >= 3 GROUP BY ALL) SELECT doc_id, ord, x[1] AS line, x[2] AS span FROM f""",

@@ -2,7 +2,8 @@
 
 import random
 
-from docloom.operators import stitching
+from docloom import queries_joins
+from docloom.operators import outline, stitching
 from docloom.passes import lines as L
 from docloom.passes import stitch
 from docloom.sources import relations as R
@@ -131,3 +132,18 @@ def test_page_marks(spark):
         assert "\n".join(new) == stitch.with_page_marks("\n".join(book), file), (book, file)
         put += len(got.get(i, []))
     assert put > 150
+
+
+def test_anchors_by_the_lines_that_may_matter_alone(spark):
+    """Long lines may be left out, also where they stand between two pieces; f02 makes its lines once."""
+    rng = random.Random(31)
+    long = "one two " * 12
+    books = ["\n".join(rng.choice(["One", "two", "# One two", "## 2 Two one", "", "One two ..... 4", "  two  ", "![one](a.png)", "```", "---", long, long + "# x", " " * 90 + "one" + " " * 9]) for _ in range(60)) for _ in range(30)]
+    lines = R.lines(spark.createDataFrame(list(enumerate(books)), "doc_id long, text string")).cache()
+    titles = spark.createDataFrame([(i, k, t) for i in range(30) for k, t in enumerate(["One two", "two one", "one two two", "Two", "2 two one", "One"])], "doc_id long, ord int, title string")
+    want = sorted(map(tuple, stitching.anchors(titles, lines).collect()))
+    few = lines.where(stitching.candidates())
+    assert sorted(map(tuple, stitching.anchors(titles, few).collect())) == want and len({x.span for x in stitching.anchors(titles, lines).collect()}) == 3
+    assert few.count() < lines.count() and sorted(map(tuple, outline.headings(few).collect())) == sorted(map(tuple, outline.headings(lines).collect()))
+    made = queries_joins.QUERIES["f02_title_anchors"](spark, "/root/testdata/sf0.001")
+    assert "posexplode" not in made._jdf.queryExecution().executedPlan().toString()
