@@ -27,11 +27,14 @@ SHORT, GRAM, HELD, LEVELS = 16, 8, 120, 8
 HOT = 50_000
 
 
-def line_texts(lines: DataFrame, most: int) -> DataFrame:
+def line_texts(lines: DataFrame, most: int, *, whole: bool = False) -> DataFrame:
     """``lines`` (.., text) as (.., said, n, head): the first ``most`` characters of a folded line, its
-    length, and whether it is a heading. Contents lines and those of under three characters are left out."""
+    length, and whether it is a heading. Contents lines and those of under three characters are left out.
+    With ``whole`` a longer line has a digest of all of it besides, ``rest``, which tells those that begin alike."""
     told = lines.withColumns({"head": T.heading_text(F.col("text")).isNotNull(), "said": T.folded(F.col("text")), "out": T.contents_line(F.col("text"))})
-    return told.where("not out").withColumn("n", F.length("said")).where("n >= 3").withColumn("said", F.substring("said", 1, most)).drop("text", "out")
+    told = told.where("not out").withColumn("n", F.length("said")).where("n >= 3")
+    told = told.withColumn("rest", F.when(F.col("n") > most, F.sha2("said", 256))) if whole else told
+    return told.withColumn("said", F.substring("said", 1, most)).drop("text", "out")
 
 
 def says(needle: Column, said: Column, n: Column, head: Column) -> Column:
@@ -122,13 +125,15 @@ def titles_elsewhere(titles: DataFrame, lines: DataFrame) -> DataFrame:
     """(title, texts, lines, first_doc): of each folded title, how many different lines of all documents say it,
     how many lines in all, and the least document with one; titles that no line says are left out.
 
-    Lines that are the same are one class with its size, so no pair of copies is made.
+    Lines that are the same are one class with its size, so no pair of copies is made; those that differ beyond
+    what decides whether they say a title are matched once, and counted as so many texts.
     """
     asked = written(with_needle(titles).select("needle").distinct(), "titles")
-    texts = line_texts(lines.select("doc_id", "text"), width(asked)).groupBy("said", "n", "head").agg(F.count("*").alias("times"), F.min("doc_id").alias("first_doc"))
+    texts = line_texts(lines.select("doc_id", "text"), width(asked), whole=True).groupBy("said", "n", "head", "rest").agg(F.count("*").alias("times"), F.min("doc_id").alias("first_doc"))
+    texts = texts.groupBy("said", "n", "head").agg(F.count("*").alias("alike"), F.sum("times").alias("times"), F.min("first_doc").alias("first_doc"))
     texts = written(texts, "lines")
     pairs = matches(asked, texts)
-    told = pairs.join(texts, ["said", "n", "head"]).groupBy("needle").agg(F.count("*").alias("texts"), F.sum("times").alias("lines"), F.min("first_doc").alias("first_doc"))
+    told = pairs.join(texts, ["said", "n", "head"]).groupBy("needle").agg(F.sum("alike").alias("texts"), F.sum("times").alias("lines"), F.min("first_doc").alias("first_doc"))
     return told.withColumnRenamed("needle", "title")
 
 
