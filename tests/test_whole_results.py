@@ -40,3 +40,12 @@ def test_lines_that_differ_late_are_texts_of_their_own(agree):
     texts[1 + 64 * 9] = "\n".join(["some title that goes on"] * 140)
     rows = agree("i09_fuzzy_join", texts)
     assert any(r["texts"] >= 3 and r["lines"] > r["texts"] for r in rows)
+
+
+def test_chapters_of_many_headings(agree):
+    """f21 cut at the first 180 headings of a document; its SQL has all, and a later one may be shallower."""
+    texts = {0: "\n".join(f"line {k} of it" for k in range(64 * 40)), 1: "# late", 2: None, 3: ""}
+    deep = ["## a"] + ["plain"] * 63
+    texts[9 + 64] = "\n".join((deep * 30)[:1900] + ["# " + "x" * 40] * 64)
+    rows = agree("f21_chapters", texts)
+    assert sum(r["doc_id"] == 0 for r in rows) > 100
