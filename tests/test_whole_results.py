@@ -48,4 +48,10 @@ def test_chapters_of_many_headings(agree):
     deep = ["## a"] + ["plain"] * 63
     texts[9 + 64] = "\n".join((deep * 30)[:1900] + ["# " + "x" * 40] * 64)
     rows = agree("f21_chapters", texts)
-    assert sum(r["doc_id"] == 0 for r in rows) > 100
+    assert max(r["first"] for r in rows if r["doc_id"] == 0) > 2000
+
+
+def test_ranges_of_many_headings(agree):
+    """f10 had the ranges of the first 180 headings of a page alone, the last of them up to the end."""
+    rows = agree("f10_chapter_ranges", {1: "".join(f"<h{1 + k % 3}>Title {k}</h{1 + k % 3}><p>said {k}</p>" for k in range(400)), 2: "<h1>One</h1><p>x</p>"}, "pages")
+    assert [r["title"] for r in sorted(rows, key=lambda r: (r["doc_id"], r["ord"]))] == [f"Title {k}" for k in range(400)] + ["One"]
