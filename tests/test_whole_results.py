@@ -3,6 +3,9 @@
 import duckdb
 import pytest
 
+from docloom import queries_passes
+from docloom.sources import office
+
 from .test_queries import ORACLE_SQL, QUERIES, plain
 
 DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -55,3 +58,19 @@ def test_ranges_of_many_headings(agree):
     """f10 had the ranges of the first 180 headings of a page alone, the last of them up to the end."""
     rows = agree("f10_chapter_ranges", {1: "".join(f"<h{1 + k % 3}>Title {k}</h{1 + k % 3}><p>said {k}</p>" for k in range(400)), 2: "<h1>One</h1><p>x</p>"}, "pages")
     assert [r["title"] for r in sorted(rows, key=lambda r: (r["doc_id"], r["ord"]))] == [f"Title {k}" for k in range(400)] + ["One"]
+
+
+def test_all_slides_are_read():
+    """a11 read eighty slides at most; a text gives one a line."""
+    made = office.stored_zip([(f"ppt/slides/slide{n}.xml", f"<a:p>said {n}</a:p>".encode()) for n in (1, 2, 100, 9, 81, 1200)] + [("ppt/slides/slide03.xml", b"<a:p>no</a:p>"), ("ppt/slides/slide4.xml", b"")])
+    assert office.slides(made) == "".join(f"## Slide {n}\n\nsaid {n}\n" + "\n" * (n != 1200) for n in (1, 2, 9, 81, 100, 1200))[:-1] + "\n"
+    assert office.slides(b"no zip file") is None and office.slides(office.stored_zip([])) is None
+    assert office.slides(office.stored_zip([("ppt/slides/slide1.xml", b""), ("ppt/slides/slide2.xml", b"<a:p>b</a:p>")])) is None
+
+
+def test_slides_hold_whole_texts(spark, tmp_path):
+    rows = [(0, "\n".join(f"line {k} & more" for k in range(300)), "en", "src1", 0), (1, "one", "en", "src1", 0)]
+    spark.createDataFrame(rows, DOCUMENTS).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.path: r.text for r in queries_passes.QUERIES["a11_slides"](spark, str(tmp_path)).collect()}
+    assert [x for x in got["/in/0.pptx"].split("\n") if x and not x.startswith("## ")] == [f"line {k} & more" for k in range(300)]
+    assert got["/in/0.pptx"].count("## Slide ") == 300 and got["/in/1.pptx"] == "## Slide 1\n\none\n"
