@@ -1,9 +1,12 @@
 """Queries against their SQL over tables of odd and long texts."""
 
+import time
+
 import duckdb
 import pytest
 
 from docloom import queries_passes
+from docloom.operators import retrieval
 from docloom.sources import office
 
 from .test_queries import ORACLE_SQL, QUERIES, plain
@@ -74,3 +77,18 @@ def test_slides_hold_whole_texts(spark, tmp_path):
     got = {r.path: r.text for r in queries_passes.QUERIES["a11_slides"](spark, str(tmp_path)).collect()}
     assert [x for x in got["/in/0.pptx"].split("\n") if x and not x.startswith("## ")] == [f"line {k} & more" for k in range(300)]
     assert got["/in/0.pptx"].count("## Slide ") == 300 and got["/in/1.pptx"] == "## Slide 1\n\none\n"
+
+
+def test_hit_lines_of_odd_paragraphs(agree):
+    """Paragraphs of accents, other letters, no term in a line of its own, and more than 120 hits."""
+    texts = {0: "the\nart of it\n\nof the\r\nand\r# the of\nof\nthe idiot. The of it! x", 1: "ÇLOWN of\nthé ôf", 2: None, 3: "", 4: "\n".join(["the of"] * 130), 5: "clown\nidiot", 6: "ВЕРА the\nof", 7: "t\nhe of\nclo\nwn", 8: "  <!-- the of -->\n \nCLOWN"}
+    rows = agree("g05_hit_lines", texts)
+    assert sum(r["doc_id"] == 4 for r in rows) == 120 and {r["line_no"] for r in rows if r["doc_id"] == 1} == {0, 1}
+
+
+def test_hit_lines_of_a_long_text(spark):
+    """Lines of a text were split again for each line looked at: 2,000 took 12 s, 4,000 over 40."""
+    docs = spark.createDataFrame([(0, "\n\n".join(["é the of it", "plain line"] * 1000))], "doc_id long, text string")
+    began = time.monotonic()
+    assert retrieval.hit_lines(docs, "(the of OR clown) NOT idiot", 5000).count() == 1000
+    assert time.monotonic() - began < 20
