@@ -177,18 +177,30 @@ def distinctive(page: Column) -> Column:
 STRETCH = 4096
 
 
+def _words(text: Column) -> Column:
+    return F.transform(F.split(text, " "), lambda w: F.xxhash64(w))
+
+
+def _inner_word(text: Column) -> Column:
+    """The longest word of a text that has a blank before and after it; null for one of two words. A text that holds
+    this one has it among its words."""
+    words = F.split(text, " ")
+    return F.xxhash64(F.array_max(F.transform(F.slice(words, 2, F.size(words) - 2), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"])
+
+
 def _needle_lines(own: DataFrame, sizes: DataFrame, lines: DataFrame) -> DataFrame:
     """(doc_id, needle, line_no): the lines that hold a needle of their document (``own`` has doc_id, needle) or are part
     of it, both of 16 characters or more; no contents lines. The needles of a document come to its lines with
-    their keys, of which a line that is to be looked at has one."""
-    begun = lambda c: F.element_at(matching._minima(F.substring(c, 1, matching.WINDOW)), 1)
+    words of theirs, of which a line that is to be looked at has one; a line's words are gone through once."""
+    few = lambda c: F.size(F.split(c, " ")) < 3
     asked = own.where(F.length("needle") >= matching.WINDOW).select("doc_id", "needle").distinct()
-    asked = asked.select("doc_id", "needle", begun(F.col("needle")).alias("begun"), matching._minima(F.col("needle")).alias("keys"))
-    by_doc = asked.groupBy("doc_id").agg(F.collect_list("needle").alias("needles"), F.collect_set("begun").alias("begun"), F.array_distinct(F.flatten(F.collect_list("keys"))).alias("keys"))
-    by_doc = by_doc.join(by_shuffle(sizes), "doc_id").select("doc_id", "needles", "begun", "keys", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / STRETCH).cast("int"))).alias("stretch"))
+    asked = asked.select("doc_id", "needle", few(F.col("needle")).alias("few"), F.when(~few(F.col("needle")), _inner_word(F.col("needle"))).alias("begun"), _words(F.col("needle")).alias("keys"))
+    by_doc = asked.groupBy("doc_id").agg(F.collect_list("needle").alias("needles"), F.max(F.length("needle")).alias("longest"), F.bool_or("few").alias("few"), F.collect_set("begun").alias("begun"), F.array_distinct(F.flatten(F.collect_list("keys"))).alias("keys"))
+    by_doc = by_doc.join(by_shuffle(sizes), "doc_id").select("doc_id", "needles", "longest", "few", "begun", "keys", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / STRETCH).cast("int"))).alias("stretch"))
     said = lines.where(~T.contents_line(F.col("text"))).select("doc_id", "line_no", F.floor(F.col("line_no") / STRETCH).cast("int").alias("stretch"), T.folded(F.col("text")).alias("said"))
     both = said.where(F.length("said") >= matching.WINDOW).join(by_shuffle(by_doc), ["doc_id", "stretch"])
-    near = both.where(F.array_contains("keys", begun(F.col("said"))) | F.arrays_overlap(matching._minima(F.col("said")), "begun"))
+    part = F.when(F.length("said") <= F.col("longest"), F.when(few(F.col("said")), F.lit(True)).otherwise(F.array_contains("keys", _inner_word(F.col("said"))))).otherwise(F.lit(False))
+    near = both.where(F.col("few") | part | F.arrays_overlap(_words(F.col("said")), "begun"))
     found = F.filter("needles", lambda x: F.contains("said", x) | F.contains(x, F.col("said")))
     return near.select("doc_id", "line_no", F.explode(found).alias("needle"))
 

@@ -6,8 +6,8 @@ import duckdb
 import pytest
 
 from docloom import queries_passes
-from docloom.operators import retrieval
-from docloom.sources import office
+from docloom.operators import retrieval, stitching
+from docloom.sources import office, relations
 
 from .test_queries import ORACLE_SQL, QUERIES, plain
 
@@ -92,3 +92,13 @@ def test_hit_lines_of_a_long_text(spark):
     began = time.monotonic()
     assert retrieval.hit_lines(docs, "(the of OR clown) NOT idiot", 5000).count() == 1000
     assert time.monotonic() - began < 20
+
+
+def test_page_marks_of_long_lines(spark):
+    """A line's characters were gone through from its beginning for each of its grams: one of 60,000 took over a minute."""
+    text = "\n".join(["word and more of it " * 6000, "a needle that stands in one line alone", "x" * 16])
+    docs = spark.createDataFrame([(0, text)], "doc_id long, text string")
+    pages = spark.createDataFrame([(0, 0, "needle that stands in one line"), (0, 1, "x" * 24)], "doc_id long, page int, text string")
+    began = time.monotonic()
+    assert sorted((r.page, r.at) for r in stitching.page_marks(pages, relations.lines(docs)).collect()) == [(0, 1), (1, 2)]
+    assert time.monotonic() - began < 20
